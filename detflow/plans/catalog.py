@@ -230,3 +230,145 @@ def q_pair_eval(spark, d):
 def q_pair_flex(spark, d):
     t = Corpus(spark, d).tagged.where(F.col("age_months").isNotNull() & F.col("role").isin("user", "assistant"))
     return _pairs(t, D.pair_flex("tagged"))
+
+
+# ---------------------------------------------------------------- filters
+from detflow.operators import assign as A  # noqa: E402
+from detflow.operators import filters as P  # noqa: E402
+from detflow.operators import rewrite as R  # noqa: E402
+
+
+@query("filter_det_noun")
+def q_filter_det_noun(spark, d):
+    return Corpus(spark, d).child.where(P.det_noun("tagged")).select("uid", "utt")
+
+
+@query("filter_any_det_x_noun")
+def q_filter_any(spark, d):
+    return Corpus(spark, d).child.where(P.any_det_x_noun("tagged")).select("uid", "utt")
+
+
+@query("one_det_only")
+def q_one_det_only(spark, d):
+    return Corpus(spark, d).child.where(P.one_det_only("tagged")).select("uid", "utt")
+
+
+@query("one_candidate")
+def q_one_candidate(spark, d):
+    c = Corpus(spark, d).child.where(P.one_candidate("tagged"))
+    return _pairs(c, D.pair_eval("tagged")).select("uid", "det_idx", "noun")
+
+
+# ---------------------------------------------------------------- assignment
+def raw_types(spark, d):
+    return A.noun_types_raw(Corpus(spark, d).parent)
+
+
+def noun_types(spark, d):
+    return A.assign_types(raw_types(spark, d))
+
+
+@query("noun_types_raw")
+def q_noun_types_raw(spark, d):
+    return raw_types(spark, d).select("noun", A.types_str().alias("types"))
+
+
+@query("assign_types")
+def q_assign_types(spark, d):
+    nt = A.assign_types(raw_types(spark, d), [(25, 0.25)])
+    return nt.select("noun", A.types_str().alias("types"))
+
+
+@query("assign_all_variants")
+def q_assign_all(spark, d):
+    return noun_types(spark, d).select("model_type", "noun", A.types_str().alias("types"))
+
+
+@query("pick_share")
+def q_pick_share(spark, d):
+    return A.kept_both(raw_types(spark, d))
+
+
+@query("dense_index")
+def q_dense_index(spark, d):
+    return A.exclusive_nouns(noun_types(spark, d)).select("model_type", "type", "noun", "idx")
+
+
+@query("invert_types")
+def q_invert_types(spark, d):
+    nt = noun_types(spark, d)
+    return nt.where(F.size("types") == 1).select("model_type", F.col("types")[0].alias("type"), "noun")
+
+
+@query("set_difference")
+def q_set_difference(spark, d):
+    raw = raw_types(spark, d)
+    both = A.with_variants(raw.where(F.size("types") == 2).select("noun")).select("model_type", "noun")
+    return both.join(A.kept_both(raw), ["model_type", "noun"], "left_anti")
+
+
+@query("exclusive_sets")
+def q_exclusive_sets(spark, d):
+    nt = noun_types(spark, d)
+    cat = F.when(F.size("types") == 2, "both").otherwise(F.col("types")[0])
+    return nt.groupBy("model_type", cat.alias("category")).agg(F.count(F.lit(1)).alias("n_nouns"))
+
+
+@query("noun_det_counts")
+def q_noun_det_counts(spark, d):
+    pr = _pairs(Corpus(spark, d).parent, D.pair_unbounded("tagged"))
+    return pr.groupBy("noun").agg(F.count_if(F.col("det") == "a").alias("n_a"),
+                                  F.count_if(F.col("det") == "the").alias("n_the"))
+
+
+@query("noun_det_partition")
+def q_noun_det_partition(spark, d):
+    c = q_noun_det_counts(spark, d)
+    return c.agg(F.count_if((F.col("n_a") > 0) & (F.col("n_the") > 0)).alias("both_count"),
+                 F.count_if((F.col("n_a") > 0) & (F.col("n_the") == 0)).alias("only_a_count"),
+                 F.count_if((F.col("n_a") == 0) & (F.col("n_the") > 0)).alias("only_the_count"))
+
+
+@query("distinct_nouns")
+def q_distinct_nouns(spark, d):
+    t = Corpus(spark, d).parent.select(F.explode("tagged").alias("x"))
+    return t.where(F.col("x.pos") == "NOUN").select(F.lower("x.word").alias("noun")).distinct()
+
+
+# ---------------------------------------------------------------- rewriting
+@query("join_noun_types")
+def q_join_noun_types(spark, d):
+    w = R.windows(Corpus(spark, d).parent, ["uid"]).withColumn("noun", F.lower("word"))
+    nt = noun_types(spark, d).where(F.col("model_type") != 100)
+    return w.join(nt, "noun").select("model_type", "uid", "det_idx", "j", "noun", A.types_str().alias("types"))
+
+
+@query("sample_replacement")
+def q_sample_replacement(spark, d):
+    nt = noun_types(spark, d).where(F.col("model_type") != 100)
+    dec = R.decisions(Corpus(spark, d).parent, nt)
+    return R.swap_edits(dec, nt).select("model_type", "uid", "prio", "pos", "new_word")
+
+
+@query("conflict_count")
+def q_conflict_count(spark, d):
+    nt = noun_types(spark, d).where(F.col("model_type") != 100)
+    return R.conflict_counts(R.decisions(Corpus(spark, d).parent, nt))
+
+
+@query("rewrite_pairs")
+def q_rewrite_pairs(spark, d):
+    out, _ = R.rewrite(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=False)
+    return out.select("model_type", "uid", "utt")
+
+
+@query("rewrite_remove")
+def q_rewrite_remove(spark, d):
+    out, _ = R.rewrite(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=True)
+    return out.select("model_type", "uid", "utt")
+
+
+@query("rewrite_iterate")
+def q_rewrite_iterate(spark, d):
+    out = R.rewrite_iterate(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=False, num_passes=2)
+    return out.select("model_type", "uid", "utt")

@@ -6,7 +6,7 @@ Column names and types match ``detflow.plans.catalog``.  Views come from
 
 from __future__ import annotations
 
-from oracle.views import H, cte, register
+from oracle.views import H, POS_CASE, cte, register
 
 SQL: dict[str, str] = {}
 
@@ -196,3 +196,149 @@ sql("pair_flex", cte("ftoks") + """
 SELECT d.uid, d.i AS det_idx, lower(d.word) AS det, n.i AS noun_idx, lower(n.word) AS noun
 FROM ftoks d JOIN ftoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
 WHERE d.pos = 'DET'""")
+
+# ------------------------------------------------------------ filters
+register("ctok3", ["ctoks"], """
+  SELECT d.uid, d.i, d.word, d.pos, t1.pos AS p1, t2.pos AS p2, t1.word AS w1, t2.word AS w2
+  FROM ctoks d LEFT JOIN ctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
+  LEFT JOIN ctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2""")
+sql("filter_det_noun", cte("child_u", "ctok3") + """
+SELECT uid, utt FROM child_u WHERE uid IN (
+  SELECT uid FROM ctok3 WHERE pos = 'DET' AND lower(word) IN ('a', 'the')
+    AND (p1 = 'NOUN' OR (p1 NOT IN ('DET', 'NOUN') AND p2 = 'NOUN')))""")
+sql("filter_any_det_x_noun", cte("child_u", "ctok3") + """
+SELECT uid, utt FROM child_u WHERE uid IN (
+  SELECT uid FROM ctok3 WHERE pos = 'DET' AND (p1 = 'NOUN' OR p2 = 'NOUN'))""")
+sql("one_det_only", cte("child_u", "ctoks") + """
+SELECT uid, utt FROM child_u WHERE uid IN (
+  SELECT uid FROM ctoks WHERE lower(word) IN ('a', 'the') GROUP BY uid HAVING count(*) = 1)""")
+register("d5", ["ctoks"], """
+  SELECT d.uid, d.i AS det_idx, lower(d.word) AS det,
+         CASE WHEN starts_with(t1.pos, 'NOUN') THEN d.i + 1 ELSE d.i + 2 END AS noun_idx,
+         lower(CASE WHEN starts_with(t1.pos, 'NOUN') THEN t1.word ELSE t2.word END) AS noun
+  FROM ctoks d LEFT JOIN ctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
+  LEFT JOIN ctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
+  WHERE lower(d.word) IN ('a', 'the')
+    AND (starts_with(t1.pos, 'NOUN') OR (t1.pos <> 'NOUN' AND starts_with(t2.pos, 'NOUN')))""")
+sql("one_candidate", cte("d5") + """
+SELECT uid, det_idx, noun FROM d5 WHERE uid IN (SELECT uid FROM d5 GROUP BY uid HAVING count(*) = 1)""")
+
+# ------------------------------------------------------------ assignment
+register("d1", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 4"))
+register("raw_types", ["d1"], """
+  SELECT noun, string_agg(DISTINCT t, ',' ORDER BY t) AS types
+  FROM (SELECT noun, CASE WHEN det = 'a' THEN 'A' ELSE 'B' END AS t FROM d1) GROUP BY noun""")
+register("both_v", ["raw_types", "variants"], """
+  SELECT v.model_type, v.share, r.noun FROM raw_types r CROSS JOIN variants v WHERE r.types = 'A,B'""")
+register("kept", ["both_v"], f"""
+  SELECT model_type, noun FROM (
+    SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY {H('noun', "'keep'", 'model_type')}, noun) - 1 AS rk,
+           count(*) OVER (PARTITION BY model_type) AS nb FROM both_v)
+  WHERE rk < floor(nb * CAST(share AS DOUBLE))""")
+register("nt", ["raw_types", "variants", "kept"], f"""
+  SELECT v.model_type, r.noun,
+         CASE WHEN r.types = 'A,B' AND k.noun IS NULL
+              THEN CASE WHEN {H('r.noun', "'pick'", 'v.model_type')} % 2 = 0 THEN 'A' ELSE 'B' END
+              ELSE r.types END AS types
+  FROM raw_types r CROSS JOIN variants v
+  LEFT JOIN kept k ON k.model_type = v.model_type AND k.noun = r.noun""")
+register("ex", ["nt"], f"""
+  SELECT model_type, types AS type, noun,
+         row_number() OVER (PARTITION BY model_type, types ORDER BY {H('noun', "'ex'", 'model_type')}, noun) - 1 AS idx,
+         count(*) OVER (PARTITION BY model_type, types) AS n
+  FROM nt WHERE types <> 'A,B'""")
+
+sql("noun_types_raw", cte("raw_types") + "SELECT noun, types FROM raw_types")
+sql("assign_types", cte("raw_types") + f"""
+SELECT noun, CASE WHEN types = 'A,B' AND noun NOT IN (
+    SELECT noun FROM (SELECT noun, row_number() OVER (ORDER BY {H('noun', "'keep'", '25')}, noun) - 1 AS rk,
+                             count(*) OVER () AS nb FROM raw_types WHERE types = 'A,B') WHERE rk < floor(nb * 0.25))
+  THEN CASE WHEN {H('noun', "'pick'", '25')} % 2 = 0 THEN 'A' ELSE 'B' END ELSE types END AS types
+FROM raw_types""")
+sql("assign_all_variants", cte("nt") + "SELECT model_type, noun, types FROM nt")
+sql("pick_share", cte("kept") + "SELECT model_type, noun FROM kept")
+sql("dense_index", cte("ex") + "SELECT model_type, type, noun, CAST(idx AS BIGINT) AS idx FROM ex")
+sql("invert_types", cte("nt") + "SELECT model_type, types AS type, noun FROM nt WHERE types <> 'A,B'")
+sql("set_difference", cte("both_v", "kept") + """
+SELECT model_type, noun FROM both_v EXCEPT SELECT model_type, noun FROM kept""")
+sql("exclusive_sets", cte("nt") + """
+SELECT model_type, CASE WHEN types = 'A,B' THEN 'both' ELSE types END AS category, count(*) AS n_nouns
+FROM nt GROUP BY 1, 2""")
+register("d3", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos IN ('NOUN', 'PROPN')", "n.i > d.i"))
+register("ndc", ["d3"], """
+  SELECT noun, count(*) FILTER (WHERE det = 'a') AS n_a, count(*) FILTER (WHERE det = 'the') AS n_the
+  FROM d3 GROUP BY noun""")
+sql("noun_det_counts", cte("ndc") + "SELECT noun, n_a, n_the FROM ndc")
+sql("noun_det_partition", cte("ndc") + """
+SELECT count(*) FILTER (WHERE n_a > 0 AND n_the > 0) AS both_count,
+       count(*) FILTER (WHERE n_a > 0 AND n_the = 0) AS only_a_count,
+       count(*) FILTER (WHERE n_a = 0 AND n_the > 0) AS only_the_count FROM ndc""")
+sql("distinct_nouns", cte("ptoks") + "SELECT DISTINCT lower(word) AS noun FROM ptoks WHERE pos = 'NOUN'")
+
+
+# ------------------------------------------------------------ rewriting
+def rewrite_views(p: str, tv: str, tv_deps: list[str], remove: bool, pass_no: int) -> str:
+    """Register CTEs {p}_win .. {p}_out for one rewrite pass over token view
+    ``tv`` (model_type, uid, i, word, pos); returns the output view name."""
+    register(f"{p}_win", [*tv_deps, "nt"], f"""
+  SELECT d.model_type, d.uid, d.i AS det_idx, CASE WHEN lower(d.word) = 'a' THEN 'A' ELSE 'B' END AS det_type,
+         w.i AS j, w.word
+  FROM {tv} d JOIN {tv} w ON w.model_type = d.model_type AND w.uid = d.uid AND w.i BETWEEN d.i + 1 AND d.i + 3
+  WHERE d.pos = 'DET' AND lower(d.word) IN ('a', 'the')""")
+    register(f"{p}_dec", [f"{p}_win"], f"""
+  SELECT *, CASE WHEN n = 1 THEN CASE WHEN t1 <> 'A,B' THEN t1 ELSE det_type END
+                 WHEN t1 = 'A,B' AND t2 = 'A,B' THEN det_type
+                 WHEN t1 = 'A,B' THEN t2
+                 ELSE t1 END AS final_type,
+            (n >= 2 AND t1 <> 'A,B' AND t2 <> 'A,B' AND t1 <> t2) AS conflict
+  FROM (SELECT model_type, uid, det_idx, det_type, count(*) AS n,
+               max(CASE WHEN rk = 1 THEN types END) AS t1, max(CASE WHEN rk = 2 THEN types END) AS t2,
+               max(CASE WHEN rk = 1 THEN lower(word) END) AS word1, max(CASE WHEN rk = 2 THEN j END) AS j2
+        FROM (SELECT x.*, nt.types,
+                     row_number() OVER (PARTITION BY x.model_type, x.uid, x.det_idx ORDER BY x.j) AS rk
+              FROM {p}_win x JOIN nt ON nt.model_type = x.model_type AND nt.noun = lower(x.word))
+        GROUP BY 1, 2, 3, 4)""")
+    hh = H("c.uid", "c.det_idx", "'swap'", "c.model_type", str(pass_no))
+    register(f"{p}_swap", [f"{p}_dec", "ex"], f"""
+  SELECT c.model_type, c.uid, c.det_idx AS prio, c.j2 AS pos, e2.noun AS new_word
+  FROM {p}_dec c
+  JOIN ex e1 ON e1.model_type = c.model_type AND e1.type = c.final_type AND e1.noun = c.word1
+  JOIN ex e2 ON e2.model_type = c.model_type AND e2.type = c.final_type
+       AND e2.idx = CASE WHEN {hh} % (e1.n - 1) >= e1.idx THEN {hh} % (e1.n - 1) + 1 ELSE {hh} % (e1.n - 1) END
+  WHERE c.conflict AND e1.n > 1""")
+    swap = "" if remove else f" UNION ALL SELECT model_type, uid, pos, new_word, prio FROM {p}_swap"
+    register(f"{p}_edits", [f"{p}_dec"] + ([] if remove else [f"{p}_swap"]), f"""
+  SELECT model_type, uid, pos, arg_max(new_word, prio) AS new_word FROM (
+    SELECT model_type, uid, det_idx AS pos, CASE WHEN final_type = 'A' THEN 'a' ELSE 'the' END AS new_word,
+           det_idx AS prio
+    FROM {p}_dec WHERE final_type <> det_type{swap}) GROUP BY 1, 2, 3""")
+    drop = (f" WHERE (t.model_type, t.uid) NOT IN (SELECT model_type, uid FROM {p}_dec WHERE conflict)"
+            if remove else "")
+    register(f"{p}_out", [tv, f"{p}_edits"], f"""
+  SELECT * FROM (
+    SELECT t.model_type, t.uid, string_agg(coalesce(e.new_word, t.word), ' ' ORDER BY t.i) AS utt
+    FROM {tv} t LEFT JOIN {p}_edits e ON e.model_type = t.model_type AND e.uid = t.uid AND e.pos = t.i{drop}
+    GROUP BY 1, 2) WHERE trim(utt) <> ''""")
+    return f"{p}_out"
+
+
+register("ptoks_v", ["ptoks"], """
+  SELECT v.model_type, t.* FROM ptoks t CROSS JOIN (VALUES (0), (25), (50), (75)) v(model_type)""")
+rw1 = rewrite_views("rw1", "ptoks_v", ["ptoks_v"], False, 1)
+rr1 = rewrite_views("rr1", "ptoks_v", ["ptoks_v"], True, 1)
+register("rw1_toks", [rw1], f"""
+  SELECT model_type, uid, i, word, {POS_CASE} AS pos FROM (
+    SELECT model_type, uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
+    FROM (SELECT model_type, uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM {rw1}))""")
+rw2 = rewrite_views("rw2", "rw1_toks", ["rw1_toks"], False, 2)
+
+sql("join_noun_types", cte("rw1_win") + """
+SELECT x.model_type, x.uid, x.det_idx, x.j, lower(x.word) AS noun, nt.types
+FROM rw1_win x JOIN nt ON nt.model_type = x.model_type AND nt.noun = lower(x.word)""")
+sql("sample_replacement", cte("rw1_swap") + "SELECT model_type, uid, prio, pos, new_word FROM rw1_swap")
+sql("conflict_count", cte("rw1_dec") + """
+SELECT model_type, count(*) AS conflicts_adapt, count(DISTINCT uid) AS conflicts_remove
+FROM rw1_dec WHERE conflict GROUP BY model_type""")
+sql("rewrite_pairs", cte(rw1) + f"SELECT model_type, uid, utt FROM {rw1}")
+sql("rewrite_remove", cte(rr1) + f"SELECT model_type, uid, utt FROM {rr1}")
+sql("rewrite_iterate", cte(rw2) + f"SELECT model_type, uid, utt FROM {rw2}")
