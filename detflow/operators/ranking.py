@@ -38,3 +38,15 @@ def dense_index(df: DataFrame, group_cols: list[str], order_hash: Column, tiebre
     d = d.withColumn("_r", F.row_number().over(within))
     d = d.join(F.broadcast(offsets) if bounded_groups else offsets, [*group_cols, "_b"])
     return d.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_h", "_b", "_r", "_off")
+
+
+def top_k(df: DataFrame, group_cols: list[str], order_cols: list, k: int, salt_col: str,
+          buckets: int = 64) -> DataFrame:
+    """Bounded top-k per group in two phases: first per (group, salt bucket),
+    then over at most k * buckets survivors per group, so no task sorts a whole
+    (possibly huge) group.  Adds ``rank`` (1-based)."""
+    salted = df.withColumn("_s", F.abs(F.xxhash64(salt_col)) % buckets)
+    w1 = Window.partitionBy(*group_cols, "_s").orderBy(*order_cols)
+    pre = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_s")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return pre.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)

@@ -372,3 +372,97 @@ def q_rewrite_remove(spark, d):
 def q_rewrite_iterate(spark, d):
     out = R.rewrite_iterate(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=False, num_passes=2)
     return out.select("model_type", "uid", "utt")
+
+
+# ---------------------------------------------------------------- bands
+from detflow.operators import bands as B  # noqa: E402
+from detflow.operators import testsets as TS  # noqa: E402
+from detflow.operators.ranking import top_k  # noqa: E402
+
+STUDY_REMOVE_CONFLICTS = True   # the study removed conflicting sentences (one pass)
+
+
+def study_corpus(spark, d):
+    c = Corpus(spark, d)
+    return B.training_corpus(c.parent, noun_types(spark, d), remove_conflicts=STUDY_REMOVE_CONFLICTS)
+
+
+def study_bands(spark, d):
+    return B.training_bands(study_corpus(spark, d))
+
+
+@query("bin_join")
+def q_bin_join(spark, d):
+    p = Corpus(spark, d).parent.select("uid", B.band_of(F.col("age_months")).alias("band_hi"))
+    return p.where(F.col("band_hi").isNotNull())
+
+
+@query("bands_range_join")
+def q_bands_range_join(spark, d):
+    p = Corpus(spark, d).parent
+    return p.select(F.explode(B.limits_from(F.col("age_months"))).alias("age"), "uid")
+
+
+@query("rewrite_all_variants")
+def q_rewrite_all(spark, d):
+    return study_corpus(spark, d).select("model_type", "uid", "utt")
+
+
+@query("build_training_bands")
+def q_build_training_bands(spark, d):
+    return study_bands(spark, d).select("model_type", "band_hi", "uid", "utt")
+
+
+@query("noun_det_sets")
+def q_noun_det_sets(spark, d):
+    s = B.noun_det_sets(study_bands(spark, d))
+    return s.select("model_type", "band_hi", "noun", F.array_join("dets", ",").alias("dets"))
+
+
+@query("usage_summary")
+def q_usage_summary(spark, d):
+    return B.usage_summary(B.noun_det_sets(study_bands(spark, d)))
+
+
+@query("first_k_examples")
+def q_first_k_examples(spark, d):
+    s = B.noun_det_sets(study_bands(spark, d))
+    has_a, has_the = F.array_contains("dets", "a"), F.array_contains("dets", "the")
+    s = s.withColumn("category", F.when(has_a & has_the, "both").when(has_a, "only_a").otherwise("only_the"))
+    return top_k(s, ["model_type", "band_hi", "category"], ["noun"], 10, "noun") \
+        .select("model_type", "band_hi", "category", "rank", "noun")
+
+
+@query("training_nouns_by_band")
+def q_training_nouns(spark, d):
+    return B.training_nouns_by_band(Corpus(spark, d).parent)
+
+
+@query("semi_training_nouns")
+def q_semi_training(spark, d):
+    return TS.target_nouns(noun_types(spark, d), B.training_nouns_by_band(Corpus(spark, d).parent))
+
+
+@query("set_intersect")
+def q_set_intersect(spark, d):
+    return TS.target_nouns_intersect(noun_types(spark, d), B.training_nouns_by_band(Corpus(spark, d).parent))
+
+
+def test_sets(spark, d, unique_nouns=True):
+    c = Corpus(spark, d)
+    return TS.make_test_sets(c.child, noun_types(spark, d), B.first_training_age(c.parent), unique_nouns)
+
+
+@query("first_per_noun")
+def q_first_per_noun(spark, d):
+    return test_sets(spark, d, True).select("model_type", "age", "noun", "uid")
+
+
+@query("make_test_sets")
+def q_make_test_sets(spark, d):
+    return test_sets(spark, d, True).select("model_type", "age", "uid", "noun", "utt", "age_months")
+
+
+@query("deciding_sentences")
+def q_deciding(spark, d):
+    return test_sets(spark, d, False).select("model_type", "age", "uid", "noun")

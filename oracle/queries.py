@@ -342,3 +342,82 @@ FROM rw1_dec WHERE conflict GROUP BY model_type""")
 sql("rewrite_pairs", cte(rw1) + f"SELECT model_type, uid, utt FROM {rw1}")
 sql("rewrite_remove", cte(rr1) + f"SELECT model_type, uid, utt FROM {rr1}")
 sql("rewrite_iterate", cte(rw2) + f"SELECT model_type, uid, utt FROM {rw2}")
+
+# ------------------------------------------------------------ bands / test sets
+register("band_parent", ["parent_u", "bands"], """
+  SELECT p.*, b.band_hi FROM parent_u p JOIN bands b ON p.age_months > b.band_lo AND p.age_months <= b.band_hi""")
+register("study", [rr1, "parent_u"], f"""
+  SELECT r.model_type, r.uid, r.utt, p.age_months FROM {rr1} r JOIN parent_u p USING (uid)
+  UNION ALL SELECT 100 AS model_type, uid, utt, age_months FROM parent_u""")
+register("tb", ["study", "bands"], """
+  SELECT s.*, b.band_hi FROM study s JOIN bands b ON s.age_months > b.band_lo AND s.age_months <= b.band_hi""")
+register("tbt", ["tb"], f"""
+  SELECT model_type, band_hi, uid, i, word, {POS_CASE} AS pos FROM (
+    SELECT model_type, band_hi, uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
+    FROM (SELECT model_type, band_hi, uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM tb))""")
+register("d2b", ["tbt"], """
+  SELECT s.model_type, s.band_hi, s.uid, s.det, lower(t.word) AS noun FROM (
+    SELECT d.model_type, d.band_hi, d.uid, d.i AS det_idx, lower(d.word) AS det, min(n.i) AS stop_idx
+    FROM tbt d JOIN tbt n ON n.model_type = d.model_type AND n.uid = d.uid AND n.i > d.i AND n.i <= d.i + 4
+         AND NOT (starts_with(n.pos, 'ADJ') OR starts_with(n.pos, 'VERB'))
+    WHERE lower(d.word) IN ('a', 'the') GROUP BY 1, 2, 3, 4, 5) s
+  JOIN tbt t ON t.model_type = s.model_type AND t.uid = s.uid AND t.i = s.stop_idx
+  WHERE starts_with(t.pos, 'NOUN')""")
+register("dsets", ["d2b"], """
+  SELECT model_type, band_hi, noun, string_agg(DISTINCT det, ',' ORDER BY det) AS dets,
+         CASE WHEN string_agg(DISTINCT det, ',' ORDER BY det) = 'a,the' THEN 'both'
+              WHEN string_agg(DISTINCT det, ',' ORDER BY det) = 'a' THEN 'only_a' ELSE 'only_the' END AS category
+  FROM d2b GROUP BY 1, 2, 3""")
+register("dsets_rk", ["dsets"], """
+  SELECT *, row_number() OVER (PARTITION BY model_type, band_hi, category ORDER BY noun) AS rk FROM dsets""")
+
+sql("bin_join", cte("band_parent") + "SELECT uid, band_hi FROM band_parent")
+sql("bands_range_join", cte("parent_u", "bands") + """
+SELECT b.band_hi AS age, p.uid FROM parent_u p JOIN bands b ON p.age_months <= b.band_hi""")
+sql("rewrite_all_variants", cte("study") + "SELECT model_type, uid, utt FROM study")
+sql("build_training_bands", cte("tb") + "SELECT model_type, band_hi, uid, utt FROM tb")
+sql("noun_det_sets", cte("dsets") + "SELECT model_type, band_hi, noun, dets FROM dsets")
+sql("usage_summary", cte("dsets_rk") + """
+SELECT c.model_type, c.band_hi, c.total, c.only_a, c.only_the, c.both,
+       max(CASE WHEN e.category = 'only_a' THEN e.examples END) AS ex_only_a,
+       max(CASE WHEN e.category = 'only_the' THEN e.examples END) AS ex_only_the,
+       max(CASE WHEN e.category = 'both' THEN e.examples END) AS ex_both
+FROM (SELECT model_type, band_hi, count(*) AS total,
+             count(*) FILTER (WHERE category = 'only_a') AS only_a,
+             count(*) FILTER (WHERE category = 'only_the') AS only_the,
+             count(*) FILTER (WHERE category = 'both') AS both
+      FROM dsets GROUP BY 1, 2) c
+LEFT JOIN (SELECT model_type, band_hi, category,
+                  string_agg(noun, ', ' ORDER BY noun) FILTER (WHERE rk <= 10)
+                  || CASE WHEN max(rk) > 10 THEN '...' ELSE '' END AS examples
+           FROM dsets_rk GROUP BY 1, 2, 3) e USING (model_type, band_hi)
+GROUP BY 1, 2, 3, 4, 5, 6""")
+sql("first_k_examples", cte("dsets_rk") + """
+SELECT model_type, band_hi, category, CAST(rk AS INTEGER) AS rank, noun FROM dsets_rk WHERE rk <= 10""")
+
+register("d4", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 2"))
+register("tmin", ["d4", "parent_u"], """
+  SELECT noun, min(age_months) AS min_age FROM d4 JOIN parent_u USING (uid) GROUP BY noun""")
+register("train_nouns", ["tmin", "bands"], """
+  SELECT b.band_hi AS age, t.noun FROM tmin t JOIN bands b ON t.min_age <= b.band_hi""")
+register("target", ["nt", "train_nouns"], """
+  SELECT nt.model_type, t.age, t.noun FROM nt JOIN train_nouns t USING (noun) WHERE nt.types <> 'A,B'""")
+register("ccand", ["ctoks"], """
+  SELECT d.uid, 2 * d.i + (n.i - d.i) AS r, lower(n.word) AS noun
+  FROM ctoks d JOIN ctoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
+  WHERE d.pos = 'DET' AND lower(d.word) IN ('a', 'the')""")
+register("decide", ["ccand", "target"], """
+  SELECT model_type, age, uid, arg_min(noun, r) AS noun FROM ccand JOIN target USING (noun) GROUP BY 1, 2, 3""")
+register("testset", ["decide", "child_u"], """
+  SELECT model_type, age, noun, uid FROM (
+    SELECT d.*, row_number() OVER (PARTITION BY d.model_type, d.age, d.noun
+                                   ORDER BY u.k, u.id, u.turn, u.sent_no, u.uid) AS rn
+    FROM decide d JOIN child_u u USING (uid)) WHERE rn = 1""")
+
+sql("training_nouns_by_band", cte("train_nouns") + "SELECT age, noun FROM train_nouns")
+sql("semi_training_nouns", cte("target") + "SELECT model_type, age, noun FROM target")
+sql("set_intersect", cte("target") + "SELECT model_type, age, noun FROM target")
+sql("first_per_noun", cte("testset") + "SELECT model_type, age, noun, uid FROM testset")
+sql("make_test_sets", cte("testset", "child_u") + """
+SELECT t.model_type, t.age, t.uid, t.noun, u.utt, u.age_months FROM testset t JOIN child_u u USING (uid)""")
+sql("deciding_sentences", cte("decide") + "SELECT model_type, age, uid, noun FROM decide")
