@@ -58,7 +58,7 @@ def assign_types(raw: DataFrame, variants=VARIANTS) -> DataFrame:
 def exclusive_nouns(noun_types: DataFrame) -> DataFrame:
     """J3 + W5: (model_type, type, noun, idx, n) for nouns with exactly one type;
     idx is dense 0..n-1 per (model_type, type) in draw order."""
-    ex = noun_types.where(F.size("types") == 1).select("model_type", F.col("types")[0].alias("type"), "noun")
+    ex = noun_types.where(F.size("types") == 1).select("model_type", F.get(F.col("types"), 0).alias("type"), "noun")
     return dense_index(ex, ["model_type", "type"], h("noun", F.lit("ex"), "model_type"), "noun",
                        out="idx", total="n")
 

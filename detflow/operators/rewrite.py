@@ -60,18 +60,18 @@ def decisions(df: DataFrame, noun_types: DataFrame) -> DataFrame:
     g = typed.groupBy("model_type", "uid", "det_idx", "det_type").agg(
         F.sort_array(F.collect_list(F.struct("j", "word", "types"))).alias("typed"))
     n = F.size("typed")
-    t1, t2 = F.col("typed")[0]["types"], F.get(F.col("typed"), 1)["types"]
+    t1, t2 = F.get(F.col("typed"), 0)["types"], F.get(F.col("typed"), 1)["types"]
     one1, one2 = F.size(t1) == 1, F.coalesce(F.size(t2) == 1, F.lit(False))
     both2 = F.coalesce(F.size(t2) == 2, F.lit(False))
-    final = (F.when(n == 1, F.when(one1, t1[0]).otherwise(F.col("det_type")))
+    final = (F.when(n == 1, F.when(one1, F.get(t1, 0)).otherwise(F.col("det_type")))
              .when(~one1 & both2, F.col("det_type"))
-             .when(~one1 & one2, t2[0])
-             .when(one1 & both2, t1[0])
-             .otherwise(t1[0]))
-    conflict = (n >= 2) & one1 & one2 & (t1[0] != t2[0])
+             .when(~one1 & one2, F.get(t2, 0))
+             .when(one1 & both2, F.get(t1, 0))
+             .otherwise(F.get(t1, 0)))
+    conflict = (n >= 2) & one1 & one2 & (F.get(t1, 0) != F.get(t2, 0))
     return g.select(
         "model_type", "uid", "det_idx", "det_type", final.alias("final_type"), conflict.alias("conflict"),
-        F.lower(F.col("typed")[0]["word"]).alias("word1"),
+        F.lower(F.get(F.col("typed"), 0)["word"]).alias("word1"),
         F.get(F.col("typed"), 1)["j"].alias("j2"))
 
 

@@ -297,7 +297,7 @@ def q_dense_index(spark, d):
 @query("invert_types")
 def q_invert_types(spark, d):
     nt = noun_types(spark, d)
-    return nt.where(F.size("types") == 1).select("model_type", F.col("types")[0].alias("type"), "noun")
+    return nt.where(F.size("types") == 1).select("model_type", F.get(F.col("types"), 0).alias("type"), "noun")
 
 
 @query("set_difference")
@@ -310,7 +310,7 @@ def q_set_difference(spark, d):
 @query("exclusive_sets")
 def q_exclusive_sets(spark, d):
     nt = noun_types(spark, d)
-    cat = F.when(F.size("types") == 2, "both").otherwise(F.col("types")[0])
+    cat = F.when(F.size("types") == 2, "both").otherwise(F.get(F.col("types"), 0))
     return nt.groupBy("model_type", cat.alias("category")).agg(F.count(F.lit(1)).alias("n_nouns"))
 
 
@@ -466,3 +466,101 @@ def q_make_test_sets(spark, d):
 @query("deciding_sentences")
 def q_deciding(spark, d):
     return test_sets(spark, d, False).select("model_type", "age", "uid", "noun")
+
+
+# ---------------------------------------------------------------- prediction + evaluation
+from detflow.operators import evaluate as E  # noqa: E402
+from detflow.operators import predict as PR  # noqa: E402
+from detflow.operators import stats as ST  # noqa: E402
+from detflow.sources.tables import VARIANTS  # noqa: E402
+
+MODEL_TYPES = [m for m, _ in VARIANTS]
+
+
+def _r9(c):
+    return F.round(F.col(c), 9).alias(c)
+
+
+def scored_candidates(spark, d):
+    nt = noun_types(spark, d)
+    cand = E.with_gold(E.masked_candidates(test_sets(spark, d)), nt)
+    return PR.predict(cand, study_bands(spark, d))
+
+
+def results(spark, d):
+    return E.evaluate_variants(test_sets(spark, d), noun_types(spark, d), study_bands(spark, d))
+
+
+@query("mask_candidate_det")
+def q_mask_candidate(spark, d):
+    m = E.masked_candidates(test_sets(spark, d))
+    return m.select("model_type", "age", "uid", "actual_det", "masked", "noun")
+
+
+@query("has_noun_type")
+def q_has_noun_type(spark, d):
+    g = E.with_gold(E.masked_candidates(test_sets(spark, d)), noun_types(spark, d))
+    return g.select("model_type", "age", "uid", "noun")
+
+
+@query("join_gold")
+def q_join_gold(spark, d):
+    g = E.with_gold(E.masked_candidates(test_sets(spark, d)), noun_types(spark, d))
+    return g.select("model_type", "age", "uid", "noun", "gold_det")
+
+
+@query("argmax_prediction")
+def q_argmax(spark, d):
+    return scored_candidates(spark, d).select("model_type", "age", "uid", "pred_word")
+
+
+@query("predict_masked")
+def q_predict_masked(spark, d):
+    return scored_candidates(spark, d).select("model_type", "age", "uid", "pred_det")
+
+
+@query("eval_counters")
+def q_eval_counters(spark, d):
+    return E.counters(test_sets(spark, d), scored_candidates(spark, d))
+
+
+@query("eval_ratios")
+def q_eval_ratios(spark, d):
+    return results(spark, d)
+
+
+@query("evaluate_variants")
+def q_evaluate_variants(spark, d):
+    return results(spark, d)
+
+
+@query("sort_results")
+def q_sort_results(spark, d):
+    return results(spark, d).orderBy("model_type", "age")
+
+
+@query("summary_stats")
+def q_summary_stats(spark, d):
+    s = ST.summary_stats(results(spark, d))
+    return s.select("model_type", *[_r9(c) for c in ("misclass_mean", "misclass_std", "det_acc_mean",
+                                                     "det_acc_std", "overall_acc_mean", "overall_acc_std")],
+                    "total_determiner_preds", "total_preds")
+
+
+@query("welch_ttest")
+def q_welch(spark, d):
+    t = ST.welch_ttest(results(spark, d), "total_misclassified", MODEL_TYPES)
+    return t.select("model_type_1", "model_type_2", _r9("t_stat"), _r9("p_value"))
+
+
+@query("pairwise_models")
+def q_pairwise(spark, d):
+    r = results(spark, d).select("model_type").distinct()
+    pairs = spark.range(1).select(ST.pairwise_models(MODEL_TYPES).alias("p")).select("p.*")
+    return pairs.join(r.withColumnRenamed("model_type", "model_type_1"), "model_type_1", "left_semi")
+
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, d):
+    return ST.coerce_numeric(results(spark, d).select("model_type", "age", "total_misclassified"),
+                             "total_misclassified")

@@ -421,3 +421,128 @@ sql("first_per_noun", cte("testset") + "SELECT model_type, age, noun, uid FROM t
 sql("make_test_sets", cte("testset", "child_u") + """
 SELECT t.model_type, t.age, t.uid, t.noun, u.utt, u.age_months FROM testset t JOIN child_u u USING (uid)""")
 sql("deciding_sentences", cte("decide") + "SELECT model_type, age, uid, noun FROM decide")
+
+# ------------------------------------------------------------ prediction + evaluation
+register("tri", ["tbt"], """
+  SELECT model_type, band_hi, lower(word) AS word,
+         coalesce(lag(lower(word)) OVER w, '[CLS]') AS prev,
+         coalesce(lead(lower(word)) OVER w, '[SEP]') AS next
+  FROM tbt WINDOW w AS (PARTITION BY model_type, uid ORDER BY i)""")
+register("d5one", ["d5"], "SELECT * FROM d5 WHERE uid IN (SELECT uid FROM d5 GROUP BY uid HAVING count(*) = 1)")
+register("qc", ["testset", "d5one", "ctoks"], """
+  SELECT t.model_type, t.age, t.uid, c.det_idx, c.noun, lower(dw.word) AS actual_det,
+         coalesce(lower(pw.word), '[CLS]') AS prev, coalesce(lower(nw.word), '[SEP]') AS next
+  FROM testset t JOIN d5one c USING (uid)
+  JOIN ctoks dw ON dw.uid = t.uid AND dw.i = c.det_idx
+  LEFT JOIN ctoks pw ON pw.uid = t.uid AND pw.i = c.det_idx - 1
+  LEFT JOIN ctoks nw ON nw.uid = t.uid AND nw.i = c.det_idx + 1""")
+register("qg", ["qc", "nt"], """
+  SELECT q.*, CASE WHEN contains(nt.types, 'A') THEN 'a' ELSE 'the' END AS gold_det
+  FROM qc q JOIN nt ON nt.model_type = q.model_type AND nt.noun = q.noun""")
+
+
+def level_sql(cols: list[str], out: str) -> str:
+    keys = ", ".join(f"c.{c}" for c in cols)
+    on = " AND ".join(f"t.{c} = c.{c}" for c in cols)
+    return f"""
+  SELECT model_type, age, {', '.join(cols)}, word AS {out} FROM (
+    SELECT c.model_type, c.age, {keys}, t.word,
+           row_number() OVER (PARTITION BY c.model_type, c.age, {keys} ORDER BY count(*) DESC, t.word) AS rn
+    FROM (SELECT DISTINCT model_type, age, {', '.join(cols)} FROM qg) c
+    JOIN tri t ON t.model_type = c.model_type AND {on} AND t.band_hi <= c.age
+    GROUP BY c.model_type, c.age, {keys}, t.word) WHERE rn = 1"""
+
+
+register("l1", ["qg", "tri"], level_sql(["prev", "next"], "p1"))
+register("l2", ["qg", "tri"], level_sql(["next"], "p2"))
+register("l3", ["qg", "tri"], level_sql(["prev"], "p3"))
+register("l4", ["tri", "bands"], """
+  SELECT model_type, age, word AS p4 FROM (
+    SELECT t.model_type, b.band_hi AS age, t.word,
+           row_number() OVER (PARTITION BY t.model_type, b.band_hi ORDER BY count(*) DESC, t.word) AS rn
+    FROM tri t JOIN bands b ON t.band_hi <= b.band_hi GROUP BY 1, 2, 3) WHERE rn = 1""")
+register("sc", ["qg", "l1", "l2", "l3", "l4"], """
+  SELECT qg.*, coalesce(p1, p2, p3, p4) AS pred_word,
+         CASE WHEN coalesce(p1, p2, p3, p4) IN ('a', 'the') THEN coalesce(p1, p2, p3, p4) ELSE 'other' END AS pred_det
+  FROM qg LEFT JOIN l1 USING (model_type, age, prev, next) LEFT JOIN l2 USING (model_type, age, next)
+  LEFT JOIN l3 USING (model_type, age, prev) LEFT JOIN l4 USING (model_type, age)""")
+register("cnt", ["sc", "testset", "variants", "bands"], """
+  SELECT g.model_type, g.age,
+         coalesce(s.a_predictions, 0) AS a_predictions, coalesce(s.the_predictions, 0) AS the_predictions,
+         coalesce(tot.total_predictions, 0) AS total_predictions,
+         coalesce(s.a_to_the, 0) AS a_to_the, coalesce(s.the_to_a, 0) AS the_to_a,
+         coalesce(s.pred_a_or_the, 0) AS pred_a_or_the, coalesce(s.correct, 0) AS correct
+  FROM (SELECT v.model_type, b.band_hi AS age FROM variants v CROSS JOIN bands b) g
+  LEFT JOIN (SELECT model_type, age, count(*) AS total_predictions FROM testset GROUP BY 1, 2) tot
+    USING (model_type, age)
+  LEFT JOIN (SELECT model_type, age,
+                    count(*) FILTER (WHERE pred_det = 'a') AS a_predictions,
+                    count(*) FILTER (WHERE pred_det = 'the') AS the_predictions,
+                    count(*) FILTER (WHERE gold_det = 'a' AND pred_det = 'the') AS a_to_the,
+                    count(*) FILTER (WHERE gold_det = 'the' AND pred_det = 'a') AS the_to_a,
+                    count(*) AS pred_a_or_the,
+                    count(*) FILTER (WHERE pred_det = actual_det) AS correct
+             FROM sc WHERE pred_det IN ('a', 'the') GROUP BY 1, 2) s USING (model_type, age)""")
+
+
+def RATIO(n: str, d: str) -> str:
+    return f"CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / {d} ELSE 0.0 END"
+
+
+register("res", ["cnt"], f"""
+  SELECT model_type, age, a_predictions, the_predictions, total_predictions, a_to_the, the_to_a, pred_a_or_the,
+         {RATIO('a_to_the', 'pred_a_or_the')} AS a_to_the_ratio,
+         {RATIO('the_to_a', 'pred_a_or_the')} AS the_to_a_ratio,
+         {RATIO('a_to_the + the_to_a', 'pred_a_or_the')} AS total_misclassified,
+         {RATIO('correct', 'total_predictions')} AS overall_accuracy,
+         {RATIO('correct', 'pred_a_or_the')} AS determiner_accuracy
+  FROM cnt""")
+
+sql("mask_candidate_det", cte("qc", "ctoks") + """
+SELECT q.model_type, q.age, q.uid, q.actual_det,
+       string_agg(CASE WHEN t.i = q.det_idx THEN '[MASK]' ELSE t.word END, ' ' ORDER BY t.i) AS masked, q.noun
+FROM qc q JOIN ctoks t USING (uid) GROUP BY q.model_type, q.age, q.uid, q.actual_det, q.noun""")
+sql("has_noun_type", cte("qg") + "SELECT model_type, age, uid, noun FROM qg")
+sql("join_gold", cte("qg") + "SELECT model_type, age, uid, noun, gold_det FROM qg")
+sql("argmax_prediction", cte("sc") + "SELECT model_type, age, uid, pred_word FROM sc")
+sql("predict_masked", cte("sc") + "SELECT model_type, age, uid, pred_det FROM sc")
+sql("eval_counters", cte("cnt") + "SELECT * FROM cnt")
+sql("eval_ratios", cte("res") + "SELECT * FROM res")
+sql("evaluate_variants", cte("res") + "SELECT * FROM res")
+sql("sort_results", cte("res") + "SELECT * FROM res ORDER BY model_type, age")
+sql("summary_stats", cte("res") + """
+SELECT model_type,
+       round(avg(total_misclassified), 9) AS misclass_mean, round(stddev_samp(total_misclassified), 9) AS misclass_std,
+       round(avg(determiner_accuracy), 9) AS det_acc_mean, round(stddev_samp(determiner_accuracy), 9) AS det_acc_std,
+       round(avg(overall_accuracy), 9) AS overall_acc_mean, round(stddev_samp(overall_accuracy), 9) AS overall_acc_std,
+       CAST(sum(pred_a_or_the) AS BIGINT) AS total_determiner_preds, CAST(sum(total_predictions) AS BIGINT) AS total_preds
+FROM res GROUP BY model_type""")
+
+
+def SIMPSON(a: str, b: str, df: str, n: int = 2000) -> str:
+    step = f"(({b}) - ({a})) / {n}"
+    return (f"(list_sum(list_transform(range(0, {n + 1}), lambda k: "
+            f"(CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * "
+            f"pow(cos(({a}) + k * {step}), ({df}) - 1))) * {step} / 3)")
+
+
+register("mom", ["res"], """
+  SELECT model_type, count(*) AS n, avg(total_misclassified) AS m, var_samp(total_misclassified) AS v
+  FROM res WHERE total_misclassified IS NOT NULL GROUP BY model_type""")
+register("welch", ["mom"], """
+  SELECT model_type_1, model_type_2, t_stat, dof FROM (
+    SELECT a.model_type AS model_type_1, b.model_type AS model_type_2,
+           CASE WHEN a.v / a.n + b.v / b.n = 0 THEN NULL ELSE (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) END AS t_stat,
+           CASE WHEN (a.v / a.n) ^ 2 / (a.n - 1) + (b.v / b.n) ^ 2 / (b.n - 1) = 0 THEN NULL
+                ELSE (a.v / a.n + b.v / b.n) ^ 2 / ((a.v / a.n) ^ 2 / (a.n - 1) + (b.v / b.n) ^ 2 / (b.n - 1)) END AS dof
+    FROM mom a JOIN mom b ON a.model_type < b.model_type)""")
+sql("welch_ttest", cte("welch") + f"""
+SELECT model_type_1, model_type_2, round(t_stat, 9) AS t_stat,
+       round({SIMPSON('atan(abs(t_stat) / sqrt(dof))', 'pi() / 2', 'dof')} / {SIMPSON('0', 'pi() / 2', 'dof')}, 9) AS p_value
+FROM welch""")
+sql("pairwise_models", cte("res") + """
+SELECT a.model_type AS model_type_1, b.model_type AS model_type_2
+FROM (SELECT DISTINCT model_type FROM res) a JOIN (SELECT DISTINCT model_type FROM res) b ON a.model_type < b.model_type""")
+sql("coerce_numeric", cte("res") + """
+SELECT model_type, age, TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) AS total_misclassified
+FROM res WHERE TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) IS NOT NULL""")
