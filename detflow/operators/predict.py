@@ -29,13 +29,18 @@ def lower_tokens(utt_col: str = "utt") -> Column:
 
 
 def triples(bands: DataFrame) -> DataFrame:
-    """(model_type, band_hi, prev, word, next) for every training token."""
-    toks = lower_tokens("utt")
-    padded = F.concat(F.array(F.lit(CLS)), toks, F.array(F.lit(SEP)))
-    idx = F.when(F.size(toks) > 0, F.sequence(F.lit(1), F.size(toks))).otherwise(F.array().cast("array<int>"))
-    arr = F.transform(idx, lambda i: F.struct(F.get(padded, i - 1).alias("prev"), F.get(padded, i).alias("word"),
-                                              F.get(padded, i + 1).alias("next")))
-    return bands.select("model_type", "band_hi", F.explode(arr).alias("x")).select("model_type", "band_hi", "x.*")
+    """(model_type, band_hi, prev, word, next) for every training token.
+
+    The padded token array is projected once as a column; the lambda then only
+    indexes it (an inline expression would be re-evaluated per element)."""
+    toks = bands.select("model_type", "band_hi", lower_tokens("utt").alias("_t"))
+    padded = toks.select("model_type", "band_hi", F.size("_t").alias("_n"), F.concat(
+        F.array(F.lit(CLS)), F.col("_t"), F.array(F.lit(SEP))).alias("_p"))
+    p = F.col("_p")
+    idx = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array().cast("array<int>"))
+    arr = F.transform(idx, lambda i: F.struct(F.get(p, i - 1).alias("prev"), F.get(p, i).alias("word"),
+                                              F.get(p, i + 1).alias("next")))
+    return padded.select("model_type", "band_hi", F.explode(arr).alias("x")).select("model_type", "band_hi", "x.*")
 
 
 def mask_context(tagged: Column, det_idx: Column) -> tuple[Column, Column]:
@@ -51,34 +56,51 @@ def _best(df: DataFrame, keys: list[str]) -> DataFrame:
                                  .alias("pred_word"))
 
 
-def _level(tri: DataFrame, ctx: DataFrame, ctx_cols: list[str]) -> DataFrame:
+def context_counts(tri: DataFrame, ctx: DataFrame) -> DataFrame:
+    """One aggregation of the training triples serving all backoff levels.
+
+    A neighbour word is kept only if some query needs it as that neighbour;
+    otherwise it is nulled before aggregating, so the result holds full detail
+    for the needed contexts and unigram granularity for everything else.
+    (model_type, band_hi, prev|NULL, next|NULL, word, n)."""
+    need_p = ctx.select("model_type", "prev").distinct().withColumn("_kp", F.lit(True))
+    need_n = ctx.select("model_type", "next").distinct().withColumn("_kn", F.lit(True))
+    t = tri.join(need_p, ["model_type", "prev"], "left").join(need_n, ["model_type", "next"], "left")
+    t = t.select("model_type", "band_hi", "word",
+                 F.when(F.col("_kp"), F.col("prev")).alias("prev"),
+                 F.when(F.col("_kn"), F.col("next")).alias("next"))
+    return t.groupBy("model_type", "band_hi", "prev", "next", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _level(c: DataFrame, ctx: DataFrame, ctx_cols: list[str]) -> DataFrame:
     """Best word for each (model_type, age, ctx) using bands <= age."""
-    need = ctx.select("model_type", *ctx_cols).distinct()
-    t = tri.join(need, ["model_type", *ctx_cols], "left_semi")
-    c = t.groupBy("model_type", "band_hi", *ctx_cols, "word").agg(F.count(F.lit(1)).alias("n"))
+    sel = c
+    for k in ctx_cols:
+        sel = sel.where(F.col(k).isNotNull())
+    sel = sel.groupBy("model_type", "band_hi", *ctx_cols, "word").agg(F.sum("n").alias("n"))
     q = ctx.select("model_type", "age", *ctx_cols).distinct()
-    j = q.join(c, ["model_type", *ctx_cols]).where(F.col("band_hi") <= F.col("age"))
+    j = q.join(sel, ["model_type", *ctx_cols]).where(F.col("band_hi") <= F.col("age"))
     s = j.groupBy("model_type", "age", *ctx_cols, "word").agg(F.sum("n").alias("n"))
     return _best(s, ["model_type", "age", *ctx_cols])
 
 
-def unigram_best(tri: DataFrame) -> DataFrame:
+def unigram_best(c: DataFrame) -> DataFrame:
     """(model_type, age, pred_word): the most frequent word in bands <= age."""
-    c = tri.groupBy("model_type", "band_hi", "word").agg(F.count(F.lit(1)).alias("n"))
-    c = c.select("model_type", "word", "n", F.explode(limits_from(F.col("band_hi"))).alias("age"))
-    s = c.groupBy("model_type", "age", "word").agg(F.sum("n").alias("n"))
+    u = c.groupBy("model_type", "band_hi", "word").agg(F.sum("n").alias("n"))
+    u = u.select("model_type", "word", "n", F.explode(limits_from(F.col("band_hi"))).alias("age"))
+    s = u.groupBy("model_type", "age", "word").agg(F.sum("n").alias("n"))
     return _best(s, ["model_type", "age"])
 
 
 def predict(queries: DataFrame, bands: DataFrame) -> DataFrame:
     """R7 + W3: ``queries`` has (model_type, age, prev, next, ...);
     adds ``pred_word`` and ``pred_det`` (a / the / other)."""
-    tri = triples(bands)
     ctx = queries.select("model_type", "age", "prev", "next")
-    l1 = _level(tri, ctx, ["prev", "next"]).withColumnRenamed("pred_word", "p1")
-    l2 = _level(tri, ctx, ["next"]).withColumnRenamed("pred_word", "p2")
-    l3 = _level(tri, ctx, ["prev"]).withColumnRenamed("pred_word", "p3")
-    l4 = unigram_best(tri).withColumnRenamed("pred_word", "p4")
+    c = context_counts(triples(bands), ctx)
+    l1 = _level(c, ctx, ["prev", "next"]).withColumnRenamed("pred_word", "p1")
+    l2 = _level(c, ctx, ["next"]).withColumnRenamed("pred_word", "p2")
+    l3 = _level(c, ctx, ["prev"]).withColumnRenamed("pred_word", "p3")
+    l4 = unigram_best(c).withColumnRenamed("pred_word", "p4")
     out = (queries.join(l1, ["model_type", "age", "prev", "next"], "left")
            .join(l2, ["model_type", "age", "next"], "left")
            .join(l3, ["model_type", "age", "prev"], "left")

@@ -16,6 +16,7 @@ from detflow.functions import text as T
 from detflow.functions.tagger import tag_tokens
 from detflow.operators import clean as C
 from detflow.operators import pairing as D
+from detflow.plans.study import StudyPlan
 from detflow.sources.tables import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,11 +262,11 @@ def q_one_candidate(spark, d):
 
 # ---------------------------------------------------------------- assignment
 def raw_types(spark, d):
-    return A.noun_types_raw(Corpus(spark, d).parent)
+    return StudyPlan(spark, d).raw_types
 
 
 def noun_types(spark, d):
-    return A.assign_types(raw_types(spark, d))
+    return StudyPlan(spark, d).noun_types
 
 
 @query("noun_types_raw")
@@ -338,39 +339,45 @@ def q_distinct_nouns(spark, d):
 # ---------------------------------------------------------------- rewriting
 @query("join_noun_types")
 def q_join_noun_types(spark, d):
-    w = R.windows(Corpus(spark, d).parent, ["uid"]).withColumn("noun", F.lower("word"))
-    nt = noun_types(spark, d).where(F.col("model_type") != 100)
+    sp = StudyPlan(spark, d)
+    w = R.windows(sp.parent, ["uid"]).withColumn("noun", F.lower("word"))
+    nt = sp.noun_types.where(F.col("model_type") != 100)
     return w.join(nt, "noun").select("model_type", "uid", "det_idx", "j", "noun", A.types_str().alias("types"))
 
 
 @query("sample_replacement")
 def q_sample_replacement(spark, d):
-    nt = noun_types(spark, d).where(F.col("model_type") != 100)
-    dec = R.decisions(Corpus(spark, d).parent, nt)
+    sp = StudyPlan(spark, d)
+    nt = sp.noun_types.where(F.col("model_type") != 100)
+    dec = R.decisions(sp.parent, nt)
     return R.swap_edits(dec, nt).select("model_type", "uid", "prio", "pos", "new_word")
 
 
 @query("conflict_count")
 def q_conflict_count(spark, d):
-    nt = noun_types(spark, d).where(F.col("model_type") != 100)
-    return R.conflict_counts(R.decisions(Corpus(spark, d).parent, nt))
+    sp = StudyPlan(spark, d)
+    nt = sp.noun_types.where(F.col("model_type") != 100)
+    return R.conflict_counts(R.decisions(sp.parent, nt))
 
 
 @query("rewrite_pairs")
 def q_rewrite_pairs(spark, d):
-    out, _ = R.rewrite(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=False)
+    sp = StudyPlan(spark, d)
+    out, _ = R.rewrite(sp.parent, sp.noun_types, remove_conflicts=False)
     return out.select("model_type", "uid", "utt")
 
 
 @query("rewrite_remove")
 def q_rewrite_remove(spark, d):
-    out, _ = R.rewrite(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=True)
+    sp = StudyPlan(spark, d)
+    out, _ = R.rewrite(sp.parent, sp.noun_types, remove_conflicts=True)
     return out.select("model_type", "uid", "utt")
 
 
 @query("rewrite_iterate")
 def q_rewrite_iterate(spark, d):
-    out = R.rewrite_iterate(Corpus(spark, d).parent, noun_types(spark, d), remove_conflicts=False, num_passes=2)
+    sp = StudyPlan(spark, d)
+    out = R.rewrite_iterate(sp.parent, sp.noun_types, remove_conflicts=False, num_passes=2)
     return out.select("model_type", "uid", "utt")
 
 
@@ -379,16 +386,12 @@ from detflow.operators import bands as B  # noqa: E402
 from detflow.operators import testsets as TS  # noqa: E402
 from detflow.operators.ranking import top_k  # noqa: E402
 
-STUDY_REMOVE_CONFLICTS = True   # the study removed conflicting sentences (one pass)
-
-
 def study_corpus(spark, d):
-    c = Corpus(spark, d)
-    return B.training_corpus(c.parent, noun_types(spark, d), remove_conflicts=STUDY_REMOVE_CONFLICTS)
+    return StudyPlan(spark, d).corpus_variants
 
 
 def study_bands(spark, d):
-    return B.training_bands(study_corpus(spark, d))
+    return StudyPlan(spark, d).bands
 
 
 @query("bin_join")
@@ -440,17 +443,18 @@ def q_training_nouns(spark, d):
 
 @query("semi_training_nouns")
 def q_semi_training(spark, d):
-    return TS.target_nouns(noun_types(spark, d), B.training_nouns_by_band(Corpus(spark, d).parent))
+    sp = StudyPlan(spark, d)
+    return TS.target_nouns(sp.noun_types, B.training_nouns_by_band(sp.parent))
 
 
 @query("set_intersect")
 def q_set_intersect(spark, d):
-    return TS.target_nouns_intersect(noun_types(spark, d), B.training_nouns_by_band(Corpus(spark, d).parent))
+    sp = StudyPlan(spark, d)
+    return TS.target_nouns_intersect(sp.noun_types, B.training_nouns_by_band(sp.parent))
 
 
 def test_sets(spark, d, unique_nouns=True):
-    c = Corpus(spark, d)
-    return TS.make_test_sets(c.child, noun_types(spark, d), B.first_training_age(c.parent), unique_nouns)
+    return StudyPlan(spark, d, unique_nouns=unique_nouns).test_sets
 
 
 @query("first_per_noun")
@@ -482,13 +486,11 @@ def _r9(c):
 
 
 def scored_candidates(spark, d):
-    nt = noun_types(spark, d)
-    cand = E.with_gold(E.masked_candidates(test_sets(spark, d)), nt)
-    return PR.predict(cand, study_bands(spark, d))
+    return StudyPlan(spark, d).scored
 
 
 def results(spark, d):
-    return E.evaluate_variants(test_sets(spark, d), noun_types(spark, d), study_bands(spark, d))
+    return StudyPlan(spark, d).results
 
 
 @query("mask_candidate_det")
@@ -499,13 +501,13 @@ def q_mask_candidate(spark, d):
 
 @query("has_noun_type")
 def q_has_noun_type(spark, d):
-    g = E.with_gold(E.masked_candidates(test_sets(spark, d)), noun_types(spark, d))
+    g = StudyPlan(spark, d).candidates
     return g.select("model_type", "age", "uid", "noun")
 
 
 @query("join_gold")
 def q_join_gold(spark, d):
-    g = E.with_gold(E.masked_candidates(test_sets(spark, d)), noun_types(spark, d))
+    g = StudyPlan(spark, d).candidates
     return g.select("model_type", "age", "uid", "noun", "gold_det")
 
 
@@ -521,7 +523,7 @@ def q_predict_masked(spark, d):
 
 @query("eval_counters")
 def q_eval_counters(spark, d):
-    return E.counters(test_sets(spark, d), scored_candidates(spark, d))
+    return StudyPlan(spark, d).counters
 
 
 @query("eval_ratios")
