@@ -54,18 +54,24 @@ def tokens_with_markers(c) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"\[x[0-9]+\]|[A-Za-z0-9'+@]+"), 0)
 
 
+MARKER = r"^\[x[0-9]+\]$"
+
+
 def expand_repeats(c) -> Column:
     """A ``[xN]`` token repeats the previous output token N-1 more times
-    and disappears; a leading marker (nothing emitted yet) is kept as a word."""
-    return F.aggregate(
-        col(c), F.array().cast("array<string>"),
-        lambda acc, t: F.when(
-            t.rlike(r"^\[x[0-9]+\]$") & (F.size(acc) > 0),
-            F.concat(acc, F.array_repeat(
-                F.element_at(acc, -1),
-                F.greatest(F.regexp_extract(t, r"([0-9]+)", 1).cast("int") - 1, F.lit(0)))),
-        ).otherwise(F.concat(acc, F.array(t))),
-    )
+    and disappears; a leading marker (nothing emitted yet) is kept as a word.
+
+    Linear per sentence: ordinary tokens map to themselves; only a marker
+    looks back for the last literal token (non-marker, or the token at 0)."""
+    arr = col(c)
+
+    def out(t, i):
+        literal = ~t.rlike(MARKER) | (i == 0)
+        prev = F.element_at(F.filter(F.slice(arr, 1, i), lambda x, j: ~x.rlike(MARKER) | (j == 0)), -1)
+        n = F.greatest(F.regexp_extract(t, r"([0-9]+)", 1).cast("int") - 1, F.lit(0))
+        return F.when(literal, F.array(t)).otherwise(F.array_repeat(prev, n))
+
+    return F.flatten(F.transform(arr, out))
 
 
 def strip_plus_join(c) -> Column:

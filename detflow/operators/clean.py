@@ -45,13 +45,11 @@ def split_speakers(wide: DataFrame) -> DataFrame:
 
 
 def import_clean(wide: DataFrame) -> DataFrame:
-    """P1 -> P2 -> P3 -> P4 -> P5 -> P6 for both speakers, one stage."""
-    parent = drop_only_mask(drop_null_utts(wide, "p_utts"), "p_utts").select(
-        "uid", "subject", "age_months", F.lit("parent").alias("speaker"), F.col("p_utts").alias("utt"))
-    child = drop_only_mask(drop_null_utts(wide, "c_utts"), "c_utts").select(
-        "uid", "subject", "age_months", F.lit("child").alias("speaker"), F.col("c_utts").alias("utt"))
-    both = parent.unionByName(child)
-    return both.withColumn("utt", T.import_clean("utt"))
+    """P3 -> P1 -> P2 -> P4 -> P5 -> P6 for both speakers in one pass
+    (the unpivot is a single Expand over the scan, not two scans + union)."""
+    long = split_speakers(wide).where(F.col("age_months").isNotNull())
+    long = drop_only_mask(long, "utt")
+    return long.select("uid", "subject", "age_months", "speaker", T.import_clean("utt").alias("utt"))
 
 
 def lemma(w):
@@ -73,19 +71,38 @@ def lemmatize(tokens_col):
     return F.transform(F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col, lemma)
 
 
+NAMES_LITERAL_MAX = 100_000   # names tables up to this size are inlined into the plan
+
+
+def names_array(names: DataFrame) -> list[str] | None:
+    """The names in index order if the table is small enough to inline (a
+    bounded dimension table), else None so callers fall back to a join."""
+    n = names.count()
+    if n > NAMES_LITERAL_MAX:
+        return None
+    return [r["name"] for r in names.orderBy("idx").select("name").collect()]
+
+
 def replace_mask_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int) -> DataFrame:
     """T5: each MASK token gets an independently drawn name ``names[h(uid, i) % n]``.
 
-    Implemented as explode-join-regroup over only the sentences that contain
-    MASK; the names table is bounded (a dimension table), so it is broadcast.
-    """
+    With a bounded names table the lookup is a literal array index inside one
+    ``transform`` (narrow, no shuffle).  Above the bound, only the MASK tokens are
+    exploded and joined to the names table, then regrouped per sentence."""
+    arr = names_array(names)
     toks = F.split(F.col(text_col), " ", -1)
+    if arr is not None:
+        lit = F.array(*[F.lit(x) for x in arr])
+        out = F.array_join(F.transform(toks, lambda w, i: F.when(
+            w == "MASK", F.element_at(lit, (h("uid", i, F.lit("name")) % F.lit(len(arr))).cast("int") + 1))
+            .otherwise(w)), " ")
+        return df.withColumn(text_col, F.when(F.col(text_col).contains("MASK"), out).otherwise(F.col(text_col)))
     has = df.withColumn("_t", toks)
     masked = has.where(F.array_contains("_t", "MASK"))
     clean = has.where(~F.array_contains("_t", "MASK")).drop("_t")
     ex = masked.select("uid", F.posexplode("_t").alias("i", "w")).where(F.col("w") == "MASK")
     ex = ex.withColumn("idx", h("uid", "i", F.lit("name")) % F.lit(n_names))
-    ex = ex.join(F.broadcast(names.select("idx", "name")), "idx").select("uid", "i", "name")
+    ex = ex.join(names.select("idx", "name"), "idx").select("uid", "i", "name")
     repl = ex.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("i", "name"))).alias("_m"))
     fixed = (masked.join(repl, "uid", "left")
              .withColumn(text_col, F.array_join(F.transform(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from detflow.functions import text as T
 from detflow.operators.bands import limits_from
+from detflow.operators.joins import join_checked
 
 CLS, SEP = "[CLS]", "[SEP]"
 
@@ -59,52 +60,85 @@ def _best(df: DataFrame, keys: list[str]) -> DataFrame:
 def context_counts(tri: DataFrame, ctx: DataFrame) -> DataFrame:
     """One aggregation of the training triples serving all backoff levels.
 
-    A neighbour word is kept only if some query needs it as that neighbour;
-    otherwise it is nulled before aggregating, so the result holds full detail
-    for the needed contexts and unigram granularity for everything else.
-    (model_type, band_hi, prev|NULL, next|NULL, word, n)."""
+    A neighbour (or neighbour pair) is kept only if some query needs it, else it
+    is nulled; then one GROUPING SETS aggregation emits, in a single pass with
+    map-side partial aggregation, each level at its own granularity:
+      level 1 (prev, next, word) for needed pairs, level 2 (next, word),
+      level 3 (prev, word), level 4 (word).
+    Columns: (model_type, band_hi, level, prev, next, word, n)."""
     need_p = ctx.select("model_type", "prev").distinct().withColumn("_kp", F.lit(True))
     need_n = ctx.select("model_type", "next").distinct().withColumn("_kn", F.lit(True))
-    t = tri.join(need_p, ["model_type", "prev"], "left").join(need_n, ["model_type", "next"], "left")
+    need_pn = ctx.select("model_type", "prev", "next").distinct().withColumn("_kpn", F.lit(True))
+    # The query contexts come from the (small) test sets: broadcast them after a
+    # size check so the triples are filtered in place instead of shuffled.
+    t = join_checked(tri, need_p, ["model_type", "prev"], "left")
+    t = join_checked(t, need_n, ["model_type", "next"], "left")
+    t = join_checked(t, need_pn, ["model_type", "prev", "next"], "left")
     t = t.select("model_type", "band_hi", "word",
-                 F.when(F.col("_kp"), F.col("prev")).alias("prev"),
-                 F.when(F.col("_kn"), F.col("next")).alias("next"))
-    return t.groupBy("model_type", "band_hi", "prev", "next", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _level(c: DataFrame, ctx: DataFrame, ctx_cols: list[str]) -> DataFrame:
-    """Best word for each (model_type, age, ctx) using bands <= age."""
-    sel = c
-    for k in ctx_cols:
-        sel = sel.where(F.col(k).isNotNull())
-    sel = sel.groupBy("model_type", "band_hi", *ctx_cols, "word").agg(F.sum("n").alias("n"))
-    q = ctx.select("model_type", "age", *ctx_cols).distinct()
-    j = q.join(sel, ["model_type", *ctx_cols]).where(F.col("band_hi") <= F.col("age"))
-    s = j.groupBy("model_type", "age", *ctx_cols, "word").agg(F.sum("n").alias("n"))
-    return _best(s, ["model_type", "age", *ctx_cols])
-
-
-def unigram_best(c: DataFrame) -> DataFrame:
-    """(model_type, age, pred_word): the most frequent word in bands <= age."""
-    u = c.groupBy("model_type", "band_hi", "word").agg(F.sum("n").alias("n"))
-    u = u.select("model_type", "word", "n", F.explode(limits_from(F.col("band_hi"))).alias("age"))
-    s = u.groupBy("model_type", "age", "word").agg(F.sum("n").alias("n"))
-    return _best(s, ["model_type", "age"])
-
-
-def predict(queries: DataFrame, bands: DataFrame) -> DataFrame:
+                 F.when(F.col("_kpn"), F.col("prev")).alias("p1"), F.when(F.col("_kpn"), F.col("next")).alias("n1"),
+                 F.when(F.col("_kn"), F.col("next")).alias("n2"), F.when(F.col("_kp"), F.col("prev")).alias("p3"))
+    base = ["model_type", "band_hi", "word"]
+    g = t.groupingSets([base + ["p1", "n1"], base + ["n2"], base + ["p3"], base],
+                       "model_type", "band_hi", "word", "p1", "n1", "n2", "p3").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("p1").alias("g1"), F.grouping("n2").alias("g2"),
+        F.grouping("p3").alias("g3"))
+    level = (F.when(F.col("g1") == 0, F.lit(1)).when(F.col("g2") == 0, F.lit(2))
+             .when(F.col("g3") == 0, F.lit(3)).otherwise(F.lit(4)))
+    g = g.select("model_type", "band_hi", level.alias("level"),
+                 F.coalesce("p1", "p3").alias("prev"), F.coalesce("n1", "n2").alias("next"), "word", "n")
+    # rows whose needed key was nulled belong to no level
+    return g.where(((F.col("level") == 1) & F.col("prev").isNotNull())
+                   | ((F.col("level") == 2) & F.col("next").isNotNull())
+                   | ((F.col("level") == 3) & F.col("prev").isNotNull())
+                   | (F.col("level") == 4))
+
+
+NONE = "\u0000"   # join-key stand-in for "this level ignores that neighbour"
+
+
+def _keys(level: F.Column, prev: F.Column, nxt: F.Column) -> list[F.Column]:
+    kp = F.when(level.isin(1, 3), prev).otherwise(F.lit(NONE))
+    kn = F.when(level.isin(1, 2), nxt).otherwise(F.lit(NONE))
+    return [kp.alias("kp"), kn.alias("kn")]
+
+
+def best_by_level(c: DataFrame, ctx: DataFrame) -> DataFrame:
+    """Best word for every (model_type, age, level, context key) at once: the
+    four backoff lookups share one join and one argmax.  Counts of band b
+    serve every age >= b (the cumulative warm start): each (context, word)
+    carries its per-band counts and sums those <= age in place."""
+    levels = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("level")
+    q = ctx.select("model_type", "age", "prev", "next", levels)
+    q = q.select("model_type", "age", "level", *_keys(F.col("level"), F.col("prev"), F.col("next"))).distinct()
+    cc = c.select("model_type", "band_hi", "level", *_keys(F.col("level"), F.col("prev"), F.col("next")),
+                  "word", "n")
+    # per (context, word): its counts per band (<= 12 entries, a bounded group)
+    cw = cc.groupBy("model_type", "level", "kp", "kn", "word").agg(
+        F.collect_list(F.struct("band_hi", "n")).alias("bc"))
+    j = q.join(cw, ["model_type", "level", "kp", "kn"])
+    cum = F.aggregate(F.filter("bc", lambda x: x["band_hi"] <= F.col("age")), F.lit(0).cast("bigint"),
+                      lambda acc, x: acc + x["n"])
+    j = j.select("model_type", "age", "level", "kp", "kn", "word", cum.alias("n")).where(F.col("n") > 0)
+    return _best(j, ["model_type", "age", "level", "kp", "kn"])
+
+
+def predict(queries: DataFrame, bands: DataFrame, materialize: bool = True) -> DataFrame:
     """R7 + W3: ``queries`` has (model_type, age, prev, next, ...);
-    adds ``pred_word`` and ``pred_det`` (a / the / other)."""
+    adds ``pred_word`` and ``pred_det`` (a / the / other).
+
+    The context counts feed four backoff levels; they are checkpointed once
+    (reliable, in ``spark.checkpoint.dir``) so the training text is counted once."""
     ctx = queries.select("model_type", "age", "prev", "next")
     c = context_counts(triples(bands), ctx)
-    l1 = _level(c, ctx, ["prev", "next"]).withColumnRenamed("pred_word", "p1")
-    l2 = _level(c, ctx, ["next"]).withColumnRenamed("pred_word", "p2")
-    l3 = _level(c, ctx, ["prev"]).withColumnRenamed("pred_word", "p3")
-    l4 = unigram_best(c).withColumnRenamed("pred_word", "p4")
-    out = (queries.join(l1, ["model_type", "age", "prev", "next"], "left")
-           .join(l2, ["model_type", "age", "next"], "left")
-           .join(l3, ["model_type", "age", "prev"], "left")
-           .join(l4, ["model_type", "age"], "left"))
-    out = out.withColumn("pred_word", F.coalesce("p1", "p2", "p3", "p4")).drop("p1", "p2", "p3", "p4")
+    if materialize:
+        c = c.checkpoint(eager=True)
+    best = best_by_level(c, ctx)
+    levels = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("level")
+    qk = ctx.distinct().select("model_type", "age", "prev", "next", levels)
+    qk = qk.select("model_type", "age", "prev", "next", "level",
+                   *_keys(F.col("level"), F.col("prev"), F.col("next")))
+    hit = qk.join(best, ["model_type", "age", "level", "kp", "kn"])
+    pick = hit.groupBy("model_type", "age", "prev", "next").agg(F.min_by("pred_word", "level").alias("pred_word"))
+    out = queries.join(pick, ["model_type", "age", "prev", "next"], "left")
     return out.withColumn("pred_det", F.when(F.col("pred_word").isin("a", "the"), F.col("pred_word"))
                           .otherwise(F.lit("other")))
