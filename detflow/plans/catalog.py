@@ -241,22 +241,22 @@ from detflow.operators import rewrite as R  # noqa: E402
 
 @query("filter_det_noun")
 def q_filter_det_noun(spark, d):
-    return Corpus(spark, d).child.where(P.det_noun("tagged")).select("uid", "utt")
+    return StudyPlan(spark, d).child.where(P.det_noun("tagged")).select("uid", "utt")
 
 
 @query("filter_any_det_x_noun")
 def q_filter_any(spark, d):
-    return Corpus(spark, d).child.where(P.any_det_x_noun("tagged")).select("uid", "utt")
+    return StudyPlan(spark, d).child.where(P.any_det_x_noun("tagged")).select("uid", "utt")
 
 
 @query("one_det_only")
 def q_one_det_only(spark, d):
-    return Corpus(spark, d).child.where(P.one_det_only("tagged")).select("uid", "utt")
+    return StudyPlan(spark, d).child.where(P.one_det_only("tagged")).select("uid", "utt")
 
 
 @query("one_candidate")
 def q_one_candidate(spark, d):
-    c = Corpus(spark, d).child.where(P.one_candidate("tagged"))
+    c = StudyPlan(spark, d).child.where(P.one_candidate("tagged"))
     return _pairs(c, D.pair_eval("tagged")).select("uid", "det_idx", "noun")
 
 
@@ -566,3 +566,104 @@ def q_pairwise(spark, d):
 def q_coerce_numeric(spark, d):
     return ST.coerce_numeric(results(spark, d).select("model_type", "age", "total_misclassified"),
                              "total_misclassified")
+
+
+# ---------------------------------------------------------------- children vs model
+from detflow.operators import overall as O  # noqa: E402
+from detflow.plans.study import OverallPlan  # noqa: E402
+
+
+@query("overall_eval_set")
+def q_overall_eval_set(spark, d):
+    return OverallPlan(spark, d).overall.select("uid", "subject", "age_months", "utt")
+
+
+@query("mask_single_det")
+def q_mask_single_det(spark, d):
+    return O.mask_single_det(OverallPlan(spark, d).overall).select("uid", "gold_det", "masked", "noun")
+
+
+@query("flexible_use_counts")
+def q_flex_counts(spark, d):
+    return O.flexible_use_counts(OverallPlan(spark, d).overall)
+
+
+@query("set_subset")
+def q_set_subset(spark, d):
+    nd = O.noun_dets(OverallPlan(spark, d).overall, ["age_months", "subject"])
+    return nd.where(F.size(F.array_except(F.array(F.lit("a"), F.lit("the")), F.col("dets"))) == 0) \
+        .select("age_months", "subject", "noun")
+
+
+@query("flexible_use_iqr")
+def q_flex_iqr(spark, d):
+    return O.flexible_use_iqr(O.flexible_use_counts(OverallPlan(spark, d).overall))
+
+
+@query("model_availability")
+def q_model_availability(spark, d):
+    m = O.model_availability(O.mask_single_det(OverallPlan(spark, d).overall))
+    return m.select("uid", "model_type", "age")
+
+
+@query("key_join_predictions")
+def q_key_join_predictions(spark, d):
+    return OverallPlan(spark, d).model_preds.select("uid", "age_months", "subject", "pred_det", "noun")
+
+
+@query("pred_is_det")
+def q_pred_is_det(spark, d):
+    p = OverallPlan(spark, d).model_preds
+    return p.where(F.col("pred_det").isin("a", "the")).select("uid", "pred_det")
+
+
+@query("replace_det")
+def q_replace_det(spark, d):
+    p = OverallPlan(spark, d).model_preds.where(F.col("pred_det").isin("a", "the"))
+    return p.select("uid", T.words(O.replace_det("tagged", F.col("pred_det"))).alias("utt"))
+
+
+@query("flexible_use_model")
+def q_flex_model(spark, d):
+    return O.flexible_use_model(OverallPlan(spark, d).model_preds)
+
+
+@query("union_ages")
+def q_union_ages(spark, d):
+    return O.flexible_use_iqr(O.flexible_use_model(OverallPlan(spark, d).model_preds))
+
+
+def _overall_results(spark, d):
+    op = OverallPlan(spark, d)
+    child = O.flexible_use_iqr(O.flexible_use_counts(op.overall))
+    model = O.flexible_use_iqr(O.flexible_use_model(op.model_preds))
+    c = child.select("age_months", *[F.col(x).alias(f"child_{x}") for x in ("median", "q1", "q3")])
+    m = model.select("age_months", *[F.col(x).alias(f"model_{x}") for x in ("median", "q1", "q3")])
+    return c.join(m, "age_months", "left")
+
+
+@query("evaluate_overall")
+def q_evaluate_overall(spark, d):
+    return _overall_results(spark, d)
+
+
+@query("ordered_age_groups")
+def q_ordered_age_groups(spark, d):
+    return _overall_results(spark, d).orderBy("age_months")
+
+
+@query("pred_gold_valid")
+def q_pred_gold_valid(spark, d):
+    return OverallPlan(spark, d).final_preds.select("uid", "gold_det", "pred_det")
+
+
+@query("confusion_matrix")
+def q_confusion(spark, d):
+    cm = O.confusion_matrix(OverallPlan(spark, d).final_preds)
+    return cm.select("gold", "pred", "n", _r9("share"))
+
+
+@query("accuracy_coverage")
+def q_accuracy_coverage(spark, d):
+    a = O.accuracy_coverage(OverallPlan(spark, d).final_preds)
+    return a.select(_r9("accuracy"), _r9("coverage"), "n")

@@ -39,7 +39,9 @@ class StudyPlan:
     def _cut(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True) if self.materialize else df
 
-    # ---- stage 1: tagged corpus (written once, read by every later stage)
+    # ---- stage 1: tagged corpus (written once, read by every later stage).
+    # Filters on ``tagged`` must run on this materialised column: on a computed
+    # alias Catalyst pushes them below the projection and re-tags per element.
     @cached_property
     def tagged(self) -> DataFrame:
         t = self.corpus.tagged.where(F.col("age_months").isNotNull() & F.col("role").isin("assistant", "user"))
@@ -96,3 +98,38 @@ class StudyPlan:
     @cached_property
     def results(self) -> DataFrame:
         return E.ratios(self.counters)
+
+
+class OverallPlan(StudyPlan):
+    """Children vs model on the normalised corpus (both speakers, as the flexible
+    use measure needs them), with the unfiltered (100) model by default."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, model_type: int = 100, **kw):
+        super().__init__(spark, sf_dir, **kw)
+        self.model_type = model_type
+
+    @cached_property
+    def normalized(self) -> DataFrame:
+        from detflow.operators import clean as C
+        c = self.corpus
+        return C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, c.table("nation").count())
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        # Tag, materialise, then filter: a filter on a computed ``tagged`` alias
+        # would be pushed below the projection and re-tag per array element.
+        from detflow.functions import text as T
+        from detflow.functions.tagger import tag_tokens
+        from detflow.operators import filters as P
+        tagged = self._cut(self.normalized.withColumn("tagged", tag_tokens(T.tokens("utt"))))
+        return tagged.where(P.any_det_x_noun("tagged"))
+
+    @cached_property
+    def model_preds(self) -> DataFrame:
+        from detflow.operators import overall as O
+        return self._cut(O.model_predictions(self.overall, self.bands, self.model_type))
+
+    @cached_property
+    def final_preds(self) -> DataFrame:
+        from detflow.operators import overall as O
+        return self._cut(O.final_band_predictions(self.overall, self.bands, self.model_type))

@@ -441,31 +441,40 @@ register("qg", ["qc", "nt"], """
   FROM qc q JOIN nt ON nt.model_type = q.model_type AND nt.noun = q.noun""")
 
 
-def level_sql(cols: list[str], out: str) -> str:
+def level_sql(cols: list[str], out: str, qv: str = "qg") -> str:
     keys = ", ".join(f"c.{c}" for c in cols)
     on = " AND ".join(f"t.{c} = c.{c}" for c in cols)
     return f"""
   SELECT model_type, age, {', '.join(cols)}, word AS {out} FROM (
     SELECT c.model_type, c.age, {keys}, t.word,
            row_number() OVER (PARTITION BY c.model_type, c.age, {keys} ORDER BY count(*) DESC, t.word) AS rn
-    FROM (SELECT DISTINCT model_type, age, {', '.join(cols)} FROM qg) c
+    FROM (SELECT DISTINCT model_type, age, {', '.join(cols)} FROM {qv}) c
     JOIN tri t ON t.model_type = c.model_type AND {on} AND t.band_hi <= c.age
     GROUP BY c.model_type, c.age, {keys}, t.word) WHERE rn = 1"""
 
 
-register("l1", ["qg", "tri"], level_sql(["prev", "next"], "p1"))
-register("l2", ["qg", "tri"], level_sql(["next"], "p2"))
-register("l3", ["qg", "tri"], level_sql(["prev"], "p3"))
-register("l4", ["tri", "bands"], """
+def predict_views(p: str, qv: str) -> str:
+    """Register {p}_l1..{p}_l4 and {p}_sc: backoff predictions for query view qv
+    (model_type, age, prev, next, ...)."""
+    register(f"{p}_l1", [qv, "tri"], level_sql(["prev", "next"], "p1", qv))
+    register(f"{p}_l2", [qv, "tri"], level_sql(["next"], "p2", qv))
+    register(f"{p}_l3", [qv, "tri"], level_sql(["prev"], "p3", qv))
+    register(f"{p}_l4", [qv, "tri"], f"""
   SELECT model_type, age, word AS p4 FROM (
-    SELECT t.model_type, b.band_hi AS age, t.word,
-           row_number() OVER (PARTITION BY t.model_type, b.band_hi ORDER BY count(*) DESC, t.word) AS rn
-    FROM tri t JOIN bands b ON t.band_hi <= b.band_hi GROUP BY 1, 2, 3) WHERE rn = 1""")
-register("sc", ["qg", "l1", "l2", "l3", "l4"], """
-  SELECT qg.*, coalesce(p1, p2, p3, p4) AS pred_word,
+    SELECT c.model_type, c.age, t.word,
+           row_number() OVER (PARTITION BY c.model_type, c.age ORDER BY count(*) DESC, t.word) AS rn
+    FROM (SELECT DISTINCT model_type, age FROM {qv}) c
+    JOIN tri t ON t.model_type = c.model_type AND t.band_hi <= c.age GROUP BY 1, 2, 3) WHERE rn = 1""")
+    register(f"{p}_sc", [f"{p}_l1", f"{p}_l2", f"{p}_l3", f"{p}_l4"], f"""
+  SELECT q.*, coalesce(p1, p2, p3, p4) AS pred_word,
          CASE WHEN coalesce(p1, p2, p3, p4) IN ('a', 'the') THEN coalesce(p1, p2, p3, p4) ELSE 'other' END AS pred_det
-  FROM qg LEFT JOIN l1 USING (model_type, age, prev, next) LEFT JOIN l2 USING (model_type, age, next)
-  LEFT JOIN l3 USING (model_type, age, prev) LEFT JOIN l4 USING (model_type, age)""")
+  FROM {qv} q LEFT JOIN {p}_l1 USING (model_type, age, prev, next) LEFT JOIN {p}_l2 USING (model_type, age, next)
+  LEFT JOIN {p}_l3 USING (model_type, age, prev) LEFT JOIN {p}_l4 USING (model_type, age)""")
+    return f"{p}_sc"
+
+
+predict_views("ev", "qg")
+register("sc", ["ev_sc"], "SELECT * FROM ev_sc")
 register("cnt", ["sc", "testset", "variants", "bands"], """
   SELECT g.model_type, g.age,
          coalesce(s.a_predictions, 0) AS a_predictions, coalesce(s.the_predictions, 0) AS the_predictions,
@@ -546,3 +555,102 @@ FROM (SELECT DISTINCT model_type FROM res) a JOIN (SELECT DISTINCT model_type FR
 sql("coerce_numeric", cte("res") + """
 SELECT model_type, age, TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) AS total_misclassified
 FROM res WHERE TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) IS NOT NULL""")
+
+# ------------------------------------------------------------ children vs model
+register("ntoks", ["normalized"], f"""
+  SELECT uid, i, word, {POS_CASE} AS pos FROM (
+    SELECT uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
+    FROM (SELECT uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM normalized))""")
+register("ov_uid", ["ntoks"], """
+  SELECT DISTINCT d.uid FROM ntoks d
+  LEFT JOIN ntoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1 LEFT JOIN ntoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
+  WHERE d.pos = 'DET' AND (t1.pos = 'NOUN' OR t2.pos = 'NOUN')""")
+register("overall", ["normalized", "ov_uid"], "SELECT * FROM normalized WHERE uid IN (SELECT uid FROM ov_uid)")
+register("otoks", ["ntoks", "ov_uid"], "SELECT * FROM ntoks WHERE uid IN (SELECT uid FROM ov_uid)")
+
+
+def flex_sql(toks: str, rows: str) -> str:
+    """A11 over token view ``toks`` (uid, i, word, pos) of sentence view ``rows``."""
+    return f"""
+  SELECT g.age_months, g.subject, coalesce(c.n_flex, 0) AS n_flex
+  FROM (SELECT DISTINCT age_months, subject FROM {rows}) g
+  LEFT JOIN (SELECT age_months, subject, count(*) AS n_flex FROM (
+               SELECT o.age_months, o.subject, p.noun FROM (
+                 SELECT d.uid, lower(d.word) AS det, lower(n.word) AS noun
+                 FROM {toks} d JOIN {toks} n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
+                 WHERE d.pos = 'DET') p JOIN {rows} o USING (uid)
+               GROUP BY 1, 2, 3
+               HAVING count(*) FILTER (WHERE p.det = 'a') > 0 AND count(*) FILTER (WHERE p.det = 'the') > 0)
+             GROUP BY 1, 2) c USING (age_months, subject)"""
+
+
+def iqr_sql(flex: str) -> str:
+    return f"""
+  SELECT age_months, median(CAST(n_flex AS DOUBLE)) AS median,
+         max(CASE WHEN rn = n // 4 THEN n_flex END) AS q1, max(CASE WHEN rn = (3 * n) // 4 THEN n_flex END) AS q3
+  FROM (SELECT *, row_number() OVER (PARTITION BY age_months ORDER BY n_flex) - 1 AS rn,
+               count(*) OVER (PARTITION BY age_months) AS n FROM {flex}) GROUP BY age_months"""
+
+
+register("cflex", ["otoks", "overall"], flex_sql("otoks", "overall"))
+register("ciqr", ["cflex"], iqr_sql("cflex"))
+register("osingle", ["otoks"], """
+  SELECT uid, min(i) AS det_idx FROM otoks WHERE lower(word) IN ('a', 'the') GROUP BY uid HAVING count(*) = 1""")
+register("om_all", ["osingle", "overall", "otoks"], """
+  SELECT o.uid, o.age_months, o.subject, s.det_idx, lower(d.word) AS gold_det,
+         CASE WHEN nx.pos = 'NOUN' THEN lower(nx.word) END AS noun,
+         coalesce(lower(pw.word), '[CLS]') AS prev, coalesce(lower(nx.word), '[SEP]') AS next
+  FROM osingle s JOIN overall o USING (uid)
+  JOIN otoks d ON d.uid = s.uid AND d.i = s.det_idx
+  LEFT JOIN otoks pw ON pw.uid = s.uid AND pw.i = s.det_idx - 1
+  LEFT JOIN otoks nx ON nx.uid = s.uid AND nx.i = s.det_idx + 1""")
+register("om", ["om_all", "bands"], """
+  SELECT *, 100 AS model_type, CAST(trunc(age_months) AS INTEGER) AS age FROM om_all
+  WHERE CAST(trunc(age_months) AS INTEGER) IN (SELECT band_hi FROM bands)""")
+predict_views("ov", "om")
+register("mtoks", ["ov_sc", "otoks"], """
+  SELECT t.uid, t.i, CASE WHEN t.i = s.det_idx THEN s.pred_det ELSE t.word END AS word, t.pos
+  FROM otoks t JOIN ov_sc s USING (uid) WHERE s.pred_det IN ('a', 'the')""")
+register("mrows", ["ov_sc"], "SELECT uid, age_months, subject FROM ov_sc WHERE pred_det IN ('a', 'the')")
+register("mflex", ["mtoks", "mrows"], flex_sql("mtoks", "mrows"))
+register("miqr", ["mflex"], iqr_sql("mflex"))
+register("om58", ["om_all"], "SELECT *, 100 AS model_type, 58 AS age FROM om_all WHERE age_months <= 58")
+predict_views("cm", "om58")
+register("cmv", ["cm_sc"], """
+  SELECT * FROM cm_sc WHERE gold_det IN ('a', 'the') AND pred_det IN ('a', 'other', 'the')""")
+
+sql("overall_eval_set", cte("overall") + "SELECT uid, subject, age_months, utt FROM overall")
+sql("mask_single_det", cte("om_all", "otoks") + """
+SELECT m.uid, m.gold_det,
+       string_agg(CASE WHEN t.i = m.det_idx THEN '[MASK]' ELSE t.word END, ' ' ORDER BY t.i) AS masked, m.noun
+FROM om_all m JOIN otoks t USING (uid) GROUP BY m.uid, m.gold_det, m.noun""")
+sql("flexible_use_counts", cte("cflex") + "SELECT * FROM cflex")
+sql("set_subset", cte("otoks", "overall") + """
+SELECT o.age_months, o.subject, p.noun FROM (
+  SELECT d.uid, lower(d.word) AS det, lower(n.word) AS noun
+  FROM otoks d JOIN otoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
+  WHERE d.pos = 'DET') p JOIN overall o USING (uid)
+GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE p.det = 'a') > 0 AND count(*) FILTER (WHERE p.det = 'the') > 0""")
+sql("flexible_use_iqr", cte("ciqr") + "SELECT * FROM ciqr")
+sql("model_availability", cte("om") + "SELECT uid, model_type, age FROM om")
+sql("key_join_predictions", cte("ov_sc") + "SELECT uid, age_months, subject, pred_det, noun FROM ov_sc")
+sql("pred_is_det", cte("ov_sc") + "SELECT uid, pred_det FROM ov_sc WHERE pred_det IN ('a', 'the')")
+sql("replace_det", cte("mtoks") + "SELECT uid, string_agg(word, ' ' ORDER BY i) AS utt FROM mtoks GROUP BY uid")
+sql("flexible_use_model", cte("mflex") + "SELECT * FROM mflex")
+sql("union_ages", cte("miqr") + "SELECT * FROM miqr")
+OVERALL_RES = """
+SELECT c.age_months, c.median AS child_median, c.q1 AS child_q1, c.q3 AS child_q3,
+       m.median AS model_median, m.q1 AS model_q1, m.q3 AS model_q3
+FROM ciqr c LEFT JOIN miqr m USING (age_months)"""
+sql("evaluate_overall", cte("ciqr", "miqr") + OVERALL_RES)
+sql("ordered_age_groups", cte("ciqr", "miqr") + OVERALL_RES + " ORDER BY age_months")
+sql("pred_gold_valid", cte("cmv") + "SELECT uid, gold_det, pred_det FROM cmv")
+sql("confusion_matrix", cte("cmv") + """
+SELECT g.gold, p.pred, coalesce(c.n, 0) AS n,
+       round(CASE WHEN sum(coalesce(c.n, 0)) OVER () > 0
+                  THEN CAST(coalesce(c.n, 0) AS DOUBLE) / sum(coalesce(c.n, 0)) OVER () ELSE 0.0 END, 9) AS share
+FROM (VALUES ('a'), ('other'), ('the')) g(gold) CROSS JOIN (VALUES ('a'), ('other'), ('the')) p(pred)
+LEFT JOIN (SELECT gold_det AS gold, pred_det AS pred, count(*) AS n FROM cmv GROUP BY 1, 2) c USING (gold, pred)""")
+sql("accuracy_coverage", cte("cmv") + """
+SELECT round(avg(CASE WHEN gold_det = pred_det THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+       round(avg(CASE WHEN pred_det IN ('a', 'the') THEN 1.0 ELSE 0.0 END), 9) AS coverage, count(*) AS n FROM cmv""")
