@@ -667,3 +667,99 @@ def q_confusion(spark, d):
 def q_accuracy_coverage(spark, d):
     a = O.accuracy_coverage(OverallPlan(spark, d).final_preds)
     return a.select(_r9("accuracy"), _r9("coverage"), "n")
+
+
+# ---------------------------------------------------------------- vocabulary, loss, charts
+from detflow.operators import series as CS  # noqa: E402
+from detflow.operators import vocab as V  # noqa: E402
+
+
+def _tokenizer_texts(spark, d):
+    return C.drop_empty(OverallPlan(spark, d).normalized.where(F.col("speaker") == "parent"))
+
+
+@query("vocab_rank")
+def q_vocab_rank(spark, d):
+    return V.vocab_rank(V.word_counts(_tokenizer_texts(spark, d))).select("rank", "word", "n")
+
+
+@query("build_vocab")
+def q_build_vocab(spark, d):
+    return V.build_vocab(V.word_counts(_tokenizer_texts(spark, d)))
+
+
+def _encoded(spark, d):
+    texts = _tokenizer_texts(spark, d)
+    vocab = V.build_vocab(V.word_counts(texts)).checkpoint(eager=True)
+    return V.encode_ids(texts, V.vocab_literal(vocab)), vocab.count()
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@query("encode_ids")
+def q_encode_ids(spark, d):
+    enc, _ = _encoded(spark, d)
+    return enc.select("uid", _ids_str("input_ids").alias("input_ids"), "n_real")
+
+
+@query("mlm_mask")
+def q_mlm_mask(spark, d):
+    enc, n = _encoded(spark, d)
+    m = V.mlm_mask(enc, n)
+    return m.select("uid", _ids_str("masked_ids").alias("masked_ids"), _ids_str("labels").alias("labels"))
+
+
+@query("cumulative_bands")
+def q_cumulative_bands(spark, d):
+    return V.cumulative_counts(StudyPlan(spark, d).bands)
+
+
+@query("step_offset")
+def q_step_offset(spark, d):
+    return V.step_offsets(StudyPlan(spark, d).bands).select("model_type", "band_hi", "rows", "last_step", "offset")
+
+
+def _curve(spark, d):
+    return V.loss_curve(StudyPlan(spark, d).bands)
+
+
+@query("train_loss_curve")
+def q_train_loss_curve(spark, d):
+    return _curve(spark, d).select("model_type", "band_hi", "epoch", "step", "global_step", _r9("loss"))
+
+
+@query("context_counts")
+def q_context_counts(spark, d):
+    sp = StudyPlan(spark, d)
+    ctx = sp.candidates.select("model_type", "age", "prev", "next")
+    return PR.context_counts(PR.triples(sp.bands), ctx)
+
+
+def _chart(key, chart):
+    @query(key)
+    def q(spark, d):
+        return CS.result_series(results(spark, d), chart)
+    return q
+
+
+for _k, _c in [("series_ratios", "ratios"), ("series_counts", "counts"), ("series_accuracy", "accuracy"),
+               ("series_prediction_ratio", "prediction_ratio"), ("series_across_models", "across_models")]:
+    _chart(_k, _c)
+
+
+@query("series_mean_errorbar")
+def q_series_mean_errorbar(spark, d):
+    s = ST.summary_stats(results(spark, d))
+    return CS.mean_errorbar(s).withColumn("value", F.round("value", 9))
+
+
+@query("series_flexible_use")
+def q_series_flexible_use(spark, d):
+    return CS.flexible_use_series(_overall_results(spark, d))
+
+
+@query("series_loss")
+def q_series_loss(spark, d):
+    return CS.loss_series(_curve(spark, d)).withColumn("value", F.round("value", 9))

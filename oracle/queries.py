@@ -654,3 +654,107 @@ LEFT JOIN (SELECT gold_det AS gold, pred_det AS pred, count(*) AS n FROM cmv GRO
 sql("accuracy_coverage", cte("cmv") + """
 SELECT round(avg(CASE WHEN gold_det = pred_det THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
        round(avg(CASE WHEN pred_det IN ('a', 'the') THEN 1.0 ELSE 0.0 END), 9) AS coverage, count(*) AS n FROM cmv""")
+
+# ------------------------------------------------------------ vocabulary, loss, charts
+from detflow.operators.series import RESULT_CHARTS  # noqa: E402
+
+register("tok_texts", ["normalized"], "SELECT uid, utt FROM normalized WHERE speaker = 'parent' AND trim(utt) <> ''")
+register("vc", ["tok_texts"], """
+  SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(utt, '[A-Za-z0-9'']+')) AS w
+  FROM tok_texts) GROUP BY 1""")
+register("vr", ["vc"], """
+  SELECT * FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM vc WHERE n >= 2)
+  WHERE rank <= 30000""")
+register("vocab", ["vr"], """
+  SELECT * FROM (VALUES (0, '<s>', 0), (1, '[UNK]', 0), (2, '[PAD]', 0), (3, '[CLS]', 0), (4, '</s>', 0),
+                        (5, '[MASK]', 0), (6, '[SEP]', 0)) s(id, word, n)
+  UNION ALL SELECT CAST(rank + 6 AS INTEGER) AS id, word, n FROM vr""")
+register("enc", ["tok_texts", "vocab"], """
+  SELECT s.uid, list_concat(core, list_transform(range(64 - len(core)), lambda x: 2)) AS ids, len(core) AS n_real
+  FROM (SELECT t.uid, list_concat([3], coalesce(e.ids, []), [6]) AS core FROM tok_texts t LEFT JOIN (
+          SELECT uid, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM (
+            SELECT uid, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i
+            FROM (SELECT uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS x FROM tok_texts))
+          LEFT JOIN vocab v ON v.word = lower(w) WHERE i < 62 GROUP BY uid) e USING (uid)) s""")
+sql("vocab_rank", cte("vr") + "SELECT CAST(rank AS INTEGER) AS rank, word, n FROM vr")
+sql("build_vocab", cte("vocab") + "SELECT id, word, CAST(n AS BIGINT) AS n FROM vocab")
+sql("encode_ids", cte("enc") + "SELECT uid, array_to_string(ids, ' ') AS input_ids, CAST(n_real AS INTEGER) AS n_real FROM enc")
+_hm, _h2, _hr = H("uid", "i - 1", "'mlm'"), H("uid", "i - 1", "'mlm2'"), H("uid", "i - 1", "'rnd'")
+_chosen = f"(i - 1 > 0 AND i - 1 < n_real - 1 AND {_hm} % 1000 < 150)"
+sql("mlm_mask", cte("enc", "vocab") + f"""
+SELECT uid,
+  array_to_string(list_transform(ids, lambda x, i: CASE WHEN {_chosen} THEN
+      CASE WHEN {_h2} % 10 < 8 THEN 5 WHEN {_h2} % 10 < 9 THEN {_hr} % vs ELSE x END
+      ELSE x END), ' ') AS masked_ids,
+  array_to_string(list_transform(ids, lambda x, i: CASE WHEN {_chosen} THEN x ELSE -100 END), ' ') AS labels
+FROM enc CROSS JOIN (SELECT count(*) AS vs FROM vocab) v""")
+
+register("cum", ["tri"], """
+  SELECT p.model_type, p.band_hi,
+         sum(p.n_tokens) OVER w AS n_tokens_cum, sum(coalesce(nw.n_new, 0)) OVER w AS vocab_cum
+  FROM (SELECT model_type, band_hi, count(*) AS n_tokens FROM tri GROUP BY 1, 2) p
+  LEFT JOIN (SELECT model_type, band_hi, count(*) AS n_new FROM (
+               SELECT model_type, word, min(band_hi) AS band_hi FROM tri GROUP BY 1, 2) GROUP BY 1, 2) nw
+    USING (model_type, band_hi)
+  WINDOW w AS (PARTITION BY p.model_type ORDER BY p.band_hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+sql("cumulative_bands", cte("cum") + """
+SELECT model_type, band_hi, CAST(n_tokens_cum AS BIGINT) AS n_tokens_cum, CAST(vocab_cum AS BIGINT) AS vocab_cum FROM cum""")
+register("steps", ["tb"], """
+  SELECT model_type, band_hi, rows, last_step,
+         CAST(coalesce(sum(last_step + 1) OVER (PARTITION BY model_type ORDER BY band_hi
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
+  FROM (SELECT model_type, band_hi, count(*) AS rows, CAST(ceil(count(*) / 64) * 3 AS BIGINT) AS last_step
+        FROM tb GROUP BY 1, 2)""")
+sql("step_offset", cte("steps") + "SELECT model_type, band_hi, rows, last_step, \"offset\" FROM steps")
+register("bloss", ["tri", "cum"], """
+  SELECT c.model_type, c.band_hi,
+         sum(c.n * -ln((c.cum + 1) / (x.cum_ctx + v.vocab_cum))) / sum(c.n) AS loss
+  FROM (SELECT *, sum(n) OVER (PARTITION BY model_type, prev, next, word ORDER BY band_hi
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM (SELECT model_type, band_hi, prev, next, word, count(*) AS n FROM tri GROUP BY 1, 2, 3, 4, 5)) c
+  JOIN (SELECT model_type, band_hi, prev, next,
+               sum(sum(n)) OVER (PARTITION BY model_type, prev, next ORDER BY band_hi
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_ctx
+        FROM (SELECT model_type, band_hi, prev, next, count(*) AS n FROM tri GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4) x
+    USING (model_type, band_hi, prev, next)
+  JOIN cum v USING (model_type, band_hi)
+  GROUP BY 1, 2""")
+register("curve", ["steps", "bloss"], """
+  SELECT s.model_type, s.band_hi, e.epoch, CAST(ceil(s.rows / 64) * e.epoch AS BIGINT) AS step,
+         CAST(ceil(s.rows / 64) * e.epoch AS BIGINT) + s."offset" AS global_step, l.loss
+  FROM steps s CROSS JOIN (VALUES (1), (2), (3)) e(epoch) JOIN bloss l USING (model_type, band_hi)""")
+sql("train_loss_curve", cte("curve") + """
+SELECT model_type, band_hi, epoch, step, global_step, round(loss, 9) AS loss FROM curve""")
+register("ctxc", ["qg", "tri"], """
+  SELECT t.model_type, t.band_hi, 1 AS level, t.prev, t.next, t.word, count(*) AS n FROM tri t
+  WHERE (t.model_type, t.prev, t.next) IN (SELECT model_type, prev, next FROM qg) GROUP BY 1, 2, 3, 4, 5, 6
+  UNION ALL
+  SELECT t.model_type, t.band_hi, 2, NULL, t.next, t.word, count(*) FROM tri t
+  WHERE (t.model_type, t.next) IN (SELECT model_type, next FROM qg) GROUP BY 1, 2, 3, 4, 5, 6
+  UNION ALL
+  SELECT t.model_type, t.band_hi, 3, t.prev, NULL, t.word, count(*) FROM tri t
+  WHERE (t.model_type, t.prev) IN (SELECT model_type, prev FROM qg) GROUP BY 1, 2, 3, 4, 5, 6
+  UNION ALL
+  SELECT model_type, band_hi, 4, NULL, NULL, word, count(*) FROM tri GROUP BY 1, 2, 3, 4, 5, 6""")
+sql("context_counts", cte("ctxc") + "SELECT * FROM ctxc")
+
+for _key, _chart_name in [("series_ratios", "ratios"), ("series_counts", "counts"), ("series_accuracy", "accuracy"),
+                          ("series_prediction_ratio", "prediction_ratio"), ("series_across_models", "across_models")]:
+    sql(_key, cte("res") + "\nUNION ALL\n".join(
+        f"SELECT '{_chart_name}' AS chart, model_type, age, '{s}' AS series, CAST({e} AS DOUBLE) AS value FROM res"
+        for s, e in RESULT_CHARTS[_chart_name]))
+sql("series_mean_errorbar", cte("res") + """
+SELECT 'mean_errorbar' AS chart, model_type, CAST(NULL AS INTEGER) AS age, 'mean' AS series,
+       round(avg(total_misclassified), 9) AS value FROM res GROUP BY model_type
+UNION ALL
+SELECT 'mean_errorbar', model_type, NULL, 'std', round(stddev_samp(total_misclassified), 9) FROM res GROUP BY model_type""")
+sql("series_flexible_use", cte("ciqr", "miqr") + f"""
+SELECT 'flexible_use' AS chart, CAST(NULL AS INTEGER) AS model_type, CAST(age_months AS INTEGER) AS age, series, value
+FROM ({OVERALL_RES}) r,
+LATERAL (VALUES ('child_median', child_median), ('child_err_lower', child_median - child_q1),
+                ('child_err_upper', child_q3 - child_median), ('model_median', model_median),
+                ('model_err_lower', model_median - model_q1), ('model_err_upper', model_q3 - model_median),
+                ('reference', CAST(2 AS DOUBLE))) v(series, value)""")
+sql("series_loss", cte("curve") + """
+SELECT 'loss' AS chart, model_type, CAST(global_step AS INTEGER) AS age, 'loss' AS series, round(loss, 9) AS value
+FROM curve""")
