@@ -2,8 +2,8 @@
 count model's training-loss curve (A22, W8, W9).
 
 The vocabulary is capped (30,000 words + 7 specials), so after the bounded
-top-k it is inlined into the plan as two literal arrays; encoding is then a
-narrow ``transform`` with no shuffle of the token stream.
+top-k it is shipped to the tasks, and encoding is a narrow Arrow-batched
+lookup with no shuffle of the token stream.
 """
 
 from __future__ import annotations
@@ -47,18 +47,38 @@ def build_vocab(counts: DataFrame) -> DataFrame:
     return spec.unionByName(words)
 
 
-def vocab_literal(vocab: DataFrame) -> F.Column:
-    """The (bounded) vocabulary as a literal word -> id map."""
-    rows = vocab.select("word", "id").collect()
-    return F.map_from_arrays(F.array(*[F.lit(r["word"]) for r in rows]),
-                             F.array(*[F.lit(int(r["id"])) for r in rows]))
-
-
-def encode_ids(texts: DataFrame, vmap: F.Column) -> DataFrame:
+def vocab_words(vocab: DataFrame) -> list[str]:
+    """The (capped, hence bounded) vocabulary as a list indexed by id."""
+    rows = vocab.orderBy("id").select("word").collect()
+    return [r["word"] for r in rows]
+
+
+def _lookup_ids(words: list[str]):
+    """Arrow batch function: lowercase token lists -> id lists (hash lookups in
+    C++ via ``pyarrow.compute.index_in``; unknown -> [UNK])."""
+    def fn(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        value_set = pa.array(words, pa.string())
+        for b in batches:
+            toks = b.column("_toks")
+            if isinstance(toks, pa.ChunkedArray):
+                toks = toks.combine_chunks()
+            flat = pc.list_flatten(toks)
+            ids = pc.fill_null(pc.index_in(flat, value_set=value_set), UNK).cast(pa.int32())
+            offsets = pc.subtract(toks.offsets, toks.offsets[0])
+            lists = pa.ListArray.from_arrays(offsets, ids)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), lists], ["uid", "_ids"])
+    return fn
+
+
+def encode_ids(texts: DataFrame, words: list[str]) -> DataFrame:
     """Ids truncated to MAX_LEN-2, wrapped in [CLS]/[SEP], padded with [PAD];
-    ``n_real`` is the attention-mask length."""
-    ids = F.transform(T.tokens("utt"), lambda w: F.coalesce(F.element_at(vmap, F.lower(w)), F.lit(UNK)))
-    t = texts.select("uid", F.slice(ids, 1, MAX_LEN - 2).alias("_ids"))
+    ``n_real`` is the attention-mask length.  The id lookup is an Arrow-batched
+    ``mapInArrow`` (Spark's map lookup is a linear scan per key)."""
+    toks = texts.select("uid", F.transform(T.tokens("utt"), lambda w: F.lower(w)).alias("_toks"))
+    ids = toks.mapInArrow(_lookup_ids(words), "uid string, _ids array<int>")
+    t = ids.select("uid", F.slice("_ids", 1, MAX_LEN - 2).alias("_ids"))
     core = F.concat(F.array(F.lit(CLS_ID)), F.col("_ids"), F.array(F.lit(SEP_ID)))
     return t.select("uid", F.concat(core, F.array_repeat(F.lit(PAD), MAX_LEN - F.size(core))).alias("input_ids"),
                     F.size(core).alias("n_real"))

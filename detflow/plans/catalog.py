@@ -690,8 +690,8 @@ def q_build_vocab(spark, d):
 
 def _encoded(spark, d):
     texts = _tokenizer_texts(spark, d)
-    vocab = V.build_vocab(V.word_counts(texts)).checkpoint(eager=True)
-    return V.encode_ids(texts, V.vocab_literal(vocab)), vocab.count()
+    words = V.vocab_words(V.build_vocab(V.word_counts(texts)))
+    return V.encode_ids(texts, words), len(words)
 
 
 def _ids_str(c):
