@@ -763,3 +763,13 @@ def q_series_flexible_use(spark, d):
 @query("series_loss")
 def q_series_loss(spark, d):
     return CS.loss_series(_curve(spark, d)).withColumn("value", F.round("value", 9))
+
+
+# ---------------------------------------------------------------- streaming
+from detflow.streaming.incremental import incremental_bands  # noqa: E402
+
+
+@query("incremental_bands")
+def q_incremental_bands(spark, d):
+    sp = StudyPlan(spark, d)
+    return incremental_bands(spark, sp.bands, files_per_trigger=8)

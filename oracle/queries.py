@@ -758,3 +758,15 @@ LATERAL (VALUES ('child_median', child_median), ('child_err_lower', child_median
 sql("series_loss", cte("curve") + """
 SELECT 'loss' AS chart, model_type, CAST(global_step AS INTEGER) AS age, 'loss' AS series, round(loss, 9) AS value
 FROM curve""")
+
+# ------------------------------------------------------------ streaming (equals the batch answer)
+register("first_det", ["d2b"], """
+  SELECT model_type, noun, min(CASE WHEN det = 'a' THEN band_hi END) AS a_from,
+         min(CASE WHEN det = 'the' THEN band_hi END) AS the_from FROM d2b GROUP BY 1, 2""")
+sql("incremental_bands", cte("first_det", "bands") + """
+SELECT model_type, b.band_hi, count(*) AS total,
+       count(*) FILTER (WHERE coalesce(a_from <= b.band_hi, false) AND NOT coalesce(the_from <= b.band_hi, false)) AS only_a,
+       count(*) FILTER (WHERE NOT coalesce(a_from <= b.band_hi, false) AND coalesce(the_from <= b.band_hi, false)) AS only_the,
+       count(*) FILTER (WHERE coalesce(a_from <= b.band_hi, false) AND coalesce(the_from <= b.band_hi, false)) AS both
+FROM first_det f JOIN bands b ON least(coalesce(a_from, the_from), coalesce(the_from, a_from)) <= b.band_hi
+GROUP BY 1, 2""")
