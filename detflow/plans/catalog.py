@@ -773,3 +773,141 @@ from detflow.streaming.incremental import incremental_bands  # noqa: E402
 def q_incremental_bands(spark, d):
     sp = StudyPlan(spark, d)
     return incremental_bands(spark, sp.bands, files_per_trigger=8)
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+import uuid as _uuid  # noqa: E402
+
+from detflow.session import ensure_checkpoint_dir  # noqa: E402
+from detflow.sources import io as IO  # noqa: E402
+
+
+def _out_dir(spark, name):
+    """A fresh folder under the shared checkpoint dir (the cluster's shared storage)."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/sinks/{name}-{_uuid.uuid4().hex}"
+
+
+def _band_files(spark, d):
+    path = _out_dir(spark, "bands")
+    IO.write_age_bands(StudyPlan(spark, d).bands, path)
+    return path
+
+
+@query("sink_age_bands")
+def q_sink_age_bands(spark, d):
+    """K2: one directory per (model_type, band_hi) holding the text only."""
+    back = IO.read_band_text(spark, _band_files(spark, d))
+    return back.select(F.col("model_type").cast("int").alias("model_type"),
+                       F.col("band_hi").cast("int").alias("band_hi"), "utt")
+
+
+@query("src_band_text")
+def q_src_band_text(spark, d):
+    """Band files read as text with partition discovery."""
+    return q_sink_age_bands(spark, d)
+
+
+@query("src_loop_variants")
+def q_src_loop_variants(spark, d):
+    """One read of the partitioned band files, grouped, instead of a loop."""
+    back = IO.read_band_text(spark, _band_files(spark, d))
+    return back.groupBy(F.col("model_type").cast("int").alias("model_type"),
+                        F.col("band_hi").cast("int").alias("band_hi")).agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+@query("sink_headerless")
+def q_sink_headerless(spark, d):
+    """K1 + S3: tagged parent sentences as headerless CSV and back."""
+    path = _out_dir(spark, "tagged")
+    IO.write_headerless(StudyPlan(spark, d).parent.select("uid", "utt", "age_months", "tagged"), path)
+    back = IO.decode_tagged(IO.read_headerless(spark, path, ["uid", "utt", "age_months", "tagged"],
+                                               ["string", "string", "double", "string"]))
+    return back.select("uid", "utt", "age_months", F.size("tagged").alias("n_tok"))
+
+
+@query("src_headerless")
+def q_src_headerless(spark, d):
+    return q_sink_headerless(spark, d)
+
+
+@query("sink_maps")
+def q_sink_maps(spark, d):
+    """K4 + S5: the five noun-type maps as one table partitioned by model_type."""
+    path = _out_dir(spark, "noun_types")
+    IO.write_partitioned(StudyPlan(spark, d).noun_types, path, ["model_type"])
+    back = spark.read.parquet(path)
+    return back.select(F.col("model_type").cast("int").alias("model_type"), "noun", A.types_str().alias("types"))
+
+
+@query("src_noun_types")
+def q_src_noun_types(spark, d):
+    return q_sink_maps(spark, d)
+
+
+@query("sink_test_sets")
+def q_sink_test_sets(spark, d):
+    """K3 + S6: test sets partitioned by (model_type, age); partitions discovered on read."""
+    path = _out_dir(spark, "test_sets")
+    ts = StudyPlan(spark, d).test_sets.select("model_type", "age", "uid", "utt", "age_months")
+    IO.write_partitioned(ts, path, ["model_type", "age"])
+    back = spark.read.parquet(path)
+    return back.select(F.col("model_type").cast("int").alias("model_type"), F.col("age").cast("int").alias("age"),
+                       "uid", "utt")
+
+
+@query("discover_partitions")
+def q_discover_partitions(spark, d):
+    return q_sink_test_sets(spark, d)
+
+
+@query("src_decimal_comma")
+def q_src_decimal_comma(spark, d):
+    """Ages written with ',' as decimal mark and parsed back."""
+    path = _out_dir(spark, "decimal_comma")
+    ts = StudyPlan(spark, d).test_sets.select(
+        "uid", F.regexp_replace(F.format_number("age_months", 1), r"\.", ",").alias("age_months"))
+    ts.write.mode("overwrite").option("header", True).csv(path)
+    back = spark.read.schema("uid string, age_months string").option("header", True).csv(path)
+    return IO.parse_decimal_comma(back, ["age_months"]).distinct()
+
+
+@query("sink_results")
+def q_sink_results(spark, d):
+    """K5: the 60-row results table as one headed CSV, read back with its schema."""
+    path = _out_dir(spark, "results")
+    res = results(spark, d)
+    IO.write_small_csv(res, path)
+    return spark.read.schema(res.schema).option("header", True).csv(path)
+
+
+@query("sink_overall_set")
+def q_sink_overall_set(spark, d):
+    """K6: the filtered evaluation set as Parquet."""
+    path = _out_dir(spark, "overall")
+    OverallPlan(spark, d).overall.select("uid", "subject", "age_months", "utt").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("run_metrics")
+def q_run_metrics(spark, d):
+    """K7: window and conflict counts observed while the rewrite decisions run."""
+    sp = StudyPlan(spark, d)
+    nt = sp.noun_types.where(F.col("model_type") != 100)
+    obs_df, obs = IO.run_metrics(R.decisions(sp.parent, nt), "rewrite", "conflict")
+    obs_df.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    return spark.createDataFrame([(int(m["rows"]), int(m["conflicts"]))], "windows long, conflicts long")
+
+
+@query("preprocess_pipeline")
+def q_preprocess_pipeline(spark, d):
+    """Stages 1-4 in one go, each written once; summary per variant."""
+    sp = StudyPlan(spark, d)
+    path = _out_dir(spark, "preprocess")
+    IO.write_partitioned(sp.noun_types, f"{path}/noun_types", ["model_type"])
+    IO.write_partitioned(sp.bands.select("model_type", "band_hi", "uid", "utt"), f"{path}/bands",
+                         ["model_type", "band_hi"])
+    nt = spark.read.parquet(f"{path}/noun_types").groupBy("model_type").agg(F.count(F.lit(1)).alias("n_nouns"))
+    bd = spark.read.parquet(f"{path}/bands").groupBy("model_type").agg(F.count(F.lit(1)).alias("n_sentences"))
+    return nt.join(bd, "model_type").select(F.col("model_type").cast("int").alias("model_type"),
+                                            "n_nouns", "n_sentences")

@@ -75,7 +75,7 @@ def write_headerless(df: DataFrame, path: str) -> None:
     for f in df.schema.fields:
         if isinstance(f.dataType, (Ty.ArrayType, Ty.StructType, Ty.MapType)):
             out = out.withColumn(f.name, F.to_json(F.col(f.name)))
-    out.write.mode("overwrite").option("header", False).csv(path)
+    out.write.mode("overwrite").option("header", False).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_age_bands(bands: DataFrame, path: str) -> None:

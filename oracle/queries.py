@@ -770,3 +770,26 @@ SELECT model_type, b.band_hi, count(*) AS total,
        count(*) FILTER (WHERE coalesce(a_from <= b.band_hi, false) AND coalesce(the_from <= b.band_hi, false)) AS both
 FROM first_det f JOIN bands b ON least(coalesce(a_from, the_from), coalesce(the_from, a_from)) <= b.band_hi
 GROUP BY 1, 2""")
+
+# ------------------------------------------------------------ sources and sinks (round trips)
+for _k in ("sink_age_bands", "src_band_text"):
+    sql(_k, cte("tb") + "SELECT model_type, band_hi, utt FROM tb")
+sql("src_loop_variants", cte("tb") + "SELECT model_type, band_hi, count(*) AS n_sentences FROM tb GROUP BY 1, 2")
+for _k in ("sink_headerless", "src_headerless"):
+    sql(_k, cte("parent_u", "tok_lists") + """
+SELECT p.uid, p.utt, p.age_months, CAST(len(l.t) AS INTEGER) AS n_tok FROM parent_u p JOIN tok_lists l USING (uid)""")
+for _k in ("sink_maps", "src_noun_types"):
+    sql(_k, cte("nt") + "SELECT model_type, noun, types FROM nt")
+for _k in ("sink_test_sets", "discover_partitions"):
+    sql(_k, cte("testset", "child_u") + """
+SELECT t.model_type, t.age, t.uid, u.utt FROM testset t JOIN child_u u USING (uid)""")
+sql("src_decimal_comma", cte("testset", "child_u") + """
+SELECT DISTINCT t.uid, u.age_months FROM testset t JOIN child_u u USING (uid)""")
+sql("sink_results", cte("res") + "SELECT * FROM res")
+sql("sink_overall_set", cte("overall") + "SELECT uid, subject, age_months, utt FROM overall")
+sql("run_metrics", cte("rw1_dec") + """
+SELECT count(*) AS windows, count(*) FILTER (WHERE conflict) AS conflicts FROM rw1_dec""")
+sql("preprocess_pipeline", cte("nt", "tb") + """
+SELECT n.model_type, n.n_nouns, b.n_sentences
+FROM (SELECT model_type, count(*) AS n_nouns FROM nt GROUP BY 1) n
+JOIN (SELECT model_type, count(*) AS n_sentences FROM tb GROUP BY 1) b USING (model_type)""")
