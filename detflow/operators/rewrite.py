@@ -141,13 +141,17 @@ def retag(df: DataFrame) -> DataFrame:
 
 
 def rewrite_iterate(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool,
-                    num_passes: int = 2, variants=REWRITE_VARIANTS) -> DataFrame:
+                    num_passes: int = 2, variants=REWRITE_VARIANTS, materialize: bool = True) -> DataFrame:
     """Unrolled passes with re-tagging in between; one pass in remove mode.
-"""
+    Each intermediate pass is re-tagged and cut with a reliable checkpoint
+    (the next pass reads it several times)."""
     passes = 1 if remove_conflicts else num_passes
     cur, _ = rewrite(df, noun_types, remove_conflicts, 1, variants)
     for p in range(2, passes + 1):
-        cur, _ = rewrite(retag(cur), noun_types, remove_conflicts, p, variants)
+        nxt = retag(cur)
+        if materialize:
+            nxt = nxt.checkpoint(eager=True)
+        cur, _ = rewrite(nxt, noun_types, remove_conflicts, p, variants)
     return cur
 
 

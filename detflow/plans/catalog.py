@@ -241,32 +241,32 @@ from detflow.operators import rewrite as R  # noqa: E402
 
 @query("filter_det_noun")
 def q_filter_det_noun(spark, d):
-    return StudyPlan(spark, d).child.where(P.det_noun("tagged")).select("uid", "utt")
+    return StudyPlan.shared(spark, d).child.where(P.det_noun("tagged")).select("uid", "utt")
 
 
 @query("filter_any_det_x_noun")
 def q_filter_any(spark, d):
-    return StudyPlan(spark, d).child.where(P.any_det_x_noun("tagged")).select("uid", "utt")
+    return StudyPlan.shared(spark, d).child.where(P.any_det_x_noun("tagged")).select("uid", "utt")
 
 
 @query("one_det_only")
 def q_one_det_only(spark, d):
-    return StudyPlan(spark, d).child.where(P.one_det_only("tagged")).select("uid", "utt")
+    return StudyPlan.shared(spark, d).child.where(P.one_det_only("tagged")).select("uid", "utt")
 
 
 @query("one_candidate")
 def q_one_candidate(spark, d):
-    c = StudyPlan(spark, d).child.where(P.one_candidate("tagged"))
+    c = StudyPlan.shared(spark, d).child.where(P.one_candidate("tagged"))
     return _pairs(c, D.pair_eval("tagged")).select("uid", "det_idx", "noun")
 
 
 # ---------------------------------------------------------------- assignment
 def raw_types(spark, d):
-    return StudyPlan(spark, d).raw_types
+    return StudyPlan.shared(spark, d).raw_types
 
 
 def noun_types(spark, d):
-    return StudyPlan(spark, d).noun_types
+    return StudyPlan.shared(spark, d).noun_types
 
 
 @query("noun_types_raw")
@@ -339,7 +339,7 @@ def q_distinct_nouns(spark, d):
 # ---------------------------------------------------------------- rewriting
 @query("join_noun_types")
 def q_join_noun_types(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     w = R.windows(sp.parent, ["uid"]).withColumn("noun", F.lower("word"))
     nt = sp.noun_types.where(F.col("model_type") != 100)
     return w.join(nt, "noun").select("model_type", "uid", "det_idx", "j", "noun", A.types_str().alias("types"))
@@ -347,7 +347,7 @@ def q_join_noun_types(spark, d):
 
 @query("sample_replacement")
 def q_sample_replacement(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     nt = sp.noun_types.where(F.col("model_type") != 100)
     dec = R.decisions(sp.parent, nt)
     return R.swap_edits(dec, nt).select("model_type", "uid", "prio", "pos", "new_word")
@@ -355,28 +355,28 @@ def q_sample_replacement(spark, d):
 
 @query("conflict_count")
 def q_conflict_count(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     nt = sp.noun_types.where(F.col("model_type") != 100)
     return R.conflict_counts(R.decisions(sp.parent, nt))
 
 
 @query("rewrite_pairs")
 def q_rewrite_pairs(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     out, _ = R.rewrite(sp.parent, sp.noun_types, remove_conflicts=False)
     return out.select("model_type", "uid", "utt")
 
 
 @query("rewrite_remove")
 def q_rewrite_remove(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     out, _ = R.rewrite(sp.parent, sp.noun_types, remove_conflicts=True)
     return out.select("model_type", "uid", "utt")
 
 
 @query("rewrite_iterate")
 def q_rewrite_iterate(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     out = R.rewrite_iterate(sp.parent, sp.noun_types, remove_conflicts=False, num_passes=2)
     return out.select("model_type", "uid", "utt")
 
@@ -387,11 +387,11 @@ from detflow.operators import testsets as TS  # noqa: E402
 from detflow.operators.ranking import top_k  # noqa: E402
 
 def study_corpus(spark, d):
-    return StudyPlan(spark, d).corpus_variants
+    return StudyPlan.shared(spark, d).corpus_variants
 
 
 def study_bands(spark, d):
-    return StudyPlan(spark, d).bands
+    return StudyPlan.shared(spark, d).bands
 
 
 @query("bin_join")
@@ -443,18 +443,19 @@ def q_training_nouns(spark, d):
 
 @query("semi_training_nouns")
 def q_semi_training(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     return TS.target_nouns(sp.noun_types, B.training_nouns_by_band(sp.parent))
 
 
 @query("set_intersect")
 def q_set_intersect(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     return TS.target_nouns_intersect(sp.noun_types, B.training_nouns_by_band(sp.parent))
 
 
 def test_sets(spark, d, unique_nouns=True):
-    return StudyPlan(spark, d, unique_nouns=unique_nouns).test_sets
+    sp = StudyPlan.shared(spark, d)
+    return sp.test_sets if unique_nouns else sp.test_sets_all
 
 
 @query("first_per_noun")
@@ -486,11 +487,11 @@ def _r9(c):
 
 
 def scored_candidates(spark, d):
-    return StudyPlan(spark, d).scored
+    return StudyPlan.shared(spark, d).scored
 
 
 def results(spark, d):
-    return StudyPlan(spark, d).results
+    return StudyPlan.shared(spark, d).results
 
 
 @query("mask_candidate_det")
@@ -501,13 +502,13 @@ def q_mask_candidate(spark, d):
 
 @query("has_noun_type")
 def q_has_noun_type(spark, d):
-    g = StudyPlan(spark, d).candidates
+    g = StudyPlan.shared(spark, d).candidates
     return g.select("model_type", "age", "uid", "noun")
 
 
 @query("join_gold")
 def q_join_gold(spark, d):
-    g = StudyPlan(spark, d).candidates
+    g = StudyPlan.shared(spark, d).candidates
     return g.select("model_type", "age", "uid", "noun", "gold_det")
 
 
@@ -523,7 +524,7 @@ def q_predict_masked(spark, d):
 
 @query("eval_counters")
 def q_eval_counters(spark, d):
-    return StudyPlan(spark, d).counters
+    return StudyPlan.shared(spark, d).counters
 
 
 @query("eval_ratios")
@@ -575,66 +576,66 @@ from detflow.plans.study import OverallPlan  # noqa: E402
 
 @query("overall_eval_set")
 def q_overall_eval_set(spark, d):
-    return OverallPlan(spark, d).overall.select("uid", "subject", "age_months", "utt")
+    return OverallPlan.shared(spark, d).overall.select("uid", "subject", "age_months", "utt")
 
 
 @query("mask_single_det")
 def q_mask_single_det(spark, d):
-    return O.mask_single_det(OverallPlan(spark, d).overall).select("uid", "gold_det", "masked", "noun")
+    return O.mask_single_det(OverallPlan.shared(spark, d).overall).select("uid", "gold_det", "masked", "noun")
 
 
 @query("flexible_use_counts")
 def q_flex_counts(spark, d):
-    return O.flexible_use_counts(OverallPlan(spark, d).overall)
+    return O.flexible_use_counts(OverallPlan.shared(spark, d).overall)
 
 
 @query("set_subset")
 def q_set_subset(spark, d):
-    nd = O.noun_dets(OverallPlan(spark, d).overall, ["age_months", "subject"])
+    nd = O.noun_dets(OverallPlan.shared(spark, d).overall, ["age_months", "subject"])
     return nd.where(F.size(F.array_except(F.array(F.lit("a"), F.lit("the")), F.col("dets"))) == 0) \
         .select("age_months", "subject", "noun")
 
 
 @query("flexible_use_iqr")
 def q_flex_iqr(spark, d):
-    return O.flexible_use_iqr(O.flexible_use_counts(OverallPlan(spark, d).overall))
+    return O.flexible_use_iqr(O.flexible_use_counts(OverallPlan.shared(spark, d).overall))
 
 
 @query("model_availability")
 def q_model_availability(spark, d):
-    m = O.model_availability(O.mask_single_det(OverallPlan(spark, d).overall))
+    m = O.model_availability(O.mask_single_det(OverallPlan.shared(spark, d).overall))
     return m.select("uid", "model_type", "age")
 
 
 @query("key_join_predictions")
 def q_key_join_predictions(spark, d):
-    return OverallPlan(spark, d).model_preds.select("uid", "age_months", "subject", "pred_det", "noun")
+    return OverallPlan.shared(spark, d).model_preds.select("uid", "age_months", "subject", "pred_det", "noun")
 
 
 @query("pred_is_det")
 def q_pred_is_det(spark, d):
-    p = OverallPlan(spark, d).model_preds
+    p = OverallPlan.shared(spark, d).model_preds
     return p.where(F.col("pred_det").isin("a", "the")).select("uid", "pred_det")
 
 
 @query("replace_det")
 def q_replace_det(spark, d):
-    p = OverallPlan(spark, d).model_preds.where(F.col("pred_det").isin("a", "the"))
+    p = OverallPlan.shared(spark, d).model_preds.where(F.col("pred_det").isin("a", "the"))
     return p.select("uid", T.words(O.replace_det("tagged", F.col("pred_det"))).alias("utt"))
 
 
 @query("flexible_use_model")
 def q_flex_model(spark, d):
-    return O.flexible_use_model(OverallPlan(spark, d).model_preds)
+    return O.flexible_use_model(OverallPlan.shared(spark, d).model_preds)
 
 
 @query("union_ages")
 def q_union_ages(spark, d):
-    return O.flexible_use_iqr(O.flexible_use_model(OverallPlan(spark, d).model_preds))
+    return O.flexible_use_iqr(O.flexible_use_model(OverallPlan.shared(spark, d).model_preds))
 
 
 def _overall_results(spark, d):
-    op = OverallPlan(spark, d)
+    op = OverallPlan.shared(spark, d)
     child = O.flexible_use_iqr(O.flexible_use_counts(op.overall))
     model = O.flexible_use_iqr(O.flexible_use_model(op.model_preds))
     c = child.select("age_months", *[F.col(x).alias(f"child_{x}") for x in ("median", "q1", "q3")])
@@ -654,18 +655,18 @@ def q_ordered_age_groups(spark, d):
 
 @query("pred_gold_valid")
 def q_pred_gold_valid(spark, d):
-    return OverallPlan(spark, d).final_preds.select("uid", "gold_det", "pred_det")
+    return OverallPlan.shared(spark, d).final_preds.select("uid", "gold_det", "pred_det")
 
 
 @query("confusion_matrix")
 def q_confusion(spark, d):
-    cm = O.confusion_matrix(OverallPlan(spark, d).final_preds)
+    cm = O.confusion_matrix(OverallPlan.shared(spark, d).final_preds)
     return cm.select("gold", "pred", "n", _r9("share"))
 
 
 @query("accuracy_coverage")
 def q_accuracy_coverage(spark, d):
-    a = O.accuracy_coverage(OverallPlan(spark, d).final_preds)
+    a = O.accuracy_coverage(OverallPlan.shared(spark, d).final_preds)
     return a.select(_r9("accuracy"), _r9("coverage"), "n")
 
 
@@ -675,7 +676,7 @@ from detflow.operators import vocab as V  # noqa: E402
 
 
 def _tokenizer_texts(spark, d):
-    return C.drop_empty(OverallPlan(spark, d).normalized.where(F.col("speaker") == "parent"))
+    return C.drop_empty(OverallPlan.shared(spark, d).normalized.where(F.col("speaker") == "parent"))
 
 
 @query("vocab_rank")
@@ -713,16 +714,16 @@ def q_mlm_mask(spark, d):
 
 @query("cumulative_bands")
 def q_cumulative_bands(spark, d):
-    return V.cumulative_counts(StudyPlan(spark, d).bands)
+    return V.cumulative_counts(StudyPlan.shared(spark, d).bands)
 
 
 @query("step_offset")
 def q_step_offset(spark, d):
-    return V.step_offsets(StudyPlan(spark, d).bands).select("model_type", "band_hi", "rows", "last_step", "offset")
+    return V.step_offsets(StudyPlan.shared(spark, d).bands).select("model_type", "band_hi", "rows", "last_step", "offset")
 
 
 def _curve(spark, d):
-    return V.loss_curve(StudyPlan(spark, d).bands)
+    return V.loss_curve(StudyPlan.shared(spark, d).bands)
 
 
 @query("train_loss_curve")
@@ -732,7 +733,7 @@ def q_train_loss_curve(spark, d):
 
 @query("context_counts")
 def q_context_counts(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     ctx = sp.candidates.select("model_type", "age", "prev", "next")
     return PR.context_counts(PR.triples(sp.bands), ctx)
 
@@ -771,7 +772,7 @@ from detflow.streaming.incremental import incremental_bands  # noqa: E402
 
 @query("incremental_bands")
 def q_incremental_bands(spark, d):
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     return incremental_bands(spark, sp.bands, files_per_trigger=8)
 
 
@@ -789,7 +790,7 @@ def _out_dir(spark, name):
 
 def _band_files(spark, d):
     path = _out_dir(spark, "bands")
-    IO.write_age_bands(StudyPlan(spark, d).bands, path)
+    IO.write_age_bands(StudyPlan.shared(spark, d).bands, path)
     return path
 
 
@@ -819,7 +820,7 @@ def q_src_loop_variants(spark, d):
 def q_sink_headerless(spark, d):
     """K1 + S3: tagged parent sentences as headerless CSV and back."""
     path = _out_dir(spark, "tagged")
-    IO.write_headerless(StudyPlan(spark, d).parent.select("uid", "utt", "age_months", "tagged"), path)
+    IO.write_headerless(StudyPlan.shared(spark, d).parent.select("uid", "utt", "age_months", "tagged"), path)
     back = IO.decode_tagged(IO.read_headerless(spark, path, ["uid", "utt", "age_months", "tagged"],
                                                ["string", "string", "double", "string"]))
     return back.select("uid", "utt", "age_months", F.size("tagged").alias("n_tok"))
@@ -834,7 +835,7 @@ def q_src_headerless(spark, d):
 def q_sink_maps(spark, d):
     """K4 + S5: the five noun-type maps as one table partitioned by model_type."""
     path = _out_dir(spark, "noun_types")
-    IO.write_partitioned(StudyPlan(spark, d).noun_types, path, ["model_type"])
+    IO.write_partitioned(StudyPlan.shared(spark, d).noun_types, path, ["model_type"])
     back = spark.read.parquet(path)
     return back.select(F.col("model_type").cast("int").alias("model_type"), "noun", A.types_str().alias("types"))
 
@@ -848,7 +849,7 @@ def q_src_noun_types(spark, d):
 def q_sink_test_sets(spark, d):
     """K3 + S6: test sets partitioned by (model_type, age); partitions discovered on read."""
     path = _out_dir(spark, "test_sets")
-    ts = StudyPlan(spark, d).test_sets.select("model_type", "age", "uid", "utt", "age_months")
+    ts = StudyPlan.shared(spark, d).test_sets.select("model_type", "age", "uid", "utt", "age_months")
     IO.write_partitioned(ts, path, ["model_type", "age"])
     back = spark.read.parquet(path)
     return back.select(F.col("model_type").cast("int").alias("model_type"), F.col("age").cast("int").alias("age"),
@@ -864,7 +865,7 @@ def q_discover_partitions(spark, d):
 def q_src_decimal_comma(spark, d):
     """Ages written with ',' as decimal mark and parsed back."""
     path = _out_dir(spark, "decimal_comma")
-    ts = StudyPlan(spark, d).test_sets.select(
+    ts = StudyPlan.shared(spark, d).test_sets.select(
         "uid", F.regexp_replace(F.format_number("age_months", 1), r"\.", ",").alias("age_months"))
     ts.write.mode("overwrite").option("header", True).csv(path)
     back = spark.read.schema("uid string, age_months string").option("header", True).csv(path)
@@ -884,14 +885,14 @@ def q_sink_results(spark, d):
 def q_sink_overall_set(spark, d):
     """K6: the filtered evaluation set as Parquet."""
     path = _out_dir(spark, "overall")
-    OverallPlan(spark, d).overall.select("uid", "subject", "age_months", "utt").write.mode("overwrite").parquet(path)
+    OverallPlan.shared(spark, d).overall.select("uid", "subject", "age_months", "utt").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 @query("run_metrics")
 def q_run_metrics(spark, d):
     """K7: window and conflict counts observed while the rewrite decisions run."""
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     nt = sp.noun_types.where(F.col("model_type") != 100)
     obs_df, obs = IO.run_metrics(R.decisions(sp.parent, nt), "rewrite", "conflict")
     obs_df.write.format("noop").mode("overwrite").save()
@@ -902,7 +903,7 @@ def q_run_metrics(spark, d):
 @query("preprocess_pipeline")
 def q_preprocess_pipeline(spark, d):
     """Stages 1-4 in one go, each written once; summary per variant."""
-    sp = StudyPlan(spark, d)
+    sp = StudyPlan.shared(spark, d)
     path = _out_dir(spark, "preprocess")
     IO.write_partitioned(sp.noun_types, f"{path}/noun_types", ["model_type"])
     IO.write_partitioned(sp.bands.select("model_type", "band_hi", "uid", "utt"), f"{path}/bands",

@@ -25,7 +25,25 @@ from detflow.sources.tables import Corpus
 STUDY_REMOVE_CONFLICTS = True   # the study removed conflicting sentences (one pass)
 
 
+_SHARED: dict = {}
+
+
+def _session_key(spark: SparkSession) -> int:
+    return id(spark.sparkContext)
+
+
 class StudyPlan:
+    """Stages of one run.  ``shared`` returns one instance per (session, input,
+    flags): its checkpointed stages are written once and read by every later
+    query of the session, like the intermediate tables of a batch pipeline."""
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str, **kw) -> "StudyPlan":
+        key = (cls.__name__, _session_key(spark), sf_dir, tuple(sorted(kw.items())))
+        if key not in _SHARED:
+            _SHARED[key] = cls(spark, sf_dir, **kw)
+        return _SHARED[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str, remove_conflicts: bool = STUDY_REMOVE_CONFLICTS,
                  unique_nouns: bool = True, materialize: bool = True):
         self.spark = spark
@@ -82,6 +100,11 @@ class StudyPlan:
     def test_sets(self) -> DataFrame:
         return self._cut(TS.make_test_sets(self.child, self.noun_types, self.first_age, self.unique_nouns))
 
+    @cached_property
+    def test_sets_all(self) -> DataFrame:
+        """Every deciding sentence (the CLI default, unique_nouns off)."""
+        return self._cut(TS.make_test_sets(self.child, self.noun_types, self.first_age, False))
+
     # ---- stage 5: prediction and evaluation
     @cached_property
     def candidates(self) -> DataFrame:
@@ -100,14 +123,31 @@ class StudyPlan:
         return E.ratios(self.counters)
 
 
-class OverallPlan(StudyPlan):
+class OverallPlan:
     """Children vs model on the normalised corpus (both speakers, as the flexible
-    use measure needs them), with the unfiltered (100) model by default."""
+    use measure needs them), with the unfiltered (100) model by default; the
+    training bands come from the shared study plan."""
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str, model_type: int = 100) -> "OverallPlan":
+        key = (cls.__name__, _session_key(spark), sf_dir, model_type)
+        if key not in _SHARED:
+            _SHARED[key] = cls(spark, sf_dir, model_type)
+        return _SHARED[key]
 
-    def __init__(self, spark: SparkSession, sf_dir: str, model_type: int = 100, **kw):
-        super().__init__(spark, sf_dir, **kw)
+    def __init__(self, spark: SparkSession, sf_dir: str, model_type: int = 100):
+        self.spark = spark
+        self.study = StudyPlan.shared(spark, sf_dir)
+        self.corpus = self.study.corpus
         self.model_type = model_type
 
+    @property
+    def bands(self) -> DataFrame:
+        return self.study.bands
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return self.study._cut(df)
+
     @cached_property
     def normalized(self) -> DataFrame:
         from detflow.operators import clean as C

@@ -31,12 +31,16 @@ def test_matches_oracle(spark, con, key):
 
 
 def test_partition_invariance(spark):
-    from __spark_entry__ import queries
+    from detflow.operators import assign as A
+    from detflow.plans.study import StudyPlan
     out = []
     for n in ("1", "4", "13"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        df = queries()["assign_all_variants"](spark, SF)
-        out.append(digest(df.columns, [tuple(r) for r in df.collect()]))
+        sp = StudyPlan(spark, SF, materialize=False)     # fresh, not the shared plan
+        nt = sp.noun_types.select("model_type", "noun", A.types_str().alias("types"))
+        ex = A.exclusive_nouns(sp.noun_types).select("model_type", "type", "noun", "idx")
+        out.append((digest(nt.columns, [tuple(r) for r in nt.collect()]),
+                    digest(ex.columns, [tuple(r) for r in ex.collect()])))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1] == out[2]
 
