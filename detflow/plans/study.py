@@ -29,7 +29,10 @@ _SHARED: dict = {}
 
 
 def _session_key(spark: SparkSession) -> int:
-    return id(spark.sparkContext)
+    try:
+        return id(spark.sparkContext)
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return id(spark)
 
 
 class StudyPlan:

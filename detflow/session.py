@@ -36,5 +36,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="detflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server-side conf is used
+        return conf_dir
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
