@@ -115,7 +115,7 @@ def best_by_level(c: DataFrame, ctx: DataFrame) -> DataFrame:
     # per (context, word): its counts per band (<= 12 entries, a bounded group)
     cw = cc.groupBy("model_type", "level", "kp", "kn", "word").agg(
         F.collect_list(F.struct("band_hi", "n")).alias("bc"))
-    j = q.join(cw, ["model_type", "level", "kp", "kn"])
+    j = join_checked(cw, q, ["model_type", "level", "kp", "kn"])
     cum = F.aggregate(F.filter("bc", lambda x: x["band_hi"] <= F.col("age")), F.lit(0).cast("bigint"),
                       lambda acc, x: acc + x["n"])
     j = j.select("model_type", "age", "level", "kp", "kn", "word", cum.alias("n")).where(F.col("n") > 0)

@@ -24,6 +24,7 @@ from detflow.functions.tagger import tag_tokens
 from detflow.operators import pairing as D
 from detflow.operators.assign import exclusive_nouns, with_variants
 from detflow.operators.filters import _t
+from detflow.operators.joins import join_checked
 from detflow.sources.tables import VARIANTS
 
 LOOKAHEAD = 3
@@ -56,7 +57,9 @@ def decisions(df: DataFrame, noun_types: DataFrame) -> DataFrame:
     the join with the map fans out to every variant)."""
     keys = ["model_type", "uid"] if "model_type" in df.columns else ["uid"]
     w = windows(df, keys).withColumn("noun", F.lower("word"))
-    typed = w.join(noun_types, [*(["model_type"] if "model_type" in keys else []), "noun"])
+    # the noun map is one row per (variant, noun): broadcast after a size check,
+    # else a shuffle join on noun (AQE splits hot nouns)
+    typed = join_checked(w, noun_types, [*(["model_type"] if "model_type" in keys else []), "noun"])
     g = typed.groupBy("model_type", "uid", "det_idx", "det_type").agg(
         F.sort_array(F.collect_list(F.struct("j", "word", "types"))).alias("typed"))
     n = F.size("typed")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from detflow.operators import pairing as D
 from detflow.operators.bands import limits_from
 from detflow.operators.filters import _t
+from detflow.operators.joins import join_checked
 
 
 def child_candidates(child: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def deciding(child: DataFrame, noun_types: DataFrame, first_age: DataFrame) -> D
     per cell; ``first_age`` is (noun, min_age) of the training side (A9)."""
     cand = child_candidates(child)
     tgt = noun_types.where(F.size("types") == 1).select("model_type", "noun").join(first_age, "noun")
-    x = cand.join(tgt, "noun")
+    x = join_checked(cand, tgt, "noun")
     x = x.select("model_type", "uid", "src", "r", "noun", F.explode(limits_from(F.col("min_age"))).alias("age"))
     return x.groupBy("model_type", "age", "uid").agg(F.min_by("noun", "r").alias("noun"), F.first("src").alias("src"))
 
