@@ -21,8 +21,8 @@ CLOSED_CLASSES = [
 SUFFIX_RULES = [("ADV", ["ly"]), ("VERB", ["ed", "ing"]), ("ADJ", ["ble", "er"])]
 
 
-def pos_of(word: Column, idx: Column) -> Column:
-    lw = F.lower(word)
+def pos_of(word: Column, idx: Column, lw: Column | None = None) -> Column:
+    lw = F.lower(word) if lw is None else lw
     expr = None
     for tag, ws in CLOSED_CLASSES:
         cond = lw.isin(*ws)
@@ -39,6 +39,9 @@ def pos_of(word: Column, idx: Column) -> Column:
 
 
 def tag_tokens(toks) -> Column:
-    """ARRAY<STRING> -> ARRAY<STRUCT<word, pos>>."""
+    """ARRAY<STRING> -> ARRAY<STRUCT<word, pos>>.  Lambdas are interpreted
+    without common-subexpression elimination, so the lowercase form is computed
+    once per token in an inner ``transform`` and reused by every rule."""
     t = F.col(toks) if isinstance(toks, str) else toks
-    return F.transform(t, lambda w, i: F.struct(w.alias("word"), pos_of(w, i).alias("pos")))
+    pairs = F.transform(t, lambda w: F.struct(w.alias("w"), F.lower(w).alias("lw")))
+    return F.transform(pairs, lambda x, i: F.struct(x["w"].alias("word"), pos_of(x["w"], i, x["lw"]).alias("pos")))

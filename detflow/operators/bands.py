@@ -35,8 +35,9 @@ def limits_from(age: Column) -> Column:
 def training_corpus(parent: DataFrame, noun_types: DataFrame, remove_conflicts: bool = True,
                     num_passes: int = 2) -> DataFrame:
     """Rewritten parent text for variants 0-75 plus the raw parent text as
-    variant 100; (model_type, uid, k, id, turn, sent_no, age_months, utt)."""
-    cols = ["model_type", "uid", "k", "id", "turn", "sent_no", "age_months", "utt"]
+    variant 100; (model_type, uid, k, id, turn, sent_no, age_months, utt, tagged),
+    where ``tagged`` equals tagging ``utt`` afresh."""
+    cols = ["model_type", "uid", "k", "id", "turn", "sent_no", "age_months", "utt", "tagged"]
     rw = R.rewrite_iterate(parent, noun_types, remove_conflicts, num_passes).select(*cols)
     raw = parent.withColumn("model_type", F.lit(UNFILTERED)).select(*cols)
     return rw.unionByName(raw)
@@ -49,7 +50,8 @@ def training_bands(corpus: DataFrame) -> DataFrame:
 
 def noun_det_sets(bands: DataFrame, lookahead: int = 4) -> DataFrame:
     """A4: re-tag each band's text and collect the determiners seen per noun."""
-    t = bands.withColumn("tagged", tag_tokens(T.tokens("utt")))
+    tagged = F.col("tagged") if "tagged" in bands.columns else tag_tokens(T.tokens("utt"))
+    t = bands.select("model_type", "band_hi", "uid", tagged.alias("tagged"))
     p = D.explode_pairs(t, D.pair_checking("tagged", lookahead), ["model_type", "band_hi", "uid"])
     return p.groupBy("model_type", "band_hi", "noun").agg(F.sort_array(F.collect_set("det")).alias("dets"))
 

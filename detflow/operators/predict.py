@@ -34,7 +34,9 @@ def triples(bands: DataFrame) -> DataFrame:
 
     The padded token array is projected once as a column; the lambda then only
     indexes it (an inline expression would be re-evaluated per element)."""
-    toks = bands.select("model_type", "band_hi", lower_tokens("utt").alias("_t"))
+    src = (F.transform("tagged", lambda x: F.lower(x["word"])) if "tagged" in bands.columns
+           else lower_tokens("utt"))
+    toks = bands.select("model_type", "band_hi", src.alias("_t"))
     padded = toks.select("model_type", "band_hi", F.size("_t").alias("_n"), F.concat(
         F.array(F.lit(CLS)), F.col("_t"), F.array(F.lit(SEP))).alias("_p"))
     p = F.col("_p")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from detflow.functions import text as T
 from detflow.functions.draws import h
-from detflow.functions.tagger import tag_tokens
+from detflow.functions.tagger import pos_of, tag_tokens
 from detflow.operators import pairing as D
 from detflow.operators.assign import exclusive_nouns, with_variants
 from detflow.operators.filters import _t
@@ -111,8 +111,17 @@ def _edits(dec: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_n
 
 
 def _apply(df: DataFrame) -> DataFrame:
-    utt = F.array_join(F.transform("tagged", lambda x, i: F.coalesce(F.element_at(F.col("_m"), i), x["word"])), " ")
-    return df.withColumn("utt", utt).drop("_m")
+    """Apply the edits in place.  Positions never move and a tag depends only on
+    (word, position > 0), so only edited tokens are re-tagged; the result equals
+    re-tagging the rewritten text, without re-tokenising or re-tagging it all."""
+    m = F.col("_m")
+
+    def upd(x, i):
+        w = F.element_at(m, i)
+        return F.when(w.isNull(), x).otherwise(F.struct(w.alias("word"), pos_of(w, i).alias("pos")))
+
+    out = df.withColumn("tagged", F.transform("tagged", upd)).drop("_m")
+    return out.withColumn("utt", F.array_join(F.transform("tagged", lambda x: x["word"]), " "))
 
 
 def rewrite(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_no: int = 1,
@@ -140,18 +149,19 @@ def rewrite(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_n
 
 
 def retag(df: DataFrame) -> DataFrame:
+    """Tag the text from scratch (for inputs that carry only ``utt``)."""
     return df.withColumn("tagged", tag_tokens(T.tokens("utt")))
 
 
 def rewrite_iterate(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool,
                     num_passes: int = 2, variants=REWRITE_VARIANTS, materialize: bool = True) -> DataFrame:
     """Unrolled passes with re-tagging in between; one pass in remove mode.
-    Each intermediate pass is re-tagged and cut with a reliable checkpoint
-    (the next pass reads it several times)."""
+    Each intermediate pass (tags updated in place) is cut with a reliable
+    checkpoint, since the next pass reads it several times."""
     passes = 1 if remove_conflicts else num_passes
     cur, _ = rewrite(df, noun_types, remove_conflicts, 1, variants)
     for p in range(2, passes + 1):
-        nxt = retag(cur)
+        nxt = cur      # ``tagged`` is already the re-tagged rewritten text
         if materialize:
             nxt = nxt.checkpoint(eager=True)
         cur, _ = rewrite(nxt, noun_types, remove_conflicts, p, variants)

@@ -418,18 +418,18 @@ def q_build_training_bands(spark, d):
 
 @query("noun_det_sets")
 def q_noun_det_sets(spark, d):
-    s = B.noun_det_sets(study_bands(spark, d))
+    s = StudyPlan.shared(spark, d).det_sets
     return s.select("model_type", "band_hi", "noun", F.array_join("dets", ",").alias("dets"))
 
 
 @query("usage_summary")
 def q_usage_summary(spark, d):
-    return B.usage_summary(B.noun_det_sets(study_bands(spark, d)))
+    return B.usage_summary(StudyPlan.shared(spark, d).det_sets)
 
 
 @query("first_k_examples")
 def q_first_k_examples(spark, d):
-    s = B.noun_det_sets(study_bands(spark, d))
+    s = StudyPlan.shared(spark, d).det_sets
     has_a, has_the = F.array_contains("dets", "a"), F.array_contains("dets", "the")
     s = s.withColumn("category", F.when(has_a & has_the, "both").when(has_a, "only_a").otherwise("only_the"))
     return top_k(s, ["model_type", "band_hi", "category"], ["noun"], 10, "noun") \

@@ -94,6 +94,11 @@ class StudyPlan:
     def bands(self) -> DataFrame:
         return self._cut(B.training_bands(self.corpus_variants))
 
+    @cached_property
+    def det_sets(self) -> DataFrame:
+        """A4: determiners seen per noun per (variant, band) (re-tagged band text)."""
+        return self._cut(B.noun_det_sets(self.bands))
+
     # ---- stage 4: test sets
     @cached_property
     def first_age(self) -> DataFrame:
