@@ -120,7 +120,7 @@ class StudyPlan:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return PR.predict(self.candidates, self.bands)
+        return self._cut(PR.predict(self.candidates, self.bands))
 
     @cached_property
     def counters(self) -> DataFrame:
@@ -128,7 +128,8 @@ class StudyPlan:
 
     @cached_property
     def results(self) -> DataFrame:
-        return E.ratios(self.counters)
+        """The 60-row results table, written once; statistics and charts read it."""
+        return self._cut(E.ratios(self.counters))
 
 
 class OverallPlan:

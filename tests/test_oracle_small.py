@@ -8,7 +8,8 @@ from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["tokenize", "normalize_utts", "pair_assign", "pair_checking", "assign_all_variants", "dense_index",
-        "rewrite_pairs", "rewrite_remove", "make_test_sets", "usage_summary", "evaluate_overall"]
+        "rewrite_pairs", "rewrite_remove", "make_test_sets", "usage_summary", "evaluate_overall",
+        "incremental_bands"]
 
 
 @pytest.fixture(scope="module")
