@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detflow.functions import text as T
-from detflow.operators.bands import limits_from
 from detflow.operators.joins import join_checked
 
 CLS, SEP = "[CLS]", "[SEP]"

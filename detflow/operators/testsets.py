@@ -38,7 +38,7 @@ def child_candidates(child: DataFrame) -> DataFrame:
 
 def target_nouns(noun_types: DataFrame, train_nouns: DataFrame) -> DataFrame:
     """(model_type, age, noun) unambiguous in the variant and seen in training
-    up to the band (left-semi join)."""
+    up to the band (equi-join on noun; one row per band where it is known)."""
     unamb = noun_types.where(F.size("types") == 1).select("model_type", "noun")
     return unamb.join(train_nouns, "noun").select("model_type", "age", "noun")
 

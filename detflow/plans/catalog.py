@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from detflow.functions import text as T
-from detflow.functions.tagger import tag_tokens
 from detflow.operators import clean as C
 from detflow.operators import pairing as D
 from detflow.plans.study import StudyPlan
