@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from detflow.llm import exact_dedup, line_dedup
+from detflow.llm.exact_dedup import op5_exact_dedup
+from detflow.llm.line_dedup import op8_line_dedup
 from detflow.llm.packing import op1_packing
 
-QUERIES = {q.__name__: q for q in (op1_packing,)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_packing, op5_exact_dedup, op8_line_dedup)}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
