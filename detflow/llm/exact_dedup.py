@@ -8,7 +8,8 @@ with their group's representative chunk by chunk; a group in which a
 comparison fails is split by the SHA-256 of its texts.
 
 Groups are only aggregated with map-side partials (count, best row) and joined
-back as stage tables, where adaptive execution splits a hot fingerprint.
+back as stage tables by sort-merge joins at every size (the sides grow with the
+corpus, so none is broadcast), where adaptive execution splits a hot fingerprint.
 
 Defined results: null text counts as empty; empty texts are one group; the row
 with the most code points, then the smallest doc_id (null last), then any one
@@ -112,13 +113,13 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                    .select(*FINGERPRINT, F.col("best.doc_id").alias("best_id"),
                            (-F.col("best.col1")).alias("best_chars")), "groups")
     copies = stage(spark, texts.mapInArrow(lambda b: fingerprints(b, primes, True), f"{common}, body binary")
-                   .join(groups, FINGERPRINT)
+                   .join(groups.hint("merge"), FINGERPRINT)
                    .withColumn("is_best", F.col("doc_id").eqNullSafe(F.col("best_id"))
                                & (F.col("n_chars") == F.col("best_chars")))
                    .select(*FINGERPRINT, "is_best", "body"), "copies")
     reps = copies.where("is_best").groupBy(*FINGERPRINT).agg(F.first("body").alias("keep_body"))
     reps = stage(spark, reps, "representatives")
-    clashes = (copies.join(reps, FINGERPRINT).select(*FINGERPRINT, "body", "keep_body")
+    clashes = (copies.join(reps.hint("merge"), FINGERPRINT).select(*FINGERPRINT, "body", "keep_body")
                .mapInArrow(differing, "f1 long, f2 long, size long").distinct())
     clashes = stage(spark, clashes, "clashes").withColumn("clash", F.lit(True))
     classed = (prints.join(clashes, FINGERPRINT, "left")
@@ -126,7 +127,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     key = [*FINGERPRINT, "split"]
     kept = stage(spark, classed.groupBy(*key).agg(F.count("*").alias("group_size"), best).where("group_size > 1"),
                  "kept")
-    out = classed.join(kept, key, "left")
+    out = classed.join(kept.hint("merge"), key, "left")
     single = F.col("best").isNull()
     return out.select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
