@@ -128,7 +128,7 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     stats = stage(spark, edges.groupBy("high", "low").agg(
         (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"),
         F.max("doc_id").alias("keep")).where(F.col("n") >= min_documents), "edge-hashes")
-    late = edges.join(stats, ["high", "low"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    late = edges.join(stats.hint("merge"), ["high", "low"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     lost = found.where("lost").select("doc_id", "version", "n_lines", "lines").unionByName(
         late.select("doc_id", "version", "n_lines", "lines"))
     per_doc = lost.groupBy("doc_id", "version").agg(F.max("n_lines").alias("n_lines"), F.collect_list("lines").alias("lines"))
@@ -165,7 +165,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     maps = stage(spark, keep_bitmaps(spark, docs, id_col, text_col, min_chars, min_documents), "bitmaps").select(
         F.col("doc_id").alias("m_id"), F.col("version").alias("m_version"), "keep_bitmap")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = texts.join(maps, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_version")), "left")
+    joined = texts.join(maps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_version")), "left")
     return joined.select("doc_id", "text", "keep_bitmap").mapInArrow(
         lambda b: apply_bitmaps(b, digest),
         f"doc_id {id_type}, n_lines long, n_dropped long, {'kept_sha256' if digest else 'text'} string")
