@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from detflow.llm import exact_dedup, line_dedup
+from detflow.llm.decontamination import op3_decontamination
 from detflow.llm.exact_dedup import op5_exact_dedup
 from detflow.llm.line_dedup import op8_line_dedup
 from detflow.llm.packing import op1_packing
+from detflow.llm.secrets import op2_secrets
 
-QUERIES = {q.__name__: q for q in (op1_packing, op5_exact_dedup, op8_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_secrets, op3_decontamination, op5_exact_dedup, op8_line_dedup)}
 SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
