@@ -52,6 +52,16 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` named by ``kept`` (doc_id, version: xxhash64 of the
+    text), one of each name, as they were."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    wanted = kept.select(name("doc_id").alias("__id"), F.col("version").alias("__version")).distinct()
+    key = ["__id", "__version"]
+    rows = docs.withColumn("__id", name(id_col)).withColumn("__version", F.xxhash64(text_col))
+    return rows.join(wanted.hint("merge"), key, "left_semi").dropDuplicates(key).select(*docs.columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; every other character as it is."""
     return F.translate(col, UPPER, LOWER)

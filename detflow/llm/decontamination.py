@@ -113,6 +113,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id has no benchmark window, as they were; rows
+    with a null id stay only if no such row has one."""
+    hit = decontaminate(spark, docs, items, id_col).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    hit = stage(spark, hit, "contaminated")
+    return docs.join(hit.hint("merge"), F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detflow.llm.common import read, stage
+from detflow.llm.common import keep_rows, read, stage
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 PRIMES = (2147483647, 2147483629)
@@ -67,8 +67,8 @@ def normalise(text: str | None) -> bytes:
 
 
 def fingerprints(batches: Iterable[pa.RecordBatch], primes: tuple[int, int], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Columns (key, text) to key, code points, bytes, fingerprint, and either
-    the SHA-256 or the normalised text."""
+    """Columns (id, text, version) to id, version, code points, bytes,
+    fingerprint, and either the SHA-256 or the normalised text."""
     prints = Fingerprint(primes)
     for batch in batches:
         rows: list[tuple] = []
@@ -79,9 +79,9 @@ def fingerprints(batches: Iterable[pa.RecordBatch], primes: tuple[int, int], wit
                          data if with_text else hashlib.sha256(data).hexdigest()))
         n, size, f1, f2, last = zip(*rows) if rows else ((),) * 5
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(f1, pa.int64()),
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(f1, pa.int64()),
              pa.array(f2, pa.int64()), pa.array(last, pa.binary() if with_text else pa.string())],
-            ["doc_id", "n_chars", "size", "f1", "f2", "body" if with_text else "text_sha256"])
+            ["doc_id", "version", "n_chars", "size", "f1", "f2", "body" if with_text else "text_sha256"])
 
 
 def differing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +101,12 @@ FINGERPRINT = ["f1", "f2", "size"]
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           primes: tuple[int, int] = PRIMES) -> DataFrame:
-    """One row per row of ``docs`` with the row of its group that stays."""
+    """One row per row of ``docs`` with the row of its group that stays;
+    ``version`` is the xxhash64 of the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    common = f"doc_id {id_type}, n_chars long, size long, f1 long, f2 long"
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    common = f"doc_id {id_type}, version long, n_chars long, size long, f1 long, f2 long"
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                        F.xxhash64(text_col).alias("version"))
     prints = stage(spark, texts.mapInArrow(lambda b: fingerprints(b, primes, False), f"{common}, text_sha256 string")
                    .withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     # the best row: most code points, then smallest id (a null id last), then first row
@@ -132,11 +134,17 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     return out.select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (single | (F.col("best.row") == F.col("row"))).alias("kept"), "text_sha256")
+        (single | (F.col("best.row") == F.col("row"))).alias("kept"), "text_sha256", "version")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, as they were."""
+    kept = dedup(spark, docs, id_col, text_col).where("kept").select("doc_id", "version")
+    return keep_rows(docs, stage(spark, kept, "kept-rows"), id_col, text_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark, read(spark, sf_dir, "documents"))
+    return dedup(spark, read(spark, sf_dir, "documents")).drop("version")
 
 
 SQL = r"""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from detflow.llm.common import read, stage
+from detflow.llm.common import keep_rows, read, stage
 
 N = 4
 PERCENT = 85
@@ -82,7 +82,7 @@ def spare(n: int | Column, percent: int):
 
 
 def set_rows(batches: Iterable[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text to size, signature and first 2 p hashes."""
+    """Columns doc_id, text, version to size, signature and first 2 p hashes."""
     hashes = WordHashes()
     for batch in batches:
         size, high, low, first = [], [], [], []
@@ -94,8 +94,8 @@ def set_rows(batches: Iterable[pa.RecordBatch], n: int, percent: int) -> Iterato
             low.append(signature[1])
             first.append(s[:2 * spare(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-             pa.array(first, pa.list_(pa.int64()))], ["doc_id", "size", "high", "low", "first"])
+            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
+             pa.array(first, pa.list_(pa.int64()))], ["doc_id", "version", "size", "high", "low", "first"])
 
 
 def whole_sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,11 @@ class Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int):
         self.spark, self.percent = spark, percent
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                            F.xxhash64(text_col).alias("version"))
         id_type = docs.schema[id_col].dataType.simpleString()
         self.sets = stage(spark, texts.mapInArrow(
-            lambda b: set_rows(b, n, percent), f"doc_id {id_type}, size long, high long, low long, first array<long>"), "sets")
+            lambda b: set_rows(b, n, percent), f"doc_id {id_type}, version long, size long, high long, low long, first array<long>"), "sets")
         classes = (self.sets.where("size > 0 AND doc_id IS NOT NULL").groupBy("high", "low")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("first").alias("first"))
                    .withColumn("class", F.monotonically_increasing_id()))
@@ -272,7 +273,8 @@ class Join:
 
 def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
          percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    """(doc_id, version, n_shingles, component_id) of every row of ``docs``;
+    ``version`` is the xxhash64 of the text."""
     work = Join(spark, docs, id_col, text_col, n, percent)
     for seed in range(rounds):
         work.centre_round(seed)
@@ -280,10 +282,20 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     named = work._labelled(work.classes.select("class", "high", "low", "doc_id"))
     least = stage(spark, named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
     of_class = stage(spark, named.join(least.hint("merge"), "component").select("high", "low", "component_id"), "class-ids")
-    rows = work.sets.select("doc_id", "size", "high", "low").join(of_class.hint("merge"), ["high", "low"], "left")
-    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(
+    rows = work.sets.select("doc_id", "version", "size", "high", "low").join(of_class.hint("merge"), ["high", "low"], "left")
+    return rows.select("doc_id", "version", F.col("size").alias("n_shingles"), F.when(
         (F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one (the smallest doc_id) of each
+    component; rows with a null doc_id stay."""
+    rows = stage(spark, join(spark, docs, id_col, text_col), "components")
+    linked = rows.where("component_id IS NOT NULL").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "version")).alias("kept")).select("kept.*")
+    kept = linked.unionByName(rows.where("component_id IS NULL").select("doc_id", "version"))
+    return keep_rows(docs, stage(spark, kept, "kept-rows"), id_col, text_col)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark, read(spark, sf_dir, "documents"))
+    return join(spark, read(spark, sf_dir, "documents")).drop("version")
