@@ -52,6 +52,15 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove stage tables that nothing reads any more, and let Spark's cleaner
+    drop the shuffle files of the jobs that have ended."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _remove(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (doc_id, version: xxhash64 of the
     text), one of each name, as they were."""

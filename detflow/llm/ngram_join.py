@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from detflow.llm.common import keep_rows, read, stage
+from detflow.llm.common import keep_rows, read, release, stage
 
 N = 4
 PERCENT = 85
@@ -215,10 +215,12 @@ class Join:
         # of the 2 p hashes, 2 p - n are in no other class and are the rarest
         self.probes = stage(spark, rarest.where(F.col("rank") <= F.col("n") - F.least(F.lit(2) * p, F.col("size")) + p)
                             .select("class", "size", "hash"), "probes")
+        release(spark, frequent, shared)
         chosen = self.classes.select("class", "high", "low", "doc_id").join(able.hint("merge"), "class")
         self.whole = stage(spark, chosen.join(texts.hint("merge"), "doc_id").select("class", "high", "low", "text")
                            .mapInArrow(lambda b: whole_sets(b, n), "class long, set binary")
                            .dropDuplicates(["class"]), "whole-sets")
+        release(spark, able)
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -239,7 +241,9 @@ class Join:
         found = (pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "x_set", "y_set")
                  .sortWithinPartitions("y", "x_set").mapInArrow(lambda b: verify_rows(b, percent), "x long, y long"))
         edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
-        self.edges = stage(self.spark, edges if self.edges is None else self.edges.unionByName(edges), "links")
+        before = self.edges
+        self.edges = stage(self.spark, edges if before is None else before.unionByName(edges), "links")
+        release(self.spark, *([before] if before is not None else []))
         self.labels = components(self.spark, self.edges)
 
     def centre_round(self, seed: int) -> None:
@@ -253,7 +257,9 @@ class Join:
         counted = both.groupBy("class", "size", "y", "y_size").agg(F.count("*").alias("n")).where(
             F.col("n") > spare(F.least("size", "y_size").cast("long"), self.percent))
         best = counted.groupBy("class").agg(F.max(F.struct("n", "y")).alias("to"))
-        self._link(best.select(F.col("class").alias("x"), F.col("to.y").alias("y")))
+        pairs = stage(self.spark, best.select(F.col("class").alias("x"), F.col("to.y").alias("y")), "pairs")
+        release(self.spark, rows, centre)
+        self._link(pairs)
 
     def finish(self) -> None:
         """Compare all pairs of classes in different components that can link."""
@@ -268,6 +274,8 @@ class Join:
         pairs = (asked.join(open_index.hint("merge"), ["hash", "y_component"])
                  .where((F.col("size") <= F.col("y_size")) & self._near(F.col("size"), F.col("y_size")))
                  .select(F.col("class").alias("x"), "y").distinct())
+        pairs = stage(self.spark, pairs, "pairs")
+        release(self.spark, index, several, open_index, groups, asked, self.shared, self.probes)
         self._link(pairs)
 
 
