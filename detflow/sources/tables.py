@@ -47,11 +47,11 @@ class Corpus:
     # ---- sources -------------------------------------------------------
     @cached_property
     def texts(self) -> DataFrame:
-        """(k, id, turn, role, text): conversation turns + English documents."""
+        """(k, id, turn, role, text): conversation turns + documents."""
         conv = self.table("conversations").select(
             F.lit("c").alias("k"), F.col("conv_id").alias("id"), F.col("turn"),
             F.col("role"), F.col("text"))
-        docs = (self.table("documents").where(F.col("lang") == "en").select(
+        docs = (self.table("documents").select(
             F.lit("d").alias("k"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"),
             F.lit("assistant").alias("role"), F.col("text")))
         return conv.unionByName(docs)

@@ -41,7 +41,7 @@ view("texts", [], """
   SELECT 'c' AS k, conv_id AS id, turn, role, text FROM conversations
   UNION ALL
   SELECT 'd' AS k, doc_id AS id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role, text
-  FROM documents WHERE lang = 'en'""")
+  FROM documents""")
 
 view("utt_split", ["texts"], r"""
   SELECT k, id, turn, role, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS sent_no
