@@ -45,7 +45,8 @@ ROUNDS = 2
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
+PAIRS_PER_BATCH = 128       # rows of two whole sets that a Python worker holds at once
 
 
 class WordHashes(dict):
@@ -241,8 +242,13 @@ class Join:
         found = (pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "x_set", "y_set")
                  .sortWithinPartitions("y", "x_set").mapInArrow(lambda b: verify_rows(b, percent), "x long, y long"))
         edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
-        before = self.edges
-        self.edges = stage(self.spark, edges if before is None else before.unionByName(edges), "links")
+        before, conf, key = self.edges, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = conf.get(key)
+        conf.set(key, PAIRS_PER_BATCH)
+        try:
+            self.edges = stage(self.spark, edges if before is None else before.unionByName(edges), "links")
+        finally:
+            conf.set(key, usual)
         release(self.spark, *([before] if before is not None else []))
         self.labels = components(self.spark, self.edges)
 

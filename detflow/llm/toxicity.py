@@ -61,7 +61,7 @@ class Scores(dict):
         return Scores, (self.features,)
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         names = features_of(word.decode())
         known = [self.features[f] for f in (names[:1] if names[0] in self.features else names) if f in self.features]
