@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values that must equal the reference's behaviour.
 DETERMINERS = ("a", "the")          # the two determiners under study
 DET_TYPE = {"a": "A", "the": "B"}   # determiner -> type letter
-TOKEN_PATTERN = r"[A-Za-z0-9']+"    # word tokens; punctuation is dropped
+TOKEN_PATTERN = r"[\pL\pN']+"    # word tokens; punctuation is dropped
 SENTENCE_SPLIT = r"[.!?\n]+"
 WORD_CHAR = r"[\p{L}\p{N}_]"        # Unicode word character, as Python's \w
 
@@ -51,7 +51,7 @@ def tokens(c) -> Column:
 
 def tokens_with_markers(c) -> Column:
     """T1 for normalisation: ``[xN]`` repeat markers survive as tokens."""
-    return F.regexp_extract_all(col(c), F.lit(r"\[x[0-9]+\]|[A-Za-z0-9'+@]+"), 0)
+    return F.regexp_extract_all(col(c), F.lit(r"\[x[0-9]+\]|[\pL\pN'+@]+"), 0)
 
 
 MARKER = r"^\[x[0-9]+\]$"
@@ -68,7 +68,7 @@ def expand_repeats(c) -> Column:
     def out(t, i):
         literal = ~t.rlike(MARKER) | (i == 0)
         prev = F.element_at(F.filter(F.slice(arr, 1, i), lambda x, j: ~x.rlike(MARKER) | (j == 0)), -1)
-        n = F.greatest(F.regexp_extract(t, r"([0-9]+)", 1).cast("int") - 1, F.lit(0))
+        n = F.greatest(F.coalesce(F.regexp_extract(t, r"([0-9]+)", 1).try_cast("int"), F.lit(1)) - 1, F.lit(0))
         return F.when(literal, F.array(t)).otherwise(F.array_repeat(prev, n))
 
     return F.flatten(F.transform(arr, out))

@@ -57,7 +57,7 @@ register("ic", ["wide"], f"""
 
 register("ic_tok", ["ic"], r"""
   SELECT uid, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i
-  FROM (SELECT uid, regexp_extract_all(utt, '\[x[0-9]+\]|[A-Za-z0-9''+@]+') AS t FROM ic)""")
+  FROM (SELECT uid, regexp_extract_all(utt, '\[x[0-9]+\]|[\pL\pN''+@]+') AS t FROM ic)""")
 
 register("ic_lem", ["ic_tok"], f"""
   SELECT uid, i, {LEMMA('w')} AS w FROM ic_tok""")
@@ -329,7 +329,7 @@ rr1 = rewrite_views("rr1", "ptoks_v", ["ptoks_v"], True, 1)
 register("rw1_toks", [rw1], f"""
   SELECT model_type, uid, i, word, {POS_CASE} AS pos FROM (
     SELECT model_type, uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
-    FROM (SELECT model_type, uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM {rw1}))""")
+    FROM (SELECT model_type, uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS t FROM {rw1}))""")
 rw2 = rewrite_views("rw2", "rw1_toks", ["rw1_toks"], False, 2)
 
 sql("join_noun_types", cte("rw1_win") + """
@@ -354,7 +354,7 @@ register("tb", ["study", "bands"], """
 register("tbt", ["tb"], f"""
   SELECT model_type, band_hi, uid, i, word, {POS_CASE} AS pos FROM (
     SELECT model_type, band_hi, uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
-    FROM (SELECT model_type, band_hi, uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM tb))""")
+    FROM (SELECT model_type, band_hi, uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS t FROM tb))""")
 register("d2b", ["tbt"], """
   SELECT s.model_type, s.band_hi, s.uid, s.det, lower(t.word) AS noun FROM (
     SELECT d.model_type, d.band_hi, d.uid, d.i AS det_idx, lower(d.word) AS det, min(n.i) AS stop_idx
@@ -560,7 +560,7 @@ FROM res WHERE TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) IS NOT N
 register("ntoks", ["normalized"], f"""
   SELECT uid, i, word, {POS_CASE} AS pos FROM (
     SELECT uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
-    FROM (SELECT uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM normalized))""")
+    FROM (SELECT uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS t FROM normalized))""")
 register("ov_uid", ["ntoks"], """
   SELECT DISTINCT d.uid FROM ntoks d
   LEFT JOIN ntoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1 LEFT JOIN ntoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
@@ -660,7 +660,7 @@ from detflow.operators.series import RESULT_CHARTS  # noqa: E402
 
 register("tok_texts", ["normalized"], "SELECT uid, utt FROM normalized WHERE speaker = 'parent' AND trim(utt) <> ''")
 register("vc", ["tok_texts"], """
-  SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(utt, '[A-Za-z0-9'']+')) AS w
+  SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(utt, '[\\pL\\pN'']+')) AS w
   FROM tok_texts) GROUP BY 1""")
 register("vr", ["vc"], """
   SELECT * FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM vc WHERE n >= 2)
@@ -674,7 +674,7 @@ register("enc", ["tok_texts", "vocab"], """
   FROM (SELECT t.uid, list_concat([3], coalesce(e.ids, []), [6]) AS core FROM tok_texts t LEFT JOIN (
           SELECT uid, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM (
             SELECT uid, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i
-            FROM (SELECT uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS x FROM tok_texts))
+            FROM (SELECT uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS x FROM tok_texts))
           LEFT JOIN vocab v ON v.word = lower(w) WHERE i < 62 GROUP BY uid) e USING (uid)) s""")
 sql("vocab_rank", cte("vr") + "SELECT CAST(rank AS INTEGER) AS rank, word, n FROM vr")
 sql("build_vocab", cte("vocab") + "SELECT id, word, CAST(n AS BIGINT) AS n FROM vocab")

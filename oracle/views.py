@@ -64,7 +64,7 @@ view("raw_corpus", ["utterances"], f"""
   FROM utterances""")
 
 view("tok_lists", ["utterances"], """
-  SELECT uid, regexp_extract_all(utt, '[A-Za-z0-9'']+') AS t FROM utterances""")
+  SELECT uid, regexp_extract_all(utt, '[\pL\pN'']+') AS t FROM utterances""")
 
 view("toks", ["tok_lists"], f"""
   SELECT uid, i, word, {POS_CASE} AS pos
