@@ -13,13 +13,16 @@ Common passages are frequent, so they end up among the hashes left out.
 Pairs.  All pairs of a large group of near copies are never made.  First every
 class is compared with one centre that shares enough of its hashes, in a few
 rounds with other centres, and linked classes become components.  Then only
-pairs of classes in different components are left, and those are all compared:
-a token whose classes are in one component makes none.
+pairs of classes in different components are left, and those are all compared.
+Classes with one centre share blocks of bounded size; a probe's token brings two
+blocks together instead of two classes, unless both hold one and the same
+component, and a whole set is sent once to each pair of blocks.
 
-Verification.  Pairs are sorted by one side's whole set.  Rows in that order are
-a depth-first walk of the prefix tree of the sets: the overlap of the path
-shared with the row before is kept, a row continues below it, and a subtree is
-left when the overlap so far plus what the remaining lengths allow is too small.
+Verification.  The sets of a block are sorted.  Rows in that order are a
+depth-first walk of the prefix tree of the sets: the overlaps of the path shared
+with the row before are kept, one for each probe of the other block, a row
+continues below it, and a probe is left, and with the last one the subtree, when
+its overlap so far plus what the remaining lengths allow is too small.
 
 Defined results: null, empty and blank texts have an empty set and only
 themselves as component; a null doc_id is linked with nothing and has a null
@@ -46,7 +49,9 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEPT_WORDS = 100_000
-PAIRS_PER_BATCH = 128       # rows of two whole sets that a Python worker holds at once
+SETS_PER_BATCH = 128        # rows of whole sets that a Python worker reads at once
+BLOCK_CLASSES = 64          # a block's classes and hashes, on average; larger groups get more blocks
+BLOCK_HASHES = 100_000
 
 
 class WordHashes(dict):
@@ -114,38 +119,61 @@ def whole_sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "set"])
 
 
-class TreeWalk:
-    """Overlaps of sets with one probe, for sets in lexicographic order."""
+class BlockWalk:
+    """Overlaps of sets, taken in lexicographic order, with every probe of a block."""
 
     STEP = 64
 
-    def __init__(self, probe: np.ndarray, percent: int):
-        self.probe, self.percent = probe, percent
-        self.path = np.zeros(0, np.uint64)      # the last set, as far as it was walked
-        self.overlap = np.zeros(1, np.int64)    # at i: overlap of the first i of the path
-
-    def links(self, own: np.ndarray) -> bool:
-        probe, n = self.probe, len(own)
-        need = -(-self.percent * (n + len(probe)) // (100 + self.percent))
-        if need > min(n, len(probe)):
-            return False
+    def __init__(self, probes: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.sizes = np.array([len(p) for p in probes], np.int64)
+        self.hashes = np.unique(np.concatenate(probes))
+        # a row a hash, and a last one without members for hashes of no probe
+        self.holds = np.zeros((len(self.hashes) + 1, len(probes)), np.uint8)
+        for j, probe in enumerate(probes):
+            self.holds[np.searchsorted(self.hashes, probe), j] = 1
+        self.up_to = np.zeros(self.holds.shape, np.int32)       # at i: members among the first i hashes
+        np.cumsum(self.holds[:-1], axis=0, out=self.up_to[1:])
+        self.path = np.zeros(0, np.uint64)                      # the last set, as far as it was walked
+        self.overlap = np.zeros((1, len(probes)), np.int64)     # at i: overlaps of the first i of the path
+
+    def linked(self, own: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Which of the wanted probes (None: of all) link with ``own``."""
+        n = len(own)
+        need = -(-self.percent * (n + self.sizes) // (100 + self.percent))
+        alive = need <= np.minimum(n, self.sizes)
+        if wanted is not None:
+            alive &= wanted
+        if not alive.any():
+            return alive
         m = min(len(self.path), n)
         differs = np.flatnonzero(self.path[:m] != own[:m])
-        shared = int(differs[0]) if len(differs) else m         # depth of the common path
-        parts, total, at = [self.overlap[:shared + 1]], int(self.overlap[shared]), shared
+        at = int(differs[0]) if len(differs) else m             # depth of the common path
+        parts, total = [self.overlap[:at + 1]], self.overlap[at]
+        where = np.searchsorted(self.hashes, own)
+        passed = where + (self.hashes[np.minimum(where, len(self.hashes) - 1)] == own)
+        rows = np.where(passed > where, where, len(self.hashes))
         while True:
-            # what is left of the probe lies above the last hash walked
-            rest = len(probe) - int(np.searchsorted(probe, own[at - 1], "right")) if at else len(probe)
-            if at == n or total + min(n - at, rest) < need:
+            # what is left of a probe lies above the last hash walked
+            rest = self.sizes - self.up_to[passed[at - 1]] if at else self.sizes
+            alive &= total + np.minimum(n - at, rest) >= need
+            if at == n or not alive.any():
                 break
-            piece = own[at:at + self.STEP]
-            where = np.searchsorted(probe, piece)
-            hit = probe[np.minimum(where, len(probe) - 1)] == piece
-            counts = total + np.cumsum(hit)
+            counts = total + np.cumsum(self.holds[rows[at:at + self.STEP]], axis=0, dtype=np.int64)
             parts.append(counts)
-            total, at = int(counts[-1]), at + len(piece)
+            total, at = counts[-1], at + len(counts)
         self.path, self.overlap = own[:at], np.concatenate(parts)
-        return at == n and total >= need
+        return alive
+
+
+class TreeWalk(BlockWalk):
+    """Overlaps of sets with one probe."""
+
+    def __init__(self, probe: np.ndarray, percent: int):
+        super().__init__([probe], percent)
+
+    def links(self, own: np.ndarray) -> bool:
+        return bool(self.linked(own)[0])
 
 
 def verify_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,6 +190,31 @@ def verify_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def verify_units(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Columns low, high, side, class, component, set sorted by (low, high,
+    side, set), side 0 the probes of a pair of blocks and side 1 the sets to
+    walk, to the pairs (a, b) of different components that link."""
+    unit, probes, names, groups, walk = None, [], [], [], None
+    for batch in batches:
+        a, b = [], []
+        keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        for i, (low, high, side, name, group) in enumerate(keys):
+            if (low, high) != unit:
+                unit, probes, names, groups, walk = (low, high), [], [], [], None
+            own = np.frombuffer(batch.column(5)[i].as_buffer(), ">u8").astype(np.uint64)
+            if side == 0:
+                probes.append(own)
+                names.append(name)
+                groups.append(group)
+                continue
+            if walk is None:
+                walk, others = BlockWalk(probes, percent), np.array(groups, np.int64)
+            for j in np.flatnonzero(walk.linked(own, others != group)):
+                a.append(name)
+                b.append(names[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b): least neighbours with
     pointer jumping on a graph that is contracted after every step."""
@@ -222,6 +275,7 @@ class Join:
                            .mapInArrow(lambda b: whole_sets(b, n), "class long, set binary")
                            .dropDuplicates(["class"]), "whole-sets")
         release(spark, able)
+        self.centres: DataFrame | None = None       # each class and the centre it was first compared with
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -234,17 +288,11 @@ class Join:
     def _near(self, a: Column, b: Column) -> Column:
         return F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b)
 
-    def _link(self, pairs: DataFrame) -> None:
-        """Compare pairs (x, y) and bring the components up to date."""
-        percent = self.percent
-        x = self.whole.select(F.col("class").alias("x"), F.col("set").alias("x_set"))
-        y = self.whole.select(F.col("class").alias("y"), F.col("set").alias("y_set"))
-        found = (pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "x_set", "y_set")
-                 .sortWithinPartitions("y", "x_set").mapInArrow(lambda b: verify_rows(b, percent), "x long, y long"))
-        edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def _link(self, edges: DataFrame) -> None:
+        """Take up edges (a, b), and bring the components up to date."""
         before, conf, key = self.edges, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
         usual = conf.get(key)
-        conf.set(key, PAIRS_PER_BATCH)
+        conf.set(key, SETS_PER_BATCH)
         try:
             self.edges = stage(self.spark, edges if before is None else before.unionByName(edges), "links")
         finally:
@@ -265,24 +313,70 @@ class Join:
         best = counted.groupBy("class").agg(F.max(F.struct("n", "y")).alias("to"))
         pairs = stage(self.spark, best.select(F.col("class").alias("x"), F.col("to.y").alias("y")), "pairs")
         release(self.spark, rows, centre)
-        self._link(pairs)
+        if self.centres is None:
+            self.centres = pairs
+        percent = self.percent
+        x = self.whole.select(F.col("class").alias("x"), F.col("set").alias("x_set"))
+        y = self.whole.select(F.col("class").alias("y"), F.col("set").alias("y_set"))
+        found = (pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "x_set", "y_set")
+                 .sortWithinPartitions("y", "x_set").mapInArrow(lambda b: verify_rows(b, percent), "x long, y long"))
+        self._link(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def _blocks(self) -> DataFrame:
+        """(class, component, size, block): classes with the same first centre
+        and, if they are linked with any, the same component share blocks."""
+        classes = self.shared.select("class", "size").distinct()
+        if self.centres is not None:
+            heads = self.centres.select(F.col("y").alias("class"), F.col("y").alias("head")).distinct()
+            follows = self.centres.select(F.col("x").alias("class"), F.col("y").alias("follows"))
+            classes = classes.join(heads.hint("merge"), "class", "left").join(follows.hint("merge"), "class", "left")
+            group = F.coalesce("head", "follows", "class")
+        else:
+            group = F.col("class")
+        many = self.labels.select(F.col("node").alias("class"), F.col("component").alias("label")) if self.labels is not None else None
+        classes = classes.withColumn("label", F.lit(None).cast("long")) if many is None else classes.join(
+            many.hint("merge"), "class", "left")
+        key = F.xxhash64(group, F.coalesce("label", F.lit(-1)))
+        classes = stage(self.spark, classes.select(
+            "class", "size", F.coalesce("label", "class").alias("component"), key.alias("key")), "keyed")
+        parts = classes.groupBy("key").agg(F.ceil(F.greatest(
+            F.count("*") / BLOCK_CLASSES, F.sum(F.col("size").cast("long")) / BLOCK_HASHES)).alias("parts"))
+        blocks = classes.join(parts.hint("merge"), "key").select(
+            "class", "size", "component", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
+        return stage(self.spark, blocks, "blocks")
 
     def finish(self) -> None:
-        """Compare all pairs of classes in different components that can link."""
-        index = stage(self.spark, self._labelled(self.shared.select("hash", "class", "size")).select(
-            "hash", F.col("class").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_component")), "index")
-        probes = self._labelled(self.probes)
-        several = stage(self.spark, index.groupBy("hash").agg(
-            F.min("y_component").alias("least"), F.max("y_component").alias("most")).where("least <> most").select("hash"), "several")
-        open_index = stage(self.spark, index.join(several.hint("merge"), "hash"), "open-index")
-        groups = stage(self.spark, open_index.select("hash", "y_component").distinct(), "groups")
-        asked = stage(self.spark, probes.join(groups.hint("merge"), "hash").where("component <> y_component"), "asked")
-        pairs = (asked.join(open_index.hint("merge"), ["hash", "y_component"])
-                 .where((F.col("size") <= F.col("y_size")) & self._near(F.col("size"), F.col("y_size")))
-                 .select(F.col("class").alias("x"), "y").distinct())
-        pairs = stage(self.spark, pairs, "pairs")
-        release(self.spark, index, several, open_index, groups, asked, self.shared, self.probes)
-        self._link(pairs)
+        """Compare all pairs of classes in different components that can link:
+        tokens bring pairs of blocks together, and each pair of blocks is
+        walked once."""
+        blocks = self._blocks()
+
+        def of_blocks(rows: DataFrame, name: str) -> DataFrame:
+            rows = rows.select("hash", "class").join(blocks.hint("merge"), "class").groupBy("hash", "block").agg(
+                F.min("component").alias("least"), F.max("component").alias("most"),
+                F.min("size").alias("shortest"), F.max("size").alias("longest"))
+            return stage(self.spark, rows, name)
+
+        index, probes = of_blocks(self.shared, "index"), of_blocks(self.probes, "asked")
+        several = index.groupBy("hash").agg(
+            F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("hash")
+        several = stage(self.spark, several, "several")
+        x, y = (rows.join(several.hint("merge"), "hash", "left_semi").select(
+            "hash", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns[1:])) for rows, side in ((probes, "x"), (index, "y")))
+        units = x.join(y.hint("merge"), "hash").where(
+            (F.least("x_least", "y_least") < F.greatest("x_most", "y_most")) & (F.col("x_shortest") <= F.col("y_longest"))
+            & (F.lit(100) * F.col("x_longest") >= F.lit(self.percent) * F.col("y_shortest")))
+        units = stage(self.spark, units.select(
+            F.least("x_block", "y_block").alias("low"), F.greatest("x_block", "y_block").alias("high")).distinct(), "units")
+        release(self.spark, index, probes, several, self.shared, self.probes)
+        members = stage(self.spark, blocks.select("class", "component", "block").join(self.whole.hint("merge"), "class"), "members")
+        sides = [units.withColumn("side", F.lit(side)).join(members.withColumnRenamed("block", name).hint("merge"), name)
+                 .select("low", "high", "side", "class", "component", "set") for side, name in enumerate(("low", "high"))]
+        percent = self.percent
+        found = (sides[0].unionByName(sides[1]).repartition("low", "high").sortWithinPartitions("low", "high", "side", "set")
+                 .mapInArrow(lambda b: verify_units(b, percent), "a long, b long"))
+        self._link(found)
+        release(self.spark, units, members, blocks)
 
 
 def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
