@@ -28,6 +28,7 @@ POS_CASE = """CASE
       WHEN ascii(word) BETWEEN 65 AND 90 AND i > 0 THEN 'PROPN'
       ELSE 'NOUN' END"""
 
+# The study's band edges.
 BAND_EDGES = [0, 14, 18, 22, 26, 30, 34, 38, 42, 46, 50, 54, 58]
 
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -57,13 +58,16 @@ view("utterances", ["utt_split"], """
 view("raw_corpus", ["utterances"], f"""
   SELECT uid, k, id, turn, sent_no, role, age_months, subject,
          CASE {H('uid', "'m'")} % 20
-           WHEN 0 THEN 'MASK' WHEN 1 THEN 'MASK MASK'
            WHEN 2 THEN utt || ' MASK' WHEN 3 THEN utt || ' [x3]'
            WHEN 4 THEN utt || ' &8217s joe@x' WHEN 5 THEN utt || ' an An AN a+b'
            ELSE utt END AS utt
-  FROM utterances""")
+  FROM utterances
+  UNION ALL
+  SELECT uid || '-m' AS uid, k, id, turn, sent_no, role, age_months, subject,
+         CASE {H('uid', "'m'")} % 20 WHEN 0 THEN 'MASK' ELSE 'MASK MASK' END AS utt
+  FROM utterances WHERE {H('uid', "'m'")} % 20 < 2""")
 
-view("tok_lists", ["utterances"], """
+view("tok_lists", ["utterances"], r"""
   SELECT uid, regexp_extract_all(utt, '[\pL\pN'']+') AS t FROM utterances""")
 
 view("toks", ["tok_lists"], f"""
