@@ -52,6 +52,7 @@ KEPT_WORDS = 100_000
 SETS_PER_BATCH = 128        # rows of whole sets that a Python worker reads at once
 BLOCK_CLASSES = 64          # a block's classes and hashes, on average; larger groups get more blocks
 BLOCK_HASHES = 100_000
+SALTS = 32                  # tasks that a group of more than one block is dealt out to
 
 
 class WordHashes(dict):
@@ -219,7 +220,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b): least neighbours with
     pointer jumping on a graph that is contracted after every step."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    graph = stage(spark, both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    graph = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = None
     while labels is None or not graph.isEmpty():
         least = stage(spark, graph.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "least")
@@ -301,7 +302,8 @@ class Join:
         self.labels = components(self.spark, self.edges)
 
     def centre_round(self, seed: int) -> None:
-        rows = stage(self.spark, self._labelled(self.shared), "round")
+        own = [] if self.labels is None else [stage(self.spark, self._labelled(self.shared), "round")]
+        rows = own[0] if own else self._labelled(self.shared)
         centre = rows.groupBy("hash").agg(F.min(F.struct(
             F.xxhash64("component", F.lit(seed)).alias("c"), F.xxhash64("class", F.lit(seed)).alias("k"),
             F.col("class").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_component"))).alias("to"))
@@ -312,7 +314,7 @@ class Join:
             F.col("n") > spare(F.least("size", "y_size").cast("long"), self.percent))
         best = counted.groupBy("class").agg(F.max(F.struct("n", "y")).alias("to"))
         pairs = stage(self.spark, best.select(F.col("class").alias("x"), F.col("to.y").alias("y")), "pairs")
-        release(self.spark, rows, centre)
+        release(self.spark, centre, *own)
         if self.centres is None:
             self.centres = pairs
         percent = self.percent
@@ -340,9 +342,13 @@ class Join:
         classes = stage(self.spark, classes.select(
             "class", "size", F.coalesce("label", "class").alias("component"), key.alias("key")), "keyed")
         parts = classes.groupBy("key").agg(F.ceil(F.greatest(
-            F.count("*") / BLOCK_CLASSES, F.sum(F.col("size").cast("long")) / BLOCK_HASHES)).alias("parts"))
-        blocks = classes.join(parts.hint("merge"), "key").select(
-            "class", "size", "component", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
+            F.count("*") / BLOCK_CLASSES, F.sum(F.col("size").cast("long")) / BLOCK_HASHES)).alias("parts")).where("parts > 1")
+        # a large group's classes are dealt out by a salt as well
+        parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        salted = classes.withColumn("salt", F.pmod(F.xxhash64("class", "key"), F.lit(SALTS).cast("long")))
+        part = F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1)))
+        blocks = salted.join(parts.hint("merge"), ["key", "salt"], "left").select(
+            "class", "size", "component", F.xxhash64("key", part).alias("block"))
         return stage(self.spark, blocks, "blocks")
 
     def finish(self) -> None:
