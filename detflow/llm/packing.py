@@ -37,16 +37,22 @@ from detflow.llm.common import read, stage
 CAPACITY = 1024
 END_TOKEN = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"     # the vocabulary of byte_bpe_50k.json as ranks
+ADDED = "byte_bpe_50k.json"              # declares the added tokens
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The public byte-level BPE; special tokens' strings are ordinary text."""
+    """The public byte-level BPE with the added tokens of its JSON, which stand
+    for themselves wherever a text holds their string."""
+    import json
+
     import public_tokenizers
     import tiktoken
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(ADDED), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,13 +63,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenise(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, end_token: int,
              with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode_ordinary
+    encode = encoder(vocabulary).encode
     seen = np.zeros(capacity + 1, np.int64)
     part = TaskContext.get().partitionId()
     for batch in batches:
         rows, ids_out, docs = [], [], []
         for i, text in enumerate(batch.column(1)):
-            ids = np.array(encode(text.as_py() or "") + [end_token], "<u4")
+            ids = np.array(encode(text.as_py() or "", allowed_special="all") + [end_token], "<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 piece = ids[start:start + length]
                 rows.append((k, start, length, zlib.crc32(piece.tobytes()), seen[length]))

@@ -84,3 +84,15 @@ def test_pack_round_trip(spark):
     assert ids == enc.encode_ordinary("word " * 5000) + [2]
     assert all(zlib.crc32(np.array(x, "<u4").tobytes()) == c for x, c in zip(long["ids"], long["ids_crc32"]))
     assert P.pack(spark, df.limit(0)).count() == 0
+
+
+def test_added_tokens_inside_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  \n b", "x <|endoftext| y", "é <|endoftext|>é " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = P.pack(spark, df, with_ids=True).toPandas().sort_values("piece")
+    for i, text in enumerate(texts):
+        ids = [x for piece in got[got.doc_id == i]["ids"] for x in piece]
+        assert ids == t.encode(text, add_special_tokens=False).ids + [P.END_TOKEN]
