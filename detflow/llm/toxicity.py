@@ -2,7 +2,10 @@
 
 Token scores are log-odds of toxic against clean labelled text with an
 informative Dirichlet prior (Monroe, Colaresi and Quinn 2008), of the token and
-of its beginnings and endings of 4 to 7 characters: the most significant of
+of its beginnings and endings of 4 to 7 characters.  Significance is the signed
+root of the log-likelihood ratio (Dunning 1993) of the plain counts, in units of
+a standard normal: a count of 0 in one class is evidence like any other, where a
+variance of log-odds would grow with it.  The most significant of
 them (counted over tokens not significant themselves) scores a token that is not significant itself, so inflected and unseen forms of a known stem count.
 Tokens without a significant difference score nothing, and every token pays a
 drift that makes the expected score negative.  One linear scan (Ruzzo and Tompa 1999) over a
@@ -31,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from detflow.llm.common import read, stage, words_of
@@ -41,7 +44,7 @@ BOUND = 20_000              # labelled rows the model is fitted on
 VOCABULARY = 50_000         # rows of the token table sent to tasks
 PRIOR = 500.0               # weight of the prior, in distinct tokens of each class
 SMOOTH = 0.5                # of the prior, for every token
-MIN_Z = 4.0                 # least significance of a token's log-odds
+MIN_Z = 4.0                 # least signed root of a token's log-likelihood ratio
 AFFIXES = range(4, 8)       # characters of the beginnings and endings
 DRIFT = 0.25                # what every token costs
 MIN_EFFECT = 1.5            # least size of a scoring token's log-odds
@@ -173,6 +176,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def signed_root(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """Root of the log-likelihood ratio of a token's counts against the shares of
+    both classes, negative where it is rarer in toxic text."""
+    share = all_toxic / (all_toxic + all_clean)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + clean) * p))).otherwise(0.0)
+    ratio = F.greatest(2 * (part(toxic, share) + part(clean, 1 - share)), F.lit(0.0))
+    return F.sqrt(ratio) * F.when(toxic * all_clean < clean * all_toxic, -1).otherwise(1)
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5,
         held_out: int = 0, bound: int = BOUND) -> Model:
     """The model of a bounded labelled sample (see the module's text)."""
@@ -185,7 +197,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str
     prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (toxic + clean)) + SMOOTH
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + PRIOR - a)) - F.log(b / (clean + PRIOR - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
+    z = signed_root(F.col("toxic"), F.col("clean"), toxic, clean)
     significant = (F.abs(z) >= MIN_Z) & (F.abs(odds) >= MIN_EFFECT)
     word = F.col("feature")
     tokens = table.withColumn("feature", F.col("word").cast("string"))

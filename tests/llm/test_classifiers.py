@@ -55,3 +55,22 @@ def test_edges(spark, score):
     assert len(score(spark, df, labels).collect()) == 6
     assert len(score(spark, df, labels.limit(0)).collect()) == 6
     assert score(spark, df.limit(0), labels).count() == 0
+
+
+def test_word_without_clean_documents_counts(spark):
+    plain = " ".join(f"common{k}" for k in range(100))
+    rows = [(i, f"common {plain} text {i} " + ("grobian" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = T.fit(spark, docs, labels)      # eight toxic documents of the fit hold the word and no clean one
+    assert model.scores[b"grobian"] > T.MIN_EFFECT and model.scores[b"common"] == 0
+
+
+def test_toxicity_small_label_set(spark):
+    small = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in T.op10_toxicity(spark, small).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in read(spark, small, "labels").collect()}
+    assert all(got[i]["predicted"] == 1 for i in (52, 215, 623, 838, 845, 940))     # 2 to 6 plain toxic words each
+    ones = [got[i]["predicted"] for i, y in labels.items() if y and got[i]["held_out"]]
+    zeros = [got[i]["predicted"] for i, y in labels.items() if y == 0 and got[i]["held_out"]]
+    assert sum(ones) >= 0.8 * len(ones) and sum(zeros) <= 0.05 * len(zeros)
