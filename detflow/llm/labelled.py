@@ -17,11 +17,15 @@ def training_texts(spark: SparkSession, docs: DataFrame, labels: DataFrame, labe
                    bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most ``bound`` labelled rows outside the held-out
     fold: those of the smallest id hashes.  The ids, at most ``bound``, are
-    broadcast to the scan of the texts."""
+    broadcast to the scan of the texts.  An id that several rows hold counts
+    once, with its text of the smallest hash, so it weighs as any other and the
+    bound holds for the rows."""
     wanted = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("l_id").isNotNull()).where(F.coalesce(
             fold("l_id", modulus) != held_out, F.lit(False)))
     wanted = wanted.dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(bound)
     wanted = stage(spark, wanted, "labelled-ids")
-    return (docs.select(F.col(id_col).alias("l_id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(wanted), "l_id").select("text", "label"))
+    rows = (docs.select(F.col(id_col).alias("l_id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(wanted), "l_id"))
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text"))
+    return rows.groupBy("l_id", "label").agg(least.alias("least")).select("least.text", "label")
