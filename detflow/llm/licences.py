@@ -1,7 +1,11 @@
 """Licence scan as an exact set-similarity join (operator 4).
 
-Text blocks (lines) are joined with licence notices by containment: at least
-``THRESHOLD`` of a notice's distinct words stand in the block.  Words are put
+Text blocks are joined with licence notices by containment: at least
+``THRESHOLD`` of a notice's distinct words stand in the block.  A block is a
+line, or a passage over line ends: consecutive lines, those between the first
+and the last with fewer words than the notice, of the first its last and of the
+last its first words, as many as the notice has.  Of passages that hold each
+other only the smallest is given, and none that holds such a line.  Words are put
 in one global order, rarest first by their number of documents in the whole
 corpus.  A notice of k words that needs r of them is indexed under its first
 k - r + 1 words only (prefix filter: a qualifying block holds one of those);
@@ -77,16 +81,61 @@ class NoticeIndex:
     def __init__(self, notices, frequency: dict[bytes, int], threshold: float):
         known = vocabulary(notices)
         self.rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (frequency.get(w, 0), w)))}
-        self.notices, self.prefix = [], {}
+        self.notices, self.prefix, self.lengths = [], {}, []
         for k, (label, text) in enumerate(notices):
             ranks = sorted({self.rank[w] for w in text.encode().split()})
             need = math.ceil(threshold * len(ranks) - 1e-9)
             self.notices.append((label, ranks, need))
+            self.lengths.append(len(text.split()))
             for position in range(len(ranks) - need + 1):
                 self.prefix.setdefault(ranks[position], []).append(k)
         word_of = {i: w for w, i in self.rank.items()}
         self.prefix_words = {word_of[i] for i in self.prefix}
 
+    def wrapped(self, lines: list[list[bytes]]) -> list[tuple[int, int, str, float]]:
+        """(first line, last line, label, containment) of every smallest passage
+        over line ends that holds a notice."""
+        ranks = [[self.rank.get(w, -1) for w in line] for line in lines]
+        starts: dict[int, set[int]] = {}
+        for at, line in enumerate(ranks):
+            for r in set(line):
+                for k in self.prefix.get(r, ()):
+                    starts.setdefault(k, set()).add(at)
+        found = set()
+        for k, places in starts.items():
+            label, wanted, need = self.notices[k]
+            wanted, length = frozenset(wanted), self.lengths[k]
+            runs: set[tuple[int, int, int]] = set()
+            for at in places:
+                # the lines that a passage through this one can reach
+                low, n = at, 0
+                while low > 0 and n < length:
+                    low -= 1
+                    n += len(ranks[low])
+                high, n = at, 0
+                while high + 1 < len(ranks) and n < length:
+                    high += 1
+                    n += len(ranks[high])
+                if len(wanted.intersection([r for line in ranks[low:high + 1] for r in line])) < need:
+                    continue
+                for first in range(low, at + 1):
+                    held, between = wanted.intersection(ranks[first][-length:]), 0
+                    for last in range(first + 1, high + 1):
+                        both = held | wanted.intersection(ranks[last][:length])
+                        if last >= at and len(both) >= need:
+                            runs.add((first, last, len(both)))
+                            break
+                        held |= wanted.intersection(ranks[last])
+                        between += len(ranks[last])
+                        if between >= length:
+                            break
+            alone = [i for i in {i for a, b, _ in runs for i in range(a, b + 1)} if len(wanted.intersection(ranks[i])) >= need]
+            for a, b, n in runs:
+                inside = any(a <= c and d <= b and (c, d) != (a, b) for c, d, _ in runs)
+                if not inside and not any(a <= i <= b for i in alone):
+                    found.add((a, b, label, n / len(wanted)))
+        return sorted(found)
+
     def contained(self, block: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every notice that the block holds."""
         mine = {self.rank[w] for w in block if w in self.rank}
@@ -117,7 +166,7 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 
 def scan_rows(batches: Iterable[pa.RecordBatch], index: NoticeIndex) -> Iterator[pa.RecordBatch]:
-    blocks_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+    blocks_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("last_line", pa.int64())]))
     for batch in batches:
         out: list[tuple] = []
         for text in batch.column(1):
@@ -127,10 +176,13 @@ def scan_rows(batches: Iterable[pa.RecordBatch], index: NoticeIndex) -> Iterator
             held = index.prefix_words.intersection(tokens)
             if held:
                 joined = b" " + b" ".join(tokens) + b" "
-                for line, block in enumerate(data.split(b"\n")):
-                    block = block.split()
+                lines = [line.split() for line in data.split(b"\n")]
+                for line, block in enumerate(lines):
                     if not held.isdisjoint(block):
-                        blocks += [{"line": line, "label": label, "containment": c} for label, c in sorted(set(index.contained(block)))]
+                        blocks += [{"line": line, "label": label, "containment": c, "last_line": line}
+                                   for label, c in sorted(set(index.contained(block)))]
+                blocks += [{"line": a, "label": label, "containment": c, "last_line": b} for a, b, label, c in index.wrapped(lines)]
+                blocks.sort(key=lambda b: (b["line"], b["last_line"], b["label"], b["containment"]))
                 places = base_places(joined)
             elif any(all(w in data for w in phrase.split()) for phrase, _ in _PHRASES):
                 places = base_places(b" " + b" ".join(tokens) + b" ")
@@ -155,7 +207,7 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
         lambda b: scan_rows(b, index),
         f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-        "score double, blocks array<struct<line:bigint,label:string,containment:double>>")
+        "score double, blocks array<struct<line:bigint,label:string,containment:double,last_line:bigint>>")
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

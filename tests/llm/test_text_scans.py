@@ -62,3 +62,26 @@ def test_op6_texts(spark):
         want = " ".join(filter(None, (re.sub(r"\s+", " ", unescape(re.sub("<[^>]*>", "", x))).strip()
                                       for x in re.split(r"</?(?:p|h1|br|div)[^>]*>", article))))
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following",
+    "isc": " * Permission to use, copy, modify, and/or distribute this software for\r\n * any purpose with or without fee is hereby granted, provided",
+    "mpl": "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not",
+    "lgpl": "you can redistribute it and/or modify\nit under the terms of the GNU\n\nLesser General Public License as published",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = [f"some words before\n{t}\nand more after" for t in WRAPPED.values()]
+    one = "x\n" + L.NOTICES[8][1] + "\nin source"
+    apart = L.NOTICES[8][1][:40] + "\n" + "other words stand here " * 10 + "\n" + L.NOTICES[8][1][40:]
+    texts += [one, apart, "", "word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.scan(spark, df).collect()}
+    for i, label in enumerate(WRAPPED):
+        blocks = [b for b in got[i]["blocks"] if b["label"] == label]
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8
+        assert [(b["line"], b["last_line"]) for b in blocks] == [(1, 4 if label == "lgpl" else 2)]
+    assert [(b["line"], b["last_line"], b["label"]) for b in got[4]["blocks"]] == [(1, 1, "bsd")]
+    assert not got[5]["blocks"] and not got[6]["blocks"] and not got[7]["blocks"]
