@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags.  Containers that name their role
 (navigation, header, footer, aside, forms, adverts, notices, comments) are left
-out with all they hold.  The first pass classifies the other blocks by length,
+out with all they hold; a class, id or role names one as a whole word or by its
+first or last part, without a word of state, and an article in an element so
+named stays where the page has no other.  A p, li, dt or dd ends where the next
+block begins, as in HTML.  The first pass classifies the other blocks by length,
 link density and stop-word density; blocks inside an article or main element
 need only a low link density.  Short blocks stay undecided, and in the second
 pass take the label of the nearest decided neighbours (both sides good, or the
@@ -33,10 +36,20 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "
          "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li",
          "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 MAIN = {"article", "main"}
+# Raw text to the end tag; the other raw elements may be self-closed, and without an end tag only their start tag goes.
+RAW_TEXT = {"script", "style", "textarea", "title"}
+CLOSES_P = (BLOCK - {"body", "br", "caption", "head", "html", "option", "tbody", "td", "tfoot", "th", "thead", "tr"})
+# Start tags that end an open element of the same group, up to the element that holds the group.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"})}
+P_SCOPE = {"button", "caption", "table", "td", "th"}
 ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|header|masthead|menu|modal|nav|"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|header|masthead|menu|modal|nav|"
     r"navbar|navigation|newsletter|notice|overlay|popup|promo|related|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|"
-    r"widget|complementary|contentinfo|search|alert)(?:$|[\s_-])", re.I)
+    r"widget|complementary|contentinfo|search|alert)", re.I)
+# Parts of a class name that tell of a page's state or layout, not of the element's role.
+STATE = {"accepted", "active", "closed", "collapsed", "disabled", "enabled", "expanded", "fixed", "has", "hidden", "hide", "is",
+         "no", "none", "not", "off", "on", "open", "show", "shown", "static", "sticky", "visible", "with", "without"}
+LAYOUT = {"content", "layout"}
 STOP_WORDS = set(
     "the of and a to in is that for it as was with be by on not he his but at are this have from or had an they which one were all "
     "le la les de des du et un une en que qui dans est pour par sur au aux pas ne se ce avec plus "
@@ -53,24 +66,47 @@ LOW_STOP, HIGH_STOP = 0.10, 0.25
 LONG = 200
 
 
+NAMED, LIFTED = 1, 2
+
+
 class Block:
-    def __init__(self, main: bool, outside: bool):
-        self.main, self.outside, self.parts, self.linked = main, outside, [], 0
+    def __init__(self, main: bool, outside: bool, named: int):
+        """``outside``: within an element left out for its tag; ``named``: in
+        one that names its role (NAMED), or in an article in such (LIFTED)."""
+        self.main, self.outside, self.named, self.parts, self.linked = main, outside, named, [], 0
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def role_outside(name: str, attributes: str, in_main: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not in_main):
-        return True
-    return any(ROLE.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes)) if attributes and name not in MAIN | {"body", "html"} else False
+def names_role(name: str) -> bool:
+    """A class name that is a role word, or begins or ends with one as a part."""
+    parts = re.split(r"[_-]+", name.strip("_-").lower())
+    if len(parts) == 1:
+        return bool(ROLE.fullmatch(parts[0]))
+    if not STATE.isdisjoint(parts):
+        return False
+    return bool(ROLE.fullmatch(parts[0]) or (parts[0] not in LAYOUT and ROLE.fullmatch(parts[-1])))
+
+
+def role_outside(attributes: str) -> bool:
+    return any(names_role(x) for _, a, b, c in ATTRIBUTE.findall(attributes) for x in (a or b or c).split()) if attributes else False
+
+
+def close(stack: list[tuple], names: set[str], scope: set[str]) -> None:
+    """End the innermost open element of ``names``, and what is open in it."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] in names:
+            del stack[k:]
+            return
+        if stack[k][0] in scope:
+            return
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order, with the role of what they stand in."""
-    out = [Block(False, False)]
-    stack: list[tuple[str, bool, bool]] = []        # open elements: name, in main, outside
+    out = [Block(False, False, 0)]
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, in main, outside, named
     at, links = 0, 0
 
     def add(text: str) -> None:
@@ -87,17 +123,31 @@ def blocks_of(html: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        _, main, outside = stack[-1] if stack else ("", False, False)
         if not m[1]:
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
-                if not close:
+                if name not in RAW_TEXT and m[3].endswith("/"):
+                    continue
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif name in RAW_TEXT:
+                    at = len(html)
                     break
                 continue
             links += name == "a"
+            if name in CLOSES_P:
+                close(stack, {"p"}, P_SCOPE)
+            if name in SIBLINGS:
+                close(stack, *SIBLINGS[name])
             if name not in VOID:
-                stack.append((name, main or name in MAIN, outside or role_outside(name, m[3], main)))
+                _, main, outside, named = stack[-1] if stack else ("", False, False, 0)
+                outside = outside or name in OUTSIDE or (name == "header" and not main)
+                role = name not in {"body", "html"} and role_outside(m[3])
+                if name in MAIN:
+                    named = LIFTED if named == NAMED and not role else named
+                elif role:
+                    named = NAMED
+                stack.append((name, main or name in MAIN, outside, named))
         else:
             links = max(0, links - (name == "a"))
             for k in range(len(stack) - 1, -1, -1):
@@ -106,9 +156,8 @@ def blocks_of(html: str) -> list[Block]:
                     del stack[k:len(stack) if name in BLOCK else k + 1]
                     break
         if name in BLOCK:
-            _, main, outside = stack[-1] if stack else ("", False, False)
             links = 0 if not any(x[0] == "a" for x in stack) else links
-            out.append(Block(main, outside))
+            out.append(Block(*(stack[-1][1:] if stack else (False, False, 0))))
     if at < len(html):
         add(html[at:])
     return out
@@ -116,7 +165,7 @@ def blocks_of(html: str) -> list[Block]:
 
 def first_pass(block: Block, text: str) -> bool | None:
     """True: main text; False: not; None: undecided."""
-    if block.outside:
+    if block.outside or block.named == NAMED:
         return False
     if block.linked > MAX_LINKS * len(text):
         return False
@@ -134,6 +183,8 @@ def first_pass(block: Block, text: str) -> bool | None:
 def main_text(html: str | None) -> str:
     kept = [(b, t) for b in blocks_of(html or "") if (t := b.text())]
     labels = [first_pass(b, t) for b, t in kept]
+    if any(b.main and not b.named and x for (b, _), x in zip(kept, labels)):
+        labels = [x if b.named != LIFTED else False for (b, _), x in zip(kept, labels)]
     has_main = any(b.main and x for (b, _), x in zip(kept, labels))
     decided = [k for k, x in enumerate(labels) if x is not None]
     final = list(labels)

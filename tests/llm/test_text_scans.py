@@ -85,3 +85,20 @@ def test_wrapped_notices(spark):
         assert [(b["line"], b["last_line"]) for b in blocks] == [(1, 4 if label == "lgpl" else 2)]
     assert [(b["line"], b["last_line"], b["label"]) for b in got[4]["blocks"]] == [(1, 1, "bsd")]
     assert not got[5]["blocks"] and not got[6]["blocks"] and not got[7]["blocks"]
+
+
+def test_html_layout_names_and_open_elements():
+    text = "It was the best of the times and it was the worst of the times in the age of the wise. " * 3
+    want = text.strip()
+    for name in ("site has-sidebar", "no-sidebar", "content-sidebar-wrap", "header-fixed page", "comments-off", "cookies-accepted"):
+        assert H.main_text(f'<body><div class="{name}"><p>{text}</p></div></body>') == want
+        assert H.main_text(f'<body><div class="{name}"><article><p>{text}</p></article></div></body>') == want
+    assert H.main_text(f'<div class="sidebar"><main><p>{text}</p></main></div>') == want
+    for name in ("ad", "sidebar-left", "site-footer", "page-header", "cookie-notice", "main_nav"):
+        assert H.main_text(f'<div class="{name}"><p>{text}</p></div><p>{text}</p>') == want
+    assert H.main_text(f'<article><p>{text}</p></article><div id="comments"><article><p>I say of the of the</p></article></div>') == want
+    for element in ('<svg viewBox="0 0 1 1" />', "<math/>", "<object data=x>", "<iframe src='x'/>", "<canvas>", "<svg><path/>x</svg>"):
+        assert H.main_text(f"<article><p>{text}</p>{element}<p>{text}</p></article>") == f"{want} {want}"
+    assert H.main_text(f"<article><p class=ad>Buy<p>{text}<p>{text}</article>") == f"{want} {want}"
+    assert H.main_text(f"<article><ul><li class=share>Share<li>{text}</ul><p>{text}</article>") == f"{want} {want}"
+    assert H.main_text(f"<article><ul><li class=share>Share<ul><li>in it</ul><li>{text}</ul></article>") == want
