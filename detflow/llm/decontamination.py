@@ -114,11 +114,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id has no benchmark window, as they were; rows
-    with a null id stay only if no such row has one."""
-    hit = decontaminate(spark, docs, items, id_col).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    """The rows of ``docs`` without a benchmark window, as they were.  A row is
+    named by its id, which may be null, and the xxhash64 of its text."""
+    version = F.xxhash64("text")
+    named = docs.select(F.struct(F.col(id_col).alias("id"), version.alias("version")).alias("name"), "text")
+    hit = decontaminate(spark, named, items, "name").where("n_hit > 0").select(
+        F.col("doc_id.id").alias("__hit"), F.col("doc_id.version").alias("__version")).distinct()
     hit = stage(spark, hit, "contaminated")
-    return docs.join(hit.hint("merge"), F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+    return docs.join(hit.hint("merge"), F.col(id_col).eqNullSafe(F.col("__hit")) & (version == F.col("__version")), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

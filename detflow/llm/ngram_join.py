@@ -385,14 +385,19 @@ class Join:
         release(self.spark, units, members, blocks)
 
 
-def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
-         percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, version, n_shingles, component_id) of every row of ``docs``;
-    ``version`` is the xxhash64 of the text."""
+def joined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, rounds: int) -> Join:
     work = Join(spark, docs, id_col, text_col, n, percent)
     for seed in range(rounds):
         work.centre_round(seed)
     work.finish()
+    return work
+
+
+def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
+         percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, version, n_shingles, component_id) of every row of ``docs``;
+    ``version`` is the xxhash64 of the text."""
+    work = joined(spark, docs, id_col, text_col, n, percent, rounds)
     named = work._labelled(work.classes.select("class", "high", "low", "doc_id"))
     least = stage(spark, named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
     of_class = stage(spark, named.join(least.hint("merge"), "component").select("high", "low", "component_id"), "class-ids")
@@ -403,11 +408,16 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one (the smallest doc_id) of each
-    component; rows with a null doc_id stay."""
-    rows = stage(spark, join(spark, docs, id_col, text_col), "components")
-    linked = rows.where("component_id IS NOT NULL").groupBy("component_id").agg(
+    component; rows with a null doc_id or an empty set stay.  Components are told
+    apart by their own number, so a doc_id that unlinked texts share joins none."""
+    work = joined(spark, docs, id_col, text_col, N, PERCENT, ROUNDS)
+    of_class = work._labelled(work.classes.select("class", "high", "low")).select("high", "low", "component")
+    rows = work.sets.select("doc_id", "version", "size", "high", "low").join(of_class.hint("merge"), ["high", "low"], "left")
+    rows = stage(spark, rows.select("doc_id", "version", F.when(
+        (F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).alias("component")), "components")
+    linked = rows.where("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct("doc_id", "version")).alias("kept")).select("kept.*")
-    kept = linked.unionByName(rows.where("component_id IS NULL").select("doc_id", "version"))
+    kept = linked.unionByName(rows.where("component IS NULL").select("doc_id", "version"))
     return keep_rows(docs, stage(spark, kept, "kept-rows"), id_col, text_col)
 
 

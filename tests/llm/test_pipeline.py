@@ -64,3 +64,19 @@ def test_line_dedup_edges(spark):
     assert got == [(0, 2, 1, "z"), (1, 3, 1, "x\ny"), (2, 2, 2, ""), (3, 1, 0, line), (3, 1, 0, line), (4, 1, 0, ""), (5, 1, 0, ""),
                    (6, 2, 0, "short\nshort")]
     assert D.drop_lines(spark, df.limit(0)).count() == 0
+
+
+def test_row_filters_keep_clean_texts_of_repeated_and_null_ids(spark):
+    import random
+
+    from detflow.llm.decontamination import drop_contaminated
+    from detflow.llm.ngram_join import drop_near_copies
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    rows = [(1, a), (1, b), (1, ""), (2, a + " more"), (2, c), (None, d), (None, e), (None, a), (3, None), (3, d), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    far = {tuple(r) for r in drop_near_copies(spark, df).collect()}
+    assert far == set(rows) - {(2, a + " more")}
+    items = spark.createDataFrame([(7, " ".join(b.split()[5:20])), (8, " ".join(d.split()[:12]))], "item_id long, text string")
+    left = [tuple(r) for r in drop_contaminated(spark, df, items).collect()]
+    assert len(left) == len(rows) - 3 and set(left) == {r for r in rows if r[1] not in (b, d)}
