@@ -52,6 +52,13 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove stage tables that no later job reads."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _remove(spark, path)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove stage tables that nothing reads any more, and let Spark's cleaner
     drop the shuffle files of the jobs that have ended."""

@@ -19,7 +19,7 @@ Automata.  The phrases are dealt to shards by anchor.  A shard's phrases are
 compiled into one Aho-Corasick automaton over their words (each word of a shard
 has a code of three letters, one of each of three alphabets, so that matches
 begin and end at words), and the distinct segments of the shard's anchors are
-streamed through it behind them.  What it finds, word by word, goes back to all
+streamed through it.  What it finds, word by word, goes back to all
 texts that hold the segment.  A shard has a bounded number of segments; an
 anchor with more gets blocks of its own, each block of segments streamed through
 each block of phrases.
@@ -39,10 +39,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detflow.llm.common import read, stage
+from detflow.llm.common import read, remove_tables, stage
 
 WINDOW = 35
 GRAM = 8
@@ -153,23 +153,11 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
                                       ["anchor", "segment", "windows", "weight", "variants", "words", "hashes"])
 
 
-def phrase_rows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Columns anchor, variants, words, windows, whole, recurring (window numbers) to
-    a row per recurring phrase: the words under a run of recurring windows."""
-    for batch in batches:
-        take, phrases = [], []
-        for i, (words, n, whole, recurring) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
-            if whole:
-                take.append(i)
-                phrases.append(words)
-                continue
-            split, at = words.split(b" "), np.sort(np.array(recurring, np.int64))
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                take.append(i)
-                phrases.append(b" ".join(split[run[0]:run[-1] + window]))
-        index = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(phrases, pa.binary())],
-                                         ["anchor", "variants", "phrase"])
+def runs(words: bytes, recurring: list[int], window: int) -> Iterator[bytes]:
+    """The words under each run of recurring windows (numbers within a segment)."""
+    split, at = words.split(b" "), np.sort(np.array(recurring, np.int64))
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        yield b" ".join(split[run[0]:run[-1] + window])
 
 
 # ---------------------------------------------------------------- automata
@@ -221,40 +209,69 @@ class Automaton:
 LOCATED = "anchor long, segment long, windows int, spans array<struct<first:int,behind:int>>"
 
 
-def locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns hot, shard, block, lane, kind, words, anchor, segment, windows, in this
-    order, the phrases (kind 0) of a shard before its segments: covered words."""
-    now, automaton = None, Automaton()
-    for batch in batches:
-        out: list[tuple] = []
-        for hot, shard, block, lane, kind, words, *name in zip(*(c.to_pylist() for c in batch.columns)):
-            if (hot, shard, block, lane) != now:
-                now, automaton = (hot, shard, block, lane), Automaton()
-            if kind == 0:
-                automaton.add(words)
-            elif spans := automaton.spans(words):
-                out.append((*name, [{"first": a, "behind": b} for a, b in spans]))
+def shard_spans(rows: list[dict], window: int) -> Iterator[tuple]:
+    """The rows of one shard: compile the phrases of its sources, then stream its texts."""
+    automaton, recurring = Automaton(), {}
+    name = lambda r: (r["anchor"], r["segment"], r["windows"])
+    for r in rows:
+        if r["words"] is None:
+            recurring[name(r)] = r["recurring"]
+    for r in rows:
+        if r["words"] is not None and r["source"]:
+            if r["weight"] > 1:
+                automaton.add(r["words"])
+            elif name(r) in recurring:
+                for phrase in runs(r["words"], recurring[name(r)], window):
+                    automaton.add(phrase)
+    for r in rows:
+        if r["words"] is not None and r["streamed"] and (spans := automaton.spans(r["words"])):
+            yield (*name(r), [{"first": a, "behind": b} for a, b in spans])
+
+
+def locate(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``in_shards``, those of a shard together, to the covered words of its segments."""
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
         types = pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("first", pa.int32()), ("behind", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
-                                         ["anchor", "segment", "windows", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
+                                          ["anchor", "segment", "windows", "spans"])
 
-
-def in_shards(spark: SparkSession, phrases: DataFrame, segments: DataFrame, shard_segments: int) -> DataFrame:
-    """Rows of ``locate``: phrases and segments of one shard, block and lane together."""
+    now, rows = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            if (shard := (r["hot"], r["shard"], r["block"], r["lane"])) != now:
+                out += shard_spans(rows, window)
+                now, rows = shard, []
+            rows.append(r)
+        yield batch_of(out)
+    yield batch_of(list(shard_spans(rows, window)))
+
+
+def in_shards(spark: SparkSession, segments: DataFrame, recurring: DataFrame, shard_segments: int) -> DataFrame:
+    """Segments, and window numbers of segments (``recurring``), with those of their
+    shard.  A segment is a source of phrases and a text to stream; in the blocks of
+    a hot anchor it is the source of one block, a text of one lane."""
     n_shards = max(1, -(-segments.count() // shard_segments))
     blocks = F.ceil(F.col("variants") / shard_segments).cast("int")
     hot = blocks > 1
     shard = F.when(hot, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-    own = lambda col: F.pmod(F.xxhash64(col), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    name = [F.col("anchor"), F.col("segment"), F.col("windows")]
-    rows = phrases.select(hot.alias("hot"), shard.alias("shard"), own("phrase").alias("block"), every.alias("lane"), F.lit(0).alias("kind"),
-                          F.col("phrase").alias("words"), *[F.lit(None).cast(t).alias(c) for c, t in (("anchor", "long"), ("segment", "long"), ("windows", "int"))])
-    rows = rows.distinct().unionByName(segments.select(
-        hot.alias("hot"), shard.alias("shard"), every.alias("block"), own("segment").alias("lane"), F.lit(1).alias("kind"), "words", *name))
+    own = F.pmod(F.xxhash64("segment"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+
+    def place(block: Column, lane: Column, source: Column, streamed: Column) -> Column:
+        return F.struct(block.alias("block"), lane.alias("lane"), source.alias("source"), streamed.alias("streamed"))
+
+    sources = F.transform(every, lambda i: place(own, i, F.lit(True), own == i))
+    texts = F.transform(F.filter(every, lambda i: i != own), lambda i: place(i, own, F.lit(False), F.lit(True)))
+    name = ["anchor", "segment", "windows"]
+    rows = segments.select(hot.alias("hot"), shard.alias("shard"), F.explode(F.concat(sources, texts)).alias("p"), *name, "weight", "words",
+                           F.lit(None).cast("array<int>").alias("recurring"))
+    rows = rows.unionByName(recurring.select(
+        hot.alias("hot"), shard.alias("shard"), F.explode(sources).alias("p"), *name, F.lit(None).cast("long").alias("weight"),
+        F.lit(None).cast("binary").alias("words"), "recurring"))
     key = ["hot", "shard", "block", "lane"]
-    return (rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "kind")
-            .select(*key, "kind", "words", "anchor", "segment", "windows"))
+    rows = rows.select("hot", "shard", "p.*", *name, "weight", "words", "recurring")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
 
 
 # ---------------------------------------------------------------- the operator
@@ -264,33 +281,35 @@ def covered(spark: SparkSession, docs: DataFrame, text_col: str = "text", window
     words that lie under recurring windows; they may overlap."""
     texts = docs.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     rows = texts.mapInArrow(lambda b: occurrence_rows(b, window, gram), OCCURRENCES).where(F.size("anchor") > 0)
-    rows = stage(spark, rows.groupBy("key").agg(
-        F.count("*").alias("weight"), F.first(F.struct("anchor", "at", "windows", "segment")).alias("o")), "anchors")
-    each = rows.select("key", "weight", F.explode(F.arrays_zip("o.anchor", "o.at", "o.windows", "o.segment")).alias("o")).select("key", "weight", "o.*")
+    rows = stage(spark, rows.groupBy("key").agg(F.count("*").alias("weight"), F.first(F.struct("anchor", "at", "windows", "segment")).alias("o"))
+                 .withColumn("id", F.monotonically_increasing_id()), "anchors")
+    each = rows.select("id", "weight", F.explode(F.arrays_zip("o.anchor", "o.at", "o.windows", "o.segment")).alias("o")).select("id", "weight", "o.*")
+    shared = stage(spark, each.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"), "shared-anchors")
+    places = stage(spark, each.join(shared.hint("merge"), "anchor"), "places")
     name = ["anchor", "segment", "windows"]
-    distinct = stage(spark, each.groupBy(*name).agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "at")).alias("where")), "segments")
-    shared = stage(spark, distinct.groupBy("anchor").agg(F.sum("weight").alias("n"), F.count("*").alias("variants"))
-                   .where("n > 1").drop("n"), "shared-anchors")
-    wanted = (distinct.join(shared.hint("merge"), "anchor")
-              .select(F.col("where.key").alias("key"), F.struct(*name, "weight", "variants", F.col("where.at").alias("at")).alias("x"))
-              .groupBy("key").agg(F.collect_list("x").alias("wanted")))
+    distinct = stage(spark, places.groupBy(*name).agg(F.sum("weight").alias("weight"), F.min(F.struct("id", "at")).alias("where")), "segments")
+    variants = stage(spark, distinct.groupBy("anchor").agg(F.count("*").alias("variants")), "variants")
+    wanted = (distinct.join(variants.hint("merge"), "anchor")
+              .select(F.col("where.id").alias("id"), F.struct(*name, "weight", "variants", F.col("where.at").alias("at")).alias("x"))
+              .groupBy("id").agg(F.collect_list("x").alias("wanted")).join(rows.select("id", "key").hint("merge"), "id"))
     one = texts.groupBy("key").agg(F.first("text").alias("text"))
     segments = stage(spark, one.join(wanted.hint("merge"), "key").select("text", "wanted")
                      .mapInArrow(lambda b: segment_rows(b, window), SEGMENTS), "segment-words")
+    remove_tables(spark, shared, distinct, variants)
     # windows of anchors with several segments
-    windows = segments.where("variants > 1").select(*name, "weight", F.posexplode("hashes").alias("i", "hash"))
+    windows = segments.where("variants > 1").select(*name, "variants", "weight", F.posexplode("hashes").alias("i", "hash"))
     recurring = stage(spark, windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"), "recurring-windows")
-    inside = (windows.where("weight = 1").select(*name, "i", "hash").join(recurring.hint("merge"), ["anchor", "hash"])
-              .groupBy(*name).agg(F.collect_list("i").alias("recurring")))
-    phrases = (segments.select(*name, "weight", "variants", "words").join(inside.hint("merge"), name, "left")
-               .where("weight > 1 OR recurring IS NOT NULL")
-               .select("anchor", "variants", "words", "windows", (F.col("weight") > 1).alias("whole"), "recurring")
-               .mapInArrow(lambda b: phrase_rows(b, window), "anchor long, variants long, phrase binary"))
-    located = stage(spark, in_shards(spark, phrases, segments, shard_segments).mapInArrow(locate, LOCATED), "located")
-    found = (each.select("key", "at", *name).join(located.hint("merge"), name)
-             .select("key", F.explode(F.transform("spans", lambda s: F.struct(
+    inside = (windows.where("weight = 1").select(*name, "variants", "i", "hash").join(recurring.hint("merge"), ["anchor", "hash"])
+              .groupBy(*name, "variants").agg(F.collect_list("i").alias("recurring")))
+    located = stage(spark, in_shards(spark, segments, inside, shard_segments).mapInArrow(lambda b: locate(b, window), LOCATED), "located")
+    remove_tables(spark, segments, recurring)
+    found = (places.select("id", "at", *name).join(located.hint("merge"), name)
+             .select("id", F.explode(F.transform("spans", lambda s: F.struct(
                  (s["first"] + F.col("at")).alias("first"), (s["behind"] + F.col("at")).alias("behind")))).alias("span")))
-    return stage(spark, found.groupBy("key").agg(F.collect_list("span").alias("spans")), "covered")
+    spans = found.groupBy("id").agg(F.collect_list("span").alias("spans")).join(rows.select("id", "key").hint("merge"), "id").drop("id")
+    spans = stage(spark, spans, "covered")
+    remove_tables(spark, rows, places, located)
+    return spans
 
 
 def kept_rows(batches: Iterable[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
