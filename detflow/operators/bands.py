@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detflow.functions import text as T
-from detflow.functions.tagger import tag_tokens
+from detflow.operators import editlog as EL
 from detflow.operators import pairing as D
-from detflow.operators import rewrite as R
 from detflow.operators.ranking import top_k
-from detflow.sources.tables import BAND_EDGES, BAND_LIMITS, UNFILTERED
+from detflow.sources.tables import BAND_EDGES, BAND_LIMITS
 
 
 def band_of(age: Column) -> Column:
@@ -32,28 +30,26 @@ def limits_from(age: Column) -> Column:
     return F.filter(F.array(*[F.lit(x) for x in BAND_LIMITS]), lambda l: l >= age)
 
 
-def training_corpus(parent: DataFrame, noun_types: DataFrame, remove_conflicts: bool = True,
-                    num_passes: int = 2) -> DataFrame:
+def training_corpus(parent: DataFrame, log: DataFrame) -> DataFrame:
     """Rewritten parent text for variants 0-75 plus the raw parent text as
     variant 100; (model_type, uid, k, id, turn, sent_no, age_months, utt, tagged),
-    where ``tagged`` equals tagging ``utt`` afresh."""
+    where ``tagged`` equals tagging ``utt`` afresh.  ``log`` has no rows of
+    variant 100, so its sentences stay as they are."""
     cols = ["model_type", "uid", "k", "id", "turn", "sent_no", "age_months", "utt", "tagged"]
-    rw = R.rewrite_iterate(parent, noun_types, remove_conflicts, num_passes).select(*cols)
-    raw = parent.withColumn("model_type", F.lit(UNFILTERED)).select(*cols)
-    return rw.unionByName(raw)
+    return EL.texts(parent, log, EL.EVERY).where(F.trim("utt") != "").select(*cols)
 
 
-def training_bands(corpus: DataFrame) -> DataFrame:
+def in_bands(df: DataFrame) -> DataFrame:
     """One bin per sentence; rows outside (0, 58] are dropped."""
-    return corpus.withColumn("band_hi", band_of(F.col("age_months"))).where(F.col("band_hi").isNotNull())
+    return df.withColumn("band_hi", band_of(F.col("age_months"))).where(F.col("band_hi").isNotNull())
 
 
-def noun_det_sets(bands: DataFrame, lookahead: int = 4) -> DataFrame:
-    """A4: re-tag each band's text and collect the determiners seen per noun."""
-    tagged = F.col("tagged") if "tagged" in bands.columns else tag_tokens(T.tokens("utt"))
-    t = bands.select("model_type", "band_hi", "uid", tagged.alias("tagged"))
-    p = D.explode_pairs(t, D.pair_checking("tagged", lookahead), ["model_type", "band_hi", "uid"])
-    return p.groupBy("model_type", "band_hi", "noun").agg(F.sort_array(F.collect_set("det")).alias("dets"))
+def noun_det_sets(base: DataFrame, log: DataFrame, lookahead: int = 4) -> DataFrame:
+    """A4: determiners seen per noun (D2) per variant and band, counted by
+    difference.  ``base``: the sentences with ``band_hi``."""
+    signed = EL.signed_pairs(base, log, lambda t: D.pair_checking(t, lookahead))
+    n = EL.count_by(signed, ["band_hi", "noun", "det"])
+    return n.groupBy("model_type", "band_hi", "noun").agg(F.sort_array(F.collect_set("det")).alias("dets"))
 
 
 def usage_summary(sets: DataFrame, examples: int = 10) -> DataFrame:

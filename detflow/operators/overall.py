@@ -48,16 +48,28 @@ def flexible_use_counts(df: DataFrame, keys=("age_months", "subject")) -> DataFr
     return groups.join(cnt, keys, "left").fillna(0, subset=["n_flex"])
 
 
+def at_rank(histogram, rank):
+    """The value at a rank (from 0) of a sorted array of (value, upto): ``upto`` counts
+    the rows of this and smaller values."""
+    return F.get(F.filter(histogram, lambda x: x["upto"] > rank), 0)["value"]
+
+
 def flexible_use_iqr(counts: DataFrame) -> DataFrame:
     """Per age the median and the quartiles sorted[n//4], sorted[3n//4]
-    (nearest index, not interpolated) of the per-subject counts."""
-    w = Window.partitionBy("age_months").orderBy("n_flex")
-    r = counts.withColumn("_i", F.row_number().over(w) - 1) \
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("age_months")))
-    return r.groupBy("age_months").agg(
-        F.median("n_flex").alias("median"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 4), F.col("n_flex"))).alias("q1"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 3 / 4), F.col("n_flex"))).alias("q3"))
+    (nearest index, not interpolated) of the per-subject counts.
+
+    The rows of an age are never sorted or brought together: equal values are
+    counted with map-side partials, and a rank is looked up in the age's
+    histogram, which is as long as it has distinct values."""
+    values = counts.groupBy("age_months", "n_flex").agg(F.count(F.lit(1)).alias("c"))
+    h = values.groupBy("age_months").agg(F.sort_array(F.collect_list(F.struct(F.col("n_flex").alias("value"), "c"))).alias("h"),
+                                         F.sum("c").alias("n"))
+    upto = F.aggregate("h", F.array().cast("array<struct<value:bigint,upto:bigint>>"), lambda acc, x: F.concat(acc, F.array(F.struct(
+        x["value"].alias("value"), (x["c"] + F.coalesce(F.get(acc, F.size(acc) - 1)["upto"], F.lit(0))).alias("upto")))))
+    h = h.withColumn("h", upto)
+    n, x = F.col("n"), F.col("h")
+    half = (at_rank(x, F.floor((n - 1) / 2)) + at_rank(x, F.floor(n / 2))) / F.lit(2.0)
+    return h.select("age_months", half.alias("median"), at_rank(x, F.floor(n / 4)).alias("q1"), at_rank(x, F.floor(n * 3 / 4)).alias("q3"))
 
 
 def mask_single_det(df: DataFrame) -> DataFrame:
@@ -93,10 +105,11 @@ def replace_det(tagged, new_det) -> F.Column:
                        .otherwise(x))
 
 
-def model_predictions(overall: DataFrame, bands: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
-    """R7 on the age-aligned model; J10: predictions stay keyed by uid."""
+def model_predictions(overall: DataFrame, tri: DataFrame, model_type: int = UNFILTERED, cut=None) -> DataFrame:
+    """R7 on the age-aligned model; J10: predictions stay keyed by uid.  ``tri``:
+    the model's training triples."""
     q = model_availability(mask_single_det(overall), model_type)
-    return predict(q, bands)
+    return predict(q, tri, [model_type], cut)
 
 
 def flexible_use_model(preds: DataFrame) -> DataFrame:
@@ -106,20 +119,20 @@ def flexible_use_model(preds: DataFrame) -> DataFrame:
     return flexible_use_counts(p)
 
 
-def evaluate_overall(overall: DataFrame, bands: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
+def evaluate_overall(overall: DataFrame, tri: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
     """Per age, child and model median / q1 / q3 of flexible use."""
     child = flexible_use_iqr(flexible_use_counts(overall))
-    model = flexible_use_iqr(flexible_use_model(model_predictions(overall, bands, model_type)))
+    model = flexible_use_iqr(flexible_use_model(model_predictions(overall, tri, model_type)))
     c = child.select("age_months", *[F.col(x).alias(f"child_{x}") for x in ("median", "q1", "q3")])
     m = model.select("age_months", *[F.col(x).alias(f"model_{x}") for x in ("median", "q1", "q3")])
     return c.join(m, "age_months", "left")
 
 
-def final_band_predictions(overall: DataFrame, bands: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
+def final_band_predictions(overall: DataFrame, tri: DataFrame, model_type: int = UNFILTERED, cut=None) -> DataFrame:
     """P12 + T11 + R7 with the final-band model, then P18."""
     q = mask_single_det(overall.where(F.col("age_months") <= FINAL_BAND))
     q = q.withColumn("age", F.lit(FINAL_BAND)).withColumn("model_type", F.lit(model_type))
-    p = predict(q, bands)
+    p = predict(q, tri, [model_type], cut)
     return p.where(F.col("gold_det").isin("a", "the") & F.col("pred_det").isin(*LABELS))
 
 

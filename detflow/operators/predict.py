@@ -18,31 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detflow.functions import text as T
+from detflow.operators.editlog import CLS, EVERY, SEP, per_variant
 from detflow.operators.joins import join_checked
-
-CLS, SEP = "[CLS]", "[SEP]"
-
-
-def lower_tokens(utt_col: str = "utt") -> Column:
-    return F.transform(T.tokens(utt_col), lambda w: F.lower(w))
-
-
-def triples(bands: DataFrame) -> DataFrame:
-    """(model_type, band_hi, prev, word, next) for every training token.
-
-    The padded token array is projected once as a column; the lambda then only
-    indexes it (an inline expression would be re-evaluated per element)."""
-    src = (F.transform("tagged", lambda x: F.lower(x["word"])) if "tagged" in bands.columns
-           else lower_tokens("utt"))
-    toks = bands.select("model_type", "band_hi", src.alias("_t"))
-    padded = toks.select("model_type", "band_hi", F.size("_t").alias("_n"), F.concat(
-        F.array(F.lit(CLS)), F.col("_t"), F.array(F.lit(SEP))).alias("_p"))
-    p = F.col("_p")
-    idx = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array().cast("array<int>"))
-    arr = F.transform(idx, lambda i: F.struct(F.get(p, i - 1).alias("prev"), F.get(p, i).alias("word"),
-                                              F.get(p, i + 1).alias("next")))
-    return padded.select("model_type", "band_hi", F.explode(arr).alias("x")).select("model_type", "band_hi", "x.*")
+from detflow.sources.tables import BAND_LIMITS
 
 
 def mask_context(tagged: Column, det_idx: Column) -> tuple[Column, Column]:
@@ -58,40 +36,49 @@ def _best(df: DataFrame, keys: list[str]) -> DataFrame:
                                  .alias("pred_word"))
 
 
-def context_counts(tri: DataFrame, ctx: DataFrame) -> DataFrame:
-    """One aggregation of the training triples serving all backoff levels.
+def context_counts(tri: DataFrame, ctx: DataFrame, variants: list[int] = EVERY) -> DataFrame:
+    """One aggregation of the signed training triples serving all backoff levels.
 
     A neighbour (or neighbour pair) is kept only if some query needs it, else it
     is nulled; then one GROUPING SETS aggregation emits, in a single pass with
     map-side partial aggregation, each level at its own granularity:
       level 1 (prev, next, word) for needed pairs, level 2 (next, word),
       level 3 (prev, word), level 4 (word).
+    The base is counted once, goes to every variant as counts, and keeps of a
+    variant what that variant's queries need.
     Columns: (model_type, band_hi, level, prev, next, word, n)."""
-    need_p = ctx.select("model_type", "prev").distinct().withColumn("_kp", F.lit(True))
-    need_n = ctx.select("model_type", "next").distinct().withColumn("_kn", F.lit(True))
-    need_pn = ctx.select("model_type", "prev", "next").distinct().withColumn("_kpn", F.lit(True))
+    need_p = ctx.select("prev").distinct().withColumn("_kp", F.lit(True))
+    need_n = ctx.select("next").distinct().withColumn("_kn", F.lit(True))
+    need_pn = ctx.select("prev", "next").distinct().withColumn("_kpn", F.lit(True))
     # The query contexts come from the (small) test sets: broadcast them after a
     # size check so the triples are filtered in place instead of shuffled.
-    t = join_checked(tri, need_p, ["model_type", "prev"], "left")
-    t = join_checked(t, need_n, ["model_type", "next"], "left")
-    t = join_checked(t, need_pn, ["model_type", "prev", "next"], "left")
-    t = t.select("model_type", "band_hi", "word",
+    t = join_checked(tri, need_p, ["prev"], "left")
+    t = join_checked(t, need_n, ["next"], "left")
+    t = join_checked(t, need_pn, ["prev", "next"], "left")
+    t = t.select("model_type", "band_hi", "word", "sign",
                  F.when(F.col("_kpn"), F.col("prev")).alias("p1"), F.when(F.col("_kpn"), F.col("next")).alias("n1"),
                  F.when(F.col("_kn"), F.col("next")).alias("n2"), F.when(F.col("_kp"), F.col("prev")).alias("p3"))
     base = ["model_type", "band_hi", "word"]
     g = t.groupingSets([base + ["p1", "n1"], base + ["n2"], base + ["p3"], base],
                        "model_type", "band_hi", "word", "p1", "n1", "n2", "p3").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping("p1").alias("g1"), F.grouping("n2").alias("g2"),
+        F.sum("sign").alias("n"), F.grouping("p1").alias("g1"), F.grouping("n2").alias("g2"),
         F.grouping("p3").alias("g3"))
     level = (F.when(F.col("g1") == 0, F.lit(1)).when(F.col("g2") == 0, F.lit(2))
              .when(F.col("g3") == 0, F.lit(3)).otherwise(F.lit(4)))
     g = g.select("model_type", "band_hi", level.alias("level"),
                  F.coalesce("p1", "p3").alias("prev"), F.coalesce("n1", "n2").alias("next"), "word", "n")
     # rows whose needed key was nulled belong to no level
-    return g.where(((F.col("level") == 1) & F.col("prev").isNotNull())
-                   | ((F.col("level") == 2) & F.col("next").isNotNull())
-                   | ((F.col("level") == 3) & F.col("prev").isNotNull())
-                   | (F.col("level") == 4))
+    g = g.where(((F.col("level") == 1) & F.col("prev").isNotNull())
+                | ((F.col("level") == 2) & F.col("next").isNotNull())
+                | ((F.col("level") == 3) & F.col("prev").isNotNull())
+                | (F.col("level") == 4))
+    c = per_variant(g, ["band_hi", "level", "prev", "next", "word"], variants)
+    kp, kn = _keys(F.col("level"), F.col("prev"), F.col("next"))
+    own = ctx.select("model_type", "prev", "next", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3)])).alias("level"))
+    own = own.select("model_type", "level", kp, kn).distinct()
+    upper = c.where("level < 4").select("*", kp, kn)
+    upper = join_checked(upper, own, ["model_type", "level", "kp", "kn"], "left_semi").drop("kp", "kn")
+    return upper.unionByName(c.where("level = 4")).select("model_type", "band_hi", "level", "prev", "next", "word", "n")
 
 
 NONE = "\u0000"   # join-key stand-in for "this level ignores that neighbour"
@@ -105,10 +92,14 @@ def _keys(level: F.Column, prev: F.Column, nxt: F.Column) -> list[F.Column]:
 
 def best_by_level(c: DataFrame, ctx: DataFrame) -> DataFrame:
     """Best word for every (model_type, age, level, context key) at once: the
-    four backoff lookups share one join and one argmax.  Counts of band b
+    backoff lookups share one join and one argmax.  Counts of band b
     serve every age >= b (the cumulative warm start): each (context, word)
-    carries its per-band counts and sums those <= age in place."""
-    levels = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("level")
+    carries its per-band counts and sums those <= age in place.
+
+    Level 4 has one context a variant, which every word is in: it joins nothing.
+    Its words go to the (at most 12) ages themselves and their argmax is taken
+    with map-side partials, so no task gets all words of a variant."""
+    levels = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3)])).alias("level")
     q = ctx.select("model_type", "age", "prev", "next", levels)
     q = q.select("model_type", "age", "level", *_keys(F.col("level"), F.col("prev"), F.col("next"))).distinct()
     cc = c.select("model_type", "band_hi", "level", *_keys(F.col("level"), F.col("prev"), F.col("next")),
@@ -116,23 +107,26 @@ def best_by_level(c: DataFrame, ctx: DataFrame) -> DataFrame:
     # per (context, word): its counts per band (<= 12 entries, a bounded group)
     cw = cc.groupBy("model_type", "level", "kp", "kn", "word").agg(
         F.collect_list(F.struct("band_hi", "n")).alias("bc"))
-    j = join_checked(cw, q, ["model_type", "level", "kp", "kn"])
+    j = join_checked(cw.where("level < 4"), q, ["model_type", "level", "kp", "kn"])
+    ages = cw.where("level = 4").withColumn("age", F.explode(F.array(*[F.lit(x) for x in BAND_LIMITS])))
+    j = j.unionByName(ages.select(*j.columns))
     cum = F.aggregate(F.filter("bc", lambda x: x["band_hi"] <= F.col("age")), F.lit(0).cast("bigint"),
                       lambda acc, x: acc + x["n"])
     j = j.select("model_type", "age", "level", "kp", "kn", "word", cum.alias("n")).where(F.col("n") > 0)
     return _best(j, ["model_type", "age", "level", "kp", "kn"])
 
 
-def predict(queries: DataFrame, bands: DataFrame, materialize: bool = True) -> DataFrame:
+def predict(queries: DataFrame, tri: DataFrame, variants: list[int] = EVERY, cut=None) -> DataFrame:
     """R7 + W3: ``queries`` has (model_type, age, prev, next, ...);
-    adds ``pred_word`` and ``pred_det`` (a / the / other).
+    adds ``pred_word`` and ``pred_det`` (a / the / other).  ``tri``: signed training
+    triples (``editlog.signed_triples``); ``age`` is one of the band limits.
 
-    The context counts feed four backoff levels; they are checkpointed once
-    (reliable, in ``spark.checkpoint.dir``) so the training text is counted once."""
+    The context counts feed four backoff levels; ``cut`` writes them once, so the
+    training text is counted once."""
     ctx = queries.select("model_type", "age", "prev", "next")
-    c = context_counts(triples(bands), ctx)
-    if materialize:
-        c = c.checkpoint(eager=True)
+    c = context_counts(tri, ctx, variants)
+    if cut is not None:
+        c = cut(c)
     best = best_by_level(c, ctx)
     levels = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("level")
     qk = ctx.distinct().select("model_type", "age", "prev", "next", levels)

@@ -1,14 +1,14 @@
 """Rewrite parent sentences so determiners agree with the assigned noun types
 (R1-R4, J1, J4, A10).
 
-Plan (all variants at once, ``model_type`` is a join key):
+Plan (all variants at once):
   1. explode only the <= 3-token windows after each a/the determiner (narrow);
-  2. join window tokens to the noun map on the lowercase word  [J1];
-  3. regroup by (model_type, uid, det_idx): first two typed words -> decision;
+  2. join window tokens to the noun map on the lowercase word  [J1], one row per
+     noun with its types of every variant;
+  3. regroup by sentence and determiner: first two typed words -> decision per variant;
   4. conflicts draw a replacement exclusive noun by an equi-join on
      (model_type, type, idx)  [J4];
-  5. edits and conflict flags of all variants are packed per ``uid`` and joined
-     back once, so the large sentence table is shuffled once, not per variant.
+  5. the outcome is an edit log (``editlog.py``), not text.
 Windows always read the original tokens, so determiners are independent; when
 two determiners adapt the same word the later one wins.
 """
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from detflow.functions import text as T
 from detflow.functions.draws import h
-from detflow.functions.tagger import pos_of, tag_tokens
+from detflow.functions.tagger import tag_tokens
+from detflow.operators import editlog as EL
 from detflow.operators import pairing as D
-from detflow.operators.assign import exclusive_nouns, with_variants
+from detflow.operators.assign import exclusive_nouns
 from detflow.operators.filters import _t
 from detflow.operators.joins import join_checked
 from detflow.sources.tables import VARIANTS
@@ -51,27 +52,44 @@ def windows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(arr).alias("w")).select(*keys, "w.*")
 
 
-def decisions(df: DataFrame, noun_types: DataFrame) -> DataFrame:
+def type_codes(noun_types: DataFrame, variants: list[int]) -> DataFrame:
+    """(noun, codes): one row per noun with its types per variant, in the order of
+    ``variants``: 1 A, 2 B, 3 both, 0 none."""
+    code = (F.when(F.array_contains("types", "A"), 1).otherwise(0) + F.when(F.array_contains("types", "B"), 2).otherwise(0))
+    each = [F.max(F.when(F.col("model_type") == m, code).otherwise(0)).alias(f"c{m}") for m in variants]
+    return noun_types.groupBy("noun").agg(*each).select("noun", F.array(*[F.col(f"c{m}") for m in variants]).alias("codes"))
+
+
+def decisions(df: DataFrame, noun_types: DataFrame, variants=REWRITE_VARIANTS) -> DataFrame:
     """One row per (model_type, uid, det_idx) with >= 1 typed word in its window.
-    ``df`` either has a ``model_type`` column (later passes) or not (first pass:
-    the join with the map fans out to every variant)."""
-    keys = ["model_type", "uid"] if "model_type" in df.columns else ["uid"]
+
+    A window is looked up and grouped once for all variants: a noun carries its
+    types of every variant, the rows are brought together by ``uid``, and the
+    variants are made from the group.  Grouping by (uid, det_idx) and everything
+    that follows per sentence needs no further exchange.  ``df`` with a
+    ``model_type`` column (later passes) keeps to the codes of its variant."""
+    own = "model_type" in df.columns
+    keys = ["model_type", "uid"] if own else ["uid"]
+    variants = [m for m, _ in variants]
     w = windows(df, keys).withColumn("noun", F.lower("word"))
-    # the noun map is one row per (variant, noun): broadcast after a size check,
-    # else a shuffle join on noun (AQE splits hot nouns)
-    typed = join_checked(w, noun_types, [*(["model_type"] if "model_type" in keys else []), "noun"])
-    g = typed.groupBy("model_type", "uid", "det_idx", "det_type").agg(
-        F.sort_array(F.collect_list(F.struct("j", "word", "types"))).alias("typed"))
+    # the noun map is one row per noun: broadcast after a size check, else a
+    # shuffle join on noun (AQE splits hot nouns)
+    typed = join_checked(w, type_codes(noun_types, variants), ["noun"])
+    g = typed.repartition("uid").groupBy(*keys, "det_idx", "det_type").agg(
+        F.sort_array(F.collect_list(F.struct("j", "word", "codes"))).alias("all"))
+    number = F.array_position(F.array(*[F.lit(m) for m in variants]), F.col("model_type")).cast("int") - 1
+    if own:
+        g = g.withColumn("v", number).where("v >= 0")
+    else:
+        g = g.select("*", F.posexplode(F.array(*[F.lit(m) for m in variants])).alias("v", "model_type"))
+    g = g.withColumn("typed", F.filter(F.transform("all", lambda x: F.struct(
+        x["j"].alias("j"), x["word"].alias("word"), F.get(x["codes"], F.col("v")).alias("code"))), lambda x: x["code"] > 0))
+    g = g.where(F.size("typed") > 0)
     n = F.size("typed")
-    t1, t2 = F.get(F.col("typed"), 0)["types"], F.get(F.col("typed"), 1)["types"]
-    one1, one2 = F.size(t1) == 1, F.coalesce(F.size(t2) == 1, F.lit(False))
-    both2 = F.coalesce(F.size(t2) == 2, F.lit(False))
-    final = (F.when(n == 1, F.when(one1, F.get(t1, 0)).otherwise(F.col("det_type")))
-             .when(~one1 & both2, F.col("det_type"))
-             .when(~one1 & one2, F.get(t2, 0))
-             .when(one1 & both2, F.get(t1, 0))
-             .otherwise(F.get(t1, 0)))
-    conflict = (n >= 2) & one1 & one2 & (F.get(t1, 0) != F.get(t2, 0))
+    c1, c2 = F.get(F.col("typed"), 0)["code"], F.coalesce(F.get(F.col("typed"), 1)["code"], F.lit(0))
+    letter = lambda c: F.when(c == 1, "A").otherwise("B")
+    final = (F.when(c1 != 3, letter(c1)).when((n > 1) & (c2 != 3), letter(c2)).otherwise(F.col("det_type")))
+    conflict = (n >= 2) & (c1 != 3) & (c2 != 3) & (c1 != c2)
     return g.select(
         "model_type", "uid", "det_idx", "det_type", final.alias("final_type"), conflict.alias("conflict"),
         F.lower(F.get(F.col("typed"), 0)["word"]).alias("word1"),
@@ -93,79 +111,72 @@ def swap_edits(dec: DataFrame, noun_types: DataFrame, pass_no: int = 1) -> DataF
     return c.select("model_type", "uid", F.col("j2").alias("pos"), "new_word", F.col("det_idx").alias("prio"))
 
 
-def _edits(dec: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_no: int) -> DataFrame:
-    edits = dec.where(F.col("final_type") != F.col("det_type")).select(
+def edit_log(dec: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_no: int = 1) -> DataFrame:
+    """(model_type, uid, edits, dropped): a row per touched sentence and variant."""
+    changed = F.col("final_type") != F.col("det_type")
+    if remove_conflicts:    # one edit per position: the determiners themselves
+        log = dec.groupBy("model_type", "uid").agg(
+            F.map_from_entries(F.collect_list(F.when(changed, F.struct(
+                F.col("det_idx").alias("pos"), _type_word(F.col("final_type")).alias("new_word"))))).alias("edits"),
+            F.max("conflict").alias("dropped"))
+        return log.where("dropped OR size(edits) > 0")
+    edits = dec.where(changed).select(
         "model_type", "uid", F.col("det_idx").alias("pos"), _type_word(F.col("final_type")).alias("new_word"),
         F.col("det_idx").alias("prio"))
-    if not remove_conflicts:
-        edits = edits.unionByName(swap_edits(dec, noun_types, pass_no))
+    edits = edits.unionByName(swap_edits(dec, noun_types, pass_no)).repartition("uid")
     edits = edits.groupBy("model_type", "uid", "pos").agg(F.max_by("new_word", "prio").alias("new_word"))
-    per = edits.groupBy("model_type", "uid").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "new_word"))).alias("_m"))
-    per = per.withColumn("_bad", F.lit(False))
-    if remove_conflicts:
-        bad = dec.where("conflict").select("model_type", "uid").distinct() \
-            .withColumn("_m", F.lit(None).cast("map<int,string>")).withColumn("_bad", F.lit(True))
-        per = per.unionByName(bad)
-    return per
-
-
-def _apply(df: DataFrame) -> DataFrame:
-    """Apply the edits in place.  Positions never move and a tag depends only on
-    (word, position > 0), so only edited tokens are re-tagged; the result equals
-    re-tagging the rewritten text, without re-tokenising or re-tagging it all."""
-    m = F.col("_m")
-
-    def upd(x, i):
-        w = F.element_at(m, i)
-        return F.when(w.isNull(), x).otherwise(F.struct(w.alias("word"), pos_of(w, i).alias("pos")))
-
-    out = df.withColumn("tagged", F.transform("tagged", upd)).drop("_m")
-    return out.withColumn("utt", F.array_join(F.transform("tagged", lambda x: x["word"]), " "))
+    return edits.groupBy("model_type", "uid").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "new_word"))).alias("edits"), F.lit(False).alias("dropped"))
 
 
 def rewrite(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool, pass_no: int = 1,
             variants=REWRITE_VARIANTS) -> tuple[DataFrame, DataFrame]:
-    """R1 (adapt) / R2 (remove) one pass.  Returns (rewritten rows with
-    ``model_type`` and new ``utt``, empties dropped (P10); decisions)."""
+    """R1 (adapt) / R2 (remove) one pass over sentences that are the same in every
+    variant.  Returns (rewritten rows with ``model_type`` and new ``utt``, empties
+    dropped (P10); decisions)."""
     nt = noun_types.where(F.col("model_type").isin([m for m, _ in variants]))
-    dec = decisions(df, nt)
-    per = _edits(dec, nt, remove_conflicts, pass_no)
-    if "model_type" in df.columns:
-        per = per.groupBy("model_type", "uid").agg(
-            F.first("_m", ignorenulls=True).alias("_m"), F.max("_bad").alias("_bad"))
-        out = df.join(per, ["model_type", "uid"], "left").where(F.col("_bad").isNull() | ~F.col("_bad"))
-        out = out.drop("_bad")
-    else:
-        packed = per.groupBy("uid").agg(F.collect_list(F.struct("model_type", "_m", "_bad")).alias("_pk"))
-        out = with_variants(df.join(packed, "uid", "left"), variants).drop("share")
-        mine = F.filter(F.coalesce(F.col("_pk"), F.array()), lambda e: e["model_type"] == F.col("model_type"))
-        out = out.withColumn("_mine", mine)
-        out = out.where(~F.exists("_mine", lambda e: e["_bad"]))
-        out = out.withColumn("_m", F.get(F.filter("_mine", lambda e: e["_m"].isNotNull()), 0)["_m"])
-        out = out.drop("_pk", "_mine")
-    out = _apply(out)
+    dec = decisions(df, nt, variants)
+    out = EL.texts(df, edit_log(dec, nt, remove_conflicts, pass_no), [m for m, _ in variants])
     return out.where(F.trim("utt") != ""), dec
 
 
+def merged_logs(first: DataFrame, then: DataFrame) -> DataFrame:
+    """One log for two passes: later edits of a position win."""
+    return first.unionByName(then.select(first.columns)).groupBy("model_type", "uid").agg(
+        F.collect_list(F.struct("pass_no", "edits", "dropped")).alias("p")).select(
+        "model_type", "uid",
+        F.aggregate(F.sort_array(F.transform("p", lambda x: F.struct(x["pass_no"].alias("k"), F.map_entries(x["edits"]).alias("e")))),
+                    F.map_from_entries(F.array().cast("array<struct<key:int,value:string>>")),
+                    lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.exists(x["e"], lambda e: e["key"] == k)),
+                                              F.map_from_entries(x["e"]))).alias("edits"),
+        F.exists("p", lambda x: x["dropped"]).alias("dropped"))
+
+
 def retag(df: DataFrame) -> DataFrame:
     """Tag the text from scratch (for inputs that carry only ``utt``)."""
     return df.withColumn("tagged", tag_tokens(T.tokens("utt")))
 
 
-def rewrite_iterate(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool,
-                    num_passes: int = 2, variants=REWRITE_VARIANTS, materialize: bool = True) -> DataFrame:
-    """Unrolled passes with re-tagging in between; one pass in remove mode.
-    Each intermediate pass (tags updated in place) is cut with a reliable
-    checkpoint, since the next pass reads it several times."""
-    passes = 1 if remove_conflicts else num_passes
-    cur, _ = rewrite(df, noun_types, remove_conflicts, 1, variants)
-    for p in range(2, passes + 1):
-        nxt = cur      # ``tagged`` is already the re-tagged rewritten text
-        if materialize:
-            nxt = nxt.checkpoint(eager=True)
-        cur, _ = rewrite(nxt, noun_types, remove_conflicts, p, variants)
-    return cur
+def iterated_log(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool, num_passes: int = 2,
+                 variants=REWRITE_VARIANTS, cut=lambda log, name: log) -> DataFrame:
+    """Unrolled passes; one pass in remove mode.  A later pass reads the
+    sentences with the log so far applied and adds to the log; ``cut`` writes the
+    log of a pass, which is all that is kept between passes."""
+    nt = noun_types.where(F.col("model_type").isin([m for m, _ in variants]))
+    log = edit_log(decisions(df, nt, variants), nt, remove_conflicts)
+    for p in range(2, 1 + (1 if remove_conflicts else num_passes)):
+        log = cut(log, f"edits_pass{p - 1}")
+        now = EL.texts(df, log, [m for m, _ in variants])
+        more = edit_log(decisions(now, nt, variants), nt, remove_conflicts, p)
+        log = merged_logs(log.withColumn("pass_no", F.lit(p - 1)), more.withColumn("pass_no", F.lit(p)))
+    return log
+
+
+def rewrite_iterate(df: DataFrame, noun_types: DataFrame, remove_conflicts: bool, num_passes: int = 2,
+                    variants=REWRITE_VARIANTS, cut=lambda log, name: log) -> DataFrame:
+    """The text that ``iterated_log`` leads to."""
+    out = EL.texts(df, iterated_log(df, noun_types, remove_conflicts, num_passes, variants, cut), [m for m, _ in variants])
+    return out.where(F.trim("utt") != "")
 
 
 def conflict_counts(dec: DataFrame) -> DataFrame:

@@ -55,6 +55,6 @@ def flexible_use_series(overall_results: DataFrame) -> DataFrame:
 
 
 def loss_series(curve: DataFrame) -> DataFrame:
-    """Loss against the stitched global step."""
-    return curve.select(F.lit("loss").alias("chart"), "model_type", F.col("global_step").cast("int").alias("age"),
-                        F.lit("loss").alias("series"), F.col("loss").alias("value"))
+    """Loss against the stitched global step, with the band it belongs to."""
+    return curve.select(F.lit("loss").alias("chart"), "model_type", F.col("band_hi").cast("bigint").alias("band_hi"),
+                        F.col("global_step").alias("step"), F.lit("loss").alias("series"), F.col("loss").alias("value"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from detflow.functions import text as T
 from detflow.functions.draws import h
-from detflow.operators.predict import triples
+from detflow.operators.editlog import count_by
 
 # Special tokens in id order, vocabulary cap, minimum frequency,
 # sequence length, masking shares and training schedule of the reference.
@@ -102,12 +102,17 @@ def mlm_mask(enc: DataFrame, vocab_size: int) -> DataFrame:
                     F.transform("_m", lambda s: s["label"]).alias("labels"))
 
 
-def cumulative_counts(bands: DataFrame) -> DataFrame:
+def band_word_counts(tri: DataFrame) -> DataFrame:
+    """(model_type, band_hi, word, n) of signed training triples."""
+    return count_by(tri, ["band_hi", "word"])
+
+
+def cumulative_counts(words: DataFrame) -> DataFrame:
     """Per (model_type, band_hi) the tokens and distinct words seen in bands
-    <= band (the warm start accumulates knowledge band after band)."""
-    tri = triples(bands)
-    per = tri.groupBy("model_type", "band_hi").agg(F.count(F.lit(1)).alias("n_tokens"))
-    first = tri.groupBy("model_type", "word").agg(F.min("band_hi").alias("band_hi"))
+    <= band (the warm start accumulates knowledge band after band), from
+    ``band_word_counts``."""
+    per = words.groupBy("model_type", "band_hi").agg(F.sum("n").alias("n_tokens"))
+    first = words.groupBy("model_type", "word").agg(F.min("band_hi").alias("band_hi"))
     new = first.groupBy("model_type", "band_hi").agg(F.count(F.lit(1)).alias("n_new"))
     w = Window.partitionBy("model_type").orderBy("band_hi").rowsBetween(Window.unboundedPreceding, 0)
     j = per.join(new, ["model_type", "band_hi"], "left").fillna(0, subset=["n_new"])
@@ -115,40 +120,67 @@ def cumulative_counts(bands: DataFrame) -> DataFrame:
                     F.sum("n_new").over(w).alias("vocab_cum"))
 
 
-def band_losses(bands: DataFrame) -> DataFrame:
-    """Mean -ln p(word | prev, next) of each band's tokens under the counts of
-    bands <= band, add-one smoothed over the cumulative vocabulary."""
-    tri = triples(bands)
-    c = tri.groupBy("model_type", "band_hi", "prev", "next", "word").agg(F.count(F.lit(1)).alias("n"))
-    wt = Window.partitionBy("model_type", "prev", "next", "word").orderBy("band_hi") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    ctx = c.groupBy("model_type", "band_hi", "prev", "next").agg(F.sum("n").alias("nc"))
-    wc = Window.partitionBy("model_type", "prev", "next").orderBy("band_hi") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("cum", F.sum("n").over(wt))
-    ctx = ctx.withColumn("cum_ctx", F.sum("nc").over(wc)).drop("nc")
-    v = cumulative_counts(bands).select("model_type", "band_hi", "vocab_cum")
-    j = c.join(ctx, ["model_type", "band_hi", "prev", "next"]).join(F.broadcast(v), ["model_type", "band_hi"])
-    nll = -F.log((F.col("cum") + 1) / (F.col("cum_ctx") + F.col("vocab_cum")))
-    return j.groupBy("model_type", "band_hi").agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("loss"))
+LEVELS = (["prev", "next"], ["next"], ["prev"], [])       # contexts of the backoff levels, as in prediction
+
+
+def level_probabilities(counts: DataFrame) -> DataFrame:
+    """(model_type, band_hi, n, p1 .. p4) per distinct triple of a band: the share of
+    its word in each level's context, over the bands <= band.  ``counts``:
+    (model_type, band_hi, prev, next, word, n)."""
+    def running(by: list[str], out: str) -> DataFrame:
+        per = counts.groupBy("model_type", "band_hi", *by).agg(F.sum("n").alias("k"))
+        w = Window.partitionBy("model_type", *by).orderBy("band_hi").rowsBetween(Window.unboundedPreceding, 0)
+        return per.select("model_type", "band_hi", *by, F.sum("k").over(w).alias(out))      # <= 12 rows a partition
+
+    p = counts
+    for i, ctx in enumerate(LEVELS, 1):
+        keys = ["model_type", "band_hi", *ctx]
+        share = (running([*ctx, "word"], "a").join(running(ctx, "b"), keys)
+                 .select(*keys, "word", (F.col("a") / F.col("b")).alias(f"p{i}")))
+        p = p.join(share, [*keys, "word"])
+    return p.select("model_type", "band_hi", "n", *[f"p{i}" for i in range(1, len(LEVELS) + 1)])
+
+
+def em_losses(probabilities: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """(model_type, band_hi, epoch, loss, l1 .. l4): the interpolation weights of the
+    backoff levels, equal at first, fitted by expectation maximisation.  An epoch
+    is one pass over the band's triples: its loss, the mean -ln of the mixture
+    under the weights it began with, and the weights it ends with."""
+    names = [f"l{i}" for i in range(1, len(LEVELS) + 1)]
+    weights = probabilities.select("model_type", "band_hi").distinct().select(
+        "*", *[F.lit(1.0 / len(names)).alias(x) for x in names])
+    out = None
+    for epoch in range(1, epochs + 1):
+        parts = [F.col(x) * F.col(f"p{i}") for i, x in enumerate(names, 1)]
+        mix = sum(parts[1:], parts[0])
+        # a row per (variant, band): 60 at most
+        each = probabilities.join(F.broadcast(weights), ["model_type", "band_hi"]).withColumn("mix", mix)
+        step = each.groupBy("model_type", "band_hi").agg(
+            (F.sum(-F.col("n") * F.log("mix")) / F.sum("n")).alias("loss"),
+            *[(F.sum(F.col("n") * part / F.col("mix")) / F.sum("n")).alias(x) for x, part in zip(names, parts)])
+        weights = step.select("model_type", "band_hi", *names)
+        now = step.select("model_type", "band_hi", F.lit(epoch).alias("epoch"), "loss", *names)
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 def step_offsets(bands: DataFrame) -> DataFrame:
+    """W8 over sentences (model_type, band_hi, ...)."""
+    return step_offsets_of(bands.groupBy("model_type", "band_hi").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def step_offsets_of(rows: DataFrame) -> DataFrame:
     """Batches per epoch ceil(rows/64), 3 epochs; the global step of band i
     is its local step plus the sum over earlier bands of (last step + 1)."""
-    rows = bands.groupBy("model_type", "band_hi").agg(F.count(F.lit(1)).alias("rows"))
     rows = rows.withColumn("last_step", F.ceil(F.col("rows") / BATCH) * EPOCHS)
     w = Window.partitionBy("model_type").orderBy("band_hi").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(F.col("last_step") + 1).over(w), F.lit(0)).cast("bigint"))
 
 
-def loss_curve(bands: DataFrame) -> DataFrame:
+def loss_curve(offsets: DataFrame, losses: DataFrame) -> DataFrame:
     """(model_type, band_hi, epoch, step, global_step, loss): one logged
-    point per epoch, as with per-epoch logging."""
-    off = step_offsets(bands)
-    epochs = F.explode(F.array(*[F.lit(e) for e in range(1, EPOCHS + 1)])).alias("epoch")
-    pts = off.select("model_type", "band_hi", "rows", "offset", epochs)
+    point per epoch, as with per-epoch logging, each with its own loss."""
+    pts = offsets.select("model_type", "band_hi", "rows", "offset").join(losses, ["model_type", "band_hi"])
     pts = pts.withColumn("step", (F.ceil(F.col("rows") / BATCH) * F.col("epoch")).cast("bigint"))
     pts = pts.withColumn("global_step", F.col("step") + F.col("offset"))
-    return pts.join(band_losses(bands), ["model_type", "band_hi"]).select(
-        "model_type", "band_hi", "epoch", "step", "global_step", "loss")
+    return pts.select("model_type", "band_hi", "epoch", "step", "global_step", "loss")

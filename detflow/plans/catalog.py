@@ -329,6 +329,12 @@ def q_noun_det_partition(spark, d):
                  F.count_if((F.col("n_a") == 0) & (F.col("n_the") > 0)).alias("only_the_count"))
 
 
+@query("nouns_with_both")
+def q_nouns_with_both(spark, d):
+    """The nouns behind ``both_count`` of A7, with their counts."""
+    return q_noun_det_counts(spark, d).where("n_a > 0 AND n_the > 0")
+
+
 @query("distinct_nouns")
 def q_distinct_nouns(spark, d):
     t = Corpus(spark, d).parent.select(F.explode("tagged").alias("x"))
@@ -376,7 +382,7 @@ def q_rewrite_remove(spark, d):
 @query("rewrite_iterate")
 def q_rewrite_iterate(spark, d):
     sp = StudyPlan.shared(spark, d)
-    out = R.rewrite_iterate(sp.parent, sp.noun_types, remove_conflicts=False, num_passes=2)
+    out = R.rewrite_iterate(sp.parent, sp.noun_types, remove_conflicts=False, num_passes=2, cut=sp.stages.write)
     return out.select("model_type", "uid", "utt")
 
 
@@ -437,7 +443,7 @@ def q_first_k_examples(spark, d):
 
 @query("training_nouns_by_band")
 def q_training_nouns(spark, d):
-    return B.training_nouns_by_band(Corpus(spark, d).parent)
+    return B.training_nouns_by_band(StudyPlan.shared(spark, d).parent)
 
 
 @query("semi_training_nouns")
@@ -713,16 +719,16 @@ def q_mlm_mask(spark, d):
 
 @query("cumulative_bands")
 def q_cumulative_bands(spark, d):
-    return V.cumulative_counts(StudyPlan.shared(spark, d).bands)
+    return V.cumulative_counts(StudyPlan.shared(spark, d).word_counts)
 
 
 @query("step_offset")
 def q_step_offset(spark, d):
-    return V.step_offsets(StudyPlan.shared(spark, d).bands).select("model_type", "band_hi", "rows", "last_step", "offset")
+    return StudyPlan.shared(spark, d).step_offsets.select("model_type", "band_hi", "rows", "last_step", "offset")
 
 
 def _curve(spark, d):
-    return V.loss_curve(StudyPlan.shared(spark, d).bands)
+    return StudyPlan.shared(spark, d).loss_curve
 
 
 @query("train_loss_curve")
@@ -734,7 +740,7 @@ def q_train_loss_curve(spark, d):
 def q_context_counts(spark, d):
     sp = StudyPlan.shared(spark, d)
     ctx = sp.candidates.select("model_type", "age", "prev", "next")
-    return PR.context_counts(PR.triples(sp.bands), ctx)
+    return PR.context_counts(sp.triples, ctx)
 
 
 def _chart(key, chart):
@@ -901,7 +907,8 @@ def q_run_metrics(spark, d):
 
 @query("preprocess_pipeline")
 def q_preprocess_pipeline(spark, d):
-    """Stages 1-4 in one go, each written once; summary per variant."""
+    """Stages 1-4 in one go, from the raw corpus (cleaned, normalised, tagged)
+    to the noun maps and the training bands, each written once; summary per variant."""
     sp = StudyPlan.shared(spark, d)
     path = _out_dir(spark, "preprocess")
     IO.write_partitioned(sp.noun_types, f"{path}/noun_types", ["model_type"])

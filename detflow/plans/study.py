@@ -1,10 +1,11 @@
 """The study pipeline as one object: each stage is built once per run and the
-stages read by several later stages are materialised with reliable
-checkpoints in ``spark.checkpoint.dir`` (the cluster's shared folder), which
-cuts lineage and survives executor loss.
+stages read by several later stages are written as Parquet in the shared folder
+of the cluster (``spark.checkpoint.dir``), which cuts lineage and survives
+executor loss.
 
-Stages (SURVEY §3):  tagged corpus -> noun types (A1-A3) -> rewritten training
-bands (R4/R5) -> test sets (R6) -> predictions (R7) -> results (R8).
+Stages (SURVEY §3):  cleaned, normalised and tagged corpus -> noun types (A1-A3)
+-> edit log of the rewrites (R1-R5) -> test sets (R6) -> predictions (R7) ->
+results (R8).
 """
 
 from __future__ import annotations
@@ -14,13 +15,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from detflow.functions import text as T
+from detflow.functions.tagger import tag_tokens
 from detflow.operators import assign as A
 from detflow.operators import bands as B
+from detflow.operators import clean as C
+from detflow.operators import editlog as EL
 from detflow.operators import evaluate as E
+from detflow.operators import filters as P
+from detflow.operators import overall as O
 from detflow.operators import predict as PR
+from detflow.operators import rewrite as R
 from detflow.operators import testsets as TS
-from detflow.session import ensure_checkpoint_dir
-from detflow.sources.tables import Corpus
+from detflow.operators import vocab as V
+from detflow.sources.stages import Stages
+from detflow.sources.tables import UNFILTERED, Corpus
 
 STUDY_REMOVE_CONFLICTS = True   # the study removed conflicting sentences (one pass)
 
@@ -28,17 +37,21 @@ STUDY_REMOVE_CONFLICTS = True   # the study removed conflicting sentences (one p
 _SHARED: dict = {}
 
 
-def _session_key(spark: SparkSession) -> int:
+def _session_key(spark: SparkSession) -> str:
     try:
-        return id(spark.sparkContext)
+        return spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - Spark Connect
-        return id(spark)
+        return str(id(spark))
 
 
 class StudyPlan:
     """Stages of one run.  ``shared`` returns one instance per (session, input,
-    flags): its checkpointed stages are written once and read by every later
-    query of the session, like the intermediate tables of a batch pipeline."""
+    flags): its stages are written once and read by every later query of the
+    session, like the intermediate tables of a batch pipeline.
+
+    Stages are Parquet (``sources/stages.py``).  Sentences are stored once,
+    partitioned by speaker and bucketed by ``uid``; the variants are an edit log
+    in the same buckets, so the two join without an exchange."""
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str, **kw) -> "StudyPlan":
@@ -48,70 +61,108 @@ class StudyPlan:
         return _SHARED[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str, remove_conflicts: bool = STUDY_REMOVE_CONFLICTS,
-                 unique_nouns: bool = True, materialize: bool = True):
+                 unique_nouns: bool = True):
         self.spark = spark
         self.corpus = Corpus(spark, sf_dir)
         self.remove_conflicts = remove_conflicts
         self.unique_nouns = unique_nouns
-        self.materialize = materialize
-        if materialize:
-            ensure_checkpoint_dir(spark)
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True) if self.materialize else df
+    @cached_property
+    def stages(self) -> Stages:
+        return Stages(self.spark)
+
+    # ---- stage 1: the corpus cleaned (P1-P6), normalised (T1-T6), without empty
+    # sentences (P10) and tagged (T8).  Filters on ``tagged`` must run on this
+    # written column: on a computed alias Catalyst pushes them below the
+    # projection and re-tags per element.
+    def normalized(self) -> DataFrame:
+        c = self.corpus
+        return C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, c.table("nation").count())
 
-    # ---- stage 1: tagged corpus (written once, read by every later stage).
-    # Filters on ``tagged`` must run on this materialised column: on a computed
-    # alias Catalyst pushes them below the projection and re-tags per element.
     @cached_property
     def tagged(self) -> DataFrame:
-        t = self.corpus.tagged.where(F.col("age_months").isNotNull() & F.col("role").isin("assistant", "user"))
-        return self._cut(t)
+        key = F.split("uid", "-")       # k-id-turn-sent_no: the corpus order
+        t = C.drop_empty(self.normalized()).select(
+            "uid", key[0].alias("k"), *[key[i].cast("bigint").alias(c) for i, c in ((1, "id"), (2, "turn"), (3, "sent_no"))],
+            "subject", "age_months", "utt", tag_tokens(T.tokens("utt")).alias("tagged"), "speaker")
+        return self.stages.write(t, "sentences", ("speaker",), "uid")
 
     @cached_property
     def parent(self) -> DataFrame:
-        return self.tagged.where(F.col("role") == "assistant")
+        return self.tagged.where(F.col("speaker") == "parent").drop("speaker")
 
     @cached_property
     def child(self) -> DataFrame:
-        return self.tagged.where(F.col("role") == "user")
+        return self.tagged.where(F.col("speaker") == "child").drop("speaker")
 
     # ---- stage 2: noun types
     @cached_property
     def raw_types(self) -> DataFrame:
-        return self._cut(A.noun_types_raw(self.parent))
+        return self.stages.write(A.noun_types_raw(self.parent), "noun_types_raw")
 
     @cached_property
     def noun_types(self) -> DataFrame:
-        return self._cut(A.assign_types(self.raw_types))
+        return self.stages.write(A.assign_types(self.raw_types), "noun_types", ("model_type",))
 
-    # ---- stage 3: training corpus and bands
+    # ---- stage 3: the edit log, and what is read off it
     @cached_property
-    def corpus_variants(self) -> DataFrame:
-        return B.training_corpus(self.parent, self.noun_types, self.remove_conflicts)
+    def edits(self) -> DataFrame:
+        log = R.iterated_log(self.parent, self.noun_types, self.remove_conflicts, cut=self.stages.write)
+        return self.stages.write(log, "edits", (), "uid")
 
     @cached_property
+    def base(self) -> DataFrame:
+        """Parent sentences of a band, as they are before any rewrite."""
+        return B.in_bands(self.parent)
+
+    @property
+    def corpus_variants(self) -> DataFrame:
+        return B.training_corpus(self.parent, self.edits)
+
+    @property
     def bands(self) -> DataFrame:
-        return self._cut(B.training_bands(self.corpus_variants))
+        return B.in_bands(self.corpus_variants)
+
+    @property
+    def triples(self) -> DataFrame:
+        return EL.signed_triples(self.base, self.edits)
 
     @cached_property
     def det_sets(self) -> DataFrame:
-        """A4: determiners seen per noun per (variant, band) (re-tagged band text)."""
-        return self._cut(B.noun_det_sets(self.bands))
+        """A4: determiners seen per noun per (variant, band)."""
+        return self.stages.write(B.noun_det_sets(self.base, self.edits), "det_sets", ("model_type", "band_hi"))
+
+    @cached_property
+    def word_counts(self) -> DataFrame:
+        return self.stages.write(V.band_word_counts(self.triples), "word_counts", ("model_type",))
+
+    @property
+    def step_offsets(self) -> DataFrame:
+        rows = EL.count_by(EL.signed_rows(self.base, self.edits), ["band_hi"]).withColumnRenamed("n", "rows")
+        return V.step_offsets_of(rows)
+
+    @cached_property
+    def loss_curve(self) -> DataFrame:
+        counts = EL.count_by(self.triples, ["band_hi", "prev", "next", "word"])
+        p = self.stages.write(V.level_probabilities(self.stages.write(counts, "triple_counts", ("model_type",))),
+                              "level_probabilities", ("model_type",))
+        return self.stages.write(V.loss_curve(self.step_offsets, V.em_losses(p)), "loss_curve")
 
     # ---- stage 4: test sets
     @cached_property
     def first_age(self) -> DataFrame:
-        return B.first_training_age(self.parent)
+        return self.stages.write(B.first_training_age(self.parent), "first_training_age")
 
     @cached_property
     def test_sets(self) -> DataFrame:
-        return self._cut(TS.make_test_sets(self.child, self.noun_types, self.first_age, self.unique_nouns))
+        t = TS.make_test_sets(self.child, self.noun_types, self.first_age, self.unique_nouns)
+        return self.stages.write(t, "test_sets", ("model_type", "age"))
 
     @cached_property
     def test_sets_all(self) -> DataFrame:
         """Every deciding sentence (the CLI default, unique_nouns off)."""
-        return self._cut(TS.make_test_sets(self.child, self.noun_types, self.first_age, False))
+        t = TS.make_test_sets(self.child, self.noun_types, self.first_age, False)
+        return self.stages.write(t, "test_sets_all", ("model_type", "age"))
 
     # ---- stage 5: prediction and evaluation
     @cached_property
@@ -120,7 +171,8 @@ class StudyPlan:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return self._cut(PR.predict(self.candidates, self.bands))
+        p = PR.predict(self.candidates, self.triples, cut=lambda c: self.stages.write(c, "context_counts", ("model_type", "level")))
+        return self.stages.write(p, "scored")
 
     @cached_property
     def counters(self) -> DataFrame:
@@ -129,13 +181,12 @@ class StudyPlan:
     @cached_property
     def results(self) -> DataFrame:
         """The 60-row results table, written once; statistics and charts read it."""
-        return self._cut(E.ratios(self.counters))
+        return self.stages.write(E.ratios(self.counters), "results")
 
 
 class OverallPlan:
-    """Children vs model on the normalised corpus (both speakers, as the flexible
-    use measure needs them), with the unfiltered (100) model by default; the
-    training bands come from the shared study plan."""
+    """Children vs model on the children's sentences, with the unfiltered (100)
+    model by default; the model is trained on the parents' sentences of the study."""
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str, model_type: int = 100) -> "OverallPlan":
@@ -151,34 +202,28 @@ class OverallPlan:
         self.model_type = model_type
 
     @property
-    def bands(self) -> DataFrame:
-        return self.study.bands
-
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return self.study._cut(df)
-
-    @cached_property
     def normalized(self) -> DataFrame:
-        from detflow.operators import clean as C
-        c = self.corpus
-        return C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, c.table("nation").count())
+        return self.study.normalized()
 
     @cached_property
     def overall(self) -> DataFrame:
-        # Tag, materialise, then filter: a filter on a computed ``tagged`` alias
-        # would be pushed below the projection and re-tag per array element.
-        from detflow.functions import text as T
-        from detflow.functions.tagger import tag_tokens
-        from detflow.operators import filters as P
-        tagged = self._cut(self.normalized.withColumn("tagged", tag_tokens(T.tokens("utt"))))
-        return tagged.where(P.any_det_x_noun("tagged"))
+        """The children's sentences with a determiner before a noun."""
+        return self.study.child.where(P.any_det_x_noun("tagged"))
+
+    @property
+    def triples(self) -> DataFrame:
+        """Training triples of the model: those of the base for the unfiltered one."""
+        return EL.signed_triples(self.study.base, None if self.model_type == UNFILTERED else self.study.edits)
+
+    def _counts(self, name: str):
+        return lambda c: self.study.stages.write(c, name, ("level",))
 
     @cached_property
     def model_preds(self) -> DataFrame:
-        from detflow.operators import overall as O
-        return self._cut(O.model_predictions(self.overall, self.bands, self.model_type))
+        p = O.model_predictions(self.overall, self.triples, self.model_type, self._counts("overall_counts"))
+        return self.study.stages.write(p, "model_predictions")
 
     @cached_property
     def final_preds(self) -> DataFrame:
-        from detflow.operators import overall as O
-        return self._cut(O.final_band_predictions(self.overall, self.bands, self.model_type))
+        p = O.final_band_predictions(self.overall, self.triples, self.model_type, self._counts("final_counts"))
+        return self.study.stages.write(p, "final_predictions")

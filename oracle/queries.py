@@ -103,6 +103,18 @@ def mask_names(src: str, cols: str) -> str:
 
 register("normalized", ["norm0", "names"], mask_names("norm0", "s.uid, s.subject, s.age_months, s.speaker"))
 
+# The study's sentences: cleaned, normalised, not empty, with the corpus order.
+register("ntoks", ["normalized"], f"""
+  SELECT uid, i, word, {POS_CASE} AS pos FROM (
+    SELECT uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
+    FROM (SELECT uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS t FROM normalized))""")
+register("sutts", ["normalized", "utterances"], """
+  SELECT u.k, u.id, u.turn, u.sent_no, n.* FROM normalized n JOIN utterances u USING (uid) WHERE trim(n.utt) <> ''""")
+register("sparent_u", ["sutts"], "SELECT * FROM sutts WHERE speaker = 'parent'")
+register("schild_u", ["sutts"], "SELECT * FROM sutts WHERE speaker = 'child'")
+register("sptoks", ["ntoks", "sparent_u"], "SELECT t.* FROM ntoks t JOIN sparent_u USING (uid)")
+register("sctoks", ["ntoks", "schild_u"], "SELECT t.* FROM ntoks t JOIN schild_u USING (uid)")
+
 # ------------------------------------------------------------ sources
 sql("src_corpus", cte("wide") + "SELECT uid, subject, age_months, p_utts, c_utts FROM wide")
 sql("src_names", cte("names") + "SELECT idx, name FROM names")
@@ -161,26 +173,24 @@ SELECT word, pos, CAST(total AS BIGINT) AS n FROM (
 sql("words_join", cte("tok_lists") + "SELECT uid, array_to_string(t, ' ') AS utt FROM tok_lists")
 
 # ------------------------------------------------------------ pairing
-def first_pair(toks: str, det_cond: str, target_cond: str, window: str) -> str:
+def first_pair(toks: str, det_cond: str, target_cond: str, ahead: str, ok: str = "true", keys: str = "uid") -> str:
+    """The first token behind a determiner for which ``target_cond`` holds, within
+    ``ahead`` tokens, kept if ``ok`` holds for it; one window over the tokens."""
     return f"""
-SELECT p.uid, p.det_idx, p.det, p.noun_idx, lower(t.word) AS noun FROM (
-  SELECT d.uid, d.i AS det_idx, lower(d.word) AS det, min(n.i) AS noun_idx
-  FROM {toks} d JOIN {toks} n ON n.uid = d.uid AND {window} AND {target_cond}
-  WHERE {det_cond} GROUP BY 1, 2, 3) p
-JOIN {toks} t ON t.uid = p.uid AND t.i = p.noun_idx"""
-
-
-DET_TAGGED = "d.pos = 'DET' AND lower(d.word) IN ('a', 'the')"
-sql("pair_assign", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 4"))
-sql("pair_unbounded", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "n.pos IN ('NOUN', 'PROPN')", "n.i > d.i"))
-sql("pair_train2", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 2"))
-sql("pair_checking", cte("ptoks") + """
-SELECT s.uid, s.det_idx, s.det, s.stop_idx AS noun_idx, lower(t.word) AS noun FROM (
-  SELECT d.uid, d.i AS det_idx, lower(d.word) AS det, min(n.i) AS stop_idx
-  FROM ptoks d JOIN ptoks n ON n.uid = d.uid AND n.i > d.i AND n.i <= d.i + 4
-       AND NOT (starts_with(n.pos, 'ADJ') OR starts_with(n.pos, 'VERB'))
-  WHERE lower(d.word) IN ('a', 'the') GROUP BY 1, 2, 3) s
-JOIN ptoks t ON t.uid = s.uid AND t.i = s.stop_idx WHERE starts_with(t.pos, 'NOUN')""")
+SELECT {keys}, det_idx, det, hit.i AS noun_idx, hit.noun AS noun FROM (
+  SELECT {keys}, i AS det_idx, lower(word) AS det, {det_cond} AS is_det,
+         min({{'i': i, 'noun': lower(word), 'pos': pos}}) FILTER (WHERE {target_cond}) OVER (
+           PARTITION BY {keys} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS hit
+  FROM {toks}) WHERE is_det AND hit IS NOT NULL AND {ok}"""
+
+
+DET_TAGGED = "(pos = 'DET' AND lower(word) IN ('a', 'the'))"
+DET_WORD = "(lower(word) IN ('a', 'the'))"
+STOPS = "NOT (starts_with(pos, 'ADJ') OR starts_with(pos, 'VERB'))"
+sql("pair_assign", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "pos = 'NOUN'", "4"))
+sql("pair_unbounded", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "pos IN ('NOUN', 'PROPN')", "UNBOUNDED"))
+sql("pair_train2", cte("ptoks") + first_pair("ptoks", DET_TAGGED, "pos = 'NOUN'", "2"))
+sql("pair_checking", cte("ptoks") + first_pair("ptoks", DET_WORD, STOPS, "4", "starts_with(hit.pos, 'NOUN')"))
 sql("pair_eval", cte("ctoks") + """
 SELECT d.uid, d.i AS det_idx, lower(d.word) AS det,
        CASE WHEN starts_with(t1.pos, 'NOUN') THEN d.i + 1 ELSE d.i + 2 END AS noun_idx,
@@ -193,38 +203,40 @@ register("ftoks", ["toks", "utterances"], """
   SELECT t.* FROM toks t JOIN utterances u USING (uid)
   WHERE u.age_months IS NOT NULL AND u.role IN ('user', 'assistant')""")
 sql("pair_flex", cte("ftoks") + """
-SELECT d.uid, d.i AS det_idx, lower(d.word) AS det, n.i AS noun_idx, lower(n.word) AS noun
-FROM ftoks d JOIN ftoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
-WHERE d.pos = 'DET'""")
+SELECT uid, det_idx, det, det_idx + o AS noun_idx, lower(CASE WHEN o = 1 THEN w1 ELSE w2 END) AS noun FROM (
+  SELECT uid, i AS det_idx, lower(word) AS det, pos, unnest([1, 2]) AS o,
+         lead(word, 1) OVER w AS w1, lead(pos, 1) OVER w AS p1, lead(word, 2) OVER w AS w2, lead(pos, 2) OVER w AS p2
+  FROM ftoks WINDOW w AS (PARTITION BY uid ORDER BY i))
+WHERE pos = 'DET' AND CASE WHEN o = 1 THEN p1 ELSE p2 END = 'NOUN'""")
 
 # ------------------------------------------------------------ filters
-register("ctok3", ["ctoks"], """
+register("ctok3", ["sctoks"], """
   SELECT d.uid, d.i, d.word, d.pos, t1.pos AS p1, t2.pos AS p2, t1.word AS w1, t2.word AS w2
-  FROM ctoks d LEFT JOIN ctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
-  LEFT JOIN ctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2""")
-sql("filter_det_noun", cte("child_u", "ctok3") + """
-SELECT uid, utt FROM child_u WHERE uid IN (
+  FROM sctoks d LEFT JOIN sctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
+  LEFT JOIN sctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2""")
+sql("filter_det_noun", cte("schild_u", "ctok3") + """
+SELECT uid, utt FROM schild_u WHERE uid IN (
   SELECT uid FROM ctok3 WHERE pos = 'DET' AND lower(word) IN ('a', 'the')
     AND (p1 = 'NOUN' OR (p1 NOT IN ('DET', 'NOUN') AND p2 = 'NOUN')))""")
-sql("filter_any_det_x_noun", cte("child_u", "ctok3") + """
-SELECT uid, utt FROM child_u WHERE uid IN (
+sql("filter_any_det_x_noun", cte("schild_u", "ctok3") + """
+SELECT uid, utt FROM schild_u WHERE uid IN (
   SELECT uid FROM ctok3 WHERE pos = 'DET' AND (p1 = 'NOUN' OR p2 = 'NOUN'))""")
-sql("one_det_only", cte("child_u", "ctoks") + """
-SELECT uid, utt FROM child_u WHERE uid IN (
-  SELECT uid FROM ctoks WHERE lower(word) IN ('a', 'the') GROUP BY uid HAVING count(*) = 1)""")
-register("d5", ["ctoks"], """
+sql("one_det_only", cte("schild_u", "sctoks") + """
+SELECT uid, utt FROM schild_u WHERE uid IN (
+  SELECT uid FROM sctoks WHERE lower(word) IN ('a', 'the') GROUP BY uid HAVING count(*) = 1)""")
+register("d5", ["sctoks"], """
   SELECT d.uid, d.i AS det_idx, lower(d.word) AS det,
          CASE WHEN starts_with(t1.pos, 'NOUN') THEN d.i + 1 ELSE d.i + 2 END AS noun_idx,
          lower(CASE WHEN starts_with(t1.pos, 'NOUN') THEN t1.word ELSE t2.word END) AS noun
-  FROM ctoks d LEFT JOIN ctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
-  LEFT JOIN ctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
+  FROM sctoks d LEFT JOIN sctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1
+  LEFT JOIN sctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
   WHERE lower(d.word) IN ('a', 'the')
     AND (starts_with(t1.pos, 'NOUN') OR (t1.pos <> 'NOUN' AND starts_with(t2.pos, 'NOUN')))""")
 sql("one_candidate", cte("d5") + """
 SELECT uid, det_idx, noun FROM d5 WHERE uid IN (SELECT uid FROM d5 GROUP BY uid HAVING count(*) = 1)""")
 
 # ------------------------------------------------------------ assignment
-register("d1", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 4"))
+register("d1", ["sptoks"], first_pair("sptoks", DET_TAGGED, "pos = 'NOUN'", "4"))
 register("raw_types", ["d1"], """
   SELECT noun, string_agg(DISTINCT t, ',' ORDER BY t) AS types
   FROM (SELECT noun, CASE WHEN det = 'a' THEN 'A' ELSE 'B' END AS t FROM d1) GROUP BY noun""")
@@ -264,7 +276,7 @@ SELECT model_type, noun FROM both_v EXCEPT SELECT model_type, noun FROM kept""")
 sql("exclusive_sets", cte("nt") + """
 SELECT model_type, CASE WHEN types = 'A,B' THEN 'both' ELSE types END AS category, count(*) AS n_nouns
 FROM nt GROUP BY 1, 2""")
-register("d3", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos IN ('NOUN', 'PROPN')", "n.i > d.i"))
+register("d3", ["ptoks"], first_pair("ptoks", DET_TAGGED, "pos IN ('NOUN', 'PROPN')", "UNBOUNDED"))
 register("ndc", ["d3"], """
   SELECT noun, count(*) FILTER (WHERE det = 'a') AS n_a, count(*) FILTER (WHERE det = 'the') AS n_the
   FROM d3 GROUP BY noun""")
@@ -273,6 +285,7 @@ sql("noun_det_partition", cte("ndc") + """
 SELECT count(*) FILTER (WHERE n_a > 0 AND n_the > 0) AS both_count,
        count(*) FILTER (WHERE n_a > 0 AND n_the = 0) AS only_a_count,
        count(*) FILTER (WHERE n_a = 0 AND n_the > 0) AS only_the_count FROM ndc""")
+sql("nouns_with_both", cte("ndc") + "SELECT noun, n_a, n_the FROM ndc WHERE n_a > 0 AND n_the > 0")
 sql("distinct_nouns", cte("ptoks") + "SELECT DISTINCT lower(word) AS noun FROM ptoks WHERE pos = 'NOUN'")
 
 
@@ -322,8 +335,8 @@ def rewrite_views(p: str, tv: str, tv_deps: list[str], remove: bool, pass_no: in
     return f"{p}_out"
 
 
-register("ptoks_v", ["ptoks"], """
-  SELECT v.model_type, t.* FROM ptoks t CROSS JOIN (VALUES (0), (25), (50), (75)) v(model_type)""")
+register("ptoks_v", ["sptoks"], """
+  SELECT v.model_type, t.* FROM sptoks t CROSS JOIN (VALUES (0), (25), (50), (75)) v(model_type)""")
 rw1 = rewrite_views("rw1", "ptoks_v", ["ptoks_v"], False, 1)
 rr1 = rewrite_views("rr1", "ptoks_v", ["ptoks_v"], True, 1)
 register("rw1_toks", [rw1], f"""
@@ -346,9 +359,9 @@ sql("rewrite_iterate", cte(rw2) + f"SELECT model_type, uid, utt FROM {rw2}")
 # ------------------------------------------------------------ bands / test sets
 register("band_parent", ["parent_u", "bands"], """
   SELECT p.*, b.band_hi FROM parent_u p JOIN bands b ON p.age_months > b.band_lo AND p.age_months <= b.band_hi""")
-register("study", [rr1, "parent_u"], f"""
-  SELECT r.model_type, r.uid, r.utt, p.age_months FROM {rr1} r JOIN parent_u p USING (uid)
-  UNION ALL SELECT 100 AS model_type, uid, utt, age_months FROM parent_u""")
+register("study", [rr1, "sparent_u"], f"""
+  SELECT r.model_type, r.uid, r.utt, p.age_months FROM {rr1} r JOIN sparent_u p USING (uid)
+  UNION ALL SELECT 100 AS model_type, uid, utt, age_months FROM sparent_u""")
 register("tb", ["study", "bands"], """
   SELECT s.*, b.band_hi FROM study s JOIN bands b ON s.age_months > b.band_lo AND s.age_months <= b.band_hi""")
 register("tbt", ["tb"], f"""
@@ -395,31 +408,31 @@ GROUP BY 1, 2, 3, 4, 5, 6""")
 sql("first_k_examples", cte("dsets_rk") + """
 SELECT model_type, band_hi, category, CAST(rk AS INTEGER) AS rank, noun FROM dsets_rk WHERE rk <= 10""")
 
-register("d4", ["ptoks"], first_pair("ptoks", DET_TAGGED, "n.pos = 'NOUN'", "n.i > d.i AND n.i <= d.i + 2"))
-register("tmin", ["d4", "parent_u"], """
-  SELECT noun, min(age_months) AS min_age FROM d4 JOIN parent_u USING (uid) GROUP BY noun""")
+register("d4", ["sptoks"], first_pair("sptoks", DET_TAGGED, "pos = 'NOUN'", "2"))
+register("tmin", ["d4", "sparent_u"], """
+  SELECT noun, min(age_months) AS min_age FROM d4 JOIN sparent_u USING (uid) GROUP BY noun""")
 register("train_nouns", ["tmin", "bands"], """
   SELECT b.band_hi AS age, t.noun FROM tmin t JOIN bands b ON t.min_age <= b.band_hi""")
 register("target", ["nt", "train_nouns"], """
   SELECT nt.model_type, t.age, t.noun FROM nt JOIN train_nouns t USING (noun) WHERE nt.types <> 'A,B'""")
-register("ccand", ["ctoks"], """
+register("ccand", ["sctoks"], """
   SELECT d.uid, 2 * d.i + (n.i - d.i) AS r, lower(n.word) AS noun
-  FROM ctoks d JOIN ctoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
+  FROM sctoks d JOIN sctoks n ON n.uid = d.uid AND n.i IN (d.i + 1, d.i + 2) AND n.pos = 'NOUN'
   WHERE d.pos = 'DET' AND lower(d.word) IN ('a', 'the')""")
 register("decide", ["ccand", "target"], """
   SELECT model_type, age, uid, arg_min(noun, r) AS noun FROM ccand JOIN target USING (noun) GROUP BY 1, 2, 3""")
-register("testset", ["decide", "child_u"], """
+register("testset", ["decide", "schild_u"], """
   SELECT model_type, age, noun, uid FROM (
     SELECT d.*, row_number() OVER (PARTITION BY d.model_type, d.age, d.noun
                                    ORDER BY u.k, u.id, u.turn, u.sent_no, u.uid) AS rn
-    FROM decide d JOIN child_u u USING (uid)) WHERE rn = 1""")
+    FROM decide d JOIN schild_u u USING (uid)) WHERE rn = 1""")
 
 sql("training_nouns_by_band", cte("train_nouns") + "SELECT age, noun FROM train_nouns")
 sql("semi_training_nouns", cte("target") + "SELECT model_type, age, noun FROM target")
 sql("set_intersect", cte("target") + "SELECT model_type, age, noun FROM target")
 sql("first_per_noun", cte("testset") + "SELECT model_type, age, noun, uid FROM testset")
-sql("make_test_sets", cte("testset", "child_u") + """
-SELECT t.model_type, t.age, t.uid, t.noun, u.utt, u.age_months FROM testset t JOIN child_u u USING (uid)""")
+sql("make_test_sets", cte("testset", "schild_u") + """
+SELECT t.model_type, t.age, t.uid, t.noun, u.utt, u.age_months FROM testset t JOIN schild_u u USING (uid)""")
 sql("deciding_sentences", cte("decide") + "SELECT model_type, age, uid, noun FROM decide")
 
 # ------------------------------------------------------------ prediction + evaluation
@@ -429,13 +442,13 @@ register("tri", ["tbt"], """
          coalesce(lead(lower(word)) OVER w, '[SEP]') AS next
   FROM tbt WINDOW w AS (PARTITION BY model_type, uid ORDER BY i)""")
 register("d5one", ["d5"], "SELECT * FROM d5 WHERE uid IN (SELECT uid FROM d5 GROUP BY uid HAVING count(*) = 1)")
-register("qc", ["testset", "d5one", "ctoks"], """
+register("qc", ["testset", "d5one", "sctoks"], """
   SELECT t.model_type, t.age, t.uid, c.det_idx, c.noun, lower(dw.word) AS actual_det,
          coalesce(lower(pw.word), '[CLS]') AS prev, coalesce(lower(nw.word), '[SEP]') AS next
   FROM testset t JOIN d5one c USING (uid)
-  JOIN ctoks dw ON dw.uid = t.uid AND dw.i = c.det_idx
-  LEFT JOIN ctoks pw ON pw.uid = t.uid AND pw.i = c.det_idx - 1
-  LEFT JOIN ctoks nw ON nw.uid = t.uid AND nw.i = c.det_idx + 1""")
+  JOIN sctoks dw ON dw.uid = t.uid AND dw.i = c.det_idx
+  LEFT JOIN sctoks pw ON pw.uid = t.uid AND pw.i = c.det_idx - 1
+  LEFT JOIN sctoks nw ON nw.uid = t.uid AND nw.i = c.det_idx + 1""")
 register("qg", ["qc", "nt"], """
   SELECT q.*, CASE WHEN contains(nt.types, 'A') THEN 'a' ELSE 'the' END AS gold_det
   FROM qc q JOIN nt ON nt.model_type = q.model_type AND nt.noun = q.noun""")
@@ -507,10 +520,10 @@ register("res", ["cnt"], f"""
          {RATIO('correct', 'pred_a_or_the')} AS determiner_accuracy
   FROM cnt""")
 
-sql("mask_candidate_det", cte("qc", "ctoks") + """
+sql("mask_candidate_det", cte("qc", "sctoks") + """
 SELECT q.model_type, q.age, q.uid, q.actual_det,
        string_agg(CASE WHEN t.i = q.det_idx THEN '[MASK]' ELSE t.word END, ' ' ORDER BY t.i) AS masked, q.noun
-FROM qc q JOIN ctoks t USING (uid) GROUP BY q.model_type, q.age, q.uid, q.actual_det, q.noun""")
+FROM qc q JOIN sctoks t USING (uid) GROUP BY q.model_type, q.age, q.uid, q.actual_det, q.noun""")
 sql("has_noun_type", cte("qg") + "SELECT model_type, age, uid, noun FROM qg")
 sql("join_gold", cte("qg") + "SELECT model_type, age, uid, noun, gold_det FROM qg")
 sql("argmax_prediction", cte("sc") + "SELECT model_type, age, uid, pred_word FROM sc")
@@ -557,13 +570,9 @@ SELECT model_type, age, TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE)
 FROM res WHERE TRY_CAST(CAST(total_misclassified AS VARCHAR) AS DOUBLE) IS NOT NULL""")
 
 # ------------------------------------------------------------ children vs model
-register("ntoks", ["normalized"], f"""
-  SELECT uid, i, word, {POS_CASE} AS pos FROM (
-    SELECT uid, unnest(t) AS word, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS i
-    FROM (SELECT uid, regexp_extract_all(utt, '[\\pL\\pN'']+') AS t FROM normalized))""")
-register("ov_uid", ["ntoks"], """
-  SELECT DISTINCT d.uid FROM ntoks d
-  LEFT JOIN ntoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1 LEFT JOIN ntoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
+register("ov_uid", ["sctoks"], """
+  SELECT DISTINCT d.uid FROM sctoks d
+  LEFT JOIN sctoks t1 ON t1.uid = d.uid AND t1.i = d.i + 1 LEFT JOIN sctoks t2 ON t2.uid = d.uid AND t2.i = d.i + 2
   WHERE d.pos = 'DET' AND (t1.pos = 'NOUN' OR t2.pos = 'NOUN')""")
 register("overall", ["normalized", "ov_uid"], "SELECT * FROM normalized WHERE uid IN (SELECT uid FROM ov_uid)")
 register("otoks", ["ntoks", "ov_uid"], "SELECT * FROM ntoks WHERE uid IN (SELECT uid FROM ov_uid)")
@@ -706,23 +715,35 @@ register("steps", ["tb"], """
   FROM (SELECT model_type, band_hi, count(*) AS rows, CAST(ceil(count(*) / 64) * 3 AS BIGINT) AS last_step
         FROM tb GROUP BY 1, 2)""")
 sql("step_offset", cte("steps") + "SELECT model_type, band_hi, rows, last_step, \"offset\" FROM steps")
-register("bloss", ["tri", "cum"], """
-  SELECT c.model_type, c.band_hi,
-         sum(c.n * -ln((c.cum + 1) / (x.cum_ctx + v.vocab_cum))) / sum(c.n) AS loss
-  FROM (SELECT *, sum(n) OVER (PARTITION BY model_type, prev, next, word ORDER BY band_hi
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-        FROM (SELECT model_type, band_hi, prev, next, word, count(*) AS n FROM tri GROUP BY 1, 2, 3, 4, 5)) c
-  JOIN (SELECT model_type, band_hi, prev, next,
-               sum(sum(n)) OVER (PARTITION BY model_type, prev, next ORDER BY band_hi
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_ctx
-        FROM (SELECT model_type, band_hi, prev, next, count(*) AS n FROM tri GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4) x
-    USING (model_type, band_hi, prev, next)
-  JOIN cum v USING (model_type, band_hi)
-  GROUP BY 1, 2""")
+
+
+def _running(by: list[str]) -> str:
+    """Cumulative counts of ``by`` at every band in which it occurs."""
+    cols = ", ".join(["model_type", "band_hi", *by])
+    part = ", ".join(["model_type", *by])
+    return (f"SELECT {cols}, sum(sum(n)) OVER (PARTITION BY {part} ORDER BY band_hi "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM tri_n GROUP BY {cols}")
+
+
+register("tri_n", ["tri"], "SELECT model_type, band_hi, prev, next, word, count(*) AS n FROM tri GROUP BY ALL")
+_ctx = [["prev", "next"], ["next"], ["prev"], []]
+register("probs", ["tri_n"], "SELECT t.model_type, t.band_hi, t.n, " + ", ".join(
+    f"CAST(a{i}.c AS DOUBLE) / b{i}.c AS p{i}" for i in range(1, 5)) + " FROM tri_n t " + " ".join(
+    f"JOIN ({_running([*c, 'word'])}) a{i} USING ({', '.join(['model_type', 'band_hi', *c, 'word'])}) "
+    f"JOIN ({_running(c)}) b{i} USING ({', '.join(['model_type', 'band_hi', *c])})" for i, c in enumerate(_ctx, 1)))
+register("em0", [], "SELECT 0.25::DOUBLE AS l1, 0.25::DOUBLE AS l2, 0.25::DOUBLE AS l3, 0.25::DOUBLE AS l4")
+_mix = "(l1 * p1 + l2 * p2 + l3 * p3 + l4 * p4)"
+for _e in (1, 2, 3):
+    register(f"em{_e}", ["probs", f"em{_e - 1}"], f"""
+  SELECT model_type, band_hi, sum(n * -ln({_mix})) / sum(n) AS loss, """ + ", ".join(
+        f"sum(n * l{i} * p{i} / {_mix}) / sum(n) AS l{i}" for i in range(1, 5)) + f"""
+  FROM probs JOIN em{_e - 1} """ + ("ON true" if _e == 1 else "USING (model_type, band_hi)") + " GROUP BY model_type, band_hi")
+register("bloss", ["em1", "em2", "em3"], " UNION ALL ".join(
+    f"SELECT model_type, band_hi, {e} AS epoch, loss FROM em{e}" for e in (1, 2, 3)))
 register("curve", ["steps", "bloss"], """
-  SELECT s.model_type, s.band_hi, e.epoch, CAST(ceil(s.rows / 64) * e.epoch AS BIGINT) AS step,
-         CAST(ceil(s.rows / 64) * e.epoch AS BIGINT) + s."offset" AS global_step, l.loss
-  FROM steps s CROSS JOIN (VALUES (1), (2), (3)) e(epoch) JOIN bloss l USING (model_type, band_hi)""")
+  SELECT s.model_type, s.band_hi, l.epoch, CAST(ceil(s.rows / 64) * l.epoch AS BIGINT) AS step,
+         CAST(ceil(s.rows / 64) * l.epoch AS BIGINT) + s."offset" AS global_step, l.loss
+  FROM steps s JOIN bloss l USING (model_type, band_hi)""")
 sql("train_loss_curve", cte("curve") + """
 SELECT model_type, band_hi, epoch, step, global_step, round(loss, 9) AS loss FROM curve""")
 register("ctxc", ["qg", "tri"], """
@@ -756,7 +777,7 @@ LATERAL (VALUES ('child_median', child_median), ('child_err_lower', child_median
                 ('model_err_lower', model_median - model_q1), ('model_err_upper', model_q3 - model_median),
                 ('reference', CAST(2 AS DOUBLE))) v(series, value)""")
 sql("series_loss", cte("curve") + """
-SELECT 'loss' AS chart, model_type, CAST(global_step AS INTEGER) AS age, 'loss' AS series, round(loss, 9) AS value
+SELECT 'loss' AS chart, model_type, CAST(band_hi AS BIGINT) AS band_hi, global_step AS step, 'loss' AS series, round(loss, 9) AS value
 FROM curve""")
 
 # ------------------------------------------------------------ streaming (equals the batch answer)
@@ -776,15 +797,15 @@ for _k in ("sink_age_bands", "src_band_text"):
     sql(_k, cte("tb") + "SELECT model_type, band_hi, utt FROM tb")
 sql("src_loop_variants", cte("tb") + "SELECT model_type, band_hi, count(*) AS n_sentences FROM tb GROUP BY 1, 2")
 for _k in ("sink_headerless", "src_headerless"):
-    sql(_k, cte("parent_u", "tok_lists") + """
-SELECT p.uid, p.utt, p.age_months, CAST(len(l.t) AS INTEGER) AS n_tok FROM parent_u p JOIN tok_lists l USING (uid)""")
+    sql(_k, cte("sparent_u") + r"""
+SELECT uid, utt, age_months, CAST(len(regexp_extract_all(utt, '[\pL\pN'']+')) AS INTEGER) AS n_tok FROM sparent_u""")
 for _k in ("sink_maps", "src_noun_types"):
     sql(_k, cte("nt") + "SELECT model_type, noun, types FROM nt")
 for _k in ("sink_test_sets", "discover_partitions"):
-    sql(_k, cte("testset", "child_u") + """
-SELECT t.model_type, t.age, t.uid, u.utt FROM testset t JOIN child_u u USING (uid)""")
-sql("src_decimal_comma", cte("testset", "child_u") + """
-SELECT DISTINCT t.uid, u.age_months FROM testset t JOIN child_u u USING (uid)""")
+    sql(_k, cte("testset", "schild_u") + """
+SELECT t.model_type, t.age, t.uid, u.utt FROM testset t JOIN schild_u u USING (uid)""")
+sql("src_decimal_comma", cte("testset", "schild_u") + """
+SELECT DISTINCT t.uid, u.age_months FROM testset t JOIN schild_u u USING (uid)""")
 sql("sink_results", cte("res") + "SELECT * FROM res")
 sql("sink_overall_set", cte("overall") + "SELECT uid, subject, age_months, utt FROM overall")
 sql("run_metrics", cte("rw1_dec") + """
