@@ -54,29 +54,32 @@ def tokens_with_markers(c) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"\[x[0-9]+\]|[\pL\pN'+@]+"), 0)
 
 
-MARKER = r"^\[x[0-9]+\]$"
+# Fixed limit: a repeat marker says at most 999 times; a larger number is a word.
+MARKER = r"^\[x0*[0-9]{1,3}\]$"
 
 
 def expand_repeats(c) -> Column:
-    """A ``[xN]`` token repeats the previous output token N-1 more times
-    and disappears; a leading marker (nothing emitted yet) is kept as a word.
+    """A ``[xN]`` token, N up to 999, repeats the previous output token N-1 more
+    times and disappears; a leading marker (nothing emitted yet) is kept as a word,
+    and so is one with a larger number.
 
     Linear per sentence: ordinary tokens map to themselves; only a marker
-    looks back for the last literal token (non-marker, or the token at 0)."""
+    looks back for the last literal token (non-marker, or the token at 0).
+    Sentences without a marker pass as they are."""
     arr = col(c)
 
     def out(t, i):
         literal = ~t.rlike(MARKER) | (i == 0)
         prev = F.element_at(F.filter(F.slice(arr, 1, i), lambda x, j: ~x.rlike(MARKER) | (j == 0)), -1)
-        n = F.greatest(F.coalesce(F.regexp_extract(t, r"([0-9]+)", 1).try_cast("int"), F.lit(1)) - 1, F.lit(0))
+        n = F.greatest(F.regexp_extract(t, r"([0-9]+)", 1).cast("int") - 1, F.lit(0))
         return F.when(literal, F.array(t)).otherwise(F.array_repeat(prev, n))
 
-    return F.flatten(F.transform(arr, out))
+    return F.when(F.exists(arr, lambda x: x.startswith("[x")), F.flatten(F.transform(arr, out))).otherwise(arr)
 
 
 def strip_plus_join(c) -> Column:
     """T4: delete '+' inside tokens, join by one blank."""
-    return F.array_join(F.transform(col(c), lambda x: F.replace(x, F.lit("+"), F.lit(""))), " ")
+    return F.replace(F.array_join(col(c), " "), F.lit("+"), F.lit(""))
 
 
 def words(tagged) -> Column:

@@ -1,13 +1,13 @@
 """Import cleaning and utterance normalisation (P1-P10, T1-T7) as narrow projections.
 
-All steps are per-row Column expressions, so one stage reads the corpus and the
-whole chain runs inside whole-stage codegen; the only shuffle-free join is the
-mask-name lookup against the (bounded) names table.
+The steps are per-row Column expressions, so one stage reads the corpus and the
+whole chain is one projection; only the drawn names (T5, T6) are a join, and only
+the places that need one go to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detflow.functions import text as T
@@ -53,17 +53,16 @@ def import_clean(wide: DataFrame) -> DataFrame:
 
 
 def lemma(w):
-    """T2 (stand-in): rule lemma of one token; non-alphabetic or short tokens stay."""
-    lw = F.lower(w)
-    eligible = lw.rlike("^[a-z]{4,}$") & (w == lw)
-    out = None
+    """T2 (stand-in): rule lemma of one token; non-alphabetic, short and
+    capitalised tokens stay.  The rules see lowercase words only, so nothing is
+    lowered, and a token that stays is tested once."""
+    out = F.when(~w.rlike("^[a-z]{4,}$"), w)
     for suf, rep in LEMMA_SUFFIXES:
-        cond = eligible & lw.endswith(suf)
+        cond = w.endswith(suf)
         if suf == "s":
             for keep in LEMMA_KEEP_BEFORE_S:
-                cond = cond & ~lw.endswith(keep + "s")
-        val = F.concat(F.substring(lw, F.lit(1), F.length(lw) - len(suf)), F.lit(rep))
-        out = F.when(cond, val) if out is None else out.when(cond, val)
+                cond = cond & ~w.endswith(keep + "s")
+        out = out.when(cond, F.concat(F.substring(w, F.lit(1), F.length(w) - len(suf)), F.lit(rep)))
     return out.otherwise(w)
 
 
@@ -71,70 +70,53 @@ def lemmatize(tokens_col):
     return F.transform(F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col, lemma)
 
 
-NAMES_LITERAL_MAX = 100_000   # names tables up to this size are inlined into the plan
-
-
-def names_array(names: DataFrame) -> list[str] | None:
-    """The names in index order if the table is small enough to inline (a
-    bounded dimension table), else None so callers fall back to a join."""
-    n = names.count()
-    if n > NAMES_LITERAL_MAX:
-        return None
-    return [r["name"] for r in names.orderBy("idx").select("name").collect()]
-
-
-def replace_mask_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int) -> DataFrame:
-    """T5: each MASK token gets an independently drawn name ``names[h(uid, i) % n]``.
-
-    With a bounded names table the lookup is a literal array index inside one
-    ``transform`` (narrow, no shuffle).  Above the bound, only the MASK tokens are
-    exploded and joined to the names table, then regrouped per sentence."""
-    arr = names_array(names)
-    toks = F.split(F.col(text_col), " ", -1)
-    if arr is not None:
-        lit = F.array(*[F.lit(x) for x in arr])
-        out = F.array_join(F.transform(toks, lambda w, i: F.when(
-            w == "MASK", F.element_at(lit, (h("uid", i, F.lit("name")) % F.lit(len(arr))).cast("int") + 1))
-            .otherwise(w)), " ")
-        return df.withColumn(text_col, F.when(F.col(text_col).contains("MASK"), out).otherwise(F.col(text_col)))
-    has = df.withColumn("_t", toks)
-    masked = has.where(F.array_contains("_t", "MASK"))
-    clean = has.where(~F.array_contains("_t", "MASK")).drop("_t")
-    ex = masked.select("uid", F.posexplode("_t").alias("i", "w")).where(F.col("w") == "MASK")
-    ex = ex.withColumn("idx", h("uid", "i", F.lit("name")) % F.lit(n_names))
-    ex = ex.join(names.select("idx", "name"), "idx").select("uid", "i", "name")
-    repl = ex.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("i", "name"))).alias("_m"))
-    fixed = (masked.join(repl, "uid", "left")
-             .withColumn(text_col, F.array_join(F.transform(
-                 "_t", lambda w, i: F.coalesce(F.element_at(F.col("_m"), i), w)), " "))
-             .drop("_t", "_m"))
-    return clean.unionByName(fixed)
+def _drawn_names(places: DataFrame, names: DataFrame, n_names: int, tag: str) -> DataFrame:
+    """(uid, reps): the names drawn for the places (uid, k) of a sentence, in order.
+    The join is left to Spark: names are as many as the names table has."""
+    draws = places.withColumn("idx", (h("uid", "k", F.lit(tag)) if tag == "name" else h("uid", F.lit(tag), "k")) % F.lit(n_names))
+    return draws.join(names.select("idx", "name"), "idx").groupBy("uid").agg(
+        F.sort_array(F.collect_list(F.struct("k", "name"))).alias("_r"))
+
+
+def _interleave(parts, reps):
+    """Text parts with the replacements between them."""
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(reps, i)["name"], F.lit("")))), "")
+
+
+def _replace_runs(df: DataFrame, text_col: str, pattern: str, names: DataFrame, n_names: int, tag: str,
+                  may: Column = F.lit(True)) -> DataFrame:
+    """Every match of ``pattern`` becomes a drawn name, by a join on the drawn index.
+    Only sentences with a match take part; null texts stay.  ``may``: a cheap test
+    that a match passes, made before ``text_col`` is computed."""
+    hits = df.where(may).where(F.col(text_col).rlike(pattern)).select(
+        "uid", F.explode(F.sequence(F.lit(0), F.size(F.split(F.col(text_col), pattern, -1)) - 2)).alias("k"))
+    reps = _drawn_names(hits, names, n_names, tag)
+    out = df.join(reps, "uid", "left")
+    text = F.when(F.col("_r").isNull(), F.col(text_col)).otherwise(_interleave(F.split(F.col(text_col), pattern, -1), F.col("_r")))
+    return out.withColumn(text_col, text).drop("_r")
+
+
+MASK_WORD = rf"(?<!{T.WORD_CHAR})MASK(?!{T.WORD_CHAR})"
+
+
+def replace_mask_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int, may: Column = F.lit(True)) -> DataFrame:
+    """T5: the k-th whole word MASK of a sentence becomes the name of its own draw."""
+    return _replace_runs(df, text_col, MASK_WORD, names, n_names, "name", may)
 
 
 def replace_at_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int) -> DataFrame:
     """Every ``\\b\\w*@\\w*\\b`` run is replaced by a drawn name (the k-th
     occurrence of a sentence uses draw ``h(uid, 'at', k)``)."""
-    pat = r"[\p{L}\p{N}_]*@[\p{L}\p{N}_]*"
-    hits = df.select("uid", F.regexp_extract_all(F.col(text_col), F.lit(pat), 0).alias("_hits"))
-    hits = hits.where(F.size("_hits") > 0)
-    ex = hits.select("uid", F.posexplode("_hits").alias("k", "hit"))
-    ex = ex.withColumn("idx", h("uid", F.lit("at"), "k") % F.lit(n_names))
-    ex = ex.join(F.broadcast(names.select("idx", "name")), "idx")
-    reps = ex.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("_r"))
-    # Rebuild: split on the pattern, interleave parts with the drawn names.
-    out = df.join(reps, "uid", "left").withColumn("_parts", F.split(F.col(text_col), pat, -1))
-    rebuilt = F.when(F.col("_r").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(
-        "_parts", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_r"), i)["name"], F.lit("")))), ""))
-    return out.withColumn(text_col, rebuilt).drop("_r", "_parts")
+    return _replace_runs(df, text_col, rf"{T.WORD_CHAR}*@{T.WORD_CHAR}*", names, n_names, "at")
 
 
 def normalize_utts(cleaned: DataFrame, names: DataFrame, n_names: int) -> DataFrame:
     """Tokens (markers kept) -> lemma -> [xN] expansion -> '+' removal and
     join -> MASK names.  Returns (uid, subject, age_months, speaker, utt)."""
-    t = cleaned.withColumn("_tok", T.tokens_with_markers("utt"))
+    t = cleaned.withColumn("_tok", T.tokens_with_markers("utt")).withColumn("_may", F.translate("utt", "+", "").contains("MASK"))
     t = t.withColumn("_tok", T.expand_repeats(lemmatize("_tok")))
     t = t.withColumn("utt", T.strip_plus_join("_tok")).drop("_tok")
-    return replace_mask_names(t, "utt", names, n_names)
+    return replace_mask_names(t, "utt", names, n_names, F.col("_may")).drop("_may")
 
 
 def drop_empty(df: DataFrame, text_col: str = "utt") -> DataFrame:

@@ -107,8 +107,7 @@ def q_pick_utt(spark, d):
 
 
 def normalized(spark, d) -> DataFrame:
-    c = Corpus(spark, d)
-    return C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, _n_names(c))
+    return StudyPlan.shared(spark, d).normalized
 
 
 @query("drop_empty")
@@ -777,8 +776,8 @@ from detflow.streaming.incremental import incremental_bands  # noqa: E402
 
 @query("incremental_bands")
 def q_incremental_bands(spark, d):
-    sp = StudyPlan.shared(spark, d)
-    return incremental_bands(spark, sp.bands, files_per_trigger=8)
+    """The bands' text fed band by band to a running stream."""
+    return incremental_bands(spark, StudyPlan.shared(spark, d).bands)
 
 
 # ---------------------------------------------------------------- sources and sinks (round trips)

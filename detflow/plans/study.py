@@ -75,14 +75,16 @@ class StudyPlan:
     # sentences (P10) and tagged (T8).  Filters on ``tagged`` must run on this
     # written column: on a computed alias Catalyst pushes them below the
     # projection and re-tags per element.
+    @cached_property
     def normalized(self) -> DataFrame:
         c = self.corpus
-        return C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, c.table("nation").count())
+        n = C.normalize_utts(C.import_clean(C.wide_corpus(c.raw_corpus)), c.names, c.table("nation").count())
+        return self.stages.write(n, "normalized")
 
     @cached_property
     def tagged(self) -> DataFrame:
         key = F.split("uid", "-")       # k-id-turn-sent_no: the corpus order
-        t = C.drop_empty(self.normalized()).select(
+        t = C.drop_empty(self.normalized).select(
             "uid", key[0].alias("k"), *[key[i].cast("bigint").alias(c) for i, c in ((1, "id"), (2, "turn"), (3, "sent_no"))],
             "subject", "age_months", "utt", tag_tokens(T.tokens("utt")).alias("tagged"), "speaker")
         return self.stages.write(t, "sentences", ("speaker",), "uid")
@@ -203,7 +205,7 @@ class OverallPlan:
 
     @property
     def normalized(self) -> DataFrame:
-        return self.study.normalized()
+        return self.study.normalized
 
     @cached_property
     def overall(self) -> DataFrame:

@@ -69,7 +69,7 @@ def _expand(src: str) -> str:
          CASE WHEN is_mark THEN greatest(CAST(regexp_extract(w, '[0-9]+') AS BIGINT) - 1, 0) ELSE 1 END AS cnt,
          last_value(CASE WHEN NOT is_mark THEN w END IGNORE NULLS)
            OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lit
-  FROM (SELECT uid, i, w, regexp_full_match(w, '\[x[0-9]+\]') AND i > 0 AS is_mark FROM {src})"""
+  FROM (SELECT uid, i, w, regexp_full_match(w, '\[x0*[0-9]{{1,3}}\]') AND i > 0 AS is_mark FROM {src})"""
 
 
 register("ic_exp0", ["ic_tok"], _expand("ic_tok"))
@@ -92,13 +92,15 @@ def mask_names(src: str, cols: str) -> str:
     return f"""
   SELECT {cols}, CASE WHEN m.uid IS NULL THEN s.utt ELSE m.utt END AS utt
   FROM {src} s LEFT JOIN (
-    SELECT x.uid, string_agg(coalesce(nm.name, x.w), ' ' ORDER BY x.i) AS utt
-    FROM (SELECT uid, unnest(string_split(utt, ' ')) AS w,
-                 generate_subscripts(string_split(utt, ' '), 1) - 1 AS i
-          FROM {src} WHERE list_contains(string_split(utt, ' '), 'MASK')) x
-    LEFT JOIN names nm
-      ON x.w = 'MASK' AND nm.idx = {H('x.uid', 'x.i', "'name'")} % (SELECT count(*) FROM nation)
-    GROUP BY x.uid) m ON m.uid = s.uid"""
+    SELECT p.uid, string_agg(p.part || coalesce(nm.name, ''), '' ORDER BY p.k) AS utt
+    FROM (SELECT uid, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS k, len(parts) AS np
+          FROM (SELECT uid, string_split(regexp_replace(regexp_replace(utt,
+                         '(^|[^\\pL\\pN_])MASK($|[^\\pL\\pN_])', '\\1' || chr(1) || '\\2', 'g'),
+                         '(^|[^\\pL\\pN_])MASK($|[^\\pL\\pN_])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts
+                FROM {src} WHERE contains(utt, 'MASK'))) p
+    LEFT JOIN names nm ON p.k < p.np - 1
+         AND nm.idx = {H('p.uid', 'p.k', "'name'")} % (SELECT count(*) FROM nation)
+    GROUP BY p.uid) m ON m.uid = s.uid"""
 
 
 register("normalized", ["norm0", "names"], mask_names("norm0", "s.uid, s.subject, s.age_months, s.speaker"))
