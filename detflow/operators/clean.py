@@ -84,7 +84,7 @@ def _interleave(parts, reps):
 
 
 def _replace_runs(df: DataFrame, text_col: str, pattern: str, names: DataFrame, n_names: int, tag: str,
-                  may: Column = F.lit(True)) -> DataFrame:
+                  may: Column | str = "true") -> DataFrame:
     """Every match of ``pattern`` becomes a drawn name, by a join on the drawn index.
     Only sentences with a match take part; null texts stay.  ``may``: a cheap test
     that a match passes, made before ``text_col`` is computed."""
@@ -99,7 +99,7 @@ def _replace_runs(df: DataFrame, text_col: str, pattern: str, names: DataFrame,
 MASK_WORD = rf"(?<!{T.WORD_CHAR})MASK(?!{T.WORD_CHAR})"
 
 
-def replace_mask_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int, may: Column = F.lit(True)) -> DataFrame:
+def replace_mask_names(df: DataFrame, text_col: str, names: DataFrame, n_names: int, may: Column | str = "true") -> DataFrame:
     """T5: the k-th whole word MASK of a sentence becomes the name of its own draw."""
     return _replace_runs(df, text_col, MASK_WORD, names, n_names, "name", may)
 
