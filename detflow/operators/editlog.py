@@ -43,7 +43,8 @@ def texts(base: DataFrame, log: DataFrame, variants: list[int]) -> DataFrame:
     out = out.withColumn("_mine", F.get(mine, 0)).where("_mine IS NULL OR NOT _mine.dropped")
     out = out.withColumn("tagged", edited(F.col("tagged"), F.col("_mine.edits")))
     words = F.array_join(F.transform("tagged", lambda x: x["word"]), " ")
-    return out.withColumn("utt", F.when(F.col("model_type") == UNFILTERED, F.col("utt")).otherwise(words)).drop("_log", "_mine")
+    own = F.col("utt") if "utt" in base.columns else words
+    return out.withColumn("utt", F.when(F.col("model_type") == UNFILTERED, own).otherwise(words)).drop("_log", "_mine")
 
 
 def _words(tagged: Column) -> Column:

@@ -61,15 +61,16 @@ class StudyPlan:
         return _SHARED[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str, remove_conflicts: bool = STUDY_REMOVE_CONFLICTS,
-                 unique_nouns: bool = True):
+                 unique_nouns: bool = True, materialize: bool = True):
         self.spark = spark
         self.corpus = Corpus(spark, sf_dir)
         self.remove_conflicts = remove_conflicts
         self.unique_nouns = unique_nouns
+        self.materialize = materialize
 
     @cached_property
     def stages(self) -> Stages:
-        return Stages(self.spark)
+        return Stages(self.spark, written=self.materialize)
 
     # ---- stage 1: the corpus cleaned (P1-P6), normalised (T1-T6), without empty
     # sentences (P10) and tagged (T8).  Filters on ``tagged`` must run on this

@@ -19,13 +19,16 @@ from detflow.session import ensure_checkpoint_dir
 
 
 class Stages:
-    def __init__(self, spark: SparkSession, name: str = "study"):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str = "study", written: bool = True):
+        """``written`` False: stages stay lazy, for tests of plans."""
+        self.spark, self.written = spark, written
         self.run = uuid.uuid4().hex
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{self.run}"
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), bucket_by: str | None = None) -> DataFrame:
         """Write ``df`` once and return the stage that reads it."""
+        if not self.written:
+            return df
         path, n = f"{self.root}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"detflow_{name}_{self.run}"
         out = df.repartition(n, bucket_by) if bucket_by else df
