@@ -30,16 +30,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) fall back to a fresh scratch folder."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the context's own.
+    Only a local master may go without one and gets a fresh scratch folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="detflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server-side conf is used
+        if not conf_dir:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share") from None
         return conf_dir
+    conf_dir = conf_dir or sc.getCheckpointDir()
+    if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="detflow-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
