@@ -78,15 +78,23 @@ def write_headerless(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("header", False).option("quote", '"').option("escape", '"').csv(path)
 
 
+def _partition_writer(df: DataFrame, keys: list[str]):
+    """A writer that replaces the partitions it has rows for and leaves the others.
+    Rows are rebalanced by the keys first: a partition's rows come from one task,
+    or, where they are more than AQE's advisory size, from one for each such part,
+    so its files are bounded by its size and not by the number of map tasks."""
+    return (df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*keys))
+
+
 def write_age_bands(bands: DataFrame, path: str) -> None:
     """K2: utterance text only, one directory per (model_type, band_hi)."""
-    bands.select("model_type", "band_hi", "utt").write.mode("overwrite") \
-        .partitionBy("model_type", "band_hi").text(path)
+    _partition_writer(bands.select("model_type", "band_hi", "utt"), ["model_type", "band_hi"]).text(path)
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
     """K3/K4/K6: Parquet partitioned by the keys the reference puts in file names."""
-    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    _partition_writer(df, keys).parquet(path)
 
 
 def write_small_csv(df: DataFrame, path: str) -> None:
