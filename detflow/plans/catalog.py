@@ -895,13 +895,14 @@ def q_sink_overall_set(spark, d):
 
 @query("run_metrics")
 def q_run_metrics(spark, d):
-    """K7: window and conflict counts observed while the rewrite decisions run."""
+    """K7: window and conflict counts of the rewrite decisions, one aggregate, kept in
+    the run log and read back from it."""
     sp = StudyPlan.shared(spark, d)
     nt = sp.noun_types.where(F.col("model_type") != 100)
-    obs_df, obs = IO.run_metrics(R.decisions(sp.parent, nt), "rewrite", "conflict")
-    obs_df.write.format("noop").mode("overwrite").save()
-    m = obs.get
-    return spark.createDataFrame([(int(m["rows"]), int(m["conflicts"]))], "windows long, conflicts long")
+    path = _out_dir(spark, "run_log")
+    IO.log_metrics(R.decisions(sp.parent, nt).agg(F.count(F.lit(1)).alias("windows"), F.count_if("conflict").alias("conflicts")),
+                   path, sp.stages.run, "rewrite")
+    return IO.read_metrics(spark, path, "windows long, conflicts long").select("windows", "conflicts")
 
 
 @query("preprocess_pipeline")

@@ -109,3 +109,15 @@ def run_metrics(df: DataFrame, name: str, conflict_col: str | None = None) -> tu
     if conflict_col:
         exprs.append(F.count_if(F.col(conflict_col)).alias("conflicts"))
     return df.observe(obs, *exprs), obs
+
+
+def log_metrics(metrics: DataFrame, path: str, run: str, stage: str) -> None:
+    """K7: the metrics row of a stage in the run log.  The log is partitioned by run
+    and stage and a partition is replaced, so logging again adds no row."""
+    row = metrics.withColumns({"run": F.lit(run), "stage": F.lit(stage)})
+    write_partitioned(row, path, ["run", "stage"])
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The run log: the metrics columns of ``schema``, run and stage."""
+    return spark.read.schema(f"{schema}, run string, stage string").parquet(path)

@@ -42,3 +42,13 @@ def test_a_large_partition_gets_several_writers(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert len(files(out)) > 4 and spark.read.parquet(out).count() == 60_000
+
+
+def test_run_log_has_a_row_a_run_and_stage(spark, tmpdir_path):
+    out = tmpdir_path + "/log"
+    one = spark.range(5).agg(F.count("*").alias("windows"), F.sum("id").alias("conflicts"))
+    for run, stage in (("r1", "rewrite"), ("r1", "rewrite"), ("r1", "tag"), ("r2", "rewrite")):
+        IO.log_metrics(one, out, run, stage)
+    log = IO.read_metrics(spark, out, "windows long, conflicts long").collect()
+    assert sorted((r["run"], r["stage"], r["windows"], r["conflicts"]) for r in log) == [
+        ("r1", "rewrite", 5, 10), ("r1", "tag", 5, 10), ("r2", "rewrite", 5, 10)]
