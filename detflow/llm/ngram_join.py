@@ -3,12 +3,15 @@
 Sets.  A text's set holds the 64-bit hashes of its distinct word n-grams, in one
 global order (by hash).  Equal sets are one class; all later work is on classes.
 
-Candidates.  Let p(n) = n - ceil(t n) + 1.  Of a pair that links, with sizes
-n_x <= n_y, the first 2 p(n) hashes of both sets share more than p(n_x).  So
-any p(n_x) of x's first 2 p(n_x) hashes hold one that y has among its first
-2 p(n_y): x probes with its p(n_x) rarest, by their number of classes over the
-whole corpus, and needs those that no other class has only to be counted.
-Common passages are frequent, so they end up among the hashes left out.
+Candidates.  Let p(n) = n - ceil(t n) + 1, and call the first 2 p(n) hashes of a
+set its head.  A pair that links shares at least I = t (n_x + n_y) / (1 + t)
+hashes; of those all but n_x - I of x's head, and all but n_y - I of y's, lie in
+the head, and the lesser of the two numbers lies in both heads.  With this number
+o, the rarest hash (by its number of classes over the whole corpus) of both heads
+is among the |head| - o + 1 rarest of each, so x probes with these, y is found
+under these alone, and at a common hash at least o - 1 others must follow in
+either.  Hashes that no other class has only need to be counted.  Common
+passages are frequent, so they end up among the hashes left out on both sides.
 
 Pairs.  All pairs of a large group of near copies are never made.  First every
 class is compared with one centre that shares enough of its hashes, in a few
@@ -16,7 +19,8 @@ rounds with other centres, and linked classes become components.  Then only
 pairs of classes in different components are left, and those are all compared.
 Classes with one centre share blocks of bounded size; a probe's token brings two
 blocks together instead of two classes, unless both hold one and the same
-component, and a whole set is sent once to each pair of blocks.
+component, and a whole set is sent once to each pair of blocks.  A pair of blocks
+gives back a spanning forest of its components, not its linked pairs.
 
 Verification.  The sets of a block are sorted.  Rows in that order are a
 depth-first walk of the prefix tree of the sets: the overlaps of the path shared
@@ -33,6 +37,7 @@ columns are ignored.  Sets are compared by 64-bit hashes of n-grams.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +93,29 @@ def spare(n: int | Column, percent: int):
     return n - F.floor((F.lit(percent) * n + 99) / 100) + 1
 
 
+def shared_least(percent: int) -> tuple[Fraction, Fraction]:
+    """The least o of a pair that links, as a share of the size of its smaller
+    and of its larger set.  o is the lesser of two functions that are linear in
+    the other size, so it is least at an end of that size's range."""
+    t = Fraction(percent, 100)
+    head = min(2 * (1 - t), Fraction(1))                    # a head is no smaller share of its set
+    equal = head - 1 + 2 * t / (1 + t)
+    return min(equal, head, (head - 1 + t) / t), min(equal, head * t, head - 1 + t)
+
+
+def at_least(share: Fraction, size: Column) -> Column:
+    """ceil(share size), 1 at least."""
+    return F.greatest(F.lit(1), F.floor((size * share.numerator + (share.denominator - 1)) / share.denominator))
+
+
+def shared_of_pair(percent: int, x_least: Column, x_most: Column, y_least: Column, y_most: Column) -> Column:
+    """A lower bound of o for sizes in these ranges."""
+    t = percent / 100
+    both, own = t / (1 + t), min(2 * (1 - t), 1.0) - 1 + t / (1 + t)
+    of = lambda least, most, other: own * (most if own < 0 else least) + both * other
+    return F.least(of(x_least, x_most, y_least), of(y_least, y_most, x_least)) - 1e-6
+
+
 def set_rows(batches: Iterable[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, version to size, signature and first 2 p hashes."""
     hashes = WordHashes()
@@ -191,28 +219,46 @@ def verify_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+class Forest:
+    """Components joined so far, within a pair of blocks."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        while (up := self.parent.get(node, node)) != node:
+            self.parent[node] = self.parent.get(up, up)
+            node = up
+        return node
+
+
 def verify_units(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Columns low, high, side, class, component, set sorted by (low, high,
     side, set), side 0 the probes of a pair of blocks and side 1 the sets to
-    walk, to the pairs (a, b) of different components that link."""
-    unit, probes, names, groups, walk = None, [], [], [], None
+    walk, to pairs (a, b) of components: a spanning forest of those that a
+    link joins within the pair of blocks."""
+    unit, probes, groups, walk, forest = None, [], [], None, Forest()
     for batch in batches:
         a, b = [], []
-        keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
-        for i, (low, high, side, name, group) in enumerate(keys):
+        keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)))
+        for i, (low, high, side, group) in enumerate(keys):
             if (low, high) != unit:
-                unit, probes, names, groups, walk = (low, high), [], [], [], None
+                unit, probes, groups, walk, forest = (low, high), [], [], None, Forest()
             own = np.frombuffer(batch.column(5)[i].as_buffer(), ">u8").astype(np.uint64)
             if side == 0:
                 probes.append(own)
-                names.append(name)
                 groups.append(group)
                 continue
             if walk is None:
-                walk, others = BlockWalk(probes, percent), np.array(groups, np.int64)
-            for j in np.flatnonzero(walk.linked(own, others != group)):
-                a.append(name)
-                b.append(names[j])
+                # a probe's tree: a set is not compared with those of its own
+                walk, trees = BlockWalk(probes, percent), np.array(groups, np.int64)
+            for j in np.flatnonzero(walk.linked(own, trees != forest.root(group))):
+                one, other = forest.root(group), forest.root(groups[j])
+                if one != other:
+                    a.append(group)
+                    b.append(groups[j])
+                    forest.parent[other] = one
+                    trees[trees == other] = one
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -249,30 +295,29 @@ class Join:
         self.sets = stage(spark, texts.mapInArrow(
             lambda b: set_rows(b, n, percent), f"doc_id {id_type}, version long, size long, high long, low long, first array<long>"), "sets")
         classes = (self.sets.where("size > 0 AND doc_id IS NOT NULL").groupBy("high", "low")
-                   .agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("first").alias("first"))
-                   .withColumn("class", F.monotonically_increasing_id()))
+                   .agg(F.min(F.struct("doc_id", "version")).alias("row"), F.first("size").alias("size"), F.first("first").alias("first"))
+                   .select("high", "low", "row.*", "size", "first").withColumn("class", F.monotonically_increasing_id()))
         self.classes = stage(spark, classes, "classes")
         entries = self.classes.select("class", F.col("size").cast("int").alias("size"), F.explode("first").alias("hash"))
         frequent = stage(spark, entries.groupBy("hash").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "frequent")
         shared = stage(spark, entries.join(frequent.hint("merge"), "hash"), "shared")
-        # y shares more than p(n_x) hashes, and n_x is at least ceil(t n_y)
         size = F.col("size").cast("long")
-        least = F.floor((F.lit(percent) * size + 99) / 100)
+        smaller, larger = (at_least(share, size) for share in shared_least(percent))
         able = (shared.groupBy("class", "size").agg(F.count("*").alias("n"))
-                .where(F.col("n") > spare(least, percent)).select("class"))
+                .where(F.col("n") >= F.least(smaller, larger)).select("class"))
         able = stage(spark, able, "able")
         self.shared = stage(spark, shared.join(able.hint("merge"), "class"), "able-shared")
-        p = spare(size, percent)
+        # the hashes of no other class come first in the order, so of the n others
+        # all but the last o - 1 are among the |head| - o + 1 rarest
         by_class = Window.partitionBy("class")
         rarest = self.shared.select(
-            "class", "size", "hash", p.alias("p"), F.count("*").over(by_class).alias("n"),
-            F.row_number().over(by_class.orderBy("df", "hash")).alias("rank"))
-        # of the 2 p hashes, 2 p - n are in no other class and are the rarest
-        self.probes = stage(spark, rarest.where(F.col("rank") <= F.col("n") - F.least(F.lit(2) * p, F.col("size")) + p)
-                            .select("class", "size", "hash"), "probes")
+            "class", "size", "hash", F.count("*").over(by_class).alias("n"),
+            F.row_number().over(by_class.orderBy("df", "hash")).alias("rank")).withColumn("rest", F.col("n") - F.col("rank") + 1)
+        ranked = stage(spark, rarest.where(F.col("rest") >= F.least(smaller, larger)).select("class", "size", "hash", "rest"), "ranked")
+        self.probes, self.index = ranked.where(F.col("rest") >= smaller), ranked.where(F.col("rest") >= larger)
         release(spark, frequent, shared)
-        chosen = self.classes.select("class", "high", "low", "doc_id").join(able.hint("merge"), "class")
-        self.whole = stage(spark, chosen.join(texts.hint("merge"), "doc_id").select("class", "high", "low", "text")
+        chosen = self.classes.select("class", "high", "low", "doc_id", "version").join(able.hint("merge"), "class")
+        self.whole = stage(spark, chosen.join(texts.hint("merge"), ["doc_id", "version"]).select("class", "high", "low", "text")
                            .mapInArrow(lambda b: whole_sets(b, n), "class long, set binary")
                            .dropDuplicates(["class"]), "whole-sets")
         release(spark, able)
@@ -358,12 +403,12 @@ class Join:
         blocks = self._blocks()
 
         def of_blocks(rows: DataFrame, name: str) -> DataFrame:
-            rows = rows.select("hash", "class").join(blocks.hint("merge"), "class").groupBy("hash", "block").agg(
-                F.min("component").alias("least"), F.max("component").alias("most"),
-                F.min("size").alias("shortest"), F.max("size").alias("longest"))
+            rows = rows.select("hash", "class", "rest").join(blocks.hint("merge"), "class").groupBy("hash", "block").agg(
+                F.min("component").alias("least"), F.max("component").alias("most"), F.max("rest").alias("rest"),
+                F.min(F.col("size").cast("long")).alias("shortest"), F.max(F.col("size").cast("long")).alias("longest"))
             return stage(self.spark, rows, name)
 
-        index, probes = of_blocks(self.shared, "index"), of_blocks(self.probes, "asked")
+        index, probes = of_blocks(self.index, "index"), of_blocks(self.probes, "asked")
         several = index.groupBy("hash").agg(
             F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("hash")
         several = stage(self.spark, several, "several")
@@ -371,17 +416,19 @@ class Join:
             "hash", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns[1:])) for rows, side in ((probes, "x"), (index, "y")))
         units = x.join(y.hint("merge"), "hash").where(
             (F.least("x_least", "y_least") < F.greatest("x_most", "y_most")) & (F.col("x_shortest") <= F.col("y_longest"))
-            & (F.lit(100) * F.col("x_longest") >= F.lit(self.percent) * F.col("y_shortest")))
+            & (F.lit(100) * F.col("x_longest") >= F.lit(self.percent) * F.col("y_shortest"))
+            & (F.least("x_rest", "y_rest") >= shared_of_pair(
+                self.percent, F.col("x_shortest"), F.col("x_longest"), F.col("y_shortest"), F.col("y_longest"))))
         units = stage(self.spark, units.select(
             F.least("x_block", "y_block").alias("low"), F.greatest("x_block", "y_block").alias("high")).distinct(), "units")
-        release(self.spark, index, probes, several, self.shared, self.probes)
+        release(self.spark, index, probes, several, self.shared, self.probes, self.index)
         members = stage(self.spark, blocks.select("class", "component", "block").join(self.whole.hint("merge"), "class"), "members")
         sides = [units.withColumn("side", F.lit(side)).join(members.withColumnRenamed("block", name).hint("merge"), name)
                  .select("low", "high", "side", "class", "component", "set") for side, name in enumerate(("low", "high"))]
         percent = self.percent
         found = (sides[0].unionByName(sides[1]).repartition("low", "high").sortWithinPartitions("low", "high", "side", "set")
                  .mapInArrow(lambda b: verify_units(b, percent), "a long, b long"))
-        self._link(found)
+        self._link(found.distinct())
         release(self.spark, units, members, blocks)
 
 
