@@ -180,23 +180,28 @@ def first_pass(block: Block, text: str) -> bool | None:
     return None if density >= LOW_STOP else False
 
 
+def nearest_decided(labels: list[bool | None]) -> list[tuple[int, bool] | None]:
+    """Distance and label of the nearest decided block before each, in one sweep."""
+    out, last = [], None
+    for k, label in enumerate(labels):
+        out.append((k - last, labels[last]) if last is not None else None)
+        if label is not None:
+            last = k
+    return out
+
+
 def main_text(html: str | None) -> str:
     kept = [(b, t) for b in blocks_of(html or "") if (t := b.text())]
     labels = [first_pass(b, t) for b, t in kept]
     if any(b.main and not b.named and x for (b, _), x in zip(kept, labels)):
         labels = [x if b.named != LIFTED else False for (b, _), x in zip(kept, labels)]
     has_main = any(b.main and x for (b, _), x in zip(kept, labels))
-    decided = [k for k, x in enumerate(labels) if x is not None]
+    left, right = nearest_decided(labels), nearest_decided(labels[::-1])[::-1]
     final = list(labels)
     for k, x in enumerate(labels):
         if x is None:
-            near = sorted(decided, key=lambda d: abs(d - k))[:1] if len(decided) < 2 else None
-            if near is None:
-                left = max((d for d in decided if d < k), default=None)
-                right = min((d for d in decided if d > k), default=None)
-                sides = [d for d in (left, right) if d is not None]
-                near = sides if len({labels[d] for d in sides}) == 1 else sorted(sides, key=lambda d: (abs(d - k), d < k))[:1]
-            final[k] = bool(near) and bool(labels[near[0]])
+            sides = [(distance, side, label) for side, found in ((0, right[k]), (1, left[k])) if found for distance, label in [found]]
+            final[k] = min(sides)[2] if sides else False    # the nearer one, and at the same distance the later one
         if has_main and final[k] and not kept[k][0].main:
             final[k] = False            # a page with an article has its text there
     return " ".join(t for (_, t), x in zip(kept, final) if x)

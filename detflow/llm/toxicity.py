@@ -97,23 +97,26 @@ class Model:
 def segments(tokens: list[bytes], scores: Scores) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first token, end) of a token list.
     Only tokens that score above the drift can begin one, so the scan visits
-    those and takes what lies between from prefix sums."""
+    those and takes what lies between from prefix sums.  Each segment knows the
+    nearest earlier one with a smaller sum before it, so none is visited again
+    by a search that it cannot end: time grows with the tokens."""
     if not tokens or not scores.features:
         return []
     sums = np.concatenate([[0.0], np.cumsum(np.array([scores[t] for t in tokens]) - DRIFT)])
-    found: list[tuple[float, float, int, int]] = []     # (sum before, sum after, first, end)
+    found: list[tuple[float, float, int, int, int]] = []    # (sum before, sum after, first, end, nearest smaller)
     for i in np.flatnonzero(np.diff(sums) > 0):
         before, after, first, end = float(sums[i]), float(sums[i + 1]), int(i), int(i) + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= after:
-                found.append((before, after, first, end))
+                found.append((before, after, first, end, j))
                 break
-            before, first = found[j][0], found[j][2]
+            before, _, first, _, smaller = found[j]
             del found[j:]
-    return [(after - before, first, end) for before, after, first, end in found]
+            j = smaller
+    return [(after - before, first, end) for before, after, first, end, _ in found]
 
 
 def count_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
