@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from detflow.llm import ngram_join as J
 from detflow.llm.common import read
@@ -63,3 +64,38 @@ def test_op7_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()]
     check(J.op7_ngram_join(spark, sf).collect(), rows)
+
+
+def test_forest_of_a_pair_of_blocks():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 10_000, 200).astype(np.uint64))
+    sets = [np.delete(base, rng.choice(len(base), 3, replace=False)) for _ in range(30)]
+    sets += [np.unique(rng.integers(20_000, 30_000, 50).astype(np.uint64)) for _ in range(5)]
+    rows = [(1, 2, side, i, i // 2 if i < 10 else i, s.astype(">u8").tobytes()) for side in (0, 1) for i, s in enumerate(sets)]
+    rows.sort(key=lambda r: (r[2], r[5]))
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                       ["low", "high", "side", "class", "component", "set"])
+    edges = [e for out in J.verify_units([batch.slice(0, 50), batch.slice(50)], 85) for e in zip(*(c.to_pylist() for c in out.columns))]
+    nodes = {r[4] for r in rows if r[3] < 30}
+    assert len(edges) == len(nodes) - 1             # a tree, not all pairs
+    forest = J.Forest()
+    for a, b in edges:
+        forest.parent[forest.root(a)] = forest.root(b)
+    assert len({forest.root(n) for n in nodes}) == 1
+
+
+def test_least_number_shared_by_heads():
+    rng = np.random.default_rng(8)
+    smaller, larger = J.shared_least(85)
+    for _ in range(4000):
+        n = int(rng.integers(6, 120))
+        x = np.unique(rng.integers(0, 10**6, n))
+        y = np.union1d(x[rng.random(len(x)) > rng.choice([0, 0.03, 0.08])], rng.integers(0, 10**6, int(rng.integers(0, 1 + n // 6))))
+        x, y = sorted((x, y), key=len)
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 85 * (len(x) + len(y) - both):
+            o = len(np.intersect1d(x[:2 * J.spare(len(x), 85)], y[:2 * J.spare(len(y), 85)]))
+            assert o >= smaller * len(x) and o >= larger * len(y)
+            t = 0.85
+            assert o >= min(a * (0.3 - 1 + t / (1 + t)) + b * t / (1 + t) for a, b in ((len(x), len(y)), (len(y), len(x)))) - 1e-6
