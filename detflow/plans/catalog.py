@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from detflow.functions import text as T
 from detflow.operators import clean as C
+from detflow.operators import decode as DC
 from detflow.operators import pairing as D
 from detflow.plans.study import StudyPlan
 from detflow.sources.tables import Corpus
@@ -190,6 +191,18 @@ def q_learn_tag_lexicon(spark, d):
                                  F.sum("n").alias("n"))
 
 
+@query("tag_transitions")
+def q_tag_transitions(spark, d):
+    return DC.transition_counts(Corpus(spark, d).parent)
+
+
+@query("tag_decode")
+def q_tag_decode(spark, d):
+    c = Corpus(spark, d)
+    paths = DC.decode(c.tagged, c.parent)
+    return paths.select("uid", F.array_join("path", " ").alias("tags"), "score")
+
+
 @query("words_join")
 def q_words_join(spark, d):
     return Corpus(spark, d).tagged.select("uid", T.words("tagged").alias("utt"))

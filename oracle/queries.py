@@ -172,6 +172,39 @@ SELECT word, pos, CAST(total AS BIGINT) AS n FROM (
   SELECT word, pos, sum(n) OVER (PARTITION BY word) AS total,
          row_number() OVER (PARTITION BY word ORDER BY n DESC, pos DESC) AS rn
   FROM (SELECT lower(word) AS word, pos, count(*) AS n FROM ptoks GROUP BY 1, 2)) WHERE rn = 1""")
+register("trans_n", ["ptoks"], """
+  SELECT coalesce(lag(pos) OVER (PARTITION BY uid ORDER BY i), '^') AS prev, pos FROM ptoks""")
+sql("tag_transitions", cte("trans_n") + "SELECT prev, pos, count(*) AS n FROM trans_n GROUP BY 1, 2")
+sql("tag_decode", cte("tok_lists", "toks", "trans_n").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+tagset AS (SELECT DISTINCT pos FROM ptoks),
+trans AS MATERIALIZED (
+  SELECT a.prev, b.pos, CAST(round(ln((coalesce(n.n, 0) + 1) / (coalesce(t.total, 0) + k.k)) * 1000000) AS BIGINT) AS s
+  FROM (SELECT pos AS prev FROM tagset UNION ALL SELECT '^') a CROSS JOIN tagset b
+  CROSS JOIN (SELECT count(*) AS k FROM tagset) k
+  LEFT JOIN (SELECT prev, pos, count(*) AS n FROM trans_n GROUP BY 1, 2) n ON n.prev = a.prev AND n.pos = b.pos
+  LEFT JOIN (SELECT prev, count(*) AS total FROM trans_n GROUP BY 1) t ON t.prev = a.prev),
+emit AS (
+  SELECT w.word, w.pos, CAST(round(ln(w.n / t.total) * 1000000) AS BIGINT) AS e
+  FROM (SELECT lower(word) AS word, pos, count(*) AS n FROM ptoks GROUP BY 1, 2) w
+  JOIN (SELECT pos, count(*) AS total FROM ptoks GROUP BY 1) t USING (pos)),
+cand AS MATERIALIZED (
+  SELECT t.uid, t.i, coalesce(e.pos, t.pos) AS pos, coalesce(e.e, 0) AS e
+  FROM toks t LEFT JOIN emit e ON e.word = lower(t.word)),
+least_s AS (SELECT min(s) AS s FROM trans),
+walk AS (
+  SELECT c.uid, c.i, c.pos, coalesce(t.s, l.s) + c.e AS score, [c.pos] AS path
+  FROM cand c CROSS JOIN least_s l LEFT JOIN trans t ON t.prev = '^' AND t.pos = c.pos WHERE c.i = 0
+  UNION ALL
+  SELECT uid, i, pos, score, path FROM (
+    SELECT c.uid, c.i, c.pos, v.score + coalesce(t.s, l.s) + c.e AS score, list_append(v.path, c.pos) AS path,
+           row_number() OVER (PARTITION BY c.uid, c.pos ORDER BY v.score + coalesce(t.s, l.s) DESC, v.pos) AS rn
+    FROM walk v JOIN cand c ON c.uid = v.uid AND c.i = v.i + 1 CROSS JOIN least_s l
+    LEFT JOIN trans t ON t.prev = v.pos AND t.pos = c.pos) WHERE rn = 1),
+ends AS (
+  SELECT uid, path, score FROM (
+    SELECT w.*, row_number() OVER (PARTITION BY w.uid ORDER BY w.i DESC, w.score DESC, w.pos) AS rn FROM walk w) WHERE rn = 1)
+SELECT l.uid, coalesce(array_to_string(e.path, ' '), '') AS tags, coalesce(e.score, 0) AS score
+FROM tok_lists l LEFT JOIN ends e USING (uid)""")
 sql("words_join", cte("tok_lists") + "SELECT uid, array_to_string(t, ' ') AS utt FROM tok_lists")
 
 # ------------------------------------------------------------ pairing
