@@ -89,12 +89,26 @@ def mask_single_det(df: DataFrame) -> DataFrame:
                     prev.alias("prev"), after.alias("next"))
 
 
-def model_availability(df: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
-    """The model of an age group is (model_type, int(age)); groups whose age
-    is not a trained band limit are skipped."""
-    avail = F.array(*[F.lit(x) for x in BAND_LIMITS])
-    a = df.withColumn("age", F.col("age_months").cast("int")).withColumn("model_type", F.lit(model_type))
-    return a.where(F.array_contains(avail, F.col("age")))
+def _of_model(df: DataFrame, model_type: int) -> DataFrame:
+    return df.withColumn("age", F.col("age_months").cast("int")).withColumn("model_type", F.lit(model_type))
+
+
+def model_availability(df: DataFrame, model_type: int = UNFILTERED, registry: DataFrame | None = None) -> DataFrame:
+    """The model of an age group is (model_type, int(age)); groups without a
+    trained band are skipped.  ``registry``: the trained bands (``discover_bands``);
+    without one, every band limit of the study counts as trained."""
+    a = _of_model(df, model_type)
+    if registry is None:
+        return a.where(F.array_contains(F.array(*[F.lit(x) for x in BAND_LIMITS]), F.col("age")))
+    trained = registry.where(F.col("model_type") == model_type).select("age")
+    return a.join(F.broadcast(trained), "age", "left_semi").select(a.columns)   # one row per directory of the model
+
+
+def skipped_ages(df: DataFrame, registry: DataFrame, model_type: int = UNFILTERED) -> DataFrame:
+    """(model_type, age, n_sentences) of the age groups without a trained band;
+    sentences without an age are the group of age null."""
+    groups = _of_model(df, model_type).groupBy("model_type", "age").agg(F.count(F.lit(1)).alias("n_sentences"))
+    return groups.join(registry.select("model_type", "age"), ["model_type", "age"], "left_anti")
 
 
 def replace_det(tagged, new_det) -> F.Column:
@@ -105,10 +119,11 @@ def replace_det(tagged, new_det) -> F.Column:
                        .otherwise(x))
 
 
-def model_predictions(overall: DataFrame, tri: DataFrame, model_type: int = UNFILTERED, cut=None) -> DataFrame:
+def model_predictions(overall: DataFrame, tri: DataFrame, model_type: int = UNFILTERED, cut=None,
+                      registry: DataFrame | None = None) -> DataFrame:
     """R7 on the age-aligned model; J10: predictions stay keyed by uid.  ``tri``:
-    the model's training triples."""
-    q = model_availability(mask_single_det(overall), model_type)
+    the model's training triples; ``registry``: its trained bands."""
+    q = model_availability(mask_single_det(overall), model_type, registry)
     return predict(q, tri, [model_type], cut)
 
 

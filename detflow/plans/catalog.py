@@ -618,10 +618,21 @@ def q_flex_iqr(spark, d):
     return O.flexible_use_iqr(O.flexible_use_counts(OverallPlan.shared(spark, d).overall))
 
 
+@query("trained_bands")
+def q_trained_bands(spark, d):
+    return OverallPlan.shared(spark, d).registry.select("model_type", "age", "bytes")
+
+
 @query("model_availability")
 def q_model_availability(spark, d):
-    m = O.model_availability(O.mask_single_det(OverallPlan.shared(spark, d).overall))
-    return m.select("uid", "model_type", "age")
+    p = OverallPlan.shared(spark, d)
+    return O.model_availability(O.mask_single_det(p.overall), registry=p.registry).select("uid", "model_type", "age")
+
+
+@query("skipped_ages")
+def q_skipped_ages(spark, d):
+    p = OverallPlan.shared(spark, d)
+    return O.skipped_ages(O.mask_single_det(p.overall), p.registry)
 
 
 @query("key_join_predictions")

@@ -28,6 +28,7 @@ from detflow.operators import predict as PR
 from detflow.operators import rewrite as R
 from detflow.operators import testsets as TS
 from detflow.operators import vocab as V
+from detflow.sources import io as IO
 from detflow.sources.stages import Stages
 from detflow.sources.tables import UNFILTERED, Corpus
 
@@ -218,12 +219,19 @@ class OverallPlan:
         """Training triples of the model: those of the base for the unfiltered one."""
         return EL.signed_triples(self.study.base, None if self.model_type == UNFILTERED else self.study.edits)
 
+    @cached_property
+    def registry(self) -> DataFrame:
+        """The trained bands of the model, as its files say."""
+        path = f"{self.study.stages.root}/model_bands-{self.model_type}"
+        IO.write_age_bands(self.study.bands.where(F.col("model_type") == self.model_type), path)
+        return self.study.stages.write(IO.discover_bands(self.spark, path), f"trained_bands_{self.model_type}")
+
     def _counts(self, name: str):
         return lambda c: self.study.stages.write(c, name, ("level",))
 
     @cached_property
     def model_preds(self) -> DataFrame:
-        p = O.model_predictions(self.overall, self.triples, self.model_type, self._counts("overall_counts"))
+        p = O.model_predictions(self.overall, self.triples, self.model_type, self._counts("overall_counts"), self.registry)
         return self.study.stages.write(p, "model_predictions")
 
     @cached_property

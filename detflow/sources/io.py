@@ -15,7 +15,9 @@ CORPUS_SCHEMA = Ty.StructType([
     Ty.StructField("age_months", Ty.DoubleType()), Ty.StructField("p_utts", Ty.StringType()),
     Ty.StructField("c_utts", Ty.StringType())])
 TAGGED_TYPE = "array<struct<word:string,pos:string>>"
+# Fixed value: the name of a test set's file.
 TEST_FILE_PATTERN = r"test_(\d+)_months_(\d+)\.txt"
+BAND_PATH_PATTERN = r"model_type=(\d+)/band_hi=(\d+)/[^/]+$"
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: Ty.StructType = CORPUS_SCHEMA) -> DataFrame:
@@ -57,6 +59,18 @@ def discover_test_files(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("model_type", F.regexp_extract("_file", TEST_FILE_PATTERN, 2).cast("int")).drop("_file")
 
 
+def discover_bands(spark: SparkSession, path: str) -> DataFrame:
+    """J9 + S6: the registry of trained bands, (model_type, age, files, bytes), from the
+    files below ``path``; only names and sizes are read, no content.  A band without
+    a file, or with empty files only, isn't trained; other files don't count."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    named = found.where(F.col("path").rlike(BAND_PATH_PATTERN)).select(
+        F.regexp_extract("path", BAND_PATH_PATTERN, 1).cast("int").alias("model_type"),
+        F.regexp_extract("path", BAND_PATH_PATTERN, 2).cast("int").alias("age"), "length")
+    bands = named.groupBy("model_type", "age").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return bands.where("bytes > 0")
+
+
 def read_band_text(spark: SparkSession, path: str) -> DataFrame:
     """One sentence per line; partition columns come from the directory."""
     return spark.read.text(path).withColumnRenamed("value", "utt")

@@ -676,6 +676,12 @@ SELECT o.age_months, o.subject, p.noun FROM (
   WHERE d.pos = 'DET') p JOIN overall o USING (uid)
 GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE p.det = 'a') > 0 AND count(*) FILTER (WHERE p.det = 'the') > 0""")
 sql("flexible_use_iqr", cte("ciqr") + "SELECT * FROM ciqr")
+sql("trained_bands", cte("tb") + """
+SELECT model_type, band_hi AS age, CAST(sum(strlen(utt) + 1) AS BIGINT) AS bytes
+FROM tb WHERE model_type = 100 GROUP BY 1, 2""")
+sql("skipped_ages", cte("om_all", "bands") + """
+SELECT 100 AS model_type, CAST(trunc(age_months) AS INTEGER) AS age, count(*) AS n_sentences FROM om_all
+WHERE CAST(trunc(age_months) AS INTEGER) NOT IN (SELECT band_hi FROM bands) GROUP BY 2""")
 sql("model_availability", cte("om") + "SELECT uid, model_type, age FROM om")
 sql("key_join_predictions", cte("ov_sc") + "SELECT uid, age_months, subject, pred_det, noun FROM ov_sc")
 sql("pred_is_det", cte("ov_sc") + "SELECT uid, pred_det FROM ov_sc WHERE pred_det IN ('a', 'the')")
