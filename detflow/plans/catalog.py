@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from detflow.functions import text as T
 from detflow.operators import clean as C
 from detflow.operators import decode as DC
 from detflow.operators import pairing as D
 from detflow.plans.study import StudyPlan
-from detflow.sources.tables import Corpus
+from detflow.sources.tables import Corpus, indexed_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,12 +38,18 @@ def _n_names(c: Corpus) -> int:
 # ---------------------------------------------------------------- sources
 @query("src_corpus")
 def q_src_corpus(spark, d):
-    return C.wide_corpus(Corpus(spark, d).raw_corpus)
+    """The wide corpus as the headed CSV it comes in, read back by the CSV reader."""
+    wide, path = C.wide_corpus(Corpus(spark, d).raw_corpus), _out_dir(spark, "corpus")
+    IO.write_corpus_csv(wide, path, F.xxhash64("uid"))
+    return IO.read_corpus_csv(spark, path, Ty.StructType([Ty.StructField("_index", Ty.LongType()), *wide.schema.fields]))
 
 
 @query("src_names")
 def q_src_names(spark, d):
-    return Corpus(spark, d).names.select("idx", "name")
+    """Names from their CSV, with the dense index."""
+    path = _out_dir(spark, "names")
+    IO.write_names(Corpus(spark, d).table("nation").select(F.col("n_name").alias("name")), path)
+    return indexed_names(IO.read_names(spark, path)).select("idx", "name")
 
 
 @query("decode_tagged")
@@ -886,7 +893,10 @@ def q_sink_test_sets(spark, d):
 
 @query("discover_partitions")
 def q_discover_partitions(spark, d):
-    return q_sink_test_sets(spark, d)
+    """Test sets written under their file names; age and model type come from the names."""
+    path = _out_dir(spark, "test_files")
+    IO.write_test_files(StudyPlan.shared(spark, d).test_sets.select("model_type", "age", "uid", "utt"), path)
+    return IO.discover_test_files(spark, path, "uid string, utt string").select("model_type", "age", "uid", "utt")
 
 
 @query("src_decimal_comma")

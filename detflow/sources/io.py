@@ -6,7 +6,7 @@ the reference encodes in file names, so later reads prune partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -20,11 +20,27 @@ TEST_FILE_PATTERN = r"test_(\d+)_months_(\d+)\.txt"
 BAND_PATH_PATTERN = r"model_type=(\d+)/band_hi=(\d+)/[^/]+$"
 
 
-def read_corpus_csv(spark: SparkSession, path: str, schema: Ty.StructType = CORPUS_SCHEMA) -> DataFrame:
+def _csv_reader(spark: SparkSession, schema, header: bool, multi_line: bool):
+    """Quote and escape '"', white space kept.  Without ``multi_line`` a record is one
+    line and a large file is split among tasks; with it a file is one task, so it is
+    only for files whose quoted fields hold line breaks."""
+    reader = spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", True) if multi_line else reader.option("lineSep", "\n")
+
+
+def _csv_writer(df: DataFrame, header: bool):
+    return (df.write.mode("overwrite").option("header", header).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def read_corpus_csv(spark: SparkSession, path: str, schema: Ty.StructType = CORPUS_SCHEMA, multi_line: bool = False) -> DataFrame:
     """Headed corpus CSV; the first column is an index and is dropped."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True) \
-        .option("quote", '"').option("escape", '"').csv(path)
-    return df.drop(schema.fieldNames()[0])
+    return _csv_reader(spark, schema, True, multi_line).csv(path).drop(schema.fieldNames()[0])
+
+
+def write_corpus_csv(df: DataFrame, path: str, index: Column) -> None:
+    """The layout of S1: ``index`` as the first column, then ``df``."""
+    _csv_writer(df.select(index.alias("_index"), "*"), True).csv(path)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -32,12 +48,16 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("Name string").option("header", True).csv(path).select(F.col("Name").alias("name"))
 
 
-def read_headerless(spark: SparkSession, path: str, names: list[str], types: list[str] | None = None) -> DataFrame:
-    """S3: headerless CSV with supplied column names (quote/escape '"', multi-line)."""
+def write_names(names: DataFrame, path: str) -> None:
+    _csv_writer(names.select(F.col("name").alias("Name")), True).csv(path)
+
+
+def read_headerless(spark: SparkSession, path: str, names: list[str], types: list[str] | None = None,
+                    multi_line: bool = False) -> DataFrame:
+    """S3: headerless CSV with supplied column names (quote/escape '"')."""
     types = types or ["string"] * len(names)
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types))
-    return spark.read.schema(schema).option("header", False).option("multiLine", True) \
-        .option("quote", '"').option("escape", '"').csv(path)
+    return _csv_reader(spark, schema, False, multi_line).csv(path)
 
 
 def decode_tagged(df: DataFrame, col: str = "tagged") -> DataFrame:
@@ -50,13 +70,23 @@ def encode_tagged(df: DataFrame, col: str = "tagged") -> DataFrame:
     return df.withColumn(col, F.to_json(F.col(col)))
 
 
-def discover_test_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named ``test_<age>_months_<model_type>.txt`` -> (age, model_type)
-    from the file name, plus their rows."""
-    df = spark.read.option("header", True).csv(path).withColumn("_file", F.col("_metadata.file_name"))
-    m = df.where(F.col("_file").rlike("^" + TEST_FILE_PATTERN + "$"))
-    return m.withColumn("age", F.regexp_extract("_file", TEST_FILE_PATTERN, 1).cast("int")) \
-        .withColumn("model_type", F.regexp_extract("_file", TEST_FILE_PATTERN, 2).cast("int")).drop("_file")
+def discover_test_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Files named ``test_<age>_months_<model_type>.txt``, or directories named
+    ``file=`` and that -> (age, model_type) from the name, plus their rows."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    df = (reader.schema(schema) if schema else reader).csv(path).withColumn("_path", F.col("_metadata.file_path"))
+    name = "/(?:file=)?" + TEST_FILE_PATTERN + "(?:/[^/]+)?$"
+    m = df.where(F.col("_path").rlike(name))
+    return m.withColumn("age", F.regexp_extract("_path", name, 1).cast("int")) \
+        .withColumn("model_type", F.regexp_extract("_path", name, 2).cast("int")).drop("_path", "file")
+
+
+def write_test_files(df: DataFrame, path: str) -> None:
+    """K3 by file name: the rows of an (age, model_type) as headed CSV under that name."""
+    name = F.format_string("test_%d_months_%d.txt", F.col("age"), F.col("model_type"))
+    rows = df.withColumn("file", name).drop("age", "model_type")
+    (_partition_writer(rows, ["file"]).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def discover_bands(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +119,7 @@ def write_headerless(df: DataFrame, path: str) -> None:
     for f in df.schema.fields:
         if isinstance(f.dataType, (Ty.ArrayType, Ty.StructType, Ty.MapType)):
             out = out.withColumn(f.name, F.to_json(F.col(f.name)))
-    out.write.mode("overwrite").option("header", False).option("quote", '"').option("escape", '"').csv(path)
+    _csv_writer(out, False).csv(path)
 
 
 def _partition_writer(df: DataFrame, keys: list[str]):

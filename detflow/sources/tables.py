@@ -34,6 +34,12 @@ def age_of(id_col) -> F.Column:
             .otherwise(F.lit(10) + F.lit(4) * (id_col % 14))).cast("double")
 
 
+def indexed_names(names: DataFrame) -> DataFrame:
+    """``names`` (name) with a dense index idx, 0..n-1, in seeded order."""
+    from detflow.operators.ranking import dense_index
+    return dense_index(names, [], order_hash=h("name", F.lit("names")), tiebreak="name", out="idx")
+
+
 class Corpus:
     """Lazy views over one scale-factor directory."""
 
@@ -105,9 +111,7 @@ class Corpus:
     @cached_property
     def names(self) -> DataFrame:
         """First-name stand-in: nation names with a dense index 0..n-1."""
-        from detflow.operators.ranking import dense_index
-        n = self.table("nation").select(F.col("n_name").alias("name"))
-        return dense_index(n, [], order_hash=h("name", F.lit("names")), tiebreak="name", out="idx")
+        return indexed_names(self.table("nation").select(F.col("n_name").alias("name")))
 
     def bands(self) -> DataFrame:
         rows = [(lo, hi) for lo, hi in zip(BAND_EDGES[:-1], BAND_EDGES[1:])]

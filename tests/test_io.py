@@ -3,6 +3,7 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from conftest import tagged_df
 from detflow.sources import io as IO
@@ -21,6 +22,47 @@ def test_corpus_csv_and_headerless(spark, tmpdir_path):
     assert back.count() == 2
 
 
+def test_corpus_csv_round_trip_and_splits(spark, tmpdir_path):
+    rows = [("u1", 1, 14.0, ' two  blanks, "quoted" ', None), ("u2", 2, None, None, "tab\t, comma"), ("u3", 3, 18.0, "\\", "é")]
+    df = spark.createDataFrame(rows, "uid string, subject bigint, age_months double, p_utts string, c_utts string")
+    p = os.path.join(tmpdir_path, "corpus")
+    IO.write_corpus_csv(df, p, F.xxhash64("uid"))
+    schema = Ty.StructType([Ty.StructField("_index", Ty.LongType()), *df.schema.fields])
+    assert sorted(map(tuple, IO.read_corpus_csv(spark, p, schema).collect())) == sorted(rows)
+    one = os.path.join(tmpdir_path, "one")
+    IO.write_headerless(spark.range(50000).select(F.concat(F.lit("a b "), "id").alias("utt")).coalesce(1), one)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back = IO.read_headerless(spark, one, ["utt"])
+        assert back.rdd.getNumPartitions() > 1 and back.count() == 50000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_line_breaks_in_fields_need_multi_line(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "breaks.csv")
+    with open(p, "w") as f:
+        f.write('"two\nlines",14.0\n')
+    assert IO.read_headerless(spark, p, ["utt", "age"], multi_line=True).first().utt == "two\nlines"
+
+
+def test_test_files_by_name(spark, tmpdir_path):
+    rows = [(0, 14, "u1", 'the "dog", it'), (0, 14, "u2", " a cat"), (100, 58, "u3", "x")]
+    df = spark.createDataFrame(rows, "model_type int, age int, uid string, utt string")
+    p = os.path.join(tmpdir_path, "files")
+    IO.write_test_files(df, p)
+    assert os.path.isdir(os.path.join(p, "file=test_14_months_0.txt"))
+    back = IO.discover_test_files(spark, p, "uid string, utt string").select("model_type", "age", "uid", "utt")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_names_csv(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "names")
+    IO.write_names(spark.createDataFrame([("Zoë",), ("O'Neil, Ann",)], "name string"), p)
+    assert sorted(r.name for r in IO.read_names(spark, p).collect()) == ["O'Neil, Ann", "Zoë"]
+
+
 def test_tagged_json_round_trip(spark):
     df = tagged_df(spark, [("s", [("the", "DET"), ("dog", "NOUN")])])
     enc = IO.encode_tagged(df.select("uid", "tagged"))
