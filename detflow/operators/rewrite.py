@@ -73,7 +73,7 @@ def decisions(df: DataFrame, noun_types: DataFrame, variants=REWRITE_VARIANTS) -
     variants = [m for m, _ in variants]
     w = windows(df, keys).withColumn("noun", F.lower("word"))
     # the noun map is one row per noun: broadcast after a size check, else a
-    # shuffle join on noun (AQE splits hot nouns)
+    # shuffle join on noun with salts for hot nouns
     typed = join_checked(w, type_codes(noun_types, variants), ["noun"])
     g = typed.repartition("uid").groupBy(*keys, "det_idx", "det_type").agg(
         F.sort_array(F.collect_list(F.struct("j", "word", "codes"))).alias("all"))

@@ -17,6 +17,7 @@ from detflow.functions import text as T
 from detflow.operators import clean as C
 from detflow.operators import decode as DC
 from detflow.operators import pairing as D
+from detflow.operators.joins import salted_join
 from detflow.plans.study import StudyPlan
 from detflow.sources.tables import Corpus, indexed_names
 
@@ -366,7 +367,8 @@ def q_join_noun_types(spark, d):
     sp = StudyPlan.shared(spark, d)
     w = R.windows(sp.parent, ["uid"]).withColumn("noun", F.lower("word"))
     nt = sp.noun_types.where(F.col("model_type") != 100)
-    return w.join(nt, "noun").select("model_type", "uid", "det_idx", "j", "noun", A.types_str().alias("types"))
+    typed = salted_join(w, nt, "noun", spread=["uid", "det_idx", "j"])
+    return typed.select("model_type", "uid", "det_idx", "j", "noun", A.types_str().alias("types"))
 
 
 @query("sample_replacement")
@@ -824,9 +826,7 @@ def _out_dir(spark, name):
 
 
 def _band_files(spark, d):
-    path = _out_dir(spark, "bands")
-    IO.write_age_bands(StudyPlan.shared(spark, d).bands, path)
-    return path
+    return StudyPlan.shared(spark, d).band_files
 
 
 @query("sink_age_bands")

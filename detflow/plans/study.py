@@ -127,6 +127,13 @@ class StudyPlan:
     def bands(self) -> DataFrame:
         return B.in_bands(self.corpus_variants)
 
+    @cached_property
+    def band_files(self) -> str:
+        """K2: the folder of the band files, written once a run."""
+        path = f"{self.stages.root}/band_files"
+        IO.write_age_bands(self.bands, path)
+        return path
+
     @property
     def triples(self) -> DataFrame:
         return EL.signed_triples(self.base, self.edits)
