@@ -187,19 +187,20 @@ emit AS (
   SELECT w.word, w.pos, CAST(round(ln(w.n / t.total) * 1000000) AS BIGINT) AS e
   FROM (SELECT lower(word) AS word, pos, count(*) AS n FROM ptoks GROUP BY 1, 2) w
   JOIN (SELECT pos, count(*) AS total FROM ptoks GROUP BY 1) t USING (pos)),
-cand AS MATERIALIZED (
-  SELECT t.uid, t.i, coalesce(e.pos, t.pos) AS pos, coalesce(e.e, 0) AS e
-  FROM toks t LEFT JOIN emit e ON e.word = lower(t.word)),
-least_s AS (SELECT min(s) AS s FROM trans),
+cand AS (
+  SELECT t.uid, t.i, list({'pos': coalesce(e.pos, t.pos), 'e': coalesce(e.e, 0)}) AS options
+  FROM toks t LEFT JOIN emit e ON e.word = lower(t.word) GROUP BY 1, 2),
+sentence AS MATERIALIZED (SELECT uid, list(options ORDER BY i) AS tokens FROM cand GROUP BY 1),
+least_s AS MATERIALIZED (SELECT min(s) AS s FROM trans),
 walk AS (
-  SELECT c.uid, c.i, c.pos, coalesce(t.s, l.s) + c.e AS score, [c.pos] AS path
-  FROM cand c CROSS JOIN least_s l LEFT JOIN trans t ON t.prev = '^' AND t.pos = c.pos WHERE c.i = 0
+  SELECT uid, CAST(0 AS BIGINT) AS i, '^' AS pos, CAST(0 AS BIGINT) AS score, CAST([] AS VARCHAR[]) AS path FROM sentence
   UNION ALL
   SELECT uid, i, pos, score, path FROM (
-    SELECT c.uid, c.i, c.pos, v.score + coalesce(t.s, l.s) + c.e AS score, list_append(v.path, c.pos) AS path,
-           row_number() OVER (PARTITION BY c.uid, c.pos ORDER BY v.score + coalesce(t.s, l.s) DESC, v.pos) AS rn
-    FROM walk v JOIN cand c ON c.uid = v.uid AND c.i = v.i + 1 CROSS JOIN least_s l
-    LEFT JOIN trans t ON t.prev = v.pos AND t.pos = c.pos) WHERE rn = 1),
+    SELECT x.uid, x.i, x.c.pos AS pos, x.score + coalesce(t.s, l.s) + x.c.e AS score, list_append(x.path, x.c.pos) AS path,
+           row_number() OVER (PARTITION BY x.uid, x.c.pos ORDER BY x.score + coalesce(t.s, l.s) DESC, x.prev) AS rn
+    FROM (SELECT v.uid, v.i + 1 AS i, v.pos AS prev, v.score, v.path, unnest(s.tokens[v.i + 1]) AS c
+          FROM walk v JOIN sentence s USING (uid) WHERE v.i < len(s.tokens)) x
+    CROSS JOIN least_s l LEFT JOIN trans t ON t.prev = x.prev AND t.pos = x.c.pos) WHERE rn = 1),
 ends AS (
   SELECT uid, path, score FROM (
     SELECT w.*, row_number() OVER (PARTITION BY w.uid ORDER BY w.i DESC, w.score DESC, w.pos) AS rn FROM walk w) WHERE rn = 1)
