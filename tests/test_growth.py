@@ -43,3 +43,10 @@ def test_noun_flags_are_hash_aggregated(spark):
     for df in (types, sets):
         assert "ObjectHashAggregate" not in plan_of(df) and "SortAggregate" not in plan_of(df)
     assert {tuple(r["dets"]) for r in sets.where("model_type = 0 AND noun = 'dog'").collect()} == {("a",)}
+
+
+def test_the_log_is_hashed_and_sentences_are_not_sorted(spark):
+    base, log = base_and_log(spark)
+    for df in (EL.signed_triples(base, log), EL.signed_rows(base, log), B.training_corpus(
+            base.withColumns({c: F.lit(0) for c in ("k", "id", "turn", "sent_no")}), log)):
+        assert "ShuffledHashJoin" in plan_of(df) and "SortMergeJoin" not in plan_of(df)
