@@ -50,3 +50,15 @@ def test_the_log_is_hashed_and_sentences_are_not_sorted(spark):
     for df in (EL.signed_triples(base, log), EL.signed_rows(base, log), B.training_corpus(
             base.withColumns({c: F.lit(0) for c in ("k", "id", "turn", "sent_no")}), log)):
         assert "ShuffledHashJoin" in plan_of(df) and "SortMergeJoin" not in plan_of(df)
+
+
+def test_a_word_of_a_context_is_one_row_on_both_ways(spark):
+    tri = EL.signed_triples(*base_and_log(spark))
+    ctx = spark.createDataFrame([(0, 58, "is", "[SEP]"), (0, 14, "[CLS]", "dog")], "model_type int, age int, prev string, next string")
+    def plain(df):
+        return {(r["level"], r["kp"], r["kn"], r["word"]): sorted((-1 if c["model_type"] is None else c["model_type"], tuple(c["n"])) for c in r["counts"])
+                for r in df.collect()}
+    one, other = PR.context_words(tri, ctx), PR.context_words(tri, ctx, max_rows=0)
+    assert one.count() == len(plain(one)) and plain(one) == plain(other)
+    here = plain(one)[1, "[CLS]", "dog", "the"]
+    assert here == [(-1, (1, *[0] * 11)), (0, (-1, *[0] * 11))]
