@@ -62,3 +62,14 @@ def test_a_word_of_a_context_is_one_row_on_both_ways(spark):
     assert one.count() == len(plain(one)) and plain(one) == plain(other)
     here = plain(one)[1, "[CLS]", "dog", "the"]
     assert here == [(-1, (1, *[0] * 11)), (0, (-1, *[0] * 11))]
+
+
+def test_an_earlier_noun_decides_from_its_age_on(spark):
+    child = tagged_df(spark, [("u", [("the", "DET"), ("dog", "NOUN"), ("a", "DET"), ("cat", "NOUN")])])
+    types = spark.createDataFrame([(0, "dog", ["B"]), (0, "cat", ["A"]), (25, "cat", ["A"]), (25, "dog", ["A", "B"])],
+                                  "model_type int, noun string, types array<string>")
+    ages = spark.createDataFrame([("dog", 30.0), ("cat", 10.0)], "noun string, min_age double")
+    got = TS.make_test_sets(child, types, ages, False, columns=["uid"])
+    assert sorted(got.columns) == ["age", "model_type", "noun", "uid"]
+    want = {(0, a): "dog" if a >= 30 else "cat" for a in B.BAND_LIMITS} | {(25, a): "cat" for a in B.BAND_LIMITS}
+    assert {(r["model_type"], r["age"]): r["noun"] for r in got.collect()} == want and got.count() == 24
