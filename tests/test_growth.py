@@ -73,3 +73,12 @@ def test_an_earlier_noun_decides_from_its_age_on(spark):
     assert sorted(got.columns) == ["age", "model_type", "noun", "uid"]
     want = {(0, a): "dog" if a >= 30 else "cat" for a in B.BAND_LIMITS} | {(25, a): "cat" for a in B.BAND_LIMITS}
     assert {(r["model_type"], r["age"]): r["noun"] for r in got.collect()} == want and got.count() == 24
+
+
+def test_a_triple_is_one_row_for_all_variants(spark):
+    n = V.triple_counts(EL.signed_triples(*base_and_log(spark)))
+    rows = {(r["band_hi"], r["prev"], r["word"], r["next"]): r for r in n.collect()}
+    assert len(rows) == n.count()
+    r = rows[14, "[CLS]", "the", "dog"]
+    assert (r["n_0"], r["n_25"], r["n_100"]) == (0, 1, 1)
+    assert rows[42, "[CLS]", "a", "cat"]["n_25"] == 0
