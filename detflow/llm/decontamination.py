@@ -63,8 +63,7 @@ class Index:
         two = stage(self.spark, two, "candidates")
         rest = two.join(self.parts.where("rank > 2").select("phrase", "offset", "term"), "phrase")
         wanted = rest.select("row", (F.col("start") + F.col("offset")).alias("pos"), "term").distinct()
-        there = wanted.join(self.postings.hint("merge"), ["row", "pos", "term"])
-        missing = wanted.join(there, ["row", "pos", "term"], "left_anti")
+        missing = wanted.join(self.postings.hint("merge"), ["row", "pos", "term"], "left_anti")
         missing = stage(self.spark, missing, "missing")
         bad = (rest.join(missing.hint("merge"),
                          (rest["row"] == missing["row"]) & (rest["start"] + rest["offset"] == missing["pos"])
