@@ -12,6 +12,7 @@ from detflow.operators import editlog as EL
 from detflow.operators import predict as PR
 from detflow.operators import testsets as TS
 from detflow.operators import vocab as V
+from detflow.sources.stages import Stages
 
 LOG = "model_type int, uid string, edits map<int,string>, dropped boolean"
 
@@ -64,6 +65,55 @@ def test_a_word_of_a_context_is_one_row_on_both_ways(spark):
     assert here == [(-1, (1, *[0] * 11)), (0, (-1, *[0] * 11))]
 
 
+ASK = [(0, 58, "is", "[SEP]"), (0, 58, "[CLS]", "dog"), (25, 58, "zz", "dog"), (25, 58, "the", "zz"), (0, 58, "zz", "zz")]
+
+
+def asked(spark, rows=ASK):
+    return spark.createDataFrame(rows, "model_type int, age int, prev string, next string")
+
+
+def test_a_level_counts_only_what_is_asked_of_it(spark):
+    base, log = base_and_log(spark)
+    tri, names = EL.signed_triples(base, log), []
+
+    def cut(df, name):
+        names.append(name)
+        return df
+    got = {r["prev"]: r["pred_word"] for r in PR.predict(asked(spark, ASK[:2]), tri, cut=cut).collect()}
+    assert names == ["contexts", "words_1", "answers_1"] and got == {"is": "red", "[CLS]": "a"}
+    early = PR.level_words(tri, asked(spark, [(0, 14, "is", "[SEP]")]), 1).collect()      # the red cat is of band 22
+    assert {r["word"]: [x for c in r["counts"] for x in c["n"]] for r in early} == {"red": [1] * 12, "here": [1] * 12}
+    for number in (1, 2, 3):
+        one, other = (sorted((r["kp"], r["kn"], r["word"], sorted(map(str, r["counts"]))) for r in PR.level_words(
+            tri, asked(spark), number, max_rows=n).collect()) for n in (100, 0))
+        assert one == other and one
+
+
+def test_words_of_a_context_are_compared_after_their_counts(spark, monkeypatch):
+    tri = EL.signed_triples(*base_and_log(spark))
+    one = sorted(map(str, PR.predict(asked(spark), tri).collect()))
+    monkeypatch.setattr(PR, "MOST_ROWS", 0)
+    assert one == sorted(map(str, PR.predict(asked(spark), tri).collect()))
+    best = PR.best_by_level(PR.level_words(tri, asked(spark), 1))
+    assert "HashAggregate" in plan_of(best) and "max(" in plan_of(best)
+
+
+def test_no_token_of_the_base_runs_a_lambda(spark):
+    base, _ = base_and_log(spark)
+    none = base.limit(1).withColumn("tagged", F.expr("filter(tagged, x -> false)"))
+    assert "lambda" not in plan_of(EL.base_triples(base.cache())).split("InMemoryTableScan")[0]
+    assert EL.base_triples(none).count() == 0 and EL.base_triples(base).where("prev = '[CLS]'").count() == 4
+
+
+def test_bucketed_sentences_are_not_sorted_when_written(spark):
+    stages, key = Stages(spark, "unsorted"), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, "0")
+    out = stages.write(spark.range(50).selectExpr("cast(id as string) uid", "id % 2 speaker"), "s", ("speaker",), "uid")
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED detflow_s_{stages.run}").collect()}
+    assert "uid" in about["Bucket Columns"] and "uid" not in about.get("Sort Columns", "")
+    assert out.count() == 50 and spark.conf.get(key, "0") == before
+
+
 def test_an_earlier_noun_decides_from_its_age_on(spark):
     child = tagged_df(spark, [("u", [("the", "DET"), ("dog", "NOUN"), ("a", "DET"), ("cat", "NOUN")])])
     types = spark.createDataFrame([(0, "dog", ["B"]), (0, "cat", ["A"]), (25, "cat", ["A"]), (25, "dog", ["A", "B"])],
