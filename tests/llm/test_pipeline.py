@@ -37,6 +37,17 @@ def test_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in out} == left
 
 
+def test_stages_hold_few_rows_of_text_at_once(spark, monkeypatch):
+    usual, seen = spark.conf.get(C.BATCH), []
+
+    def look(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(C.BATCH)))
+        return docs
+    monkeypatch.setattr(C, "STAGES", [("look", look), ("last", look)])
+    assert C.run(spark, SF).count() == read(spark, SF, "documents").count()
+    assert seen == [C.BATCH_ROWS, int(usual)] and spark.conf.get(C.BATCH) == usual
+
+
 def test_fingerprints_compose():
     f = E.Fingerprint(chunk=8)
     data = bytes(range(200)) * 3
