@@ -17,7 +17,7 @@ runs of recurring windows inside a segment are the recurring phrases.
 
 Automata.  The phrases are dealt to shards by anchor.  A shard's phrases are
 compiled into one Aho-Corasick automaton over their words (each word of a shard
-has a code of three letters, one of each of three alphabets, so that matches
+has a code of two letters, one of each of two alphabets, so that matches
 begin and end at words), and the distinct segments of the shard's anchors are
 streamed through it.  What it finds, word by word, goes back to all
 texts that hold the segment.  A shard has a bounded number of segments; an
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -108,6 +109,11 @@ def signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a).view(np.int64)
 
 
+def utf8(text: pa.StringScalar) -> bytes:
+    """The bytes of a text as they lie in its batch; null: none."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 OCCURRENCES = "key binary, anchor array<long>, at array<int>, windows array<int>, segment array<long>"
 
 
@@ -116,7 +122,7 @@ def occurrence_rows(batches: Iterable[pa.RecordBatch], window: int, gram: int) -
     for batch in batches:
         columns: list[list] = [[], [], [], []]
         for text in batch.column(1):
-            seq = Sequences((text.as_py() or "").encode().split())
+            seq = Sequences(utf8(text).split())
             anchor, first, count = anchors(seq, window, gram)
             segment = seq.hash(1, first, count + window - 1)
             for out, values in zip(columns, (signed(anchor), first, count, signed(segment))):
@@ -134,13 +140,15 @@ def segment_rows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.
     words, and, where its anchor has other segments, the hashes of its windows."""
     for batch in batches:
         rows: list[tuple] = []
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = text.as_py().encode().split()
-            seq = Sequences(words) if any(x["variants"] > 1 for x in wanted) else None
-            for x in wanted:
-                at, n = x["at"], x["windows"]
-                hashes = signed(seq.hash(1, np.arange(at, at + n), window)) if x["variants"] > 1 else None
-                rows.append((x["anchor"], x["segment"], n, x["weight"], x["variants"], b" ".join(words[at:at + n + window - 1]), hashes))
+        each = batch.column(1).flatten()
+        wanted = zip(*(each.field(c).to_pylist() for c in ("anchor", "segment", "windows", "weight", "variants", "at")))
+        for text, some in zip(batch.column(0), batch.column(1).value_lengths().to_pylist()):
+            words, seq = utf8(text).split(), None
+            for anchor, segment, n, weight, variants, at in islice(wanted, some):
+                if variants > 1 and seq is None:
+                    seq = Sequences(words)
+                hashes = signed(seq.hash(1, np.arange(at, at + n), window)) if variants > 1 else None
+                rows.append((anchor, segment, n, weight, variants, b" ".join(words[at:at + n + window - 1]), hashes))
             if len(rows) > 20_000:
                 yield _segments(rows)
                 rows = []
@@ -162,15 +170,16 @@ def runs(words: bytes, recurring: list[int], window: int) -> Iterator[bytes]:
 
 # ---------------------------------------------------------------- automata
 class Codes(dict):
-    """Words to three letters, the first, second and third of different alphabets."""
-    BASE = 128
-    NONE = "\x01\x01\x01"
+    """Words to two letters of different alphabets.  The first is one of ``BASE``, so that no
+    place of an automaton has many ways on; the second has room for some 280 million words."""
+    BASE = 256
+    NONE = "\x01\x01"
 
     def add(self, word: bytes) -> str:
         code = self.get(word)
         if code is None:
             n = len(self)
-            code = self[word] = "".join(chr(self.BASE * (2 + k) + n // self.BASE ** k % self.BASE) for k in range(3))
+            code = self[word] = chr(self.BASE + n % self.BASE) + chr(2 * self.BASE + n // self.BASE)
         return code
 
     def __missing__(self, word: bytes) -> str:
@@ -198,7 +207,7 @@ class Automaton:
             return []
         out: list[tuple[int, int]] = []
         for end, length in self.found.iter("".join(map(self.codes.__getitem__, words.split(b" ")))):
-            end = (end + 1) // 3
+            end = (end + 1) // 2
             start = end - length
             while out and out[-1][1] >= start:
                 start = min(start, out.pop()[0])
@@ -209,23 +218,24 @@ class Automaton:
 LOCATED = "anchor long, segment long, windows int, spans array<struct<first:int,behind:int>>"
 
 
-def shard_spans(rows: list[dict], window: int) -> Iterator[tuple]:
-    """The rows of one shard: compile the phrases of its sources, then stream its texts."""
-    automaton, recurring = Automaton(), {}
-    name = lambda r: (r["anchor"], r["segment"], r["windows"])
-    for r in rows:
-        if r["words"] is None:
-            recurring[name(r)] = r["recurring"]
-    for r in rows:
-        if r["words"] is not None and r["source"]:
-            if r["weight"] > 1:
-                automaton.add(r["words"])
-            elif name(r) in recurring:
-                for phrase in runs(r["words"], recurring[name(r)], window):
-                    automaton.add(phrase)
-    for r in rows:
-        if r["words"] is not None and r["streamed"] and (spans := automaton.spans(r["words"])):
-            yield (*name(r), [{"first": a, "behind": b} for a, b in spans])
+SHARD, SEGMENT = ["hot", "shard", "block", "lane"], ["source", "streamed", "anchor", "segment", "windows", "weight", "words", "recurring"]
+
+
+def shard_spans(rows: list[tuple], window: int) -> Iterator[tuple]:
+    """The rows (``SEGMENT``) of one shard: compile the phrases of its sources, then stream its texts."""
+    automaton = Automaton()
+    recurring = {r[2:5]: r[7] for r in rows if r[6] is None}
+    texts = [r for r in rows if r[6] is not None]
+    for source, _, *_, weight, words, _ in texts:
+        if source and weight > 1:
+            automaton.add(words)
+    for r in texts:
+        if r[0] and r[5] <= 1 and r[2:5] in recurring:
+            for phrase in runs(r[6], recurring[r[2:5]], window):
+                automaton.add(phrase)
+    for r in texts:
+        if r[1] and (spans := automaton.spans(r[6])):
+            yield (*r[2:5], [{"first": a, "behind": b} for a, b in spans])
 
 
 def locate(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -238,11 +248,12 @@ def locate(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Record
     now, rows = None, []
     for batch in batches:
         out: list[tuple] = []
-        for r in batch.to_pylist():
-            if (shard := (r["hot"], r["shard"], r["block"], r["lane"])) != now:
+        shards, segments = (zip(*(batch.column(c).to_pylist() for c in names)) for names in (SHARD, SEGMENT))
+        for shard, segment in zip(shards, segments):
+            if shard != now:
                 out += shard_spans(rows, window)
                 now, rows = shard, []
-            rows.append(r)
+            rows.append(segment)
         yield batch_of(out)
     yield batch_of(list(shard_spans(rows, window)))
 
@@ -317,13 +328,16 @@ def kept_rows(batches: Iterable[pa.RecordBatch], digest: bool) -> Iterator[pa.Re
     for batch in batches:
         total, removed, out = [], [], []
         for text, spans in zip(batch.column(1), batch.column(2)):
-            words = (text.as_py() or "").encode().split()
-            keep = np.ones(len(words), bool)
-            for s in spans.as_py() or []:
-                keep[s["first"]:s["behind"]] = False
-            kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
+            words = utf8(text).split()
             total.append(len(words))
-            removed.append(int(len(words) - keep.sum()))
+            if spans.is_valid:
+                stay, done = [], 0
+                for first, behind in sorted((s["first"], s["behind"]) for s in spans.as_py()):
+                    stay += words[done:first]
+                    done = max(done, behind)
+                words = stay + words[done:]
+            kept = b" ".join(words)
+            removed.append(total[-1] - len(words))
             out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],

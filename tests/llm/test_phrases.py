@@ -98,3 +98,19 @@ def test_op11_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()]
     assert got(P.op11_phrases(spark, sf)) == brute(rows)
+
+
+def test_a_word_of_an_automaton_has_two_letters():
+    codes = P.Codes()
+    made = [codes.add(b"%d" % i) for i in range(70_000)]
+    assert len(set(made)) == 70_000 and {len(c) for c in made} == {2} and codes[b"none"] == P.Codes.NONE
+    first, second = ({c[k] for c in made} for k in (0, 1))
+    assert not first & second and not set(P.Codes.NONE) & (first | second) and len(first) == P.Codes.BASE
+
+
+def test_kept_words_of_overlapping_and_touching_spans():
+    spans = [[{"first": 7, "behind": 9}, {"first": 1, "behind": 4}, {"first": 3, "behind": 5}, {"first": 5, "behind": 6}], None, [], [{"first": 0, "behind": 12}]]
+    text = " ".join(f"é{i}" for i in range(12))
+    batch = P.pa.RecordBatch.from_arrays([P.pa.array(range(4)), P.pa.array([text, text, None, text]), P.pa.array(spans)], ["doc_id", "text", "spans"])
+    out = next(P.kept_rows([batch], False)).to_pylist()
+    assert [(r["n_words"], r["n_removed"], r["text"]) for r in out] == [(12, 7, "é0 é6 é9 é10 é11"), (12, 0, text), (0, 0, ""), (12, 12, "")]
