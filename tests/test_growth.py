@@ -177,3 +177,12 @@ def test_guarded_cleaning_is_the_plain_one(spark):
     for r in df.select(plain.alias("want"), T.import_clean("utt").alias("got"), T.is_only_mask("utt").alias("m"),
                        F.regexp_replace("utt", r"^\s+|\s+$", "").isin("MASK", "MASK MASK").alias("n")).collect():
         assert r["want"] == r["got"] and r["m"] == r["n"]
+
+
+def test_only_sentences_with_a_determiner_are_searched(spark):
+    from detflow.plans.study import StudyPlan
+    df = tagged_df(spark, [("1", [("the", "DET"), ("dog", "NOUN")]), ("2", [("dog", "NOUN")]), ("3", []), ("4", [("this", "DET"), ("the", "NOUN")])])
+    some = StudyPlan.with_det(df)
+    assert sorted(r["uid"] for r in some.collect()) == ["1", "4"]
+    for step in (A.noun_types_raw, B.first_training_age, TS.child_candidates):
+        assert sorted(map(str, step(some).collect())) == sorted(map(str, step(df).collect())) != []
